@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import quality
+from semindex.llm import quality, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_bands": quality.op6_quality_bands}
+    return {
+        "op6_quality_bands": quality.op6_quality_bands,
+        "op8_warc_chunks": warc.op8_warc_chunks,
+        "op10_token_files": token_files.op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_chunks": warc.OP8_SQL}
