@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import quality, token_files, warc
+from semindex.llm import gif, mixing, quality, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pfair_mix": mixing.op1_pfair_mix,
         "op6_quality_bands": quality.op6_quality_bands,
         "op8_warc_chunks": warc.op8_warc_chunks,
+        "op9_gif_frames": gif.op9_gif_frames,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_chunks": warc.OP8_SQL}
+    return {"op1_pfair_mix": mixing.OP1_SQL, "op8_warc_chunks": warc.OP8_SQL}
