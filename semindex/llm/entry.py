@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import gif, mixing, quality, token_files, warc
+from semindex.llm import gif, mixing, quality, substring, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pfair_mix": mixing.op1_pfair_mix,
+        "op3_repeat_spans": substring.op3_repeat_spans,
         "op6_quality_bands": quality.op6_quality_bands,
         "op8_warc_chunks": warc.op8_warc_chunks,
         "op9_gif_frames": gif.op9_gif_frames,
