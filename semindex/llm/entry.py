@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import gif, mixing, neardup, quality, substring, token_files, warc
+from semindex.llm import gif, mixing, neardup, pieces, quality, substring, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pfair_mix": mixing.op1_pfair_mix,
+        "op2_piece_nbest": pieces.op2_piece_nbest,
         "op3_repeat_spans": substring.op3_repeat_spans,
         "op4_order_minhash": neardup.op4_order_minhash,
         "op6_quality_bands": quality.op6_quality_bands,
