@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import gif, mixing, neardup, pieces, quality, substring, token_files, warc
+from semindex.llm import gif, mixing, neardup, pieces, quality, substring, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_repeat_spans": substring.op3_repeat_spans,
         "op4_order_minhash": neardup.op4_order_minhash,
         "op6_quality_bands": quality.op6_quality_bands,
+        "op7_pu_toxicity": toxicity.op7_pu_toxicity,
         "op8_warc_chunks": warc.op8_warc_chunks,
         "op9_gif_frames": gif.op9_gif_frames,
         "op10_token_files": token_files.op10_token_files,
