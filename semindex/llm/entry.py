@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semindex.llm import gif, mixing, neardup, pieces, quality, substring, token_files, toxicity, warc
+from semindex.llm import gif, gru, mixing, neardup, pieces, quality, substring, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_piece_nbest": pieces.op2_piece_nbest,
         "op3_repeat_spans": substring.op3_repeat_spans,
         "op4_order_minhash": neardup.op4_order_minhash,
+        "op5_gru_lm": gru.op5_gru_lm,
         "op6_quality_bands": quality.op6_quality_bands,
         "op7_pu_toxicity": toxicity.op7_pu_toxicity,
         "op8_warc_chunks": warc.op8_warc_chunks,

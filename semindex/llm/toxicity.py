@@ -126,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
 
-        picked = df.select("text", order.alias("_o"), F.xxhash64("text").alias("_t")).orderBy("_o", "_t").limit(most)
-        return [r.words for r in map_batches(picked.select("text"), run, "words array<string>").toLocalIterator()]
+        # Ids first: what is sorted is slim, and what is broadcast has at most ``most`` rows.
+        ids = df.select("doc_id").orderBy(order, "doc_id").limit(most).distinct()
+        return [r.words for r in map_batches(df.join(F.broadcast(ids), "doc_id").orderBy(order, F.xxhash64("text")).select("text"), run, "words array<string>").toLocalIterator()][:most]
 
     sure = training.join(marked.where("_toxic = 1").select("doc_id"), "doc_id", "left_semi")
     rest = training.join(marked.where("_toxic = 1").select("doc_id"), "doc_id", "left_anti")
