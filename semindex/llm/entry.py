@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from semindex.llm import gif, gru, mixing, neardup, pieces, quality, substring, token_files, toxicity, warc
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_chunks": warc.op8_warc_chunks,
         "op9_gif_frames": gif.op9_gif_frames,
         "op10_token_files": token_files.op10_token_files,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -249,4 +249,4 @@ def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents' ids in place of their texts."""
-    return encode_pieces(docs.select("doc_id", "lang", "source", "text"), model_path(), 1).select("doc_id", "lang", "source", "n_tokens", "ids")
+    return encode_pieces(docs.select("doc_id", "lang", "source", "text"), model_path()).select("doc_id", "lang", "source", "n_tokens", "ids", "score", F.col("nbest.score").alias("nbest_scores"))
