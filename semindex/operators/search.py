@@ -124,7 +124,7 @@ def response_json(results: DataFrame) -> DataFrame:
     return shaped.select("query_id", F.to_json(F.struct("query", "results")).alias("response"))
 
 
-def ann_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, planes: int = 6, tables: int = 24, seed: int = 3) -> DataFrame:
+def ann_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, planes: int = 5, tables: int = 40, seed: int = 3) -> DataFrame:
     """Approximate form of topk_search for one scope: only points that share a bucket of signs with a query are scored.
 
     A bucket is the signs of ``planes`` random projections; a point is looked up in ``tables`` of them. Pairs are

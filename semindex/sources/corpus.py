@@ -24,7 +24,7 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTE
     found = found.where((F.col("length") <= max_bytes) & C.file_extension("path").isin(*extensions))
     return found.select(
         C.collection_id(plain).alias("collection_id"), C.relative_path(bare, plain).alias("file_path"), bare.alias("resolved_path"),
-        F.col("length").alias("size_bytes"), F.decode("content", F.lit("utf-8")).alias("content"),
+        F.col("length").alias("size_bytes"), F.decode("content", "utf-8").alias("content"),
     )
 
 
