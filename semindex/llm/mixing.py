@@ -102,7 +102,9 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, the table's files and rows in mixed order (range-partitioned by slot)."""
-    return mix(docs).orderBy("slot", "seat").select(*docs.columns)
+    safe = [F.col(c).alias(f"_si_{c}") if c in PLACE else F.col(c) for c in docs.columns]
+    back = [F.col(f"_si_{c}").alias(c) if c in PLACE else F.col(c) for c in docs.columns]
+    return mix(docs.select(*safe)).orderBy("slot", "seat").select(*back)
 
 
 OP1_SQL = f"""
