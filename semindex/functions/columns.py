@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from semindex.functions import constants as K
 
-SPACE = r"[\s   -     　﻿]"
+#: White space as JavaScript has it, for a Java regular expression.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def col(c: Column | str) -> Column:

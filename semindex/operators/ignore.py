@@ -91,14 +91,14 @@ def is_ignored(path: Column | str, rules: list[Rule]) -> Column:
 def apply_ignore(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Files that no rule ignores. Directories are tested once each and joined back, as files share them.
 
-    The join is by (collection_id, directory); the directory table is broadcast by Spark if it is small.
+    Rules hold for all collections here; the directory table is broadcast by Spark if it is small.
     """
     parts = C.path_segments(C.slashed("file_path"))
     folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     held = files.withColumn("_folder", folder)
-    folders = held.select("_folder").distinct().withColumn("_out", (F.col("_folder") != "") & is_ignored("_folder", [r for r in rules]) & F.lit(True))
     # A folder is out if it or one above it is ignored as a directory.
-    folders = folders.withColumn("_out", F.when(F.col("_folder") == "", F.lit(False)).otherwise(ignored_folder("_folder", rules)))
+    out = F.when(F.col("_folder") == "", F.lit(False)).otherwise(ignored_folder("_folder", rules))
+    folders = held.select("_folder").distinct().withColumn("_out", out)
     kept = held.join(folders.where(~F.col("_out")).select("_folder"), "_folder")
     whole = C.slashed("file_path")
     return kept.where(~(verdict(whole, False, rules) | verdict(whole, True, rules))).drop("_folder")
