@@ -20,6 +20,7 @@ an empty table gives an index without parts; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -126,6 +127,12 @@ class PieceEncoder:
         return [self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:])) for p in pieces]
 
 
+@functools.cache
+def encoder(path: str) -> PieceEncoder:
+    """One for a Python worker, so that tasks which follow each other in it share its caches."""
+    return PieceEncoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encodes ``docs`` (doc_id, text), appends ``end_id`` to each, writes the files; returns the index."""
     spark = docs.sparkSession
@@ -133,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        encode = PieceEncoder(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
