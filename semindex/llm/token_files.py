@@ -41,7 +41,7 @@ from semindex.llm.common import map_batches, shared_folder, small_batches, table
 NULL_ID = -(2**63)
 INDEX = "part long, path string, n_docs long, n_tokens long, width int"
 #: Most pieces, and most pre-tokens, that a task's caches hold; about 200 bytes each.
-PIECES, WORDS = 250_000, 700_000
+PIECES, WORDS = 600_000, 900_000
 UNSAFE = re.compile(r" (?=\s|\Z)")
 CUTS = re.compile(r"(?= \S)")
 #: Characters whose classes are the same in every Unicode version.
