@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from semindex.llm.common import crc32_of_id, map_batches, table
 
-MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 4000, 8000, 30_000
+MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 3000, 7000, 30_000
 FOLDS, HELD = 5, 0
 #: A word counts if chance would make it so frequent among positives with this probability at most.
 UNLIKELY = 1e-5
@@ -69,31 +69,43 @@ def by_chance(n: int, mean: float) -> float:
     return max(0.0, 1 - below)
 
 
-def vocabulary(positive: list[list[str]], unlabelled: list[list[str]]) -> list[str]:
-    """Words that positives have far more often than unlabelled text, beyond what chance explains."""
-    p, u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
-    gain = {}
-    for w, n in p.items():
-        other = (u[w] + 0.5) / (len(unlabelled) + 1)
-        if n >= 2 and n > 1.25 * other * len(positive) and by_chance(n, other * len(positive)) < UNLIKELY:
-            gain[w] = n / other
-    return sorted(gain, key=lambda w: (-gain[w], w))[:MOST_WORDS]
+class Terms(dict):
+    """Numbers for terms, in order of appearance."""
 
+    def __missing__(self, term: str) -> int:
+        out = self[term] = len(self)
+        return out
 
-def rows_of(docs: list[list[str]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all documents in a row, and each one's document."""
-    words = [[at[w] for w in d if w in at] for d in docs]
-    return np.array([i for d in words for i in d], np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in words])
+    def of(self, terms: list[str]) -> np.ndarray:
+        return np.array([self[t] for t in terms], np.int32)
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> Classifier:
+def vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str]) -> list[int]:
+    """Terms that positives have far more often than unlabelled text, beyond what chance explains."""
+    count = lambda docs: np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=len(names))
+    p, u = count(positive), count(unlabelled)
+    other = (u + 0.5) / (len(unlabelled) + 1)
+    often = np.flatnonzero((p >= 2) & (p > 1.25 * other * len(positive))).tolist()
+    sure = [i for i in often if by_chance(int(p[i]), float(other[i]) * len(positive)) < UNLIKELY]
+    return sorted(sure, key=lambda i: (-p[i] / other[i], names[i]))[:MOST_WORDS]
+
+
+def rows_of(docs: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight numbers of all documents' terms in a row, and each one's document."""
+    found = [x[x >= 0] for x in (at[d] for d in docs)]
+    return np.concatenate(found), np.repeat(np.arange(len(docs)), [len(x) for x in found])
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], terms: Terms, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> Classifier:
     """Full-batch Adam on the non-negative risk."""
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Classifier(math.log(p / (1 - p)))
-    known = vocabulary(positive, unlabelled)
-    at = {w: i for i, w in enumerate(known)}
+    names = list(terms)
+    known = vocabulary(positive, unlabelled, names)
     n = len(known)
+    at = np.full(len(names), -1)
+    at[known] = np.arange(n)
     (pi, pd), (ui, ud) = rows_of(positive, at), rows_of(unlabelled, at)
     x = np.zeros(n + 1)  # weights, then the bias
     x[n] = math.log(prior / (1 - prior))
@@ -110,7 +122,7 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, st
         g = g + decay * np.append(x[:n], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Classifier(float(x[n]), {w: float(x[i]) for w, i in at.items() if x[i]})
+    return Classifier(float(x[n]), {names[k]: float(x[i]) for i, k in enumerate(known) if x[i]})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -120,19 +132,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     n, toxic = marked.agg(F.count("*"), F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0))).first()
     order = F.xxhash64(F.col("doc_id").cast("string"))
     training = docs.where((fold != HELD) & F.col("text").isNotNull())
+    toxic_ids = marked.where("_toxic = 1").select("doc_id")
+    numbers = Terms()
+
+    def sample(ids: DataFrame, most: int) -> list[np.ndarray]:
+        """Terms of the documents with the smallest hashes among ``ids``. Only ids are joined and sorted; what is broadcast has at most ``most`` rows."""
 
-    def sample(df: DataFrame, most: int) -> list[list[str]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
 
-        # Ids first: what is sorted is slim, and what is broadcast has at most ``most`` rows.
-        ids = df.select("doc_id").orderBy(order, "doc_id").limit(most).distinct()
-        return [r.words for r in map_batches(df.join(F.broadcast(ids), "doc_id").orderBy(order, F.xxhash64("text")).select("text"), run, "words array<string>").toLocalIterator()][:most]
+        few = ids.orderBy(order, "doc_id").limit(most).distinct()
+        texts = training.join(F.broadcast(few), "doc_id").orderBy(order, F.xxhash64("text")).select("text")
+        return [numbers.of(r.words) for r in map_batches(texts, run, "words array<string>").toLocalIterator()][:most]
 
-    sure = training.join(marked.where("_toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    rest = training.join(marked.where("_toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    return fit(sample(sure, MOST_POSITIVE), sample(rest, MOST_UNLABELLED), (toxic or 0) / n if n else 0.5)
+    sure = sample(training.select("doc_id").join(toxic_ids, "doc_id", "left_semi"), MOST_POSITIVE)
+    rest = sample(training.select("doc_id").join(toxic_ids, "doc_id", "left_anti"), MOST_UNLABELLED)
+    return fit(sure, rest, numbers, (toxic or 0) / n if n else 0.5)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -159,7 +159,9 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
 
 
 def test_non_negative_risk_is_used():
-    model = toxicity.fit([["bad"]] * 40, [["fine"]] * 360 + [["bad"]] * 40, 0.2)
+    terms = toxicity.Terms()
+    bad, fine = terms.of(["bad"]), terms.of(["fine"])
+    model = toxicity.fit([bad] * 40, [fine] * 360 + [bad] * 40, terms, 0.2)
     assert model.score("bad") > 0.5 > model.score("fine")
 
 
