@@ -26,6 +26,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +56,14 @@ class PieceLattice:
         #: Pieces with score and ids; what only starts a piece has None.
         self.prefixes = {p[:j]: None for p in self.pieces for j in range(1, len(p))} | {p: (s, (i,)) for p, (i, s) in self.pieces.items()}
         self.pairs = {p[j : j + 2] for p in self.pieces for j in range(len(p) - 1)}
+        self.trie = self.built()
         self.worst = min(s for _, s in self.pieces.values() if s > -1e8) - 10
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         joined = "".join(p for p in self.pieces if len(p) > 1)
         self.words = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        alone = "" if "\n" in joined else r"|(?<=\n)|(?=\n)"
+        self.lines = "\n" not in joined
+        alone = "" if not self.lines else r"|(?<=\n)|(?=\n)"
         self.cuts = re.compile(f"(?<=[^{MARK}])(?={MARK}){alone}")
         self.surface = [b""] * len(ids)
         for p, (i, _) in self.pieces.items():
@@ -71,6 +74,101 @@ class PieceLattice:
         self.held: dict[str, tuple[bytes, int, float, float]] = {}
         self.prefixed = sp.normalize("a").startswith(MARK)
 
+    def built(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces as a tree of characters: sorted edges (node << 21 | character), where they lead, each node's piece (or -1) and its score."""
+        number = {p: k + 1 for k, p in enumerate(self.prefixes)}
+        edges = sorted(((number.get(p[:-1], 0) << 21) | ord(p[-1]), k) for p, k in number.items())
+        known = [None, *self.prefixes.values()]
+        return (
+            np.array([e for e, _ in edges]), np.array([k for _, k in edges]),
+            np.array([v[1][0] if v else -1 for v in known]), np.array([v[0] if v else 0.0 for v in known]),
+        )
+
+    def solve_many(self, parts: list[str]) -> None:
+        """Remembers solve() of many short parts, side by side: the same two passes, a start position and a length of piece at a time."""
+        keys, leads, piece, worth = self.trie
+        for begin in range(0, len(parts), 8_192):
+            some = parts[begin : begin + 8_192]
+            n, sizes = len(some), np.fromiter(map(len, some), np.int64, min(8_192, len(parts) - begin))
+            longest = int(sizes.max())
+            chars = np.zeros((n, longest), np.int64)
+            chars[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+            best = np.full((n, longest + 1), -np.inf)
+            best[:, 0] = 0
+            back, taken = np.zeros((n, longest + 1), np.int64), np.zeros((n, longest + 1), np.int64)
+            found = []  # edges: rows, start, end, score
+            for i in range(longest):
+                rows = np.flatnonzero(sizes > i)
+                node = np.zeros(len(rows), np.int64)
+                for j in range(i, longest):
+                    if j > i:
+                        inside = sizes[rows] > j
+                        rows, node = rows[inside], node[inside]
+                    wanted = node << 21 | chars[rows, j]
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    hit = keys[at] == wanted
+                    rows, node = rows[hit], leads[at[hit]]
+                    if not len(rows):
+                        break
+                    whole = piece[node] >= 0
+                    own, ids, score = rows[whole], piece[node[whole]], worth[node[whole]]
+                    if len(own):
+                        found.append((own, i, j + 1, score))
+                        total = best[own, i] + score
+                        better = total > best[own, j + 1]
+                        best[own[better], j + 1], back[own[better], j + 1], taken[own[better], j + 1] = total[better], i, ids[better]
+            reached = np.isfinite(best[np.arange(n), sizes])
+            # The best path, from its end; where it enters each position.
+            entered, path, count = np.full((n, longest + 1), -1), np.zeros((n, longest), np.int32), np.zeros(n, np.int64)
+            rows, at = np.flatnonzero(reached), sizes[reached]
+            while len(rows):
+                entered[rows, at] = back[rows, at]
+                path[rows, count[rows]] = taken[rows, at]
+                count[rows] += 1
+                at = back[rows, at]
+                rows, at = rows[at > 0], at[at > 0]
+            rest = np.full((n, longest + 1), -np.inf)
+            rest[np.arange(n), sizes] = 0
+            second = np.full(n, -np.inf)
+            for own, i, j, score in reversed(found):
+                onward = score + rest[own, j]
+                rest[own, i] = np.maximum(rest[own, i], onward)
+                off = entered[own, j] != i
+                second[own[off]] = np.maximum(second[own[off]], (best[own, i] + onward)[off])
+            totals = best[np.arange(n), sizes]
+            lost = (totals - np.where(reached, second, 0)).tolist()
+            for k, (part, c, total, ok) in enumerate(zip(some, count.tolist(), totals.tolist(), reached.tolist(), strict=True)):
+                self.held[part] = (path[k, :c][::-1].tobytes(), c, total, lost[k]) if ok else self.solve(part)
+
+    def learn(self, parts: set[str]) -> None:
+        """Remembers all of these parts but the longest: cut where no piece has both neighbours, and the cuts solved together."""
+        if len(self.held) + len(parts) > PARTS:
+            self.held = {p: self.held[p] for p in parts if p in self.held}
+        held, pairs = self.held, self.pairs
+        missing, joint = set(), []
+        for part in parts:
+            if part in held or len(part) > LONG:
+                continue
+            if part[1:].isalpha():  # rarely cut, and needn't be
+                missing.add(part)
+                continue
+            subs = []
+            last = 0
+            for i in range(1, len(part)):
+                if part[i - 1 : i + 1] not in pairs:
+                    subs.append(part[last:i])
+                    last = i
+            if subs:
+                subs.append(part[last:])
+                joint.append((part, subs))
+                missing.update(x for x in subs if x not in held)
+            else:
+                missing.add(part)
+        self.solve_many(sorted(missing, key=lambda x: (len(x), x)))
+        for part, subs in joint:
+            found = [held[x] for x in subs]
+            held[part] = (b"".join([f[0] for f in found]), sum([f[1] for f in found]), math.fsum([f[2] for f in found]), min([f[3] for f in found]))
+
     def edges(self, part: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """Edges (start, end, score, ids), by start and end."""
         n, get, out = len(part), self.prefixes.get, []
@@ -135,50 +233,40 @@ class PieceLattice:
         ids = array("i", [x for end in sorted(path) for x in path[end][3]])
         return ids.tobytes(), len(ids), best[n], lost
 
-    def part(self, part: str) -> tuple[bytes, int, float, float]:
-        """solve() for a part that isn't remembered: cut where no piece has both neighbours, and the cuts looked up in turn."""
-        if len(self.held) >= PARTS:
-            self.held.clear()
-        if len(part) > LONG:
-            return self.solve(part)
-        cut, pairs = 0, self.pairs
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
-        if not cuts:
-            out = self.held[part] = self.solve(part)
-            return out
-        found = []
-        for i in [*cuts, len(part)]:
-            sub = part[cut:i]
-            if (known := self.held.get(sub)) is None:
-                known = self.held[sub] = self.solve(sub)
-            found.append(known)
-            cut = i
-        out = self.held[part] = (b"".join([f[0] for f in found]), sum(f[1] for f in found), math.fsum(f[2] for f in found), min(f[3] for f in found))
-        return out
-
     def parts(self, text: str) -> list[str]:
         """The chain of lattices of a normalised text."""
         if not self.words:
             return [text] if text else []
-        return [p for p in self.cuts.split(text) if p]
+        if MARK + MARK in text or "\0" in text:
+            return [p for p in self.cuts.split(text) if p]
+        if self.lines:
+            text = text.replace("\n", "\0\n\0")
+        return [p for p in text.replace(MARK, "\0" + MARK).split("\0") if p]
+
+    def encode_many(self, texts: list[str], n: int = BEST) -> list[tuple]:
+        """encode() of each text, after all their new parts have been learnt together."""
+        parts = [self.parts(self.sp.normalize(t)) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        return [self.encoded(p, n) for p in parts]
 
     def encode(self, text: str, n: int = BEST) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids of the best segmentation (int32), its score, and the n best as (score, changes of the best one's ids)."""
-        parts = self.parts(self.sp.normalize(text)) if text else []
-        get, part = self.held.get, self.part
-        found = [get(p) or part(p) for p in parts]
-        ids = b"".join([f[0] for f in found])
-        score = math.fsum([f[2] for f in found])
+        return self.encode_many([text], n)[0]
+
+    def encoded(self, parts: list[str], n: int) -> tuple:
+        get, solve = self.held.get, self.solve
+        found = [get(p) or solve(p) for p in parts]
+        own, sizes, scores, losses = zip(*found, strict=True) if found else ((), (), (), ())
+        ids, score = b"".join(own), math.fsum(scores)
         merged: list[tuple[float, tuple]] = [(0.0, ())]
         if n > 1 and found:
-            lost = np.array([f[3] for f in found])
-            few = np.argsort(lost, kind="stable")[: n - 1]
-            few = np.sort(few[np.isfinite(lost[few])])
-            starts = np.cumsum([0] + [f[1] for f in found]) if len(few) else None
-            for k in few.tolist():
-                own_best = tuple(np.frombuffer(found[k][0], np.int32).tolist())
-                others = [(s, own) for s, own in self.search(parts[k], n) if own != own_best][: n - 1]
-                options = [(0.0, ())] + [(found[k][2] - s, ((int(starts[k]), found[k][1], own),)) for s, own in others]
+            few = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__))
+            few = [k for k in few if losses[k] < math.inf]
+            starts = [0, *accumulate(sizes)] if few else []
+            for k in few:
+                own_best = tuple(np.frombuffer(own[k], np.int32).tolist())
+                others = [(s, other) for s, other in self.search(parts[k], n) if other != own_best][: n - 1]
+                options = [(0.0, ())] + [(scores[k] - s, ((starts[k], sizes[k], other),)) for s, other in others]
                 merged = sorted(((a + b, x + y) for a, x in merged for b, y in options), key=lambda m: m)[:n]
         return ids, score, [(score - lost, list(changes)) for lost, changes in merged]
 
@@ -203,9 +291,9 @@ def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = lattice(model).encode
+        encode = lattice(model).encode_many
         for batch in batches:
-            rows = [encode(t.as_py() or "", n) for t in batch.column(at)]
+            rows = encode([t or "" for t in batch.column(at).to_pylist()], n)
             flat = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
             sizes = np.array([len(r[0]) // 4 for r in rows], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
