@@ -6,10 +6,11 @@ the square of their gram similarity, and only if the order agrees too, which is
 for. The 4 and 8 smallest of the same hash serve as finer sketches.
 
 Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. In each bucket,
-members are compared with one centre, not with each other; those that match it are settled. Members that
-do not match stay: a bucket left with few members compares them all, a larger one (a passage that many
-unlike documents share) is dealt anew by the finer sketch, and what the finest leaves is compared with
-more and more centres until nothing is left. So no bucket is capped and none is expanded into pairs.
+members are compared with one centre, the smallest, and the links found make the first classes. Then every
+pair of a bucket's members that are in different classes is taken up, whatever the bucket's size and whether
+a member has matched or not: lengths and counts of words in BINS bins exclude most pairs by proof,
+the others are verified, nearest first, as each link that joins two classes settles all pairs between them. So the
+classes are those of all pairs that share a bucket; no pair of a bucket is lost.
 
 Verification. Word-level edit distance within the band that similarity 1 - edits / longer length >= 0.8
 allows: furthest-reaching points per diagonal, one more edit at a time, after a multiset bound.
@@ -37,13 +38,17 @@ from pyspark.sql import functions as F
 from semindex.llm.common import map_batches, saved, table, words_of
 from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
 
-GRAM, SKETCHES, SIZES, SIMILAR, FEW = 5, 24, (2, 4, 8), 0.8, 8
+GRAM, SKETCHES, SIZES, SIMILAR = 5, 24, (2, 4, 8), 0.8
 NULL_ID = -(2**63)
+#: Members of a bucket that meet at once, and bins that words are counted in to exclude pairs.
+SLICE, BINS = 1024, 128
+#: What names a row's text: its id, never null, and a digest of the text as it is.
+IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex(md5(cast(coalesce(text, '') AS binary))) AS mark"]
 #: Grams that are hashed at once.
 BLOCK = 1 << 11
 SEEDS = scrambled(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = scrambled(SEEDS) | np.uint64(1)
-SKETCH = f"_id long, digest binary, {', '.join(f'k{s} array<long>' for s in SIZES)}"
+SKETCH = f"_id long, mark binary, digest binary, n int, bins binary, {', '.join(f'k{s} array<long>' for s in SIZES)}"
 
 
 def sketches(hashes: np.ndarray, powers: Powers) -> list[np.ndarray]:
@@ -83,17 +88,19 @@ def sketched(docs: DataFrame) -> DataFrame:
         known, powers = WordHashes(), Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, keys = [], [[] for _ in SIZES]
-                for t in batch.column(1):
+                digests, sizes, bins, keys = [], [], [], [[] for _ in SIZES]
+                for t in batch.column(2):
                     words = words_of(t.as_py())
+                    hashes = known.of(words)
+                    sizes.append(len(words))
+                    bins.append(np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                     digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    for held, own in zip(keys, sketches(known.of(words), powers), strict=True):
+                    for held, own in zip(keys, sketches(hashes, powers), strict=True):
                         held.append(own)
                 arrays = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in k]))).astype(np.int32), np.concatenate([*k, np.zeros(0, np.int64)]).astype(np.int64)) for k in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *arrays], ["_id", "digest", *(f"k{s}" for s in SIZES)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), *arrays], ["_id", "mark", "digest", "n", "bins", *(f"k{s}" for s in SIZES)])
 
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
-    return map_batches(docs.select(ids, "text"), run, SKETCH)
+    return map_batches(docs.selectExpr(*IDS, "text"), run, SKETCH)
 
 
 def edits(a: list, b: list, most: int) -> int | None:
@@ -214,68 +221,105 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 alike.append(similar(words, known.of(words_of(batch.column(3)[i].as_py()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
 
-    both = pairs.join(texts.select(F.col("_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, alike boolean").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, alike boolean")
 
 
 def in_buckets(members: DataFrame) -> DataFrame:
-    """members (key, _id) of buckets with two or more of them, with the bucket's size and smallest member."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("_id").alias("centre")).where("n > 1")
+    """members (key, node) of buckets with two or more of them, with the bucket's size and smallest member."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     return members.join(sizes, "key")
 
 
-def by_centre(members: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Compares each member with its bucket's centre; returns (links, members that did not match, without centres)."""
-    held = in_buckets(members)
-    tested = saved(verified(held.where("_id <> centre").select(F.col("centre").alias("a"), F.col("_id").alias("b")).distinct(), texts), f"{name}-links")
-    rest = held.where("_id <> centre").join(tested.where("NOT alike").select(F.col("a").alias("centre"), F.col("b").alias("_id")), ["centre", "_id"], "left_semi").select("key", "_id")
-    return tested.where("alike").select("a", "b"), saved(rest, f"{name}-rest")
-
-
-def among(members: DataFrame, first: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's ``first`` smallest members with its other members."""
-    centres = members.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("_id")), 1, first).alias("few")) if first <= FEW else None
-    if centres is None:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("key").orderBy("_id")
-        centres = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first).groupBy("key").agg(F.collect_set("_id").alias("few"))
-    return members.join(centres, "key").select(F.explode("few").alias("a"), F.col("_id").alias("b")).where("a < b").distinct()
-
-
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes (_id, k2, k4, k8)."""
-    spark = docs.sparkSession
-    size = SIZES[0]
-    members = in_buckets(nodes.select("_id", F.explode(f"k{size}").alias("key"))).select("key", "_id")
-    members = saved(members, "members")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
-    texts = saved(docs.select(ids, "text").join(members.select("_id").distinct(), "_id", "left_semi"), "texts")
-    found = []
-    for at, size in enumerate(SIZES):
-        if at:  # what coarser buckets left, dealt anew by the finer sketch of the same hash
-            finer = nodes.select("_id", F.explode(F.arrays_zip(F.col(f"k{SIZES[at - 1]}").alias("old"), F.col(f"k{size}").alias("key"))).alias("_z")).select("_id", F.col("_z.old").alias("old"), F.col("_z.key").alias("key"))
-            members = members.withColumnRenamed("key", "old").join(finer, ["_id", "old"]).select("key", "_id")
-        star, rest = by_centre(members, texts, f"omh{size}")
-        found.append(star)
-        left = in_buckets(rest)
-        found.append(verified(among(left.where(F.col("n") <= FEW).select("key", "_id"), FEW), texts).where("alike").select("a", "b"))
-        members = saved(left.where(F.col("n") > FEW).select("key", "_id"), f"omh{size}-large")
-        if members.isEmpty():
-            break
-    first = 1
-    while not members.isEmpty():  # alike in all sketches, yet unlike their centres: more centres each time, until none is left
-        first *= 8
-        tested = saved(verified(among(members, first), texts), "more-links")
-        found.append(tested.where("alike").select("a", "b"))
-        from pyspark.sql import Window
-
-        later = members.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("_id"))).where(F.col("_r") > first).select("key", "_id")
-        members = saved(in_buckets(later.join(tested.where("alike").select(F.col("b").alias("_id")).distinct(), "_id", "left_anti")).select("key", "_id"), "more-rest")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of unlike ``code``, one of ``left`` and one of ``right`` (two of ``left`` without it), that no bound excludes.
+
+    An edit takes out one word at most and brings in one at most, so there are no fewer edits than the larger
+    of what two counts of words by bin lack of each other; counts that stop at 255 only bring them nearer.
+    ``best``: of each i only the j of the least bound.
+    """
+    alone = right is None
+    left = left[np.argsort(n[left], kind="stable")]
+    right = left if alone else right[np.argsort(n[right], kind="stable")]
+    lengths, codes, counts = n[right], code[right], bins[right].astype(np.int16)
+    sums = counts.sum(1, dtype=np.int64)
+    ends = np.searchsorted(lengths, n[left] / SIMILAR + 1, "right")
+    starts = np.arange(len(left)) + 1 if alone else np.searchsorted(lengths, n[left] * SIMILAR - 1, "left")
+    out_i, out_j = [], []
+    for at, (i, start, end) in enumerate(zip(left.tolist(), starts.tolist(), ends.tolist(), strict=True)):
+        most = (np.maximum(lengths[start:end], n[i]) * (1 - SIMILAR) + 1e-9).astype(np.int64)
+        open_ = np.flatnonzero((codes[start:end] != code[i]) & (np.abs(lengths[start:end] - n[i]) <= most))
+        if not len(open_):
+            continue
+        own = bins[i].astype(np.int16)
+        some = counts[start:end] if len(open_) == end - start else counts[start + open_]
+        apart = (np.abs(some - own).sum(1, dtype=np.int64) + np.abs(sums[start + open_] - own.sum(dtype=np.int64))) // 2
+        fits = apart <= most[open_]
+        if best and fits.any():
+            fits = np.arange(len(apart)) == np.where(fits, apart, apart.max() + 1).argmin()
+        out_j.append(right[start + open_[fits]])
+        out_i.append(np.full(len(out_j[-1]), i))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
+
+    Buckets are dealt into slices of about SLICE members and every two slices meet in one group of rows, so
+    a bucket of any size is compared whole, by many tasks.
+    """
+    named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"))
+    # Of a bucket of two, the one pair has been tested.
+    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("size > 2 AND low <> high").select("key", "size")
+    held = saved(named.join(mixed, "key").join(nodes.select("node", "n", "bins"), "node"), "open")
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    group = ["key", "low", "high"]
+    held = held.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "class", "n", "bins")
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        node, code, n, own = (rows.column(c).to_numpy() for c in ("node", "class", "n", "own"))
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        i, j = within_bounds(code, n.astype(np.int64), bins, np.flatnonzero(own == low), None if low == high else np.flatnonzero(own == high), best)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in group]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if (now := tuple(k[a] for k in keys)) != last and rows:
+                    yield found(rows)
+                    rows = []
+                last = now
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield found(rows)
+
+    return map_batches(held.repartition(*group).sortWithinPartitions(*group), run, "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, k2) that share a bucket."""
+    members = saved(in_buckets(nodes.select("node", F.explode("k2").alias("key"))).select("key", "node"), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
+    texts = saved(docs.selectExpr(*IDS, "text").join(wanted, ["_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    star = in_buckets(members).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tested = saved(verified(star, texts), "star")
+    roots = components(tested.where("alike").select("a", "b"))
+    for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
+        pairs = open_pairs(members, nodes, roots, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = saved(verified(pairs, texts), "more")
+        tested, found = tested.unionByName(more), more.where("alike").select("a", "b")
+        if not found.isEmpty():
+            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,13 +341,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): a row each with ``_id`` (never null), ``digest`` of its words, ``class_id`` (never null) and ``node``, the smallest id with these words."""
+    """docs (doc_id, text): a row each with ``_id`` (never null), ``digest`` of its words, ``class_id``, the smallest id of its class (never null), and ``class``, a number of it."""
     rows = saved(sketched(docs), "sketches")
-    nodes = rows.groupBy("digest").agg(F.min("_id").alias("node"), *(F.first(f"k{s}").alias(f"k{s}") for s in SIZES))
-    nodes = saved(nodes, "nodes")
-    root = components(links(docs, nodes.drop("digest").withColumnRenamed("node", "_id")))
-    named = nodes.select("digest", "node").join(root, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("class_id"))
-    return rows.select("_id", "digest").join(named, "digest")
+    least = F.min(F.struct("_id", "mark")).alias("least")
+    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("k2").alias("k2"))
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "bins", "k2"), "nodes")
+    named = nodes.join(classes(docs, nodes), "node", "left").select("digest", "_id", F.coalesce("root", "node").alias("class"))
+    ids = named.groupBy("class").agg(F.min("_id").alias("class_id"))
+    return rows.select("_id", "digest").join(named.select("digest", "class").join(ids, "class"), "digest")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,33 @@ def test_planted_near_copies_and_shared_passage(spark):
     assert {r._id: r.class_id for r in got} == {i: first[g] for i, g in want.items()}
 
 
+def brute_classes(texts):
+    """Smallest number of each text's class, over all pairs that share a sketch and are alike."""
+    from semindex.llm.substring import Powers, WordHashes
+
+    known, powers = WordHashes(), Powers()
+    with np.errstate(over="ignore"):
+        hashed = [known.of(words(t)) for t in texts]
+        keys = [set(neardup.sketches(h, powers)[0].tolist()) for h in hashed]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and keys[i] & keys[j] and neardup.similar(hashed[i], hashed[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def classes_of(spark, texts):
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.class_id for r in sorted(got, key=lambda r: r._id)]
+
+
+def test_chains_keep_their_links(spark):
+    rows = [" ".join(f"c{c}w{i}" for i in range(n)) for c in range(400) for n in (100, 88, 77)]  # 0.88, 0.875 and 0.77 alike
+    assert classes_of(spark, rows) == brute_classes(rows)
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     left = neardup.one_of_each(spark, odd_docs, "")
     assert left.columns == odd_docs.columns
