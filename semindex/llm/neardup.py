@@ -3,7 +3,7 @@
 Sketch. A text's 5-word grams are labelled with their occurrence number; each of 24 seeded hashes takes
 the smallest labelled grams and keeps them in text order. Two texts agree on a sketch of size 2 with about
 the square of their gram similarity, and only if the order agrees too, which is what edit similarity asks
-for. The 4 and 8 smallest of the same hash serve as finer sketches.
+for.
 
 Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. In each bucket,
 members are compared with one centre, the smallest, and the links found make the first classes. Then every
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from semindex.llm.common import map_batches, saved, table, words_of
 from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
 
-GRAM, SKETCHES, SIZES, SIMILAR = 5, 24, (2, 4, 8), 0.8
+GRAM, SKETCHES, SIZE, SIMILAR = 5, 24, 2, 0.8
 NULL_ID = -(2**63)
 #: Members of a bucket that meet at once, and bins that words are counted in to exclude pairs.
 SLICE, BINS = 1024, 128
@@ -48,14 +48,14 @@ IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex
 BLOCK = 1 << 11
 SEEDS = scrambled(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = scrambled(SEEDS) | np.uint64(1)
-SKETCH = f"_id long, mark binary, digest binary, n int, bins binary, {', '.join(f'k{s} array<long>' for s in SIZES)}"
+SKETCH = "_id long, mark binary, digest binary, n int, bins binary, keys array<long>"
 
 
-def sketches(hashes: np.ndarray, powers: Powers) -> list[np.ndarray]:
-    """Per size, a key for each sketch of a text's word hashes; keys of different sketches never mean the same."""
+def sketches(hashes: np.ndarray, powers: Powers) -> np.ndarray:
+    """A key for each sketch of a text's word hashes; keys of different sketches never mean the same."""
     n = len(hashes) - GRAM + 1
     if n < 1:
-        return [np.zeros(0, np.int64)] * len(SIZES)
+        return np.zeros(0, np.int64)
     grams = Text(hashes, powers).ranges(np.arange(n), GRAM)
     order = np.argsort(grams, kind="stable")
     fresh = np.concatenate(([True], grams[order[1:]] != grams[order[:-1]]))
@@ -68,17 +68,13 @@ def sketches(hashes: np.ndarray, powers: Powers) -> list[np.ndarray]:
         places = np.broadcast_to(np.arange(i, i + x.shape[1]), x.shape)
         if least is not None:
             x, places = np.concatenate((least, x), 1), np.concatenate((at, places), 1)
-        most = min(x.shape[1], SIZES[-1])
+        most = min(x.shape[1], SIZE)
         keep = np.argpartition(x, most - 1, axis=1)[:, :most]
         least, at = np.take_along_axis(x, keep, 1), np.take_along_axis(places, keep, 1)
-    at = np.take_along_axis(at, np.argsort(least, axis=1), 1)
-    out = []
-    for size in SIZES:
-        key = SEEDS
-        for g in grams[np.sort(at[:, :size], axis=1)].T:  # in text order
-            key = scrambled(key * np.uint64(31) + g)
-        out.append(signed(key))
-    return out
+    key = SEEDS
+    for g in grams[np.sort(at, axis=1)].T:  # in text order
+        key = scrambled(key * np.uint64(31) + g)
+    return signed(key)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -88,17 +84,18 @@ def sketched(docs: DataFrame) -> DataFrame:
         known, powers = WordHashes(), Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, sizes, bins, keys = [], [], [], [[] for _ in SIZES]
+                digests, sizes, bins, keys = [], [], [], []
                 for t in batch.column(2):
                     words = words_of(t.as_py())
                     hashes = known.of(words)
                     sizes.append(len(words))
                     bins.append(np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                     digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    for held, own in zip(keys, sketches(hashes, powers), strict=True):
-                        held.append(own)
-                arrays = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in k]))).astype(np.int32), np.concatenate([*k, np.zeros(0, np.int64)]).astype(np.int64)) for k in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), *arrays], ["_id", "mark", "digest", "n", "bins", *(f"k{s}" for s in SIZES)])
+                    keys.append(sketches(hashes, powers))
+                ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64))
+                arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["_id", "mark", "digest", "n", "bins", "keys"])
 
     return map_batches(docs.selectExpr(*IDS, "text"), run, SKETCH)
 
@@ -306,8 +303,8 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, best: boo
 
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, k2) that share a bucket."""
-    members = saved(in_buckets(nodes.select("node", F.explode("k2").alias("key"))).select("key", "node"), "members")
+    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, keys) that share a bucket."""
+    members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))).select("key", "node"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
     texts = saved(docs.selectExpr(*IDS, "text").join(wanted, ["_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     star = in_buckets(members).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -344,8 +341,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): a row each with ``_id`` (never null), ``digest`` of its words, ``class_id``, the smallest id of its class (never null), and ``class``, a number of it."""
     rows = saved(sketched(docs), "sketches")
     least = F.min(F.struct("_id", "mark")).alias("least")
-    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("k2").alias("k2"))
-    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "bins", "k2"), "nodes")
+    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "bins", "keys"), "nodes")
     named = nodes.join(classes(docs, nodes), "node", "left").select("digest", "_id", F.coalesce("root", "node").alias("class"))
     ids = named.groupBy("class").agg(F.min("_id").alias("class_id"))
     return rows.select("_id", "digest").join(named.select("digest", "class").join(ids, "class"), "digest")

@@ -151,7 +151,7 @@ def brute_classes(texts):
     known, powers = WordHashes(), Powers()
     with np.errstate(over="ignore"):
         hashed = [known.of(words(t)) for t in texts]
-        keys = [set(neardup.sketches(h, powers)[0].tolist()) for h in hashed]
+        keys = [set(neardup.sketches(h, powers).tolist()) for h in hashed]
     root = list(range(len(texts)))
     for j in range(len(texts)):
         for i in range(j):
@@ -171,6 +171,19 @@ def test_chains_keep_their_links(spark):
     assert classes_of(spark, rows) == brute_classes(rows)
 
 
+def test_large_graded_group_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 40, raising=False)
+    rng = random.Random(12)
+    base = [f"g{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # each further from the first
+        copy = list(base)
+        for j in rng.sample(range(20, 120), i % 50):
+            copy[j] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    assert classes_of(spark, rows) == brute_classes(rows)
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     left = neardup.one_of_each(spark, odd_docs, "")
     assert left.columns == odd_docs.columns
