@@ -16,12 +16,13 @@ Verification. Word-level edit distance within the band that similarity 1 - edits
 allows: furthest-reaching points per diagonal, one more edit at a time, after a multiset bound.
 
 Classes are the connected components of verified links, by alternating large-star and small-star steps on
-tables; class_id is the smallest doc_id of a class.
+tables; class_id is the smallest doc_id of a class, of those that no other class has if there are any.
 
 Defined cases: null text counts as empty; texts of equal words are copies, empty ones too; texts under 5
-words have no sketch, so only their copies are found; repeated rows share a class; a doc_id with several
-texts is one node, linked to what any of them matches; a null doc_id is the smallest id, and a class it
-leads has the null class_id; an empty table gives an empty result; other columns are ignored.
+words have no sketch, so only their copies are found; repeated rows share a class; texts are the nodes, so
+unlike texts of one doc_id, or of none, are in classes of their own; a null doc_id is the last to name a class,
+and a class without any other has the null class_id; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -338,14 +339,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text): a row each with ``_id`` (never null), ``digest`` of its words, ``class_id``, the smallest id of its class (never null), and ``class``, a number of it."""
+    """docs (doc_id, text): a row each with ``_id`` (never null), ``mark`` of its text, ``digest`` of its words, ``class``, a number
+    of its class, and ``class_id`` (never null), its smallest id: of those that no other class has, or else of all; NULL_ID comes last."""
     rows = saved(sketched(docs), "sketches")
     least = F.min(F.struct("_id", "mark")).alias("least")
     nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
     nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "bins", "keys"), "nodes")
-    named = nodes.join(classes(docs, nodes), "node", "left").select("digest", "_id", F.coalesce("root", "node").alias("class"))
-    ids = named.groupBy("class").agg(F.min("_id").alias("class_id"))
-    return rows.select("_id", "digest").join(named.select("digest", "class").join(ids, "class"), "digest")
+    named = nodes.join(classes(docs, nodes), "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
+    rows = saved(rows.select("_id", "mark", "digest").join(named, "digest"), "classes")
+    known = rows.where(F.col("_id") != NULL_ID)
+    shared = known.groupBy("_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("_id", F.lit(True).alias("shared"))
+    first = known.join(shared, "_id", "left").groupBy("class").agg(F.min(F.struct(F.coalesce("shared", F.lit(False)).alias("shared"), "_id"))["_id"].alias("class_id"))
+    return rows.join(first, "class", "left").withColumn("class_id", F.coalesce("class_id", F.lit(NULL_ID)))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,11 +360,11 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest doc_id, one row of it (the least text if
-    that id has several; of rows that repeat it any, as they only differ in other columns)."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    gone = near_duplicates(docs.select("doc_id", "text")).where("_id <> class_id").select(F.col("_id").alias("_si_id")).distinct()
-    left = docs.withColumn("_si_id", ids).join(gone, "_si_id", "left_anti")
-    names = [c for c in docs.columns]
-    first = left.groupBy("_si_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("_si_row"))
+    """Pipeline stage: of each class one row, that of the smallest doc_id (nulls last), then of the least digest; of rows
+    that repeat id and text any, as they only differ in other columns. Rows stay or go by their text, not by id alone."""
+    order = F.struct((F.col("_id") == NULL_ID).alias("last"), "_id", "digest", "mark")
+    kept = near_duplicates(docs.select("doc_id", "text")).groupBy("class").agg(F.min(order).alias("k")).select(F.col("k._id").alias("_si_id"), F.col("k.mark").alias("_si_mark"))
+    names = docs.columns
+    left = docs.selectExpr("*", *(f"{what} AS _si{name if name[0] == '_' else '_' + name}" for what, name in (x.rsplit(" AS ", 1) for x in IDS))).join(kept, ["_si_id", "_si_mark"], "left_semi")
+    first = left.groupBy("_si_id", "_si_mark").agg(F.first(F.struct(*names)).alias("_si_row"))
     return first.select(*(F.col("_si_row")[c].alias(c) for c in names))

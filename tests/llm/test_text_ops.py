@@ -191,6 +191,20 @@ def test_one_of_each_class_stays(spark, odd_docs):
     assert sorted(i for i in ids if i is not None and i < 4) == [1]
 
 
+def test_texts_without_an_id_of_their_own_stay(spark):
+    rng = random.Random(13)
+    text = [[f"t{rng.randrange(5000)}" for _ in range(80)] for _ in range(9)]
+    near = lambda i: " ".join([*text[i].split()[:70], "other", *text[i].split()[71:]])
+    text = [" ".join(t) for t in text]
+    # unlike texts without an id; unlike texts of id 7, one of them a near copy of 3's and one of 9's; a copy without an id
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, near(4)), (3, text[4]), (7, text[5]), (9, near(5)), (8, text[6]), (None, text[6])]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    left = {r.n for r in neardup.one_of_each(spark, docs, "").collect()}
+    assert left == {0, 1, 2, 3, 5, 6, 8}
+    named = sorted((r._id, r.class_id) for r in neardup.near_duplicates(docs).collect() if r._id != neardup.NULL_ID)
+    assert named == [(3, 3), (7, 3), (7, 7), (7, 9), (8, 8), (9, 9)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(30, 31), (33, 31), (40, 40)], "a long, b long")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
