@@ -4,7 +4,8 @@ A text whose zstandard ratio (raw bytes / compressed bytes) is too high for its
 one whose ratio is too low is noise (base64, hashes, ciphertext). Short texts compress badly whatever
 they say and long ones well, so each length class has its own band. Chunks of fixed size are judged
 too: a clean page with a long repetitive or random insert has a plain ratio as a whole but too many
-chunks outside the chunk band.
+chunks outside the chunk band. The last chunk is the text's final bytes and may overlap the one before, so
+every byte is judged; a text shorter than a chunk is one chunk, held against the band of its own length.
 
 Defined cases: a null text counts as empty; an empty text has 0 words and ratio 1.0; equal rows get
 equal results, as each row is judged alone; other columns of the input are ignored, whatever their names.
@@ -89,9 +90,10 @@ def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> t
     failed = n < 50 or 100 * repeats > 50 * n
     ratio = len(raw) / len(packer.compress(raw)) if raw else 1.0
     low, high = bands.limits(len(raw))
-    least, most = bands.chunk
-    starts = range(0, len(raw) - bands.chunk_bytes + 1, bands.chunk_bytes)
-    bad = sum(not least <= bands.chunk_bytes / len(packer.compress(raw[i : i + bands.chunk_bytes])) <= most for i in starts)
+    size = bands.chunk_bytes
+    least, most = bands.chunk if len(raw) >= size else (low, high)
+    starts = [min(i, max(0, len(raw) - size)) for i in range(0, len(raw), size)]  # the last chunk ends where the text does
+    bad = sum(not least <= len(raw[i : i + size]) / len(packer.compress(raw[i : i + size])) <= most for i in starts)
     reason = (
         "base" if failed else "incompressible" if ratio < low else "repetitive" if ratio > high
         else "chunks" if bad > bands.bad_share * len(starts) else None

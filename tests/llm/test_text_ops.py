@@ -46,6 +46,20 @@ def test_bands():
     assert verdict(alike) in ("repetitive", "base")
 
 
+def test_the_last_chunk_is_judged():
+    import zstandard
+
+    rng, pack = random.Random(14), zstandard.ZstdCompressor(level=3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    common = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    clean = " ".join(rng.choice(common) for _ in range(400))[:1024]
+    tail = "".join(rng.choice(letters) for _ in range(1000))
+    n_chunks = lambda t: quality.judge(t, quality.Bands(), pack)[9]
+    assert [n_chunks("a" * n) for n in (0, 1, 1023, 1024, 1025, 2048, 2049)] == [0, 1, 1, 1, 2, 2, 3]
+    assert quality.judge(clean, quality.Bands(), pack)[8:10] == (0, 1)
+    assert quality.judge(clean + tail, quality.Bands(), pack)[8:10] == (1, 2)
+
+
 def test_kept_rows_stay_as_they_are(spark, odd_docs):
     kept = quality.kept_only(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and set(kept.collect()) <= set(odd_docs.collect())
