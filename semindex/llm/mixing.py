@@ -5,9 +5,12 @@ i-th block (from 0) may run from slot floor(i / w) on and must be done by slot c
 runs per slot, the one that is released and due first (ties: by source name); for one lane that meets
 every deadline, so at any time a source is less than one block away from its share.
 
-Releases and deadlines repeat every Q slots, and so does the schedule. Only one period is ever laid out on
-the driver, Q entries, whatever the table's size; every row then finds its slot by arithmetic. A source
-that has run out leaves its slots empty, and the others keep their order.
+Weights given by the caller are taken exactly, as decimals: 1 : 2 has Q = 3, and Q may be of any size.
+Without weights shares are square roots of counts, rounded to about 1,000 (one at least), as in OP1_SQL.
+
+Releases and deadlines repeat every Q slots, and so does the schedule. The driver lays out one period, or
+less if the last row comes before its end, and keeps the blocks that have rows; every row then finds its
+slot by arithmetic. A source that has run out leaves its slots empty, and the others keep their order.
 
 Order within a source: by a 12-bit hash of doc_id, then doc_id. Ranks come from counts per (source, hash
 bucket), at most 4096 rows a source, and from row numbers within a bucket, so no task holds a source.
@@ -21,41 +24,57 @@ after them (and an input column of such a name is replaced).
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semindex.llm.common import small_batches, table
 
-#: Rows of a block, shares that a period has about, and sources at most: the bound of what is laid out and broadcast.
+#: Rows of a block, shares that a period has about without weights, and sources at most: the bound of what is broadcast.
 BLOCK_ROWS, SHARES, MOST_SOURCES = 64, 1000, 10_000
 PLACE = ["block", "seat", "slot", "release", "deadline"]
 
 
 def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, total: int = SHARES) -> dict[str | None, int]:
-    """Integer shares of about ``total``, one at least each. Without weights a source counts by the square
-    root of its rows, which lifts small sources against a dominant one."""
-    raw = {s: (weights[s] if weights else n**0.5) for s, n in counts.items()}
+    """Integer shares, in the ratio of the weights exactly. Without weights a source counts by the square
+    root of its rows, which lifts small sources against a dominant one: shares of about ``total``, one at least."""
+    if weights:
+        if bad := [s for s in counts if not 0 < weights[s] < math.inf]:
+            raise ValueError(f"weights must be finite and above 0: {bad[:5]}")
+        exact = {s: Fraction(str(weights[s])) for s in counts}
+        below = math.lcm(*(w.denominator for w in exact.values()))
+        whole = {s: int(w * below) for s, w in exact.items()}
+        common = math.gcd(*whole.values())
+        return {s: q // common for s, q in whole.items()}
+    raw = {s: n**0.5 for s, n in counts.items()}
     whole = sum(raw[s] for s in sorted(raw, key=lambda s: (s is not None, s or "")))
     return {s: max(1, int(total * w / whole + 0.5)) for s, w in raw.items()}
 
 
-def period(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, number of its block within the period, slot): earliest deadline first among released blocks."""
+def period(share: Mapping[str | None, int], blocks: Mapping[str | None, int] | None = None) -> list[tuple[str | None, int, int]]:
+    """(source, number of its block within the period, slot): earliest deadline first among released blocks.
+    With ``blocks``, the number that each source has, only these, up to the last one."""
     order = sorted(share, key=lambda s: (s is not None, s or ""))
     whole = sum(share.values())
+    left = sum(min(share[s], blocks[s] if blocks else share[s]) for s in order)
     coming = [(0, n, 0) for n in range(len(order))]  # (release, source, block)
     ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
     out = []
-    for slot in range(whole):
+    slot = 0
+    while left:
         while coming and coming[0][0] <= slot:
             _, n, i = heapq.heappop(coming)
             heapq.heappush(ready, (-(-(i + 1) * whole // share[order[n]]), n, i))
         _, n, i = heapq.heappop(ready)
-        out.append((order[n], i, slot))
+        if not blocks or i < blocks[order[n]]:
+            out.append((order[n], i, slot))
+            left -= 1
         if i + 1 < share[order[n]]:
             heapq.heappush(coming, ((i + 1) * whole // share[order[n]], n, i + 1))
+        slot += 1
     return out
 
 
@@ -79,21 +98,22 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     found = docs.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    share = shares({r["source"]: r["count"] for r in found}, weights)
-    whole = sum(share.values())
-    rows = [((s is not None, s or ""), share[s], i, slot) for s, i, slot in period(share)]
-    plan = spark.createDataFrame(rows, "_source struct<known:boolean,name:string>, _share long, _turn long, _slot long")
-    each = spark.createDataFrame([((s is not None, s or ""), q) for s, q in share.items()], "_source struct<known:boolean,name:string>, _share long")
+    counts = {r["source"]: r["count"] for r in found}
+    share = shares(counts, weights)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    # Shares beyond a source's blocks may not fit a long, and no row needs them: it has no second lap.
+    total = sum(share.values())
+    whole = total if any(blocks[s] > q for s, q in share.items()) else 0
+    key = "_source struct<known:boolean,name:string>"
+    rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in period(share, blocks)]
+    plan = spark.createDataFrame(rows, f"{key}, _turn long, _slot long, _release long, _deadline long")
+    each = spark.createDataFrame([((s is not None, s or ""), min(q, blocks[s])) for s, q in share.items()], f"{key}, _share long")
     block = F.floor(F.col("_rank") / block_rows).cast("long")
-    # Both sides to broadcast have SHARES + MOST_SOURCES rows at most.
     placed = ranked(docs).join(F.broadcast(each), "_source").withColumns({"block": block, "seat": F.col("_rank") % block_rows})
-    placed = placed.withColumns({"_turn": F.col("block") % F.col("_share"), "_lap": F.floor(F.col("block") / F.col("_share"))})
-    placed = placed.join(F.broadcast(plan.drop("_share")), ["_source", "_turn"])
-    return placed.select(
-        *docs.columns, "block", "seat", (F.col("_lap") * whole + F.col("_slot")).alias("slot"),
-        F.expr(f"block * {whole} div _share").alias("release"),
-        F.expr(f"((block + 1) * {whole} + _share - 1) div _share").alias("deadline"),
-    )
+    placed = placed.withColumns({"_turn": F.col("block") % F.col("_share"), "_lap": F.floor(F.col("block") / F.col("_share")) * whole})
+    # Both sides to broadcast have SHARES + MOST_SOURCES rows at most; a longer plan is joined by (source, turn).
+    placed = placed.join(F.broadcast(plan) if len(rows) <= SHARES + MOST_SOURCES else plan, ["_source", "_turn"])
+    return placed.select(*docs.columns, "block", "seat", *((F.col("_lap") + F.col(f"_{c}")).alias(c) for c in ("slot", "release", "deadline")))
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

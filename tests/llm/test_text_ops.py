@@ -240,6 +240,21 @@ def test_mix_stays_within_a_block(odd_docs, no_docs):
     assert len({(r.slot, r.seat) for r in rows}) == len(rows) and all(r.release <= r.slot < r.deadline for r in rows)
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 0.0001, "b": 0.9999}, {"a": 1.0, "b": 2**0.5, "c": 3**0.5, None: 0.001}])
+def test_mix_keeps_to_the_weights_themselves(spark, weights):
+    """At every slot until the first source has run out."""
+    docs = spark.createDataFrame([(i, s) for s, n in zip(weights, (1500, 4000, 4000, 9)) for i in range(n)], "doc_id long, source string")
+    rows = mixing.mix(docs, weights, 1).collect()
+    assert len(rows) == docs.count() == len({r.slot for r in rows})
+    whole, done, last = sum(weights.values()), dict.fromkeys(weights, 0), {s: max(r.slot for r in rows if r.source == s) for s in weights}
+    for n, r in enumerate(sorted(rows, key=lambda r: r.slot)):
+        if n > min(last.values()):
+            break
+        assert (r.slot, r.block) == (n, done[r.source]) and r.release <= n < r.deadline
+        done[r.source] += 1
+        assert all(abs(done[s] - (n + 1) * w / whole) < 1 for s, w in weights.items())
+
+
 def test_mix_equals_sql(spark, sf_dir):
     same_rows(mixing.op1_pfair_mix(spark, sf_dir), mixing.OP1_SQL, sf_dir)
 
