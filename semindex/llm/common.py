@@ -36,6 +36,18 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Fewer and larger batches: what works on many documents at once, or on what recurs in them, gains."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of the id as text; an id that is null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

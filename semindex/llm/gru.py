@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import crc32_of_id, map_batches, saved, table
+from semindex.llm.common import crc32_of_id, gathered, map_batches, saved, table
 
 FOLDS, HELD = 7, 2
 #: Words of the model, of the broadcast head of the counts; classes; size of the state; windows and streams.
@@ -306,18 +306,6 @@ def learn(docs: DataFrame, counts: DataFrame) -> Model:
     return Model(fit(texts, known), number, head, total, distinct, max(spare, 1e-12))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Fewer and larger batches, so that more documents run side by side."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def half_scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per document what the head and the network say, and its words beyond the head with their numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

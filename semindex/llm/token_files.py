@@ -9,9 +9,11 @@ doc_id and are sorted, so the files taken in order are the corpus in ascending d
 A task writes under a name of its own attempt and returns that name as a row; the index is written by
 Spark, so files of lost or repeated attempts are never listed. The driver sees one row a part.
 
-Texts are cut before each space that a non-space follows. The tokenizer's pre-tokenizer always starts a
-token there, so a text's ids are its pieces' ids in a row; pieces recur, so a bounded cache saves most
-calls of the tokenizer. ``exact_cuts`` says when this holds; for other tokenizers whole texts are encoded.
+Texts are cut before spaces and around line ends, where the tokenizer's pre-tokenizer always starts a token
+(texts whose white space runs would break are cut before a space that a non-space follows), so a text's ids
+are its pieces' ids in a row. The pieces of an Arrow batch are dictionary-encoded, each distinct one is looked
+up once in a bounded memory, and the ids are gathered by numpy. ``exact_cuts`` says when this holds; for other
+tokenizers whole texts are encoded.
 
 Defined cases: null text counts as empty (only the end id); a null doc_id is stored as -2**63 and comes
 back as null, first in order; repeated rows and equal ids stay separate documents, ordered by text hash;
@@ -27,23 +29,29 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import map_batches, shared_folder, small_batches, table
+from semindex.llm.common import gathered, map_batches, shared_folder, small_batches, table
+from semindex.llm.spellings import Memory, distinct, marked_parts, of_each, spans
 
 NULL_ID = -(2**63)
 INDEX = "part long, path string, n_docs long, n_tokens long, width int"
-#: Most pieces, and most pre-tokens, that a task's caches hold; about 200 bytes each.
-PIECES, WORDS = 600_000, 900_000
-UNSAFE = re.compile(r" (?=\s|\Z)")
+#: Bytes of pieces, and most pre-tokens (about 200 bytes each), that a Python worker remembers.
+MEMORY, WORDS = 160 << 20, 300_000
 CUTS = re.compile(r"(?= \S)")
+#: Texts in which white space meets white space in ways that a cut at each space and line end would break.
+OTHER_SPACES = r"\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNSAFE = rf"\x00|[ \n]{{3}}|[ \n]{{2}}\z|[{OTHER_SPACES}][ \n]|[ \n][{OTHER_SPACES}]"
+ENDS = frozenset(".,;:!?")
 #: Characters whose classes are the same in every Unicode version.
 PLAIN = re.compile(r"[\n\x20-\x7e\u00c0-\u024f]*\Z")
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -62,14 +70,15 @@ def exact_cuts(tokenizer_json: str) -> bool:
     pre = json.loads(tokenizer_json)
     kind = pre.get("pre_tokenizer") or {}
     special = [x for x in pre.get("added_tokens", []) if " " in x["content"] or x.get("lstrip") or x.get("rstrip")]
-    return not pre.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not special
+    plain = [x for x in pre.get("added_tokens", []) if all(c.isalnum() or c in ENDS for c in x["content"])]
+    return not plain and not pre.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not special
 
 
 class PieceEncoder:
-    """Texts to the bytes of their ids. Pieces, and the pre-tokens inside new pieces, go through bounded caches;
+    """Texts to ids. The distinct pieces of a batch are looked up in a bounded memory; the pre-tokens of new pieces, too;
     a pre-token that is new goes to the tokenizer's model, a piece with unusual characters to the whole tokenizer."""
 
-    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS):
+    def __init__(self, path: str, most_bytes: int = MEMORY, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,51 +89,81 @@ class PieceEncoder:
         self.cut = exact_cuts(self.tok.to_str())
         self.special = [x["content"] for x in json.loads(self.tok.to_str())["added_tokens"]]
         self.letters = {i: c for i, c in enumerate(byte_letters())}
-        self.most = pieces, words
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.most = words
         self.words: dict[str, bytes] = {}
+        self.memory = Memory(self.spelt, self.dtype, 0, most_bytes)
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, pretoken: str) -> bytes:
-        spelt = pretoken.encode().decode("latin-1").translate(self.letters)
-        out = self.words[pretoken] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return out
-
-    def fill(self, held: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """Adds what is missing; a full cache starts anew from what this batch needs."""
-        if len(held) + len(wanted) > self.most[0]:
-            held = {p: held[p] for p in wanted if p in held}
-        if len(self.words) > self.most[1]:
-            self.words = {}
-        get, word, odd = self.words.get, self.word, []
-        for p in wanted:
-            if p in held:
-                continue
-            if PLAIN.match(p) and not any(x in p for x in self.special):
-                held[p] = b"".join([get(w) or word(w) for w in PRETOKENS.findall(lead + p)])
+    def learn(self, pretokens: set[str]) -> None:
+        """Adds the bytes of the ids of pretokens to ``words``."""
+        if len(self.words) + len(pretokens) > self.most:
+            self.words = {p: self.words[p] for p in pretokens if p in self.words}
+        new = [p for p in pretokens if p not in self.words]
+        if not new:
+            return
+        tokenize = self.model.tokenize
+        letters = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        found = [[t.id for t in tokenize(x)] for x in letters]
+        raw, size = array(self.code, chain.from_iterable(found)).tobytes(), self.dtype.itemsize
+        ends = list(accumulate(map(len, found)))
+        self.words.update(zip(new, (raw[a * size : b * size] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def spelt(self, pieces: list[str]) -> list[tuple[bytes]]:
+        """The ids of pieces, each as a text of its own."""
+        cut: list[tuple[str, ...] | list[str] | None] = []
+        for p in pieces:
+            bare = p[1:] if p[:1] == " " else p
+            if bare.isalpha() and (bare.isascii() or PLAIN.match(bare)):
+                cut.append((p,))
+            elif bare[:-1].isalpha() and bare[-1] in ENDS and PLAIN.match(bare):
+                cut.append((p[:-1], bare[-1]))
             else:
-                odd.append(p)
-        for i in range(0, len(odd), 4096):
-            held.update(zip(odd[i : i + 4096], self.fresh([lead + p for p in odd[i : i + 4096]]), strict=True))
-        return held
+                cut.append(PRETOKENS.findall(p) if PLAIN.match(bare) and not any(x in p for x in self.special) else None)
+        self.learn(set(chain.from_iterable(c for c in cut if c)))
+        get = self.words.__getitem__
+        out = [(get(c[0]) if len(c) == 1 else b"".join(map(get, c)),) if c else (b"",) for c in cut]
+        odd = [i for i, c in enumerate(cut) if c is None]
+        for a in range(0, len(odd), 4096):
+            some = odd[a : a + 4096]
+            for i, ids in zip(some, self.fresh([pieces[i] for i in some]), strict=True):
+                out[i] = (ids,)
+        return out
 
     def pieces(self, text: str) -> list[str]:
-        """The first piece, then the others without their leading space."""
-        if not UNSAFE.search(text):
-            return text.split(" ")
-        out = CUTS.split(text)
-        return [out[0], *(p[1:] for p in out[1:])]
+        """Cut before each space that a non-space follows."""
+        return CUTS.split(text) if self.cut else [text]
+
+    def of_lists(self, lists: pa.ListArray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are lists of pieces, one after the other, and how many each has."""
+        codes, words = distinct(lists.flatten(), plain)
+        rows = self.memory.rows(words)[codes]
+        ids, sizes = spans(self.memory.flat, self.memory.starts, rows)
+        offsets = lists.offsets.to_numpy()
+        return ids, of_each(sizes, offsets - offsets[0])
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one after the other, each with ``end_id`` after it, and how many each has."""
+        odd = pc.match_substring_regex(texts, UNSAFE)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        rare = odd.to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
+        # The odd are empty in the first list and cut one by one in the second, so each text has its ids from one of them.
+        ids, sizes = self.of_lists(marked_parts(pc.if_else(pa.array(rare), "", texts), " "), True)
+        if rare.any():
+            own, counts = self.of_lists(pa.array([self.pieces(t) for t in texts.filter(pa.array(rare)).to_pylist()], pa.list_(pa.string())), False)
+            at = np.cumsum(sizes)[rare]
+            ids = np.insert(ids, np.repeat(at, counts), own)
+            sizes[rare] = counts
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(sizes), np.array(end_id, self.dtype))
+            sizes = sizes + 1
+        return ids, sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cut:
-            return self.fresh(texts)
-        pieces = [self.pieces(t) for t in texts]
-        self.first = self.fill(self.first, {p[0] for p in pieces}, "")
-        self.later = self.fill(self.later, set().union(*(p[1:] for p in pieces)), " ")
-        return [self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:])) for p in pieces]
+        ids, sizes = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 @functools.cache
@@ -141,24 +180,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         out = None
         at = n = 0
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = [fs.open_output_stream(f"{root}/{name}.{kind}") for kind in ("ids", "offsets", "docs")]
-            ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // encode.dtype.itemsize
+            ids, lengths = encode.encode(pc.fill_null(batch.column(1), ""), end_id)
             starts = at + np.concatenate(([0], np.cumsum(lengths)))
-            out[0].write(b"".join(ids))
+            out[0].write(memoryview(ids))
             out[1].write(starts[:-1].astype("<i8").tobytes())
             out[2].write(np.asarray(batch.column(0).fill_null(NULL_ID)).astype("<i8").tobytes())
-            at, n = int(starts[-1]), n + len(ids)
+            at, n = int(starts[-1]), n + len(lengths)
         if out:
             out[1].write(np.array([at], "<i8").tobytes())
             for f in out:

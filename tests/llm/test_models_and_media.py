@@ -268,11 +268,12 @@ def test_token_files(spark, odd_docs, no_docs):
 
 
 def test_pieces_of_texts_are_exact():
-    encode = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), 50, 20)
+    encode = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), 20_000, 20)
     rng = random.Random(7)
-    parts = [" ", "  ", "\n", "\t", "a", "don't", "x's", "<|endoftext|>", "é", "中文", " ", " ", "\x1c", "12", "...", "The", "🎉"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
-    for i in range(0, 400, 40):
+    parts = [" ", " ", "  ", "\n", "\n", "\t", "\0", ", ", ".\n", "on.", "on,and", "y).", "a", "don't", "x's", "<|endoftext|>", "é", "中文", " ", " ", "\x1c", "12", "...", "The", "🎉"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(rng.choice(parts[:10]) for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    for i in range(0, 3000, 40):
         for t, ids in zip(texts[i : i + 40], encode(texts[i : i + 40]), strict=True):
             assert np.frombuffer(ids, encode.dtype).tolist() == encode.tok.encode(t, add_special_tokens=False).ids, repr(t)
     assert io.BytesIO
