@@ -149,7 +149,7 @@ ev AS (
 
 TRIGGERS = """
 trig AS (
-  SELECT event_id, '/w/' || (user_id % 20) AS worktree, epoch_ms(ts) AS ms, event_type IN ('purchase', 'click') AS urgent,
+  SELECT event_id, '/w/' || (user_id % 20) AS worktree, epoch_us(ts) // 1000 AS ms, event_type IN ('purchase', 'click') AS urgent,
     CASE event_type WHEN 'signup' THEN 'session.created' WHEN 'view' THEN 'session.idle' ELSE 'file.watcher.updated' END AS kind
   FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'click')
 ), due AS (

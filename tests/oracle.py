@@ -16,7 +16,7 @@ def plain(v):
         return "null"
     if isinstance(v, bool):
         return str(v)
-    return format(float(v), ".9g") if isinstance(v, (int, float)) else str(v)
+    return format(v, ".9g") if isinstance(v, float) and not v.is_integer() else str(int(v)) if isinstance(v, (int, float)) else str(v)
 
 
 def same_rows(df, sql, sf_dir):
