@@ -5,10 +5,10 @@ Viterbi gives the best score up to every position; a backward A* search from the
 its heuristic. It is exact, so complete segmentations come off the heap in order of their score.
 
 No piece reaches over the start of a word (a word mark after another character) or over a character that
-occurs in no longer piece, such as a line end, so the lattice is a chain of small ones. Each is searched
-once and remembered, within a bound, for all the documents of a Python worker; the N best of a document
-are merged exactly from those of its parts: only the parts that lose least by their second choice can
-take part in the N best.
+occurs in no longer piece, such as a line end, so the lattice is a chain of small ones. The parts of an Arrow
+batch are dictionary-encoded; each distinct one is searched once and remembered, within a bound of bytes, for
+all the documents of a Python worker, and ids are gathered by numpy. The N best of a document are merged
+exactly from those of its parts: only the parts that lose least by their second choice can take part in them.
 
 Scores are the model file's. A character without a piece costs 10 more than the worst piece and falls
 back to its bytes, or to the unknown id. Of equal scores any order may come, the same for equal parts.
@@ -26,19 +26,20 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semindex.llm.common import map_batches, table
+from semindex.llm.common import gathered, map_batches, table
+from semindex.llm.spellings import Memory, distinct, marked_parts, of_each, spans
 
-#: Segmentations asked for, and parts that a worker remembers (about 250 bytes each).
-BEST, PARTS = 4, 900_000
-#: Longer parts are not remembered.
+#: Segmentations asked for; bytes of parts that a Python worker remembers; parts whose N best it remembers.
+BEST, MEMORY, FOUND = 4, 120 << 20, 20_000
+#: Longer parts are not solved side by side.
 LONG = 64
 MARK = "▁"
 MADE = "ids array<int>, n_tokens long, score double, nbest array<struct<score:double,changes:array<struct<at:int,drop:int,ids:array<int>>>>>"
@@ -71,7 +72,9 @@ class PieceLattice:
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.surface[self.unknown] = " ⁇ ".encode()
-        self.held: dict[str, tuple[bytes, int, float, float]] = {}
+        self.spelling = pa.array(self.surface, pa.binary())
+        self.memory = Memory(self.solved, np.dtype(np.int32), 2, MEMORY)
+        self.found: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
         self.prefixed = sp.normalize("a").startswith(MARK)
 
     def built(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,9 +87,10 @@ class PieceLattice:
             np.array([v[1][0] if v else -1 for v in known]), np.array([v[0] if v else 0.0 for v in known]),
         )
 
-    def solve_many(self, parts: list[str]) -> None:
-        """Remembers solve() of many short parts, side by side: the same two passes, a start position and a length of piece at a time."""
+    def solve_many(self, parts: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """solve() of many short parts, side by side: the same two passes, a start position and a length of piece at a time."""
         keys, leads, piece, worth = self.trie
+        out = {}
         for begin in range(0, len(parts), 8_192):
             some = parts[begin : begin + 8_192]
             n, sizes = len(some), np.fromiter(map(len, some), np.int64, min(8_192, len(parts) - begin))
@@ -137,37 +141,32 @@ class PieceLattice:
                 second[own[off]] = np.maximum(second[own[off]], (best[own, i] + onward)[off])
             totals = best[np.arange(n), sizes]
             lost = (totals - np.where(reached, second, 0)).tolist()
+            raw, width = path[:, ::-1].tobytes(), 4 * longest
             for k, (part, c, total, ok) in enumerate(zip(some, count.tolist(), totals.tolist(), reached.tolist(), strict=True)):
-                self.held[part] = (path[k, :c][::-1].tobytes(), c, total, lost[k]) if ok else self.solve(part)
-
-    def learn(self, parts: set[str]) -> None:
-        """Remembers all of these parts but the longest: cut where no piece has both neighbours, and the cuts solved together."""
-        if len(self.held) + len(parts) > PARTS:
-            self.held = {p: self.held[p] for p in parts if p in self.held}
-        held, pairs = self.held, self.pairs
-        missing, joint = set(), []
+                out[part] = (raw[(k + 1) * width - 4 * c : (k + 1) * width], total, lost[k]) if ok else self.solve(part)
+        return out
+
+    def solved(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
+        """solve() of each: cut where no piece has both neighbours, and the cuts solved together."""
+        pairs, held, missing, joint = self.pairs, {"": (b"", 0.0, math.inf)}, set(), []
         for part in parts:
-            if part in held or len(part) > LONG:
-                continue
             if part[1:].isalpha():  # rarely cut, and needn't be
-                missing.add(part)
-                continue
-            subs = []
-            last = 0
-            for i in range(1, len(part)):
-                if part[i - 1 : i + 1] not in pairs:
-                    subs.append(part[last:i])
-                    last = i
-            if subs:
-                subs.append(part[last:])
-                joint.append((part, subs))
-                missing.update(x for x in subs if x not in held)
+                subs = [part]
+            elif part[1:-1].isalpha():  # most often a word with a point or comma
+                subs = [part[:-1], part[-1]] if part[-2:] not in pairs else [part]
             else:
-                missing.add(part)
-        self.solve_many(sorted(missing, key=lambda x: (len(x), x)))
+                cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
+                subs = [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+            if len(subs) > 1:
+                joint.append((part, subs))
+            missing.update(subs)
+        missing.discard("")
+        held |= {x: self.solve(x) for x in missing if len(x) > LONG}
+        held |= self.solve_many(sorted((x for x in missing if len(x) <= LONG), key=len))
         for part, subs in joint:
-            found = [held[x] for x in subs]
-            held[part] = (b"".join([f[0] for f in found]), sum([f[1] for f in found]), math.fsum([f[2] for f in found]), min([f[3] for f in found]))
+            ids, scores, losses = zip(*(held[x] for x in subs), strict=True)
+            held[part] = b"".join(ids), math.fsum(scores), min(losses)
+        return [held[p] for p in parts]
 
     def edges(self, part: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """Edges (start, end, score, ids), by start and end."""
@@ -208,8 +207,8 @@ class PieceLattice:
                 heapq.heappush(heap, (-(best[i] + (s + gained)), i, count, s + gained, (own, tail)))
         return out
 
-    def solve(self, part: str) -> tuple[bytes, int, float, float]:
-        """Ids of the best segmentation, how many, its score, and what the second choice loses at least: the
+    def solve(self, part: str) -> tuple[bytes, float, float]:
+        """Ids of the best segmentation, its score, and what the second choice loses at least: the
         second choice has an edge off the best path, and scores no more than the best path over that edge."""
         n, edges = len(part), self.edges(part)
         best, back = [0.0] + [-math.inf] * n, [edges[0]] * (n + 1)
@@ -231,48 +230,72 @@ class PieceLattice:
                     second = score + best[i]
             lost = best[n] - second
         ids = array("i", [x for end in sorted(path) for x in path[end][3]])
-        return ids.tobytes(), len(ids), best[n], lost
-
-    def parts(self, text: str) -> list[str]:
-        """The chain of lattices of a normalised text."""
-        if not self.words:
-            return [text] if text else []
-        if MARK + MARK in text or "\0" in text:
-            return [p for p in self.cuts.split(text) if p]
-        if self.lines:
-            text = text.replace("\n", "\0\n\0")
-        return [p for p in text.replace(MARK, "\0" + MARK).split("\0") if p]
-
-    def encode_many(self, texts: list[str], n: int = BEST) -> list[tuple]:
-        """encode() of each text, after all their new parts have been learnt together."""
-        parts = [self.parts(self.sp.normalize(t)) if t else [] for t in texts]
-        self.learn(set().union(*parts))
-        return [self.encoded(p, n) for p in parts]
+        return ids.tobytes(), best[n], lost
+
+    def others(self, part: str, n: int, own_best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
+        """The best n - 1 segmentations of a part besides the best; those of parts that recur are remembered."""
+        if (held := self.found.get((part, n))) is None:
+            if len(self.found) >= FOUND:
+                self.found.clear()
+            held = [(s, other) for s, other in self.search(part, n) if other != own_best][: n - 1]
+            if len(part) <= LONG:
+                self.found[part, n] = held
+        return held
+
+    def parts(self, texts: list[str]) -> pa.ListArray:
+        """The chain of lattices of each normalised text; empty parts may be among them."""
+        if not self.words or not self.lines or any("\0" in t for t in texts):
+            return pa.array([[p for p in self.cuts.split(t) if p] if self.words else [t] for t in texts], pa.list_(pa.string()))
+        lists = pa.array(texts, pa.string())
+        if not pc.any(pc.match_substring(lists, MARK + MARK)).as_py():
+            return marked_parts(lists, MARK)
+        # Marks in a row are one part with what follows: each round joins every second of those that are left.
+        marked = pc.replace_substring(pc.replace_substring(lists, MARK, "\0" + MARK), "\n", "\0\n\0")
+        while pc.any(pc.match_substring(marked, MARK + "\0" + MARK)).as_py():
+            marked = pc.replace_substring(marked, MARK + "\0" + MARK, MARK + MARK)
+        return pc.split_pattern(marked, "\0")
+
+    def encode_batch(self, texts: list[str], n: int = BEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """Ids of the best segmentations (int32), one text after the other, how many each has, their scores, and the n best of each
+        text as (score, changes of the best one's ids)."""
+        normal = [self.sp.normalize(t) if t else "" for t in texts]
+        lists = self.parts(normal)
+        codes, words = distinct(lists.flatten(), not any("\0" in t for t in normal))
+        rows = self.memory.rows(words)[codes]
+        ids, sizes = spans(self.memory.flat, self.memory.starts, rows)
+        offsets = lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        values, lost = self.memory.values[rows, 0], self.memory.values[rows, 1]
+        counts, totals = of_each(sizes, offsets), of_each(values, offsets)
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        best = []
+        for a, b, score in zip(offsets.tolist(), offsets[1:].tolist(), totals.tolist(), strict=False):
+            merged: list[tuple[float, tuple]] = [(0.0, ())]
+            few = a + np.argsort(lost[a:b], kind="stable")[: n - 1]
+            for k in sorted(few[np.isfinite(lost[few])].tolist()):
+                at, size = int(before[k]), int(sizes[k])
+                others = self.others(words[codes[k]], n, tuple(ids[at : at + size].tolist()))
+                options = [(0.0, ())] + [(float(values[k]) - s, ((at - int(before[a]), size, other),)) for s, other in others]
+                merged = sorted(((x + y, p + q) for x, p in merged for y, q in options), key=lambda m: m)[:n]
+            best.append([(score - less, list(changes)) for less, changes in merged])
+        return ids, counts, totals, best
 
     def encode(self, text: str, n: int = BEST) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Ids of the best segmentation (int32), its score, and the n best as (score, changes of the best one's ids)."""
-        return self.encode_many([text], n)[0]
-
-    def encoded(self, parts: list[str], n: int) -> tuple:
-        get, solve = self.held.get, self.solve
-        found = [get(p) or solve(p) for p in parts]
-        own, sizes, scores, losses = zip(*found, strict=True) if found else ((), (), (), ())
-        ids, score = b"".join(own), math.fsum(scores)
-        merged: list[tuple[float, tuple]] = [(0.0, ())]
-        if n > 1 and found:
-            few = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__))
-            few = [k for k in few if losses[k] < math.inf]
-            starts = [0, *accumulate(sizes)] if few else []
-            for k in few:
-                own_best = tuple(np.frombuffer(own[k], np.int32).tolist())
-                others = [(s, other) for s, other in self.search(parts[k], n) if other != own_best][: n - 1]
-                options = [(0.0, ())] + [(scores[k] - s, ((starts[k], sizes[k], other),)) for s, other in others]
-                merged = sorted(((a + b, x + y) for a, x in merged for b, y in options), key=lambda m: m)[:n]
-        return ids, score, [(score - lost, list(changes)) for lost, changes in merged]
+        """encode_batch() of one text, its ids as bytes."""
+        ids, _, scores, best = self.encode_batch([text], n)
+        return ids.tobytes(), float(scores[0]), best[0]
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The text that each list of ids stands for; bytes that are no UTF-8 become U+FFFD."""
+        raw = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.spelling.take(lists.values)), b"")
+        try:
+            texts = raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+        return pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1) if self.prefixed else texts
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefixed and text.startswith(" ") else text
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @functools.cache
@@ -287,18 +310,20 @@ def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
     docs = docs.drop(*made.names)
     names = [*docs.columns, *made.names]
     at = names.index("text")
-    change = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
+    int_list = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = lattice(model).encode_many
-        for batch in batches:
-            rows = encode([t or "" for t in batch.column(at).to_pylist()], n)
-            flat = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
-            sizes = np.array([len(r[0]) // 4 for r in rows], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-            nbest = [[{"score": s, "changes": [{"at": a, "drop": d, "ids": i} for a, d, i in c]} for s, c in r[2]] for r in rows]
-            arrays = [ids, pa.array(sizes), pa.array([r[1] for r in rows], pa.float64()), pa.array(nbest, kind)]
+        encode = lattice(model).encode_batch
+        for batch in gathered(batches):
+            ids, counts, scores, best = encode([t or "" for t in batch.column(at).to_pylist()], n)
+            each = [x for b in best for x in b]
+            changes = [c for _, own in each for c in own]
+            changed = pa.StructArray.from_arrays(
+                [pa.array([c[0] for c in changes], pa.int32()), pa.array([c[1] for c in changes], pa.int32()), int_list([len(c[2]) for c in changes], pa.array([i for c in changes for i in c[2]], pa.int32()))],
+                ["at", "drop", "ids"],
+            )
+            nbest = pa.StructArray.from_arrays([pa.array([s for s, _ in each], pa.float64()), int_list([len(own) for _, own in each], changed)], ["score", "changes"])
+            arrays = [int_list(counts, pa.array(ids)), pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), int_list([len(b) for b in best], nbest)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names)
 
     return map_batches(docs, run, T.StructType([*docs.schema.fields, *made.fields]))
@@ -311,10 +336,12 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = lattice(model).decode
+        decode = lattice(model).decode_lists
         for batch in batches:
-            texts = [None if x.as_py() is None else decode(x.values.to_numpy().tolist()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+            ids = batch.column(at)
+            own = pa.ListArray.from_arrays(ids.offsets, ids.values)  # nulls as empty lists
+            texts = pc.if_else(pc.is_valid(ids), decode(own), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names)
 
     return map_batches(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
