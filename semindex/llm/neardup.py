@@ -5,12 +5,13 @@ the smallest labelled grams and keeps them in text order. Two texts agree on a s
 the square of their gram similarity, and only if the order agrees too, which is what edit similarity asks
 for.
 
-Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. In each bucket,
-members are compared with one centre, the smallest, and the links found make the first classes. Then every
-pair of a bucket's members that are in different classes is taken up, whatever the bucket's size and whether
-a member has matched or not: lengths and counts of words in BINS bins exclude most pairs by proof,
-the others are verified, nearest first, as each link that joins two classes settles all pairs between them. So the
-classes are those of all pairs that share a bucket; no pair of a bucket is lost.
+Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. A bucket's centre is
+its smallest member; each node is compared with the centre that it shares most buckets with, and the links
+found make the first classes. Then every pair of a bucket's members that are in different classes is taken
+up, whatever the bucket's size and whether a member has matched or not: lengths and counts of words in BINS
+bins exclude most pairs by proof, the others are verified, nearest first, as each link that joins two classes
+settles all pairs between them. So the classes are those of all pairs that share a bucket; no pair of a
+bucket is lost.
 
 Verification. Word-level edit distance within the band that similarity 1 - edits / longer length >= 0.8
 allows: furthest-reaching points per diagonal, one more edit at a time, after a multiset bound.
@@ -224,8 +225,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def in_buckets(members: DataFrame) -> DataFrame:
-    """members (key, node) of buckets with two or more of them, with the bucket's size and smallest member."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
+    """members (key, node) of buckets with two or more of them, with the bucket's smallest member."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("centre")).where("_n > 1").drop("_n")
     return members.join(sizes, "key")
 
 
@@ -261,16 +262,18 @@ def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.nd
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+def mixed(members: DataFrame) -> DataFrame:
+    """members (key, node, class, n, bins) of buckets with more than one class, with the bucket's ``size``."""
+    several = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "size")
+    return members.join(several, "key")
+
+
+def open_pairs(held: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
 
     Buckets are dealt into slices of about SLICE members and every two slices meet in one group of rows, so
     a bucket of any size is compared whole, by many tasks.
     """
-    named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"))
-    # Of a bucket of two, the one pair has been tested.
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("size > 2 AND low <> high").select("key", "size")
-    held = saved(named.join(mixed, "key").join(nodes.select("node", "n", "bins"), "node"), "open")
     slices = F.ceil(F.col("size") / SLICE).cast("int")
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     group = ["key", "low", "high"]
@@ -305,21 +308,47 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, best: boo
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, keys) that share a bucket."""
-    members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))).select("key", "node"), "members")
+    members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
     texts = saved(docs.selectExpr(*IDS, "text").join(wanted, ["_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    star = in_buckets(members).where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = saved(verified(star, texts), "star")
-    roots = components(tested.where("alike").select("a", "b"))
+    # Of the centres of a node's buckets, the one that it meets most often: one pair a node, and most of a large class is settled.
+    nearest = members.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.mode("centre", True).alias("a"))
+    tested = saved(verified(nearest.select("a", "b"), texts), "nearest")
+    roots = rooted(tested.where("alike").select(F.col("b").alias("node"), F.col("a").alias("root")))
+    named = nodes.select("node", "n", "bins").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
-        pairs = open_pairs(members, nodes, roots, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = open_pairs(held, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = saved(verified(pairs, texts), "more")
-        tested, found = tested.unionByName(more), more.where("alike").select("a", "b")
-        if not found.isEmpty():
-            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        found = more.where("alike").select("a", "b")
+        if found.isEmpty():
+            if best:
+                tested = tested.unionByName(more)
+            continue
+        # Links between classes, by the classes' names; what they join is renamed.
+        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        links = found.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        new = components(links)
+        renamed = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+        roots = saved(renamed.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
+        if best:
+            tested = tested.unionByName(more)
+            now = new.select(F.col("node").alias("class"), F.col("root").alias("_new"))
+            held = saved(mixed(held.drop("size").join(now, "class", "left").withColumn("class", F.coalesce("_new", "class")).drop("_new")), "open")
     return roots
 
 
+def rooted(forest: DataFrame) -> DataFrame:
+    """(node, root) from (node, root) with a smaller node for each that may have one itself: every step doubles the way up."""
+    now = saved(forest, "forest")
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("_above"))
+        now = saved(now.join(up, "root", "left").select("node", F.coalesce("_above", "root").alias("root"), F.col("_above").isNotNull().alias("_moved")), "forest")
+        if now.where("_moved").isEmpty():
+            return now.select("node", "root")
+        now = now.select("node", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component; nodes of edges (a, b) that are not roots."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
