@@ -37,13 +37,23 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Fewer and larger batches: what works on many documents at once, or on what recurs in them, gains."""
+    """Batches of about ``rows`` rows or ``size`` bytes, small ones put together and large ones cut: what works on many
+    documents at once, or on what recurs in them, gains by it, within bounds of memory."""
     held: list[pa.RecordBatch] = []
+    n = nbytes = 0
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+        wait = [batch]
+        while wait:
+            part = wait.pop()
+            if part.nbytes > size and part.num_rows > 1:
+                half = part.num_rows // 2
+                wait += [part.slice(half), part.slice(0, half)]
+                continue
+            held.append(part)
+            n, nbytes = n + part.num_rows, nbytes + part.nbytes
+            if n >= rows or nbytes >= size:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n, nbytes = [], 0, 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

@@ -38,7 +38,7 @@ from semindex.llm.common import gathered, map_batches, table
 from semindex.llm.spellings import Memory, distinct, marked_parts, of_each, spans
 
 #: Segmentations asked for; bytes of parts that a Python worker remembers; parts whose N best it remembers.
-BEST, MEMORY, FOUND = 4, 120 << 20, 20_000
+BEST, MEMORY, FOUND = 4, 80 << 20, 20_000
 #: Longer parts are not solved side by side.
 LONG = 64
 MARK = "▁"
@@ -46,36 +46,55 @@ MADE = "ids array<int>, n_tokens long, score double, nbest array<struct<score:do
 DECODED = "decoded string"
 
 
-class PieceLattice:
+class Spelling:
+    """What decoding needs of a model."""
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.sp = sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
-        plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in plain}
+        self.plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
+        self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
+        self.unknown = sp.unk_id()
+        surface = [b""] * len(ids)
+        for i in self.plain:
+            surface[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
+        for b, i in self.bytes.items():
+            surface[i] = bytes([b])
+        surface[self.unknown] = " ⁇ ".encode()
+        self.surface = pa.array(surface, pa.binary())
+        self.prefixed = sp.normalize("a").startswith(MARK)
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The text that each list of ids stands for; bytes that are no UTF-8 become U+FFFD."""
+        raw = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.surface.take(lists.values)), b"")
+        try:
+            texts = raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+        return pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1) if self.prefixed else texts
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+
+class PieceLattice(Spelling):
+    def __init__(self, path: str):
+        super().__init__(path)
+        sp = self.sp
+        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in self.plain}
         #: Pieces with score and ids; what only starts a piece has None.
         self.prefixes = {p[:j]: None for p in self.pieces for j in range(1, len(p))} | {p: (s, (i,)) for p, (i, s) in self.pieces.items()}
         self.pairs = {p[j : j + 2] for p in self.pieces for j in range(len(p) - 1)}
         self.trie = self.built()
         self.worst = min(s for _, s in self.pieces.values() if s > -1e8) - 10
-        self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
-        self.unknown = sp.unk_id()
-        joined = "".join(p for p in self.pieces if len(p) > 1)
         self.words = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        self.lines = "\n" not in joined
+        self.lines = "\n" not in "".join(p for p in self.pieces if len(p) > 1)
         alone = "" if not self.lines else r"|(?<=\n)|(?=\n)"
         self.cuts = re.compile(f"(?<=[^{MARK}])(?={MARK}){alone}")
-        self.surface = [b""] * len(ids)
-        for p, (i, _) in self.pieces.items():
-            self.surface[i] = p.replace(MARK, " ").encode()
-        for b, i in self.bytes.items():
-            self.surface[i] = bytes([b])
-        self.surface[self.unknown] = " ⁇ ".encode()
-        self.spelling = pa.array(self.surface, pa.binary())
         self.memory = Memory(self.solved, np.dtype(np.int32), 2, MEMORY)
         self.found: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
-        self.prefixed = sp.normalize("a").startswith(MARK)
 
     def built(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The pieces as a tree of characters: sorted edges (node << 21 | character), where they lead, each node's piece (or -1) and its score."""
@@ -285,18 +304,6 @@ class PieceLattice:
         ids, _, scores, best = self.encode_batch([text], n)
         return ids.tobytes(), float(scores[0]), best[0]
 
-    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
-        """The text that each list of ids stands for; bytes that are no UTF-8 become U+FFFD."""
-        raw = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.spelling.take(lists.values)), b"")
-        try:
-            texts = raw.cast(pa.string())
-        except pa.ArrowInvalid:
-            texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
-        return pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1) if self.prefixed else texts
-
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
-
 
 @functools.cache
 def lattice(path: str) -> PieceLattice:
@@ -304,6 +311,11 @@ def lattice(path: str) -> PieceLattice:
     return PieceLattice(path)
 
 
+@functools.cache
+def spelling(path: str) -> Spelling:
+    return Spelling(path)
+
+
 def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
     """docs (text, ...) with MADE; ``nbest`` starts with the best segmentation, which changes nothing."""
     made = T.StructType.fromDDL(MADE)
@@ -314,7 +326,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = lattice(model).encode_batch
-        for batch in gathered(batches):
+        for batch in gathered(batches, 2000, 4 << 20):
             ids, counts, scores, best = encode([t or "" for t in batch.column(at).to_pylist()], n)
             each = [x for b in best for x in b]
             changes = [c for _, own in each for c in own]
@@ -336,7 +348,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = lattice(model).decode_lists
+        decode = spelling(model).decode_lists
         for batch in batches:
             ids = batch.column(at)
             own = pa.ListArray.from_arrays(ids.offsets, ids.values)  # nulls as empty lists

@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         out = None
         at = n = 0
-        for batch in gathered(batches):
+        for batch in gathered(batches, 3000, 8 << 20):
             if not batch.num_rows:
                 continue
             if out is None:
