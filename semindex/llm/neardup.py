@@ -42,14 +42,15 @@ from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
 
 GRAM, SKETCHES, SIZE, SIMILAR = 5, 24, 2, 0.8
 NULL_ID = -(2**63)
-#: Members of a bucket that meet at once, and bins that words are counted in to exclude pairs.
-SLICE, BINS = 1024, 128
+#: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to.
+SLICE, BINS, COARSE = 1024, 512, 128
 #: What names a row's text: its id, never null, and a digest of the text as it is.
 IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex(md5(cast(coalesce(text, '') AS binary))) AS mark"]
 #: Grams that are hashed at once.
 BLOCK = 1 << 11
 SEEDS = scrambled(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = scrambled(SEEDS) | np.uint64(1)
+MOST = np.uint64(2**64 - 1)
 SKETCH = "_id long, mark binary, digest binary, n int, bins binary, keys array<long>"
 
 
@@ -64,15 +65,16 @@ def sketches(hashes: np.ndarray, powers: Powers) -> np.ndarray:
     number = np.empty(n, np.uint64)
     number[order] = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     labelled = scrambled(grams + number * np.uint64(0xD6E8FEB86659FD93))
-    least, at = None, None  # per seed, the smallest hashes so far and their places
+    every = np.arange(SKETCHES)
+    least, at = np.zeros((SKETCHES, 0), np.uint64), np.zeros((SKETCHES, 0), np.int64)  # per seed, the smallest hashes so far and their places
     for i in range(0, n, BLOCK):
         x = (labelled[None, i : i + BLOCK] ^ SEEDS[:, None]) * FACTORS[:, None]
-        places = np.broadcast_to(np.arange(i, i + x.shape[1]), x.shape)
-        if least is not None:
-            x, places = np.concatenate((least, x), 1), np.concatenate((at, places), 1)
-        most = min(x.shape[1], SIZE)
-        keep = np.argpartition(x, most - 1, axis=1)[:, :most]
-        least, at = np.take_along_axis(x, keep, 1), np.take_along_axis(places, keep, 1)
+        for _ in range(min(x.shape[1], SIZE)):  # each pass finds the least that is left
+            place = x.argmin(1)
+            least, at = np.concatenate((least, x[every, place, None]), 1), np.concatenate((at, i + place[:, None]), 1)
+            x[every, place] = MOST
+        keep = np.argsort(least, axis=1, kind="stable")[:, :SIZE]
+        least, at = np.take_along_axis(least, keep, 1), np.take_along_axis(at, keep, 1)
     key = SEEDS
     for g in grams[np.sort(at, axis=1)].T:  # in text order
         key = scrambled(key * np.uint64(31) + g)
@@ -203,6 +205,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     most = int(longer * (1 - SIMILAR) + 1e-9)
     if not longer or abs(len(a) - len(b)) > most:
         return False
+    counts = [np.bincount((x & np.uint64(4095)).astype(np.int64), minlength=4096) for x in (a, b)]
+    if (int(np.abs(counts[0] - counts[1]).sum()) + abs(len(a) - len(b))) // 2 > most:
+        return False
     return aligned(a, b) <= most or edits(a.tolist(), b.tolist(), most) is not None
 
 
@@ -230,6 +235,12 @@ def in_buckets(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
+def lacking(some: np.ndarray, sums: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The larger of what counts by bin (rows, with their sums) and ``own`` lack of each other."""
+    apart = np.abs(some - own).sum(1, dtype=np.int64)
+    return (apart + np.abs(sums - own.sum(dtype=np.int64))) // 2
+
+
 def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of pairs of unlike ``code``, one of ``left`` and one of ``right`` (two of ``left`` without it), that no bound excludes.
 
@@ -240,8 +251,9 @@ def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.nd
     alone = right is None
     left = left[np.argsort(n[left], kind="stable")]
     right = left if alone else right[np.argsort(n[right], kind="stable")]
-    lengths, codes, counts = n[right], code[right], bins[right].astype(np.int16)
-    sums = counts.sum(1, dtype=np.int64)
+    coarse = bins.reshape(len(bins), -1, COARSE).sum(1, dtype=np.int16)
+    lengths, codes, near = n[right], code[right], coarse[right]
+    sums = near.sum(1, dtype=np.int64)
     ends = np.searchsorted(lengths, n[left] / SIMILAR + 1, "right")
     starts = np.arange(len(left)) + 1 if alone else np.searchsorted(lengths, n[left] * SIMILAR - 1, "left")
     out_i, out_j = [], []
@@ -250,13 +262,14 @@ def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.nd
         open_ = np.flatnonzero((codes[start:end] != code[i]) & (np.abs(lengths[start:end] - n[i]) <= most))
         if not len(open_):
             continue
-        own = bins[i].astype(np.int16)
-        some = counts[start:end] if len(open_) == end - start else counts[start + open_]
-        apart = (np.abs(some - own).sum(1, dtype=np.int64) + np.abs(sums[start + open_] - own.sum(dtype=np.int64))) // 2
-        fits = apart <= most[open_]
-        if best and fits.any():
-            fits = np.arange(len(apart)) == np.where(fits, apart, apart.max() + 1).argmin()
-        out_j.append(right[start + open_[fits]])
+        some = near[start:end] if len(open_) == end - start else near[start + open_]
+        open_ = open_[lacking(some, sums[start + open_], coarse[i]) <= most[open_]]
+        if len(open_):
+            apart = lacking(bins[right[start + open_]].astype(np.int16), sums[start + open_], bins[i].astype(np.int16))
+            open_, apart = open_[apart <= most[open_]], apart[apart <= most[open_]]
+        if best and len(open_):
+            open_ = open_[[apart.argmin()]]
+        out_j.append(right[start + open_])
         out_i.append(np.full(len(out_j[-1]), i))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
