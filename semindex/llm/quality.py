@@ -7,14 +7,22 @@ too: a clean page with a long repetitive or random insert has a plain ratio as a
 chunks outside the chunk band. The last chunk is the text's final bytes and may overlap the one before, so
 every byte is judged; a text shorter than a chunk is one chunk, held against the band of its own length.
 
+The limits come from the corpus: a first pass counts the ratios of all texts of 50 words or more by length class
+(four to a doubling) and those of all chunks, in bins, so what is gathered is bounded. A class's band is its median,
+and the median of its neighbours' medians, so that one group of copies can't move it, give or take WIDE quartile
+ranges; a class with fewer than LEAST texts has the wide default band. Most of any class has to be clean text.
+
 Defined cases: a null text counts as empty; an empty text has 0 words and ratio 1.0; equal rows get
 equal results, as each row is judged alone; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,7 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length: (shorter than so many bytes, least ratio, greatest ratio)."""
+    """Limits by length, as far as none are fitted: (shorter than so many bytes, least ratio, greatest ratio)."""
 
     whole: tuple[tuple[float, float, float], ...] = (
         (128, 0.0, 3.0),
@@ -47,10 +55,80 @@ class Bands:
     bad_share: float = 0.25
     level: int = 3
 
+    fitted: dict[int, tuple[float, float]] = field(default_factory=dict)  # by length_class()
+
     def limits(self, n_bytes: int) -> tuple[float, float]:
+        if (own := self.fitted.get(length_class(n_bytes))) is not None:
+            return own
         return next((low, high) for under, low, high in self.whole if n_bytes < under)
 
 
+def length_class(n_bytes: int) -> int:
+    """Four classes to a doubling of the length."""
+    return int(math.log2(n_bytes) * 4) if n_bytes > 0 else -1
+
+
+#: Texts that a class needs for a band of its own; quartile ranges from the median to its upper and lower limit, for whole
+#: texts and for chunks; the least range, as a share of the median; bins to a ratio of one, and the last bin.
+LEAST, WIDE, WIDE_CHUNK, NARROW, BINS, LAST_BIN = 100, (3.0, 4.0), (2.5, 3.5), 0.02, 100, 2000
+
+
+def chunk_starts(n_bytes: int, size: int) -> list[int]:
+    """Where chunks start; the last one ends where the text does."""
+    return [min(i, max(0, n_bytes - size)) for i in range(0, n_bytes, size)]
+
+
+def ratio_counts(docs: DataFrame, bands: Bands) -> DataFrame:
+    """docs (text): (kind, class, bin, n), kind 0 for whole texts of 50 words or more, 1 for their chunks of full size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=bands.level)
+        place = lambda raw: min(LAST_BIN, int(BINS * len(raw) / len(packer.compress(raw))))
+        held: Counter[tuple[int, int, int]] = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                raw = (t.as_py() or "").encode()
+                if len(raw.split(None, 49)) < 50:
+                    continue
+                held[0, length_class(len(raw)), place(raw)] += 1
+                if len(raw) >= bands.chunk_bytes:
+                    held.update((1, 0, place(raw[i : i + bands.chunk_bytes])) for i in chunk_starts(len(raw), bands.chunk_bytes))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], pa.int32()) for i in range(3)] + [pa.array(list(held.values()), pa.int64())], ["kind", "class", "bin", "n"])
+
+    counted = map_batches(docs.select("text"), run, "kind int, class int, bin int, n long")
+    return counted.groupBy("kind", "class", "bin").agg(F.sum("n").alias("n"))
+
+
+def quartiles(counts: dict[int, int]) -> tuple[float, float, float]:
+    """25 %, 50 % and 75 % of binned ratios, each as the middle of its bin."""
+    bins = sorted(counts)
+    upto = np.cumsum([counts[b] for b in bins])
+    return tuple((bins[int(np.searchsorted(upto, q * upto[-1]))] + 0.5) / BINS for q in (0.25, 0.5, 0.75))  # type: ignore[return-value]
+
+
+def fitted_bands(docs: DataFrame, bands: Bands | None = None) -> Bands:
+    """Bands by length from the ratios of all texts of ``docs`` (text)."""
+    bands = bands or Bands()
+    counts: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
+    for r in ratio_counts(docs, bands).collect():  # a row for each class and bin: bounded
+        counts[r["kind"], r["class"]][r["bin"]] = r["n"]
+    seen = {c: quartiles(x) for (kind, c), x in counts.items() if kind == 0 and sum(x.values()) >= LEAST}
+
+    def band(middle: float, spread: float, wide: tuple[float, float]) -> tuple[float, float]:
+        spread = max(spread, NARROW * middle)
+        return middle - wide[1] * spread, middle + wide[0] * spread
+
+    fitted = {}
+    for c in seen:
+        near = [seen[c + d] for d in (-2, -1, 0, 1, 2) if c + d in seen and c - d in seen]
+        fitted[c] = band(median(q[1] for q in near), median(q[2] - q[0] for q in near), WIDE)
+    chunk = bands.chunk
+    if sum(counts[1, 0].values()) >= LEAST:
+        low, middle, high = quartiles(counts[1, 0])
+        chunk = band(middle, high - low, WIDE_CHUNK)
+    return replace(bands, fitted=fitted, chunk=chunk)
+
+
 def repeated_words(words: list[bytes], width: int = 3) -> int:
     """Words covered by a window of ``width`` words that the text has twice or more."""
     n = len(words) - width + 1
@@ -92,7 +170,7 @@ def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> t
     low, high = bands.limits(len(raw))
     size = bands.chunk_bytes
     least, most = bands.chunk if len(raw) >= size else (low, high)
-    starts = [min(i, max(0, len(raw) - size)) for i in range(0, len(raw), size)]  # the last chunk ends where the text does
+    starts = chunk_starts(len(raw), size)
     bad = sum(not least <= len(raw[i : i + size]) / len(packer.compress(raw[i : i + size])) <= most for i in starts)
     reason = (
         "base" if failed else "incompressible" if ratio < low else "repetitive" if ratio > high
@@ -102,8 +180,9 @@ def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> t
 
 
 def quality_rules(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): base counts, ratios, verdict and its reason (SCHEMA). No shuffle."""
-    bands = bands or Bands()
+    """Per row of ``docs`` (doc_id, text): base counts, ratios, verdict and its reason (SCHEMA). Without ``bands`` they are
+    fitted to ``docs`` first; no text is shuffled."""
+    bands = bands or fitted_bands(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)
@@ -125,7 +204,7 @@ def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass, columns unchanged; rows are judged in place, so nothing is joined."""
     names = docs.columns
-    bands = Bands()
+    bands = fitted_bands(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)

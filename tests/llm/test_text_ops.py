@@ -60,6 +60,23 @@ def test_the_last_chunk_is_judged():
     assert quality.judge(clean + tail, quality.Bands(), pack)[8:10] == (1, 2)
 
 
+def test_bands_follow_the_corpus(spark):
+    """Noisy texts that the base rules pass go, clean ones stay, and a large group of copies doesn't move the bands."""
+    rng = random.Random(21)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    clean = [" ".join(word() for _ in range(rng.randint(100, 400))) for _ in range(1500)]
+    noisy = [" ".join(word() + rng.choice(("###", "$$$", "%%%")) for _ in range(rng.randint(100, 400))) for _ in range(60)]
+    noisy += [" ".join(str(rng.randrange(10**9)) for _ in range(rng.randint(100, 300))) for _ in range(40)]
+    copies = [clean[0]] * 900
+    rows = [(i, t) for i, t in enumerate(clean + noisy + copies)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    lost = sum(not got[i].kept for i in range(1500))
+    caught = sum(not got[i].kept for i in range(1500, 1600))
+    assert lost <= 15 and caught >= 50 and got[0].kept and {r.reason for r in got.values()} > {None, "repetitive"}
+
+
 def test_kept_rows_stay_as_they_are(spark, odd_docs):
     kept = quality.kept_only(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and set(kept.collect()) <= set(odd_docs.collect())
