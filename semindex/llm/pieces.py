@@ -316,9 +316,10 @@ def spelling(path: str) -> Spelling:
     return Spelling(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
-    """docs (text, ...) with MADE; ``nbest`` starts with the best segmentation, which changes nothing."""
-    made = T.StructType.fromDDL(MADE)
+def encode_pieces(docs: DataFrame, model: str, n: int = BEST, with_text: bool = False) -> DataFrame:
+    """docs (text, ...) with MADE; ``nbest`` starts with the best segmentation, which changes nothing. ``with_text`` adds
+    what the ids decode to, as decode_pieces() does, without a second pass through Python."""
+    made = T.StructType.fromDDL(MADE + f", {DECODED}" * with_text)
     docs = docs.drop(*made.names)
     names = [*docs.columns, *made.names]
     at = names.index("text")
@@ -326,7 +327,7 @@ def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = lattice(model).encode_batch
-        for batch in gathered(batches, 2000, 4 << 20):
+        for batch in gathered(batches, 1000, 3 << 20):
             ids, counts, scores, best = encode([t or "" for t in batch.column(at).to_pylist()], n)
             each = [x for b in best for x in b]
             changes = [c for _, own in each for c in own]
@@ -335,7 +336,10 @@ def encode_pieces(docs: DataFrame, model: str, n: int = BEST) -> DataFrame:
                 ["at", "drop", "ids"],
             )
             nbest = pa.StructArray.from_arrays([pa.array([s for s, _ in each], pa.float64()), int_list([len(own) for _, own in each], changed)], ["score", "changes"])
-            arrays = [int_list(counts, pa.array(ids)), pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), int_list([len(b) for b in best], nbest)]
+            lists = int_list(counts, pa.array(ids))
+            arrays = [lists, pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), int_list([len(b) for b in best], nbest)]
+            if with_text:
+                arrays.append(lattice(model).decode_lists(lists))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names)
 
     return map_batches(docs, run, T.StructType([*docs.schema.fields, *made.fields]))
@@ -367,7 +371,7 @@ def model_path() -> str:
 def op2_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best ids, the scores of the four best segmentations, and whether the ids decode to the text they came from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_pieces(encode_pieces(docs, model_path()), model_path())
+    out = encode_pieces(docs, model_path(), with_text=True)
     return out.select(
         "doc_id", "n_tokens", "ids", "score", F.col("nbest.score").alias("nbest_scores"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

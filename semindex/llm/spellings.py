@@ -29,18 +29,17 @@ def distinct(values: pa.Array, plain: bool = True) -> tuple[np.ndarray, list[str
 
 
 def spans(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches flat[starts[r] : starts[r + 1]] of all rows, one after the other, and their sizes."""
+    """The stretches flat[starts[r] : starts[r + 1]] of all rows, one after the other, and their sizes (32 bits: callers pass batches)."""
     first = starts[rows]
-    sizes = starts[rows + 1] - first
-    ends = np.cumsum(sizes, dtype=np.int64)
-    at = np.repeat((first - (ends - sizes)).astype(np.int32), sizes)
+    sizes = starts[1:][rows] - first
+    at = np.repeat(first - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
     at += np.arange(len(at), dtype=np.int32)
     return flat[at], sizes
 
 
 def of_each(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of the stretches sizes[offsets[i] : offsets[i + 1]]."""
-    upto = np.concatenate((np.zeros(1, sizes.dtype), np.cumsum(sizes)))
+    upto = np.concatenate(([0], np.cumsum(sizes)))
     return upto[offsets[1:]] - upto[offsets[:-1]]
 
 
@@ -58,13 +57,13 @@ class Memory:
 
     def start(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.starts, self.values = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros((0, self.width))
+        self.flat, self.starts, self.values = np.zeros(0, self.dtype), np.zeros(1, np.int32), np.zeros((0, self.width))
         self.held = 0
 
     def add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
         n = len(self.place)
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int32)))
         self.flat, self.values = np.concatenate((self.flat, flat)), np.concatenate((self.values, values))
         self.held += len(words) * OVERHEAD + sum(map(len, words)) + flat.nbytes
 
@@ -79,14 +78,14 @@ class Memory:
             place, flat, starts, values = self.old
             before = list(map(place.get, missing))
             again = [w for w, f in zip(missing, before, strict=True) if f is not None]
-            rows = np.array([f for f in before if f is not None], np.int64)
+            rows = np.array([f for f in before if f is not None], np.int32)
             if again:
                 self.add(again, *spans(flat, starts, rows), values[rows])
             new = [w for w, f in zip(missing, before, strict=True) if f is None]
             if new:
                 solved = self.solve(new)
                 own = np.frombuffer(b"".join([s[0] for s in solved]), self.dtype)
-                sizes = np.fromiter((len(s[0]) for s in solved), np.int64, len(new)) // self.dtype.itemsize
+                sizes = np.fromiter((len(s[0]) for s in solved), np.int32, len(new)) // self.dtype.itemsize
                 self.add(new, own, sizes, np.array([s[1:] for s in solved], np.float64).reshape(len(new), self.width))
             found = list(map(self.place.__getitem__, words))
-        return np.array(found, np.int64)
+        return np.array(found, np.int32)
