@@ -10,8 +10,9 @@ chunk), so no record is ever whole in memory and the last chunk's row carries th
 digest without a shuffle. Within one task the chunks of a record are in order.
 
 Which payload is the response: the smallest page_id of each (digest, length), found by a partial
-aggregation, so a payload that many pages share sends one row a task; the answer joins back on slim
-rows (page_id, digest), which Spark may split where one digest is hot.
+aggregation, so a payload that many pages share sends one row a task. The answer joins slim rows (page_id,
+digest), which Spark may split where one digest is hot; payloads are never dealt out by digest, but meet
+the revisits by page.
 
 Defined cases: null html is an empty payload; empty and short payloads are responses; a null page_id is
 written as an empty record id part, read back as null, always a response and never referred to; rows that repeat a
@@ -43,19 +44,15 @@ READ_BYTES = 1 << 16
 
 def plan_records(pages: DataFrame, least_bytes: int) -> DataFrame:
     """pages (page_id, url, html) with payload digest, record type and the response's page_id."""
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    slim = slim.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
-    firsts = (
-        slim.where(F.col("n_bytes") >= least_bytes)
-        .groupBy("digest", "n_bytes")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "n_bytes", "first_id")
-    )
-    # Only payloads that recur are in firsts. The join carries the payload once, by its digest.
-    revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(False))
-    return slim.join(firsts, ["digest", "n_bytes"], "left").select(
-        "page_id", "url", "payload", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    full = full.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
+    slim = full.where((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest", "n_bytes")
+    firsts = slim.groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id <> last_id")
+    # Slim rows meet by digest; payloads then meet the revisits by page, so copies of one payload are dealt out like any other rows.
+    revisits = slim.join(firsts.select("digest", "n_bytes", "first_id"), ["digest", "n_bytes"]).where("page_id <> first_id").select("page_id", "digest", "first_id").distinct()
+    revisit = F.col("first_id").isNotNull()
+    return full.join(revisits, ["page_id", "digest"], "left").select(
+        "page_id", "url", "payload", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.col("first_id").alias("refers_to")
     )
 
 
@@ -108,17 +105,21 @@ class MemberReader:
 
     def __init__(self, stream: pa.NativeFile):
         self.stream, self.z, self.raw, self.held = stream, zlib.decompressobj(31), b"", b""
+        self.within = False  # a member that has begun and not ended
 
     def more(self) -> bool:
-        """Inflates the next piece into ``held``; false at the end."""
+        """Inflates the next piece into ``held``; false at the end, which is the end of a member, checksum included."""
         while True:
             raw = self.raw or self.stream.read(READ_BYTES)
             if not raw:
+                if self.within:
+                    raise EOFError("archive ends within a member")
                 return False
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
             out = self.z.decompress(raw, READ_BYTES)
             self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.within = not self.z.eof
             if out:
                 self.held += out
                 return True
@@ -126,6 +127,8 @@ class MemberReader:
     def until(self, mark: bytes) -> bytes | None:
         while (at := self.held.find(mark)) < 0:
             if not self.more():
+                if self.held:
+                    raise EOFError("archive ends within a header")
                 return None
         out, self.held = self.held[:at], self.held[at + len(mark) :]
         return out
@@ -173,7 +176,8 @@ def chunks_of(stream: pa.NativeFile, chunk_bytes: int) -> Iterator[tuple]:
 
 
 def read_chunks(archives: DataFrame, chunk_bytes: int = 1 << 18, with_data: bool = True) -> DataFrame:
-    """The chunked record table (CHUNKS) of the archives; one task takes whole archives, one after the other."""
+    """The chunked record table (CHUNKS) of the archives; one task takes whole archives, one after the other.
+    An archive that is cut, between records too, raises EOFError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
@@ -183,21 +187,24 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = 1 << 18, with_data: bool
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for paths in batches:
-            for path in paths.column(0).to_pylist():
+            for path, n_records in zip(paths.column(0).to_pylist(), paths.column(1).to_pylist(), strict=True):
                 fs, name = pafs.FileSystem.from_uri(path)
                 rows, size = [], 0
                 with fs.open_input_stream(name) as stream:
                     for row in chunks_of(stream, chunk_bytes):
+                        n_records -= row[-1]
                         rows.append(row if with_data else (*row[:6], None, *row[7:]))
                         size += len(row[6]) + 300
                         if size > 4 << 20:
                             yield batch(rows)
                             rows, size = [], 0
+                if n_records:
+                    raise EOFError(f"{path} lacks {n_records} records")
                 if rows:
                     yield batch(rows)
 
     n = max(1, archives.count())
-    return map_batches(archives.select("path").repartition(n, "path"), run, CHUNKS)
+    return map_batches(archives.select("path", "n_records").repartition(n, "path"), run, CHUNKS)
 
 
 def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,10 +189,34 @@ def test_warc_equals_sql(spark, sf_dir):
     same_rows(warc.op8_warc_chunks(spark, sf_dir), warc.OP8_SQL, sf_dir)
 
 
-def test_broken_archive_raises():
-    record = warc.header(1, "u", "response", "d", None, 5) + b"abc"
-    with pytest.raises(EOFError):
-        list(warc.chunks_of(pa.BufferReader(zlib.compressobj(1, zlib.DEFLATED, 31).compress(b"") + _gz(record)), 2))
+def test_a_cut_archive_raises_wherever_it_is_cut():
+    records = [warc.header(i, "u", "response", "d", None, 5) + b"abcde\r\n\r\n" for i in range(3)]
+    ends = np.cumsum([0] + [len(_gz(r)) for r in records]).tolist()
+    whole = b"".join(map(_gz, records))
+    read = lambda raw: [r[0] for r in warc.chunks_of(pa.BufferReader(raw), 2) if r[-1]]
+    assert read(whole) == [0, 1, 2]
+    for i in range(1, len(whole)):
+        if i in ends:  # whole records, fewer than the archive's row tells: see below
+            assert read(whole[:i]) == list(range(ends.index(i)))
+        else:
+            with pytest.raises(EOFError):
+                read(whole[:i])
+    with pytest.raises(ValueError):
+        read(_gz(warc.header(1, "u", "response", "d", None, 5) + b"abcdefg\r\n\r\n"))
+
+
+def test_an_archive_without_its_last_records_raises(spark):
+    folder = shared_folder(spark, "t")
+    pages = spark.createDataFrame([(1, "u", "x" * 300), (2, "u", "y" * 300)], "page_id long, url string, html string").coalesce(1)
+    row = warc.write_archives(warc.plan_records(pages, 100), folder).first()
+    told = spark.createDataFrame([(row.path, row.n_records + 1, row.n_bytes)], warc.ARCHIVES)
+    with pytest.raises(Exception, match="lacks 1 records"):
+        warc.read_chunks(told).collect()
+
+
+def test_no_payload_is_dealt_out_by_digest(spark, sf_dir):
+    plan = warc.plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet"), 100)._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(digest" in line for line in plan.split("\n") if "payload" in line)
 
 
 def _gz(data):
