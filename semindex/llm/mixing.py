@@ -6,7 +6,8 @@ runs per slot, the one that is released and due first (ties: by source name); fo
 every deadline, so at any time a source is less than one block away from its share.
 
 Weights given by the caller are taken exactly, as decimals: 1 : 2 has Q = 3, and Q may be of any size.
-Without weights shares are square roots of counts, rounded to about 1,000 (one at least), as in OP1_SQL.
+Without weights the targets are square roots of counts, rounded to 1,000 shares, or 100 a source if that is more
+(one at least), as in OP1_SQL: no source is off its root by more than half a hundredth of a mean share.
 
 Releases and deadlines repeat every Q slots, and so does the schedule. The driver lays out one period, or
 less if the last row comes before its end, and keeps the blocks that have rows; every row then finds its
@@ -33,22 +34,25 @@ from pyspark.sql import functions as F
 
 from semindex.llm.common import small_batches, table
 
-#: Rows of a block, shares that a period has about without weights, and sources at most: the bound of what is broadcast.
-BLOCK_ROWS, SHARES, MOST_SOURCES = 64, 1000, 10_000
+#: Rows of a block; shares that a period has about without weights, and for each source at least; sources at most, as their
+#: counts and weights are held by the driver; rows that a table may have to be broadcast.
+BLOCK_ROWS, SHARES, SOURCE_SHARES, MOST_SOURCES, BROADCAST_ROWS = 64, 1000, 100, 1_000_000, 11_000
 PLACE = ["block", "seat", "slot", "release", "deadline"]
 
 
-def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, total: int = SHARES) -> dict[str | None, int]:
-    """Integer shares, in the ratio of the weights exactly. Without weights a source counts by the square
-    root of its rows, which lifts small sources against a dominant one: shares of about ``total``, one at least."""
+def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None) -> dict[str | None, int]:
+    """Integer shares, in the ratio of the weights exactly; a source of the table without a weight is an error. Without weights a
+    source counts by the square root of its rows, which lifts small sources against a dominant one: SHARES in all, or SOURCE_SHARES
+    a source if that is more, rounded, one at least."""
     if weights:
-        if bad := [s for s in counts if not 0 < weights[s] < math.inf]:
-            raise ValueError(f"weights must be finite and above 0: {bad[:5]}")
+        if bad := [s for s in counts if not 0 < weights.get(s, 0) < math.inf]:
+            raise ValueError(f"each source needs a weight that is finite and above 0: {bad[:5]}")
         exact = {s: Fraction(str(weights[s])) for s in counts}
         below = math.lcm(*(w.denominator for w in exact.values()))
         whole = {s: int(w * below) for s, w in exact.items()}
         common = math.gcd(*whole.values())
         return {s: q // common for s, q in whole.items()}
+    total = max(SHARES, SOURCE_SHARES * len(counts))
     raw = {s: n**0.5 for s, n in counts.items()}
     whole = sum(raw[s] for s in sorted(raw, key=lambda s: (s is not None, s or "")))
     return {s: max(1, int(total * w / whole + 0.5)) for s, w in raw.items()}
@@ -79,22 +83,21 @@ def period(share: Mapping[str | None, int], blocks: Mapping[str | None, int] | N
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """docs with ``_rank``, a row's number within its source from 0, and ``_source``, never null."""
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "source") and not c.startswith("_")]
+    """(row, source, rank): each row of docs as a struct, its source, never null, and its number within the source from 0."""
+    rest = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "source") and "map<" not in kind]
     bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 3), 16, 10).cast("int"), F.lit(0))
-    keyed = docs.withColumns({"_source": F.struct(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name")), "_bucket": bucket, "_tie": F.xxhash64(*rest) if rest else F.lit(0)})
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("_n")).select("_source", "_bucket", before.alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("doc_id", "_tie")) - 1
-    return keyed.withColumn("_within", within).join(starts, ["_source", "_bucket"]).withColumn("_rank", F.col("_start") + F.col("_within")).drop("_bucket", "_tie", "_within", "_start")
+    source = F.struct(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("source"), "doc_id", bucket.alias("bucket"), (F.xxhash64(*rest) if rest else F.lit(0)).alias("tie"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", before.alias("start"))
+    within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id", "tie")) - 1
+    return keyed.withColumn("within", within).join(starts, ["source", "bucket"]).select("row", "source", (F.col("start") + F.col("within")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs (doc_id, source, ...) with PLACE: block of its source, seat in it, slot, and the block's release
-    and deadline in slots. ``orderBy("slot", "seat")`` is the mixed order."""
+def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, PLACE): each row of docs (doc_id, source, ...) as a struct, so that no name of its columns meets one of ours."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*PLACE)
     found = docs.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -104,16 +107,24 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     # Shares beyond a source's blocks may not fit a long, and no row needs them: it has no second lap.
     total = sum(share.values())
     whole = total if any(blocks[s] > q for s, q in share.items()) else 0
-    key = "_source struct<known:boolean,name:string>"
+    key = "source struct<known:boolean,name:string>"
     rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in period(share, blocks)]
-    plan = spark.createDataFrame(rows, f"{key}, _turn long, _slot long, _release long, _deadline long")
-    each = spark.createDataFrame([((s is not None, s or ""), min(q, blocks[s])) for s, q in share.items()], f"{key}, _share long")
-    block = F.floor(F.col("_rank") / block_rows).cast("long")
-    placed = ranked(docs).join(F.broadcast(each), "_source").withColumns({"block": block, "seat": F.col("_rank") % block_rows})
-    placed = placed.withColumns({"_turn": F.col("block") % F.col("_share"), "_lap": F.floor(F.col("block") / F.col("_share")) * whole})
-    # Both sides to broadcast have SHARES + MOST_SOURCES rows at most; a longer plan is joined by (source, turn).
-    placed = placed.join(F.broadcast(plan) if len(rows) <= SHARES + MOST_SOURCES else plan, ["_source", "_turn"])
-    return placed.select(*docs.columns, "block", "seat", *((F.col("_lap") + F.col(f"_{c}")).alias(c) for c in ("slot", "release", "deadline")))
+    plan = spark.createDataFrame(rows, f"{key}, turn long, slot long, release long, deadline long")
+    each = spark.createDataFrame([((s is not None, s or ""), min(q, blocks[s])) for s, q in share.items()], f"{key}, share long")
+    # Both are broadcast up to BROADCAST_ROWS; longer ones are joined by their keys.
+    sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    block = F.floor(F.col("rank") / block_rows).cast("long")
+    out = ranked(docs).join(sent(each, len(share)), "source").withColumns({"block": block, "seat": F.col("rank") % block_rows})
+    out = out.withColumns({"turn": F.col("block") % F.col("share"), "lap": F.floor(F.col("block") / F.col("share")) * whole})
+    out = out.join(sent(plan, len(rows)), ["source", "turn"])
+    return out.select("row", "block", "seat", *((F.col("lap") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")))
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs (doc_id, source, ...) with PLACE: block of its source, seat in it, slot, and the block's release
+    and deadline in slots. ``orderBy("slot", "seat")`` is the mixed order."""
+    docs = docs.drop(*PLACE)
+    return placed(docs, weights, block_rows).select(*(F.col("row")[c].alias(c) for c in docs.columns), *PLACE)
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +133,7 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, the table's files and rows in mixed order (range-partitioned by slot)."""
-    safe = [F.col(c).alias(f"_si_{c}") if c in PLACE else F.col(c) for c in docs.columns]
-    back = [F.col(f"_si_{c}").alias(c) if c in PLACE else F.col(c) for c in docs.columns]
-    return mix(docs.select(*safe)).orderBy("slot", "seat").select(*back)
+    return placed(docs).orderBy("slot", "seat").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 OP1_SQL = f"""
@@ -135,7 +144,7 @@ WITH RECURSIVE d AS (
 ), n AS (
   SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY source
 ), q AS (
-  SELECT source, greatest(1, floor({SHARES} * w / (SELECT sum(w) FROM n) + 0.5))::bigint AS share FROM n
+  SELECT source, greatest(1, floor(greatest({SHARES}, {SOURCE_SHARES} * (SELECT count(*) FROM n)) * w / (SELECT sum(w) FROM n) + 0.5))::bigint AS share FROM n
 ), s AS (
   SELECT list(source ORDER BY source) AS names, list(share ORDER BY source) AS shares, sum(share)::bigint AS whole FROM q
 ), run(slot, done, pick) AS (

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semindex.llm import mixing, neardup, quality, substring
 from tests.oracle import same_rows
@@ -284,3 +285,24 @@ def test_mixed_order_keeps_all_rows(spark, odd_docs):
 @pytest.mark.parametrize("weights", [{"s1": 3.0, "s2": 1.0, "s3": 1.0, None: 1.0}])
 def test_target_weights(odd_docs, weights):
     assert mixing.mix(odd_docs, weights, 1).count() == odd_docs.count()
+
+
+def test_mix_leaves_input_names_alone(spark, odd_docs):
+    names = ["_share", "_rank", "_turn", "_source", "row", "rank", "turn", "share", "lap", "bucket", "within", "n", "slot", "seat"]
+    docs = odd_docs.select("doc_id", "source", "text", *(F.lit(f"own {n}").alias(n) for n in names))
+    kept = [n for n in names if n not in mixing.PLACE]
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", "text", *kept, *mixing.PLACE] and out.where(" AND ".join(f"{n} = 'own {n}'" for n in kept)).count() == docs.count()
+    staged = mixing.in_mixed_order(spark, docs, "")
+    assert staged.columns == docs.columns and staged.where(" AND ".join(f"{n} = 'own {n}'" for n in names)).count() == docs.count()
+    with pytest.raises(ValueError, match="each source needs a weight"):
+        mixing.mix(docs, {"s1": 1.0})
+
+
+def test_many_sources_keep_to_their_targets(spark):
+    """A source of a third of all rows among 3,000 small ones."""
+    counts = {"large": 30_000_000, **{f"s{i}": 20_000 for i in range(3000)}}
+    share = mixing.shares(counts)
+    root = {s: n**0.5 for s, n in counts.items()}
+    whole, of_roots = sum(share.values()), sum(root.values())
+    assert all(abs(share[s] / whole - root[s] / of_roots) <= 0.006 * max(root[s], of_roots / len(root)) / of_roots for s in counts)
