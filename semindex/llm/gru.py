@@ -7,18 +7,18 @@ one large. The document end is a word of the vocabulary; every other word is the
 is spelt out by the base: its share of the base's mass outside the vocabulary. So all tokens get a proper
 probability, and base and model score the same tokens.
 
-Training is truncated backpropagation through time in numpy: STREAMS texts side by side, windows of WINDOW
-tokens, the state carried from window to window and reset at each document's end. The network learns from
-the training documents with the smallest hashes, up to TRAIN_TOKENS tokens (a documented bound); its vocabulary,
-the counts and the base cover all. Scoring carries the state across windows through a whole document, many
-documents side by side, so a text of any length needs the memory of one window.
+Training is truncated backpropagation through time in numpy: texts side by side in STREAMS, windows of WINDOW
+tokens, the state carried from window to window and reset at each document's end. The network learns from all
+training documents, each once: in every round (ROUNDS are shares of the documents, by a hash of their ids) each
+task trains a copy on its texts and the copies are averaged by tokens. Scoring carries the state across windows
+through a whole document, many documents side by side, so a text of any length needs the memory of one window.
 
 The counts of the head are broadcast (HEAD words at most); words beyond it are counted per document,
 joined with their counts by a shuffle, and summed per document, so nothing that grows with the corpus
 is broadcast or collected.
 
 Defined cases: null text counts as empty: the end alone; a null doc_id counts as the empty id text for
-the folds; rows that repeat a doc_id and text get equal scores; a corpus without training text has the end
+the folds; rows that repeat a text get equal scores, up to rounding; a corpus without training text has the end
 alone in its vocabulary; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,15 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm.common import crc32_of_id, gathered, map_batches, saved, table
+from semindex.llm.spellings import of_each, words_of_texts
 
 FOLDS, HELD = 7, 2
 #: Words of the model, of the broadcast head of the counts; classes; size of the state; windows and streams.
-MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, STREAMS = 4096, 100_000, 64, 24, 16, 64
-TRAIN_TOKENS, EPOCHS, RATE = 400_000, 2, 0.01
+MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, STREAMS = 4096, 100_000, 64, 24, 16, 128
+#: Shares of the training documents that the rounds take, one after the other; first rate; networks that are added up at once.
+ROUNDS, RATE, FAN = (1, 3, 8), 0.01, 16
 END = b""  # no word is empty
 
 
@@ -185,23 +188,72 @@ class Adam:
             p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def fit(texts: list[list[int]], counts: np.ndarray) -> Gru:
-    """Trains on documents as word numbers, each with its end: they're laid end to end into streams."""
-    net = Gru.start(counts)
-    flat = np.array([w for d in texts for w in d], np.int64)
-    long = len(flat) // STREAMS
+def trained_on(net: Gru, numbers: np.ndarray, adam: Adam) -> None:
+    """One pass over documents (word numbers, each document with its end), laid end to end into streams."""
+    streams = max(1, min(STREAMS, len(numbers) // WINDOW))
+    long = len(numbers) // streams
     if long < 2:
-        return net
-    target = flat[: long * STREAMS].reshape(STREAMS, long).T
-    before = np.concatenate((np.zeros((1, STREAMS), np.int64), target[:-1]))
+        return
+    target = numbers[: long * streams].reshape(streams, long).T
+    before = np.concatenate((np.zeros((1, streams), target.dtype), target[:-1]))
     reset = before == 0
-    adam = Adam(net.p, RATE)
-    for epoch in range(EPOCHS):
-        adam.rate = RATE / (1 + 2 * epoch)
-        h = np.zeros((STREAMS, STATE), np.float32)
-        for a in range(0, long, WINDOW):
-            h, _ = net.train_window(h, before[a : a + WINDOW], target[a : a + WINDOW], reset[a : a + WINDOW], adam)
-    return net
+    h = np.zeros((streams, STATE), np.float32)
+    for a in range(0, long, WINDOW):
+        h, _ = net.train_window(h, before[a : a + WINDOW], target[a : a + WINDOW], reset[a : a + WINDOW], adam)
+
+
+def numbered(texts: pa.Array, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of texts with their ends, one text after the other; words, offsets and distinct words as of words_of_texts()."""
+    codes, offsets, words = words_of_texts(pc.ascii_lower(texts))
+    of_word = np.fromiter((number.get(w, 1) for w in words), np.int32, len(words))
+    return np.insert(of_word[codes], offsets[1:], 0), codes, offsets, words
+
+
+def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) -> Gru:
+    """One round: every task trains the network on all its texts, and the weights are averaged by tokens.
+
+    The sums are made in steps of FAN networks at most, so no task and not the driver holds more than one sum, and only
+    FAN rows at most reach the driver.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((net, number))
+    names = sorted(net.p)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, number = sent.value
+        own = Gru(start.words, {k: v.copy() for k, v in start.p.items()})
+        adam, n = Adam(own.p, rate), 0
+        for batch in gathered(batches, 4000, 8 << 20):
+            found, *_ = numbered(pc.fill_null(batch.column(0), ""), number)
+            trained_on(own, found, adam)
+            n += len(found)
+        if n:
+            sums = np.concatenate([(own.p[k].astype(np.float64) - start.p[k]).ravel() * n for k in names])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            for tokens, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(sums.as_buffer(), np.float64)
+                total = more.copy() if total is None else total + more
+                n += tokens
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+
+    rows = saved(map_batches(docs.select("text"), train, "n long, sums binary"), "weights")
+    while (left := rows.count()) > FAN:
+        rows = saved(map_batches(rows.repartition(-(-left // FAN)), add, "n long, sums binary"), "weights")
+    total, n = 0.0, 0
+    for row in rows.toLocalIterator():
+        total, n = total + np.frombuffer(row.sums, np.float64), n + row.n
+    if not n:
+        return net
+    flat, out, at = total / n, {}, 0
+    for k in names:
+        size = net.p[k].size
+        out[k] = net.p[k] + flat[at : at + size].reshape(net.p[k].shape).astype(np.float32)
+        at += size
+    return Gru(net.words, out)
 
 
 def score_documents(net: Gru, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
@@ -250,7 +302,7 @@ class Model:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over docs (text): tasks count their part first, so a frequent word is a row a task."""
+    """(word, c) over docs (text), the ends included: tasks count their part first, so a frequent word is a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -262,9 +314,11 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([held[w] for w in some], pa.int64())], ["word", "c"])
             held.clear()
 
-        for batch in batches:
-            for t in batch.column(0):
-                held.update(tokens_of(t.as_py()))
+        for batch in gathered(batches, 4000, 8 << 20):
+            codes, _, words = words_of_texts(pc.ascii_lower(pc.fill_null(batch.column(0), "")))
+            counts = np.bincount(codes, minlength=len(words)).tolist()
+            held.update({w: c for w, c in zip(words, counts, strict=True) if c})
+            held[END] += batch.num_rows
             if len(held) > 300_000:
                 yield from rows()
         yield from rows()
@@ -293,17 +347,12 @@ def learn(docs: DataFrame, counts: DataFrame) -> Model:
     known = np.array([head.get(END, 0), 0, *(head[w] for w in vocabulary)], np.float64)
     known[1] = total - known.sum()
     spare = 1 - sum((head.get(w, 0) + 1) / (total + distinct + 1) for w in number)
-    n_docs = head.get(END, 0)
-    wanted = min(TRAIN_TOKENS, TRAIN_TOKENS * n_docs // max(1, total) + 50)
-    ids = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(wanted).distinct()
-    picked = docs.join(F.broadcast(ids), "doc_id").select(F.xxhash64(F.col("doc_id").cast("string")).alias("_o"), F.xxhash64("text").alias("_t"), "text").orderBy("_o", "_t")
-    texts, held = [], 0
-    for row in picked.toLocalIterator():
-        if held >= TRAIN_TOKENS:
-            break
-        texts.append([number.get(w, 1) for w in tokens_of(row.text)])
-        held += len(texts[-1])
-    return Model(fit(texts, known), number, head, total, distinct, max(spare, 1e-12))
+    net, part = Gru.start(known), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(sum(ROUNDS)))
+    upto = 0
+    for i, share in enumerate(ROUNDS):
+        net = trained(docs.where((part >= upto) & (part < upto + share)), net, number, RATE / (1 + i))
+        upto += share
+    return Model(net, number, head, total, distinct, max(spare, 1e-12))
 
 
 def half_scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -312,30 +361,28 @@ def half_scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        number, head = m.number.get, {w: (c, math.log10(c + 1), w not in m.number) for w, c in m.head.items()}
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-        for batch in gathered(batches):
-            rows, numbers = [], []
-            for t in batch.column(1):
-                tokens = tokens_of(t.as_py())
-                numbers.append(np.array([number(w, 1) for w in tokens], np.int64))
-                known, logs, other, n_other, rare = 0, [], [], 0, []
-                for w, n in Counter(tokens).items():
-                    if (at := head.get(w)) is not None:
-                        known += n
-                        logs.append(n * at[1])
-                        if at[2]:
-                            other.append(n * at[1])
-                            n_other += n
-                    elif w == END:  # no training text at all
-                        pass
-                    else:
-                        rare.append({"word": w, "n": n})
-                        n_other += n
-                rows.append((len(tokens), known, math.fsum(logs), math.fsum(other), n_other, rare))
-            logs = score_documents(m.net, numbers)
-            n, known, head_logs, other, n_other, rare = zip(*rows, strict=True) if rows else [()] * 6
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head_logs, pa.float64()), pa.array(other, pa.float64()), pa.array(logs / math.log(10), pa.float64()), pa.array(n_other, pa.int64()), pa.array(rare, kind)]
+        ends = math.log10(m.head[END] + 1) if END in m.head else 0.0
+        for batch in gathered(batches, 4000, 8 << 20):
+            docs = batch.num_rows
+            numbers, codes, offsets, words = numbered(pc.fill_null(batch.column(1), ""), m.number)
+            counts = np.array([m.head.get(w, 0) for w in words], np.float64)
+            of_word = np.array([w in m.number for w in words], bool)
+            in_head, unknown = counts > 0, ~of_word
+            logs = np.where(in_head, np.log10(counts + 1), 0.0)
+            n = np.diff(offsets)
+            known = of_each(in_head[codes], offsets) + (END in m.head)
+            head_logs = of_each(logs[codes], offsets) + ends
+            # Words beyond the head: each of a document once, with how often it has it.
+            owner = np.repeat(np.arange(docs), n)
+            pairs, times = np.unique((owner * len(words) + codes)[~in_head[codes]], return_counts=True)
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(pairs % max(1, len(words)))), pa.array(times.astype(np.int32))], ["word", "n"])
+            cuts = np.searchsorted(pairs, np.arange(docs + 1) * len(words)).astype(np.int32)
+            score = score_documents(m.net, np.split(numbers, offsets[1:-1] + np.arange(1, docs))) if docs else np.zeros(0)
+            arrays = [
+                batch.column(0), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(head_logs), pa.array(of_each((logs * unknown)[codes], offsets)),
+                pa.array(score / math.log(10), pa.float64()), pa.array(of_each(unknown[codes], offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), rare).cast(kind),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "head_logs", "unknown_logs", "model_logs", "n_unknown", "rare"])
 
     schema = "doc_id long, n_tokens long, n_known long, head_logs double, unknown_logs double, model_logs double, n_unknown long, rare array<struct<word:binary,n:int>>"

@@ -17,17 +17,32 @@ def marked_parts(texts: pa.Array, before: str) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, before, "\0" + before), "\n", "\0\n\0"), "\0")
 
 
-def distinct(values: pa.Array, plain: bool = True) -> tuple[np.ndarray, list[str]]:
-    """A number for each value and the distinct values by number. ``plain``: no value has a NUL."""
+def distinct(values: pa.Array, plain: bool = True) -> tuple[np.ndarray, list]:
+    """A number for each value (string or binary) and the distinct values by number. ``plain``: no value has a NUL."""
     coded = values.dictionary_encode()
     known, n = coded.dictionary, len(coded.dictionary)
     if plain and n:
-        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), known), "\0")[0].as_py().split("\0")
+        nul = b"\0" if pa.types.is_binary(values.type) else "\0"
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), known), nul)[0].as_py().split(nul)
     else:
         words = known.to_pylist()
     return coded.indices.to_numpy(), words
 
 
+def words_of_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of the words (between ASCII white space) of all texts (no nulls), one text after the other; where each text's
+    words begin, and the end; the distinct words by number, in UTF-8. An empty one may be among them, but has no place."""
+    lists = pc.ascii_split_whitespace(texts)
+    codes, words = distinct(lists.flatten().cast(pa.binary()), not pc.any(pc.match_substring(texts, "\0")).as_py())
+    offsets = lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    if b"" in words:
+        real = codes != words.index(b"")
+        offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
+        codes = codes[real]
+    return codes, offsets, words
+
+
 def spans(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[starts[r] : starts[r + 1]] of all rows, one after the other, and their sizes (32 bits: callers pass batches)."""
     first = starts[rows]
@@ -37,10 +52,13 @@ def spans(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return flat[at], sizes
 
 
-def of_each(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of the stretches sizes[offsets[i] : offsets[i + 1]]."""
-    upto = np.concatenate(([0], np.cumsum(sizes)))
-    return upto[offsets[1:]] - upto[offsets[:-1]]
+def of_each(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the stretches values[offsets[i] : offsets[i + 1]], which follow each other; equal stretches have equal sums."""
+    real = offsets[1:] > offsets[:-1]
+    out = np.zeros(len(real), np.float64 if values.dtype.kind == "f" else np.int64)
+    if real.any():
+        out[real] = np.add.reduceat(values, offsets[:-1][real], dtype=out.dtype)
+    return out
 
 
 class Memory:
