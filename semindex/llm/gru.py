@@ -7,7 +7,7 @@ one large. The document end is a word of the vocabulary; every other word is the
 is spelt out by the base: its share of the base's mass outside the vocabulary. So all tokens get a proper
 probability, and base and model score the same tokens.
 
-Training is truncated backpropagation through time in numpy: texts side by side in STREAMS, windows of WINDOW
+Training is truncated backpropagation through time in numpy: texts side by side in streams, windows of WINDOW
 tokens, the state carried from window to window and reset at each document's end. The network learns from all
 training documents, each once: in every round (ROUNDS are shares of the documents, by a hash of their ids) each
 task trains a copy on its texts and the copies are averaged by tokens. Scoring carries the state across windows
@@ -41,7 +41,7 @@ from semindex.llm.spellings import of_each, words_of_texts
 
 FOLDS, HELD = 7, 2
 #: Words of the model, of the broadcast head of the counts; classes; size of the state; windows and streams.
-MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, STREAMS = 4096, 100_000, 64, 24, 16, 128
+MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, WINDOWS, STREAMS = 4096, 100_000, 64, 16, 16, 64, 512
 #: Shares of the training documents that the rounds take, one after the other; first rate; networks that are added up at once.
 ROUNDS, RATE, FAN = (1, 3, 8), 0.01, 16
 END = b""  # no word is empty
@@ -84,32 +84,37 @@ class Gru:
 
     def step(self, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         """State after a word: update gate z, reset gate r, candidate c."""
-        x = self.p["x"][word]
+        x = np.take(self.p["x"], word, axis=0)
         x += self.p["b"]
         g = h @ self.p["u"]
         zr = x[:, : 2 * STATE] + g[:, : 2 * STATE]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
+        np.exp(np.negative(zr, out=zr), out=zr)
         zr += 1
-        zr *= 0.5
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :STATE], zr[:, STATE:]
         c = np.tanh(x[:, 2 * STATE :] + r * g[:, 2 * STATE :])
         return h + z * (c - h), z, r, c, g[:, 2 * STATE :]
 
+    def sorted_by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """An order by class, the classes and places in that order, and where each class begins."""
+        kind = (target // self.size).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")
+        kind, place = kind[order], (target % self.size)[order]
+        return order, kind, place, np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target word given its state: by class, so that a class is one product."""
-        kind, place = target // self.size, target % self.size
-        order = np.argsort(kind, kind="stable")
-        h, kind, place = h[order], kind[order], place[order]
+        order, kind, place, cuts = self.sorted_by_class(target)
+        h = h[order]
         every = np.arange(len(h))
 
+        one = np.ones(max(CLASSES, self.size), h.dtype)
+
         def logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            np.minimum(logits, 80, out=logits)
             own = logits[every[: len(at)], at]
-            return own - np.log(np.exp(logits, out=logits).sum(1))
+            return own - np.log(np.exp(logits, out=logits) @ one[: logits.shape[1]])
 
         found = logs(h @ self.p["c"] + self.p["cb"], kind)
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a < b:
                 inner = h[a:b] @ self.p["w"][k]
@@ -122,54 +127,62 @@ class Gru:
     def train_window(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, reset: np.ndarray, adam: Adam) -> tuple[np.ndarray, float]:
         """One window (time x streams): forward, backpropagation within the window, update; returns the carried state and the loss."""
         p, steps, grads = self.p, [], {k: np.zeros_like(v) for k, v in self.p.items()}
-        hs = []
+        n, streams = target.size, before.shape[1]
+        hs = np.empty((len(before), streams, STATE), h.dtype)
         for t in range(len(before)):
-            h = np.where(reset[t][:, None], np.float32(0), h)
+            h = h * ~reset[t][:, None]
             new = self.step(h, before[t])
             steps.append((h, *new))
-            h = new[0]
-            hs.append(h)
-        flat, goal = np.concatenate(hs), target.ravel()
-        n = len(goal)
-        kind, place = goal // self.size, goal % self.size
-        logits = flat @ p["c"] + p["cb"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        q = e / e.sum(1, keepdims=True)
-        loss = -np.log(q[np.arange(n), kind] + 1e-30).sum()
-        q[np.arange(n), kind] -= 1
-        q /= n
+            h = hs[t] = new[0]
+        order, kind, place, cuts = self.sorted_by_class(target.ravel())
+        flat = hs.reshape(n, STATE)[order]
+        every, share, loss, one = np.arange(n), flat.dtype.type(1 / n), 0.0, np.ones(max(CLASSES, self.size), h.dtype)
+
+        def wrong(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """What the softmax is off its target, a share of the window's mean loss; in place."""
+            nonlocal loss
+            q = np.exp(logits, out=logits)
+            q *= (share / (q @ one[: q.shape[1]]))[:, None]
+            own = every[: len(at)], at
+            loss -= float(np.log(q[own] * n + 1e-30).sum())
+            q[own] -= share
+            return q
+
+        q = wrong(flat @ p["c"] + p["cb"], kind)
         grads["c"], grads["cb"] = flat.T @ q, q.sum(0)
-        dh = q @ p["c"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            if cuts[k] == cuts[k + 1]:
-                continue
-            rows = order[cuts[k] : cuts[k + 1]]
-            inner = flat[rows] @ p["w"][k] + p["wb"][k]
-            e = np.exp(inner - inner.max(1, keepdims=True))
-            q = e / e.sum(1, keepdims=True)
-            loss -= np.log(q[np.arange(len(rows)), place[rows]] + 1e-30).sum()
-            q[np.arange(len(rows)), place[rows]] -= 1
-            q /= n
-            grads["w"][k], grads["wb"][k] = flat[rows].T @ q, q.sum(0)
-            dh[rows] += q @ p["w"][k].T
-        dh = dh.reshape(len(hs), -1, STATE)
+        back = q @ p["c"].T
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                inner = flat[a:b] @ p["w"][k]
+                inner += p["wb"][k]
+                q = wrong(inner, place[a:b])
+                grads["w"][k], grads["wb"][k] = flat[a:b].T @ q, q.sum(0)
+                back[a:b] += q @ p["w"][k].T
+        dh = np.empty_like(back)
+        dh[order] = back
+        dh = dh.reshape(hs.shape)
         carry = np.zeros_like(h)
-        dx = np.empty((*before.shape, 3 * STATE), np.float32)
+        dx, dg = np.empty((*before.shape, 3 * STATE), h.dtype), np.empty((streams, 3 * STATE), h.dtype)
         for t in range(len(before) - 1, -1, -1):
             old, _, z, r, c, inner = steps[t]
             d = dh[t] + carry
-            dz, dc = d * (c - old) * z * (1 - z), d * z * (1 - c * c)
-            dr = dc * inner * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dc), 1)
-            dg = np.concatenate((dz, dr, dc * r), 1)
+            own = dx[t]
+            own[:, :STATE] = d * (c - old) * (z * (1 - z))
+            dc = d * z * (1 - c * c)
+            own[:, STATE : 2 * STATE] = dc * inner * (r * (1 - r))
+            own[:, 2 * STATE :] = dc
+            dg[:, : 2 * STATE], dg[:, 2 * STATE :] = own[:, : 2 * STATE], dc * r
             grads["u"] += old.T @ dg
-            carry = np.where(reset[t][:, None], np.float32(0), d * (1 - z) + dg @ p["u"].T)
-        np.add.at(grads["x"], before.ravel(), dx.reshape(-1, 3 * STATE))
+            carry = (d * (1 - z) + dg @ p["u"].T) * ~reset[t][:, None]
+        # Rows of the same word are added up side by side.
+        words = before.ravel()
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        firsts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        grads["x"][words[firsts]] = np.add.reduceat(dx.reshape(n, -1)[order], firsts)
         grads["b"] = dx.sum((0, 1))
         adam.update(p, grads)
-        return h, float(loss)
+        return h, loss
 
 
 class Adam:
@@ -186,13 +199,16 @@ class Adam:
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.001) * (g * g - self.v[k])
             p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+        for k in ("x", "u", "c", "w"):  # no sum over a state can overflow an exponential
+            np.clip(p[k], -3, 3, out=p[k])
 
 
 def trained_on(net: Gru, numbers: np.ndarray, adam: Adam) -> None:
-    """One pass over documents (word numbers, each document with its end), laid end to end into streams."""
-    streams = max(1, min(STREAMS, len(numbers) // WINDOW))
+    """One pass over documents (word numbers, each document with its end), laid end to end into streams: as many as leave
+    WINDOWS windows to each, within bounds."""
+    streams = max(min(32, len(numbers) // 2), min(STREAMS, len(numbers) // (WINDOW * WINDOWS)))
     long = len(numbers) // streams
-    if long < 2:
+    if not streams or long < 2:
         return
     target = numbers[: long * streams].reshape(streams, long).T
     before = np.concatenate((np.zeros((1, streams), target.dtype), target[:-1]))
