@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.llm.common import map_batches, saved, table, words_of
+from semindex.llm.spellings import word_hashes
 from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
 
 GRAM, SKETCHES, SIZE, SIMILAR = 5, 24, 2, 0.8
 NULL_ID = -(2**63)
 #: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to.
-SLICE, BINS, COARSE = 1024, 512, 128
+SLICE, BINS, COARSE = 1024, 2048, 128
 #: What names a row's text: its id, never null, and a digest of the text as it is.
 IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex(md5(cast(coalesce(text, '') AS binary))) AS mark"]
 #: Grams that are hashed at once.
@@ -85,16 +86,14 @@ def sketched(docs: DataFrame) -> DataFrame:
     """SKETCH of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers = WordHashes(), Powers()
+        powers = Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
                 digests, sizes, bins, keys = [], [], [], []
-                for t in batch.column(2):
-                    words = words_of(t.as_py())
-                    hashes = known.of(words)
-                    sizes.append(len(words))
+                for hashes in word_hashes(batch.column(2)):
+                    sizes.append(len(hashes))
                     bins.append(np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     keys.append(sketches(hashes, powers))
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64))
@@ -241,8 +240,9 @@ def lacking(some: np.ndarray, sums: np.ndarray, own: np.ndarray) -> np.ndarray:
     return (apart + np.abs(sums - own.sum(dtype=np.int64))) // 2
 
 
-def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of unlike ``code``, one of ``left`` and one of ``right`` (two of ``left`` without it), that no bound excludes.
+def within_bounds(key: int, keys: np.ndarray, code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray | None, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of unlike ``code``, one of ``left`` and one of ``right`` (two of ``left`` without it), that no bound
+    excludes, in the bucket ``key`` only if it is the first that both are in: so of all buckets just one has a pair.
 
     An edit takes out one word at most and brings in one at most, so there are no fewer edits than the larger
     of what two counts of words by bin lack of each other; counts that stop at 255 only bring them nearer.
@@ -267,6 +267,10 @@ def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.nd
         if len(open_):
             apart = lacking(bins[right[start + open_]].astype(np.int16), sums[start + open_], bins[i].astype(np.int16))
             open_, apart = open_[apart <= most[open_]], apart[apart <= most[open_]]
+        if len(open_):
+            shared = keys[right[start + open_]] == keys[i]
+            first = keys[i][shared.argmax(1)] == key
+            open_, apart = open_[first], apart[first]
         if best and len(open_):
             open_ = open_[[apart.argmin()]]
         out_j.append(right[start + open_])
@@ -276,7 +280,7 @@ def within_bounds(code: np.ndarray, n: np.ndarray, bins: np.ndarray, left: np.nd
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """members (key, node, class, n, bins) of buckets with more than one class, with the bucket's ``size``."""
+    """members (key, node, class, n, bins, keys) of buckets with more than one class, with the bucket's ``size``."""
     several = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "size")
     return members.join(several, "key")
 
@@ -284,20 +288,21 @@ def mixed(members: DataFrame) -> DataFrame:
 def open_pairs(held: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
 
-    Buckets are dealt into slices of about SLICE members and every two slices meet in one group of rows, so
+    Each pair comes once. Buckets are dealt into slices of about SLICE members and every two slices meet in one group of rows, so
     a bucket of any size is compared whole, by many tasks.
     """
     slices = F.ceil(F.col("size") / SLICE).cast("int")
     held = held.withColumn("own", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
     group = ["key", "low", "high"]
-    held = held.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "class", "n", "bins")
+    held = held.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "class", "n", "bins", "keys")
 
     def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         node, code, n, own = (rows.column(c).to_numpy() for c in ("node", "class", "n", "own"))
         bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        i, j = within_bounds(code, n.astype(np.int64), bins, np.flatnonzero(own == low), None if low == high else np.flatnonzero(own == high), best)
+        i, j = within_bounds(rows.column("key")[0].as_py(), keys, code, n.astype(np.int64), bins, np.flatnonzero(own == low), None if low == high else np.flatnonzero(own == high), best)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +321,7 @@ def open_pairs(held: DataFrame, best: bool) -> DataFrame:
         if rows:
             yield found(rows)
 
-    return map_batches(held.repartition(*group).sortWithinPartitions(*group), run, "a long, b long").distinct()
+    return map_batches(held.repartition(*group).sortWithinPartitions(*group), run, "a long, b long")
 
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -328,7 +333,7 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     nearest = members.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.mode("centre", True).alias("a"))
     tested = saved(verified(nearest.select("a", "b"), texts), "nearest")
     roots = rooted(tested.where("alike").select(F.col("b").alias("node"), F.col("a").alias("root")))
-    named = nodes.select("node", "n", "bins").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    named = nodes.select("node", "n", "bins", "keys").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
         pairs = open_pairs(held, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
