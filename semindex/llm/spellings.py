@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: What a string costs in a memory besides its characters and ids, measured: key, number and places in the arrays.
 OVERHEAD = 190
@@ -43,6 +44,13 @@ def words_of_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]
     return codes, offsets, words
 
 
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text; null texts have none."""
+    codes, offsets, words = words_of_texts(pc.fill_null(texts, ""))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.split(own[codes], offsets[1:-1]) if len(texts) else []
+
+
 def spans(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[starts[r] : starts[r + 1]] of all rows, one after the other, and their sizes (32 bits: callers pass batches)."""
     first = starts[rows]

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semindex.llm.common import map_batches, saved, table, words_of
+from semindex.llm.spellings import word_hashes
 
 LENGTH, GRAM = 35, 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -125,15 +126,14 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Runs of all texts: anchor, run, document key, span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             parts, sizes = [], []
-            for t in batch.column(2):
-                words = words_of(t.as_py())
-                if len(words) < length:
+            for hashes in word_hashes(batch.column(2)):
+                if len(hashes) < length:
                     sizes.append(0)
                     continue
-                anchor, same, span = runs_of(Text(known.of(words), powers), len(words), length, k)
+                anchor, same, span = runs_of(Text(hashes, powers), len(hashes), length, k)
                 parts.append((signed(anchor), signed(same), span))
                 sizes.append(len(span))
             if parts:
@@ -181,13 +181,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> Data
     # Combined before the shuffle: one row per anchor and task.
     loops = F.shiftright("span", 31).bitwiseAND(F.lit(1))
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(loops).alias("loops"), F.min("run").alias("a"), F.max("run").alias("b")).where("n + loops > 1")
-    held = saved(found.join(shared.select("anchor", F.expr("n > 1 AND a = b").alias("inside")), "anchor"), "seeds")
+    # What occurrences are joined with is written first, so that both sides are shuffled for the join and Spark splits a hot key.
+    shared = saved(shared.select("anchor", F.expr("n > 1 AND a = b").alias("inside")), "anchors")
+    held = saved(found.join(shared, "anchor"), "seeds")
     whole = held.where("inside").select(*KEYS, "span")
     edge = held.where("NOT inside")
-    kinds = edge.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "span")).alias("one"))
+    kinds = saved(edge.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "span")).alias("one")), "kinds")
     twice = edge.join(kinds.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select(*KEYS, "span")
     windows = saved(extended(docs, kinds.select("anchor", "one.*"), length), "windows")
-    again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    again = saved(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "again")
     single = windows.join(again, ["anchor", "window"], "left_semi").select(*KEYS, (F.col("place") * F.lit(1 << 32) + 1).alias("span"))
     return whole.unionByName(twice).unionByName(single).groupBy(*KEYS).agg(F.collect_set("span").alias("_si_spans"))
 
