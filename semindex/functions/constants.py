@@ -35,6 +35,38 @@ DOC_EXTENSIONS = (".md", ".markdown", ".txt", ".rst", ".adoc")
 DOC_WORDS = r"\b(readme|docs?|documentation|guide|tutorial|explain|overview)\b"
 DOC_WEIGHTS = {"docs": (1.08, 0.98), "code": (0.9, 1.03)}
 
+#: Markdown header lines: with number signs, and what stands under and in a title line.
+ATX = r"^(#{1,6})\s+(.+)\z"
+UNDERLINE = r"^(={3,}|-{3,})\s*\z"
+TITLE = r"^\s*[^#<>!\[\]`\t]+[^\n]\z"
+
+#: What a run reports.
+RUN_REASONS = {
+    "applied": "incremental-index-applied",
+    "fresh": "already-fresh",
+    "adopted_applied": "adopted-existing-roo-index-reconciled",
+    "adopted": "adopted-existing-roo-index",
+}
+#: What a search reports of the index it used.
+SEARCH_REASONS = {
+    "ready": "search-only-existing-index",
+    "missing": "no-existing-index",
+    "scheduled": "background-refresh-scheduled",
+    "idle": "background-idle",
+}
+
+#: What the assessments say.
+SAYS_READY = ("Collection has indexed data (", " points); disabled mode can search immediately.")
+SAYS_MISSING = "No complete indexed collection found; disabled mode will return empty results."
+SAYS_SKIPPED = "Dry-run diff skipped; query-mode reconciliation cost is unknown."
+SAYS_FRESH = "No pending reconciliation work; query mode should stay fast."
+SAYS_PENDING = " files pending reconciliation (~"
+SAYS_NEVER = "No completed indexing timestamp found; background status is unknown."
+SAYS_UNKNOWN = ("Last completed ", "; pending workload unknown because diff was skipped.")
+SAYS_CAUGHT_UP = ("Background appears caught up (last completed ", ").")
+SAYS_STALE = ("Background appears stale (", " files pending, last completed ", ").")
+SAYS_WAITING = (" files pending; last completed ", ".")
+
 #: Ignore rules that come before those of any file.
 DEFAULT_RULES = (".*", ".*/**", "!.github", "!.github/**", *(f"{d}/**" for d in IGNORED_DIRS))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.functions import constants as K
 from semindex.operators import chunking, diff, filters
-from semindex.operators.embedding import Embedder, embed
+from semindex.operators.embedding import Embedder, embed, needs_rebuild
 from semindex.operators.search import search
-from semindex.operators.store import delete_points, upsert_points
+from semindex.operators.store import delete_points, mark_run, upsert_points
+from semindex.sources.corpus import load_version, save_version
+from semindex.sources.shared import saved
 
 
 @dataclass(frozen=True)
@@ -28,28 +30,59 @@ def make_points(files: DataFrame, embedder: Embedder, root: Column | None = None
     return embed(blocks.drop("piece_offset"), "content", embedder, prefix=prefix)
 
 
-def refresh_index(files: DataFrame, manifest: DataFrame, points: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:
+def refresh_index(files: DataFrame, manifest: DataFrame, points: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES, adopted: DataFrame | None = None) -> Refreshed:
     """Diff, delete, chunk, embed, upsert. Points of all re-chunked paths go, so an interrupted run leaves no orphans.
 
-    Save the points first, then the manifest, then the run marker: a crash in between only repeats work.
+    Fresh points and the diff are written to the shared folder once, and all else is derived from there, so each text is
+    embedded once. Save the points first, then the manifest, then the run marker (as run_index() does): a crash in between
+    only repeats work. ``adopted`` names collections that have points but no manifest.
     """
     files = filters.filter_supported(files)
-    change = diff.change_diff(files, manifest, max_bytes)
+    change = saved(diff.change_diff(files, manifest, max_bytes), "change")
     todo = change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS)
-    fresh = make_points(files.join(todo, diff.KEYS, "left_semi"), embedder)
+    fresh = saved(make_points(files.join(todo, diff.KEYS, "left_semi"), embedder), "fresh")
     kept = delete_points(points, diff.delete_set(change, include_new=True))
     new_manifest = manifest.join(change.where("change <> 'unchanged' AND change <> 'skipped'"), diff.KEYS, "left_anti")
     new_manifest = new_manifest.unionByName(change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS, "file_hash"))
     counts = fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
-    return Refreshed(upsert_points(kept, fresh), new_manifest, diff.index_summary(change, counts))
+    return Refreshed(upsert_points(kept, fresh), new_manifest, diff.index_summary(change, counts, adopted))
+
+
+EMPTY_MANIFEST = "collection_id string, file_path string, file_hash string"
+RUNS = "collection_id string, run_id string, indexing_complete boolean, started_at timestamp, completed_at timestamp, vector_dim int"
+
+
+def run_index(spark: SparkSession, files: DataFrame, store: str, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """One durable run over the tables points, manifest and runs in the folder ``store``; returns the summary.
+
+    The collections' markers say incomplete before anything changes; points, manifest and the complete marker follow in this
+    order, each as a new version that readers see whole. A run that stops anywhere is repeated by the next, as points are keyed.
+    Points of another dimension than ``dim`` mean a full rebuild; points without a manifest are adopted: all their files are
+    indexed anew under the same ids, and the summary says so.
+    """
+    collections = files.select("collection_id").distinct()
+    points, manifest, runs = (load_version(spark, f"{store}/{name}", None) for name in ("points", "manifest", "runs"))
+    runs = runs if runs is not None else spark.createDataFrame([], RUNS)
+    rebuild = points is not None and needs_rebuild(points, dim)
+    known = manifest if manifest is not None and not rebuild else spark.createDataFrame([], EMPTY_MANIFEST)
+    if points is None or rebuild:
+        points = make_points(files.where(F.lit(False)), embedder)
+    adopted = None if rebuild else points.select("collection_id").distinct().join(known.select("collection_id").distinct(), "collection_id", "left_anti")
+    save_version(mark_run(runs, collections, run_id, at, False, dim), f"{store}/runs")
+    new = refresh_index(files, known, points, embedder, max_bytes, adopted)
+    save_version(new.points, f"{store}/points")
+    save_version(new.manifest, f"{store}/manifest")
+    save_version(mark_run(load_version(spark, f"{store}/runs"), collections, run_id, at, True, dim), f"{store}/runs")
+    return new.summary
 
 
 def rebuild_index(files: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:
-    empty_manifest = files.sparkSession.createDataFrame([], "collection_id string, file_path string, file_hash string")
+    empty_manifest = files.sparkSession.createDataFrame([], EMPTY_MANIFEST)
     points = make_points(files.where(F.lit(False)), embedder)
     return refresh_index(files, empty_manifest, points, embedder, max_bytes)
 
 
 def search_table(points: DataFrame, queries: DataFrame, embedder: Embedder, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, prefix: str | None = None) -> DataFrame:
-    """queries (query_id, query, collection_id, path_prefix, max_results): each embedded once, searched, re-ranked."""
-    return search(points, embed(queries, "query", embedder, prefix=prefix).where("vector IS NOT NULL"), k, min_score)
+    """queries (query_id, query, collection_id, path_prefix, max_results): each embedded once, searched, re-ranked. ``points`` is a stored table."""
+    asked = saved(embed(queries, "query", embedder, prefix=prefix).where("vector IS NOT NULL"), "asked")
+    return search(points, asked, k, min_score)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from semindex.functions import constants as K
-from semindex.sources.derived import FILES_SQL, MANIFEST_SQL, NOW, PREFIXES, SIZE_CAP, listed
+from semindex.sources.derived import FILES_SQL, MANIFEST_SQL, MODELS, PREFIXES, SIZE_CAP, listed
 
 EXT = r"regexp_extract(lower(file_path), '(\.[^./]*)$', 1)"
 TOKENS = "ceil(length({}) / 4.0)::bigint"
@@ -17,17 +17,17 @@ DIFF = f"""
 )"""
 
 
-def packed(source: str) -> str:
-    """Recursive packing of the lines of ``source`` (collection_id, file_path, content): a step per line, then ``blocks``."""
+def packed(source: str, tag: str = "") -> str:
+    """Recursive packing of the lines of ``source`` (collection_id, file_path, content): a step per line, then ``blocks``. ``tag`` ends the names."""
     return f"""
-t AS (
+t{tag} AS (
   SELECT collection_id, file_path, string_split(content, chr(10)) AS lines FROM {source}
-), u AS (
-  SELECT *, len(lines) AS n, list_transform(lines, lambda x: length(x)) AS raw FROM t
-), w AS (
-  SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(raw[1:i]), 0)::bigint) AS upto FROM u
-), step(collection_id, file_path, i, first, told, held, e_first, e_end, e_told, e_border) AS (
-  SELECT collection_id, file_path, 0::bigint, 0::bigint, 0::bigint, 0::bigint, NULL::bigint, NULL::bigint, NULL::bigint, NULL::bigint FROM w
+), u{tag} AS (
+  SELECT *, len(lines) AS n, list_transform(lines, lambda x: length(x)) AS raw FROM t{tag}
+), w{tag} AS (
+  SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(raw[1:i]), 0)::bigint) AS upto FROM u{tag}
+), step{tag}(collection_id, file_path, i, first, told, held, e_first, e_end, e_told, e_border) AS (
+  SELECT collection_id, file_path, 0::bigint, 0::bigint, 0::bigint, 0::bigint, NULL::bigint, NULL::bigint, NULL::bigint, NULL::bigint FROM w{tag}
   UNION ALL
   SELECT collection_id, file_path, i + 1,
     CASE kind WHEN 'long' THEN i + 1 WHEN 'full' THEN i ELSE first END,
@@ -45,54 +45,93 @@ t AS (
         w.raw[s.i + 1] + (s.i < w.n - 1)::int AS size, w.upto[w.n + 1] - w.upto[s.i + 1] + (w.n - 1 - s.i) AS rest,
         CASE WHEN w.raw[s.i + 1] + (s.i < w.n - 1)::int > {K.MAX_PACK_CHARS} THEN 'long'
           WHEN s.held > 0 AND s.held + w.raw[s.i + 1] + (s.i < w.n - 1)::int > {K.MAX_PACK_CHARS} THEN 'full' ELSE 'add' END AS kind
-      FROM step s JOIN w ON s.collection_id = w.collection_id AND s.file_path = w.file_path WHERE s.i < w.n
+      FROM step{tag} s JOIN w{tag} w ON s.collection_id = w.collection_id AND s.file_path = w.file_path WHERE s.i < w.n
     )
   )
-), packs AS (
-  SELECT collection_id, file_path, e_first AS a, e_end AS b, e_told AS told, e_border AS border FROM step WHERE e_first IS NOT NULL
+), packs{tag} AS (
+  SELECT collection_id, file_path, e_first AS a, e_end AS b, e_told AS told, e_border AS border FROM step{tag} WHERE e_first IS NOT NULL
   UNION ALL
-  SELECT s.collection_id, s.file_path, s.first, w.n, s.told, w.n - 1 FROM step s JOIN w ON s.collection_id = w.collection_id AND s.file_path = w.file_path
+  SELECT s.collection_id, s.file_path, s.first, w.n, s.told, w.n - 1 FROM step{tag} s JOIN w{tag} w ON s.collection_id = w.collection_id AND s.file_path = w.file_path
   WHERE s.i = w.n AND s.held >= {K.MIN_BLOCK_CHARS} AND w.n > s.first
-), raw_blocks AS (
+), raw_blocks{tag} AS (
   SELECT p.collection_id, p.file_path, told + 1 AS start_line, border + 1 AS end_line, NULL::bigint AS piece_offset, array_to_string(w.lines[a + 1:b], chr(10)) AS content
-  FROM packs p JOIN w ON p.collection_id = w.collection_id AND p.file_path = w.file_path
+  FROM packs{tag} p JOIN w{tag} w ON p.collection_id = w.collection_id AND p.file_path = w.file_path
   UNION ALL
   SELECT collection_id, file_path, i, i, o, substr(lines[i], o + 1, {K.MAX_BLOCK_CHARS})
-  FROM (SELECT *, unnest(range(0, raw[i], {K.MAX_BLOCK_CHARS})) AS o FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM w) WHERE raw[i] + (i < n)::int > {K.MAX_PACK_CHARS})
-), blocks AS (
+  FROM (SELECT *, unnest(range(0, raw[i], {K.MAX_BLOCK_CHARS})) AS o FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM w{tag}) WHERE raw[i] + (i < n)::int > {K.MAX_PACK_CHARS})
+), blocks{tag} AS (
   SELECT DISTINCT collection_id, file_path, start_line, end_line, piece_offset, content,
     sha256(collection_id || '/' || file_path || '-' || start_line || '-' || end_line || '-' || CASE WHEN piece_offset IS NULL THEN '' ELSE piece_offset || '-' END
       || length(content) || '-' || substr(content, 1, 100)) AS segment_hash
-  FROM raw_blocks
+  FROM raw_blocks{tag}
 )"""
 
 
 TODO = f"""todo AS (SELECT collection_id, file_path, content FROM change WHERE change IN ('new', 'changed')), {packed("todo").strip()},
 todo_blocks AS (SELECT collection_id, count(*) AS n_blocks FROM blocks GROUP BY collection_id)"""
 
+SUMMARY = f"""
+c AS (
+  SELECT collection_id, count(*) FILTER (change IN ('new', 'changed')) AS processed_files, count(*) FILTER (change IN ('unchanged', 'skipped')) AS skipped_files, count(*) FILTER (change = 'deleted') AS deleted_files
+  FROM change GROUP BY collection_id
+), summary AS (
+  SELECT collection_id, processed_files, skipped_files, deleted_files, processed_files + deleted_files > 0 AS performed, processed_files + deleted_files > 0 AS triggered,
+    CASE WHEN processed_files + deleted_files > 0 THEN '{K.RUN_REASONS["applied"]}' ELSE '{K.RUN_REASONS["fresh"]}' END AS reason,
+    CASE WHEN processed_files + deleted_files > 0 THEN coalesce(n_blocks, 0) ELSE 0 END AS indexed_blocks
+  FROM c LEFT JOIN todo_blocks USING (collection_id)
+)"""
+
 DRY = f"""
 SELECT c.collection_id, count(*) FILTER (change = 'changed') AS changed_files, count(*) FILTER (change = 'new') AS new_files,
   count(*) FILTER (change = 'deleted') AS deleted_files, count(*) FILTER (change = 'skipped') AS skipped_files,
   coalesce(any_value(n_blocks), 0) AS estimated_blocks, ceil(coalesce(any_value(n_blocks), 0) / {K.BATCH_BLOCKS}.0)::bigint AS estimated_batches
 FROM change c LEFT JOIN todo_blocks b ON b.collection_id = c.collection_id GROUP BY c.collection_id"""
 
-MARKDOWN = f"""
-{FILES_SQL.strip()}, ml AS (
-  SELECT collection_id, file_path, doc_id, list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN '## ' || x ELSE x END) AS l FROM files
-), md AS (
-  SELECT collection_id, file_path, CASE WHEN doc_id % 3 = 0 AND len(l) >= 2 THEN list_concat(list_concat(l[1:2], ['---']), l[3:]) ELSE l END AS lines FROM ml
-), heads AS (
+def hashed_id(path: str, start: str, end: str, offset: str, content: str) -> str:
+    return f"""sha256({path} || '-' || {start} || '-' || {end} || '-' || CASE WHEN {offset} IS NULL THEN '' ELSE {offset} || '-' END || length({content}) || '-' || substr({content}, 1, 100))"""
+
+
+def uuid5(name: str) -> str:
+    """Of a text column that holds the name."""
+    x = f"sha1(from_hex('{K.POINT_NAMESPACE.replace('-', '')}') || encode({name}))"
+    return f"""substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-5' || substr({x}, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr({x}, 17, 1))::int % 4 + 1] || substr({x}, 18, 3) || '-' || substr({x}, 21, 12)"""
+
+
+def sections(source: str, tag: str = "") -> str:
+    """Markdown sections of ``source`` (collection_id, file_path, lines)."""
+    return f"""
+heads{tag} AS (
   SELECT *, list_sort(list_filter(list_transform(range(1, len(lines) + 1), lambda i: CASE
     WHEN regexp_matches(lines[i], '^(#{{1,6}})\\s+(.+)$') THEN i - 1
     WHEN i > 1 AND regexp_matches(lines[i], '^(={{3,}}|-{{3,}})\\s*$') AND regexp_matches(lines[i - 1], '^\\s*[^#<>!\\[\\]`\\t]+[^\\n]$') THEN i - 2 END), lambda r: r IS NOT NULL)) AS starts
-  FROM md
-), cuts AS (
-  SELECT *, CASE WHEN len(starts) > 0 AND starts[1] = 0 THEN starts ELSE list_concat([0], starts) END AS c FROM heads
-), sections AS (
+  FROM {source}
+), cuts{tag} AS (
+  SELECT *, CASE WHEN len(starts) > 0 AND starts[1] = 0 THEN starts ELSE list_concat([0], starts) END AS c FROM heads{tag}
+), every{tag} AS (
   SELECT collection_id, file_path, c[k] + 1 AS start_line, coalesce(c[k + 1], len(lines)) AS end_line, array_to_string(lines[c[k] + 1:coalesce(c[k + 1], len(lines))], chr(10)) AS content
-  FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM cuts)
+  FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM cuts{tag})
+), sections{tag} AS (
+  SELECT * FROM every{tag} WHERE length(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')) >= {K.MIN_BLOCK_CHARS}
 )"""
 
+
+def markdown_blocks(source: str, tag: str) -> str:
+    """Blocks of markdown ``source``, as ``md_blocks``: sections, and packs of those over the limit with their own line numbers."""
+    return f"""{sections(source, tag).strip()}, large{tag} AS (
+  SELECT collection_id, file_path || chr(1) || start_line AS file_path, content FROM sections{tag} WHERE length(content) > {K.MAX_PACK_CHARS}
+), {packed("large" + tag, tag).strip()}, md_blocks AS (
+  SELECT collection_id, file_path, start_line, end_line, NULL::bigint AS piece_offset, content FROM sections{tag} WHERE length(content) <= {K.MAX_PACK_CHARS}
+  UNION ALL SELECT collection_id, string_split(file_path, chr(1))[1], start_line + string_split(file_path, chr(1))[2]::bigint - 1, end_line + string_split(file_path, chr(1))[2]::bigint - 1, piece_offset, content FROM blocks{tag}
+)"""
+
+
+MARKDOWN = f"""
+{FILES_SQL.strip()}, ml AS (
+  SELECT collection_id, file_path, doc_id, list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 0 THEN '## ' || x ELSE x END) AS l FROM files
+), md AS (
+  SELECT collection_id, file_path, CASE WHEN doc_id % 3 = 0 AND len(l) >= 2 THEN list_concat(list_concat(l[1:2], ['---']), l[3:]) ELSE l END AS lines FROM ml
+), {sections("md").strip()}"""
+
 QUERY_SET = """
 q AS (
   SELECT vec_id AS query_id, CASE WHEN vec_id % 40 = 0 THEN 'src' END AS prefix, 5 + vec_id % 7 AS k, embedding::double[] AS qv FROM embeddings WHERE vec_id % 20 = 0
@@ -109,14 +148,17 @@ SCOPED = f"""
 
 DOC_PATH = "(lower(file_path) LIKE '%/readme' OR lower(file_path) LIKE '%/docs/%' OR regexp_matches(lower(file_path), '\\.(md|markdown|txt|rst|adoc)$'))"
 
+#: Millionths by hundredths, as integers.
+WEIGHTED = f"""(round(score * 1e6)::bigint * CASE WHEN regexp_matches(lower(query), '\\b(readme|docs?|documentation|guide|tutorial|explain|overview)\\b')
+    THEN CASE WHEN {DOC_PATH} THEN 108 ELSE 98 END ELSE CASE WHEN {DOC_PATH} THEN 90 ELSE 103 END END) / 1e8"""
+
 RANKED = f"""
 {SCOPED.strip()}, said AS (
   SELECT conv_id, arg_min(text, turn) AS words FROM conversations WHERE role = 'user' GROUP BY conv_id
 ), asked AS (
   SELECT t.*, coalesce(CASE WHEN query_id % 3 = 0 THEN 'explain ' || words ELSE words END, 'where is it') AS query FROM top t LEFT JOIN said ON conv_id = query_id WHERE content <> ''
 ), weighed AS (
-  SELECT *, score * CASE WHEN regexp_matches(lower(query), '\\b(readme|docs?|documentation|guide|tutorial|explain|overview)\\b')
-    THEN CASE WHEN {DOC_PATH} THEN 1.08 ELSE 0.98 END ELSE CASE WHEN {DOC_PATH} THEN 0.9 ELSE 1.03 END END::double AS weighted FROM asked
+  SELECT *, {WEIGHTED} AS weighted FROM asked
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, score DESC, rank) AS final_rank FROM weighed
 )"""
@@ -156,6 +198,15 @@ trig AS (
   SELECT *, ms + CASE WHEN urgent THEN 600000 ELSE 9000000 END AS due FROM trig
 )"""
 
+FIRED = """
+f AS (
+  SELECT *, coalesce(lead(ms) OVER o >= due, true) AS fires FROM due WINDOW o AS (PARTITION BY worktree ORDER BY ms, event_id)
+), b AS (
+  SELECT *, coalesce(sum(fires::int) OVER (PARTITION BY worktree ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS burst FROM f
+), fired AS (
+  SELECT worktree, arg_max(kind, (ms, event_id)) AS reason, arg_max(due, (ms, event_id)) AS fire_ms, bool_or(urgent) AS urgent FROM b GROUP BY worktree, burst
+)"""
+
 SQL: dict[str, str] = {
     "corpus_filter": f"""WITH {FILES_SQL.strip()} SELECT collection_id, file_path, size_bytes FROM files
       WHERE list_contains({listed(K.EXTENSIONS)}, {EXT}) AND size_bytes <= {SIZE_CAP}
@@ -175,13 +226,7 @@ SQL: dict[str, str] = {
         || ['8', '9', 'a', 'b'][('0x' || substr(x, 17, 1))::int % 4 + 1] || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS point_id FROM i""",
     "change_diff": f"WITH {DIFF.strip()} SELECT collection_id, file_path, change FROM change",
     "delete_set": f"WITH {DIFF.strip()} SELECT collection_id, file_path FROM change WHERE change IN ('deleted', 'changed')",
-    "index_summary": f"""WITH RECURSIVE {DIFF.strip()}, {TODO}, c AS (
-        SELECT collection_id, count(*) FILTER (change IN ('new', 'changed')) AS processed_files, count(*) FILTER (change IN ('unchanged', 'skipped')) AS skipped_files, count(*) FILTER (change = 'deleted') AS deleted_files
-        FROM change GROUP BY collection_id
-      ) SELECT collection_id, processed_files, skipped_files, deleted_files, processed_files + deleted_files > 0 AS performed, processed_files + deleted_files > 0 AS triggered,
-        CASE WHEN processed_files + deleted_files > 0 THEN 'incremental-index-applied' ELSE 'already-fresh' END AS reason,
-        CASE WHEN processed_files + deleted_files > 0 THEN coalesce(n_blocks, 0) ELSE 0 END AS indexed_blocks
-      FROM c LEFT JOIN todo_blocks USING (collection_id)""",
+    "index_summary": f"WITH RECURSIVE {DIFF.strip()}, {TODO}, {SUMMARY.strip()} SELECT * FROM summary",
     "dry_run_status": f"WITH RECURSIVE {DIFF.strip()}, {TODO} {DRY}",
     "mode_assessments": f"""WITH RECURSIVE {DIFF.strip()}, {TODO}, dry AS ({DRY}), pts AS (
         SELECT collection_id, count(*) AS n_points, row_number() OVER (ORDER BY collection_id) AS no FROM files GROUP BY collection_id
@@ -197,8 +242,53 @@ SQL: dict[str, str] = {
         CASE WHEN age IS NULL THEN 'No completed indexing timestamp found; background status is unknown.' WHEN pending = 0 AND age <= 5 THEN 'Background appears caught up (last completed ' || age || 'm ago).'
         WHEN pending > 0 AND age >= 60 THEN 'Background appears stale (' || pending || ' files pending, last completed ' || age || 'm ago).' ELSE pending || ' files pending; last completed ' || age || 'm ago.' END FROM h""",
     "chunk_lines": f"WITH RECURSIVE {FILES_SQL.strip()}, {packed('files').strip()} SELECT collection_id, file_path, start_line, end_line, length(content) AS n_chars, segment_hash FROM blocks",
-    "markdown_sections": f"""WITH {MARKDOWN.strip()} SELECT collection_id, file_path, start_line, end_line, sha256(content) AS content_hash FROM sections
-      WHERE length(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')) >= {K.MIN_BLOCK_CHARS}""",
+    "markdown_sections": f"WITH {MARKDOWN.strip()} SELECT collection_id, file_path, start_line, end_line, sha256(content) AS content_hash FROM sections",
+    "markdown_chunks": f"""WITH RECURSIVE {MARKDOWN.strip()}, {markdown_blocks("md", "_m")}
+      SELECT collection_id, file_path, start_line, end_line, piece_offset, {hashed_id("collection_id || '/' || file_path", "start_line", "end_line", "piece_offset", "content")} AS segment_hash FROM md_blocks""",
+    "refresh_index": f"""WITH RECURSIVE {DIFF.strip()}, todo AS (
+        SELECT collection_id, file_path, content, {EXT} AS ext FROM change WHERE change IN ('new', 'changed') AND list_contains({listed(K.EXTENSIONS)}, {EXT})
+      ), md AS (SELECT collection_id, file_path, string_split(content, chr(10)) AS lines FROM todo WHERE list_contains({listed(K.MARKDOWN_EXTENSIONS)}, ext)),
+      {markdown_blocks("md", "_m")}, others AS (
+        SELECT collection_id, file_path, content FROM todo WHERE NOT list_contains({listed(K.MARKDOWN_EXTENSIONS + K.NO_GRAMMAR_EXTENSIONS)}, ext)
+      ), {packed("others", "_o").strip()}, every AS (
+        SELECT * FROM md_blocks UNION ALL SELECT collection_id, file_path, start_line, end_line, piece_offset, content FROM blocks_o
+      ), ided AS (
+        SELECT *, {hashed_id("collection_id || '/' || file_path", "start_line", "end_line", "piece_offset", "content")} AS segment_hash FROM every WHERE regexp_matches(content, '\\S')
+      ) SELECT DISTINCT collection_id, file_path, start_line, end_line, {uuid5("segment_hash")} AS point_id, 64 AS dim FROM ided""",
+    "rebuild_index": f"""WITH RECURSIVE {FILES_SQL.strip()}, todo AS (
+        SELECT collection_id, file_path, content, {EXT} AS ext, size_bytes > {SIZE_CAP} AS big FROM files WHERE list_contains({listed(K.EXTENSIONS)}, {EXT})
+      ), md AS (SELECT collection_id, file_path, string_split(content, chr(10)) AS lines FROM todo WHERE NOT big AND list_contains({listed(K.MARKDOWN_EXTENSIONS)}, ext)),
+      {markdown_blocks("md", "_m")}, others AS (
+        SELECT collection_id, file_path, content FROM todo WHERE NOT big AND NOT list_contains({listed(K.MARKDOWN_EXTENSIONS + K.NO_GRAMMAR_EXTENSIONS)}, ext)
+      ), {packed("others", "_o").strip()}, every AS (
+        SELECT collection_id, content FROM md_blocks UNION ALL SELECT collection_id, content FROM blocks_o
+      ), n AS (SELECT collection_id, count(*) AS n_blocks FROM every WHERE regexp_matches(content, '\\S') GROUP BY 1)
+      SELECT collection_id, count(*) FILTER (NOT big) AS processed_files, count(*) FILTER (big) AS skipped_files, 0::bigint AS deleted_files, count(*) FILTER (NOT big) > 0 AS performed,
+        count(*) FILTER (NOT big) > 0 AS triggered, CASE WHEN count(*) FILTER (NOT big) > 0 THEN '{K.RUN_REASONS["applied"]}' ELSE '{K.RUN_REASONS["fresh"]}' END AS reason,
+        coalesce(any_value(n_blocks), 0) AS indexed_blocks FROM todo LEFT JOIN n USING (collection_id) GROUP BY collection_id""",
+    "run_markers": f"""WITH {FILES_SQL.strip()}, c AS (SELECT DISTINCT collection_id, substr(collection_id, -1) < '8' AS done FROM files)
+      SELECT collection_id, 'r1' AS run_id, true AS indexing_complete, epoch_ms(TIMESTAMP '2024-01-01') AS started_ms, epoch_ms(TIMESTAMP '2024-01-01') AS completed_ms, 64 AS vector_dim FROM c
+      UNION ALL SELECT collection_id, 'r2', done, epoch_ms(CASE WHEN done THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-02' END), CASE WHEN done THEN epoch_ms(TIMESTAMP '2024-01-03') END, 64 FROM c""",
+    "model_profiles": f"""WITH k AS (
+        SELECT * FROM (VALUES {", ".join("('" + p + "', '" + m + f"', {d}, {t}, " + ("NULL" if x is None else "'" + x + "'") + ")" for p, m, d, t, x in K.MODEL_PROFILES)}) v(provider, model, d, t, query_prefix)
+      ), a AS (
+        SELECT doc_id, ['openai', 'ollama', 'gemini', 'mistral', 'none'][doc_id % 5 + 1] AS provider, {listed(MODELS)}[doc_id % {len(MODELS)} + 1] AS model,
+          CASE WHEN doc_id % 7 = 0 THEN 100 END AS dimension, CASE WHEN doc_id % 5 = 1 THEN 0.25::double END AS min_score FROM documents
+      ) SELECT doc_id, provider, model, coalesce(dimension, d) AS dimension, coalesce(min_score, t::double, {K.MIN_SCORE}::double) AS min_score, query_prefix FROM a LEFT JOIN k USING (provider, model)""",
+    "query_prefixes": f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{K.CODE_PREFIX}' ELSE '' END || coalesce(text, '') AS text FROM documents),
+      b AS (SELECT doc_id, CASE WHEN starts_with(text, '{K.CODE_PREFIX}') OR {TOKENS.format("'" + K.CODE_PREFIX + "' || text")} > {K.MAX_ITEM_TOKENS} THEN text ELSE '{K.CODE_PREFIX}' || text END AS text FROM a)
+      SELECT doc_id, sha256(text) AS text_hash, {TOKENS.format("text")} AS tokens FROM b""",
+    "decoded_vectors": "SELECT vec_id, i - 1 AS dim, embedding[i] AS value FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
+    "dimension_check": "SELECT label, coalesce(bool_or(vec_id % 11 = 0 AND label > 5), false) AS needs_rebuild FROM embeddings GROUP BY label",
+    "external_links": f"WITH {FILES_SQL.strip()} SELECT collection_id, file_path, file_path AS logical_path FROM files WHERE doc_id % 6 > 1",
+    "cosine_pairs": """WITH v AS (SELECT vec_id, embedding::double[] AS v, vec_id % 9 = 0 AS none FROM embeddings)
+      SELECT a.vec_id, CASE WHEN NOT a.none AND NOT b.none THEN round(list_cosine_similarity(a.v, b.v), 6) END AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""",
+    "newest_requests": f"""WITH {TRIGGERS.strip()}, {FIRED.strip()} SELECT worktree, arg_max(reason, fire_ms) AS reason, max(fire_ms) AS fire_ms FROM fired GROUP BY worktree""",
+    "search_reasons": f"""WITH RECURSIVE {DIFF.strip()}, {TODO}, {SUMMARY.strip()}, pts AS (
+        SELECT collection_id, row_number() OVER (ORDER BY collection_id) <> 3 AS ready, bool_or(doc_id = 0) AS waiting FROM files GROUP BY collection_id
+      ) SELECT collection_id, 'disabled' AS mode, false AS performed, false AS triggered, CASE WHEN ready THEN '{K.SEARCH_REASONS["ready"]}' ELSE '{K.SEARCH_REASONS["missing"]}' END AS reason FROM pts
+      UNION ALL SELECT collection_id, 'background', false, true, CASE WHEN waiting THEN '{K.SEARCH_REASONS["scheduled"]}' ELSE '{K.SEARCH_REASONS["idle"]}' END FROM pts
+      UNION ALL SELECT collection_id, 'query', performed, triggered, reason FROM summary""",
     "tree_descent": f"""WITH {FILES_SQL.strip()}, n AS (
         SELECT collection_id, file_path, string_split(content, chr(10)) AS l, content FROM files
       ), g AS (
@@ -229,27 +319,25 @@ SQL: dict[str, str] = {
     "cosine_topk": f"""WITH {QUERY_SET.strip()}, s AS (SELECT query_id, k, vec_id::varchar AS point_id, round(list_cosine_similarity(embedding::double[], qv), 6) AS score FROM q, embeddings)
       SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank, FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= k""",
     "scoped_topk": f"WITH {SCOPED.strip()} SELECT query_id, point_id, score, rank FROM top",
-    "rerank": f"WITH {RANKED.strip()} SELECT query_id, point_id, file_path, score, rank, round(weighted, 6) AS weighted_score, final_rank FROM ranked",
+    "rerank": f"WITH {RANKED.strip()} SELECT query_id, point_id, file_path, score, rank, weighted AS weighted_score, final_rank FROM ranked",
     "response_json": f"""WITH {RANKED.strip()} SELECT query_id, count(*) AS n_results, arg_min(file_path, final_rank) AS first_path, arg_min(score, final_rank) AS first_score FROM ranked GROUP BY query_id""",
-    "search_end_to_end": f"""WITH {FILES_SQL.strip()}, {embedded("e", "files", "doc_id", "content").strip()}, qt AS (
+    "search_end_to_end": f"""WITH RECURSIVE {FILES_SQL.strip()}, {packed("files").strip()}, pts AS (
+        SELECT {uuid5("segment_hash")} AS point_id, file_path, start_line, end_line, content FROM blocks WHERE regexp_matches(content, '\\S')
+      ), {embedded("e", "pts", "point_id", "content").strip()}, qt AS (
         SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'readme ' || text ELSE text END AS query FROM benchmark
       ), {embedded("b", "qt", "item_id", "query").strip()}, en AS (SELECT id, sqrt(sum(v::double * v::double)) AS n FROM e GROUP BY id), bn AS (SELECT id, sqrt(sum(v::double * v::double)) AS n FROM b GROUP BY id),
-      s AS (SELECT b.id AS query_id, e.id AS doc_id, round(sum(b.v::double * e.v::double) / any_value(bn.n * en.n), 6) AS score FROM b JOIN e USING (dim) JOIN en ON en.id = e.id JOIN bn ON bn.id = b.id GROUP BY ALL),
-      top AS (SELECT query_id, doc_id, doc_id::varchar AS point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::varchar) AS rank FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::varchar) <= 20),
-      weighed AS (SELECT top.*, score * CASE WHEN regexp_matches(lower(query), '\\b(readme|docs?|documentation|guide|tutorial|explain|overview)\\b')
-          THEN CASE WHEN {DOC_PATH} THEN 1.08 ELSE 0.98 END ELSE CASE WHEN {DOC_PATH} THEN 0.9 ELSE 1.03 END END::double AS weighted FROM top JOIN files USING (doc_id) JOIN qt ON item_id = query_id)
-      SELECT query_id, point_id, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, score DESC, rank) AS final_rank FROM weighed""",
+      s AS (SELECT b.id AS query_id, e.id AS point_id, round(sum(b.v::double * e.v::double) / any_value(bn.n * en.n), 6) AS score FROM b JOIN e USING (dim) JOIN en ON en.id = e.id JOIN bn ON bn.id = b.id GROUP BY ALL),
+      top AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= 20),
+      weighed AS (SELECT top.*, file_path, start_line, end_line, {WEIGHTED} AS weighted FROM top JOIN pts USING (point_id) JOIN qt ON item_id = query_id)
+      SELECT query_id, point_id, file_path, start_line, end_line, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, score DESC, rank) AS final_rank FROM weighed""",
     "upsert_points": f"""WITH {DIFF.strip()}, d AS (SELECT c.collection_id, c.file_path, 'p-' || doc_id AS point_id, change, doc_id % 11 <> 0 AS was FROM change c JOIN files f ON f.collection_id = c.collection_id AND f.file_path = c.file_path)
       SELECT collection_id, file_path, point_id, CASE WHEN change IN ('new', 'changed') THEN 'new' ELSE 'old' END AS state FROM d WHERE change IN ('new', 'changed') OR was""",
-    "manifest_round_trip": f"WITH {MANIFEST_SQL.strip()} SELECT collection_id || '/' || string_split(file_path, '/')[-2] AS collection_id, file_path, file_hash FROM prev_manifest",
+    "manifest_round_trip": f"WITH {MANIFEST_SQL.strip()} SELECT collection_id, file_path, file_hash FROM prev_manifest",
     "watch_deltas": f"""WITH {SNAPSHOTS.strip()} SELECT key, "at"::varchar AS "at", points, cache_entries, indexing_complete, coalesce(points - lag(points) OVER o, 0) AS points_delta,
       coalesce(cache_entries - lag(cache_entries) OVER o, 0) AS cache_delta, coalesce(indexing_complete <> lag(indexing_complete) OVER o, false) AS completion_changed FROM snap WINDOW o AS (PARTITION BY key ORDER BY "at")""",
     "watch_totals": f"""WITH {SNAPSHOTS.strip()} SELECT key, count(*) AS n_snapshots, arg_max(points, "at") - arg_min(points, "at") AS points_delta, arg_max(cache_entries, "at") - arg_min(cache_entries, "at") AS cache_delta,
       arg_max(indexing_complete, "at") <> arg_min(indexing_complete, "at") AS completion_changed FROM snap GROUP BY key""",
-    "debounce_triggers": f"""WITH {TRIGGERS.strip()}, f AS (SELECT *, coalesce(lead(ms) OVER o >= due, true) AS fires FROM due WINDOW o AS (PARTITION BY worktree ORDER BY ms, event_id)),
-      b AS (SELECT *, coalesce(sum(fires::int) OVER (PARTITION BY worktree ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS burst FROM f),
-      g AS (SELECT worktree, arg_max(kind, (ms, event_id)) AS reason, arg_max(due, (ms, event_id)) AS fire_ms, bool_or(urgent) AS urgent FROM b GROUP BY worktree, burst)
-      SELECT worktree, reason, fire_ms FROM g UNION ALL SELECT worktree, 'urgent-followup', fire_ms FROM g WHERE urgent""",
+    "debounce_triggers": f"WITH {TRIGGERS.strip()}, {FIRED.strip()} SELECT worktree, reason, fire_ms FROM fired UNION ALL SELECT worktree, 'urgent-followup', fire_ms FROM fired WHERE urgent",
     "session_triggers": f"""WITH {TRIGGERS.strip()}, m AS (SELECT *, coalesce(max(due) OVER (PARTITION BY worktree ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM due),
       b AS (SELECT *, sum((ms > before)::int) OVER (PARTITION BY worktree ORDER BY ms, event_id) AS s FROM m)
       SELECT worktree, min(ms) AS start_ms, max(due) AS fire_ms, count(*) AS n_events, bool_or(urgent) AS urgent FROM b GROUP BY worktree, s""",

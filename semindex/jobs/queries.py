@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
-from semindex.jobs.index import refresh_index
+from semindex.jobs.index import RUNS, rebuild_index, refresh_index, run_index, search_table
 from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store
 from semindex.sources import derived as D
-from semindex.sources.corpus import manifest_json, parse_manifest
+from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version
+from semindex.sources.shared import saved, shared_folder
 from semindex.streaming import triggers
 
+POINTS = "collection_id string, file_path string, start_line int, end_line int, content string, segment_hash string, point_id string, vector array<float>"
 NORMAL_MS, URGENT_MS = 150 * 60_000, 10 * 60_000
 
 
@@ -175,7 +180,8 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.ann_search(_points(spark, sf), _queries(spark, sf), min_score=0.05)
+    queries = _queries(spark, sf).withColumn("path_prefix", F.lit(None).cast("string"))
+    return search.ann_search(_points(spark, sf), queries, min_score=0.05)
 
 
 def _file_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +205,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
     out = search.search(_file_points(spark, sf), _asked(spark, sf), min_score=0.05)
-    return out.select("query_id", "point_id", "file_path", "score", "rank", F.round("weighted_score", 6).alias("weighted_score"), "final_rank")
+    return out.select("query_id", "point_id", "file_path", "score", "rank", "weighted_score", "final_rank")
 
 
 def response_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,12 +215,12 @@ def response_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.corpus_files(spark, sf).select("collection_id", F.col("doc_id").cast("string").alias("point_id"), "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content")
-    points = embedding.embed(docs, "content", embedding.hashing_embedder(64)).where("vector IS NOT NULL")
+    """Documents to blocks, blocks to vectors, once; benchmark texts searched in them."""
+    blocks = chunking.with_ids(filters.non_blank(chunking.chunk_lines(D.corpus_files(spark, sf).drop("doc_id"))))
+    points = saved(embedding.embed(blocks.drop("piece_offset", "segment_hash"), "content", embedding.hashing_embedder(64)).where("vector IS NOT NULL"), "points")
     text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("readme "), "text")).otherwise(F.col("text"))
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), F.lit(None).cast("string").alias("collection_id"), F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("int").alias("max_results"))
-    queries = embedding.embed(asked, "query", embedding.hashing_embedder(64)).where("vector IS NOT NULL")
-    return search.search(points, queries).select("query_id", "point_id", "score", "rank", "final_rank")
+    return search_table(points, asked, embedding.hashing_embedder(64)).select("query_id", "point_id", "file_path", "start_line", "end_line", "score", "rank", "final_rank")
 
 
 def upsert_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,15 +235,106 @@ def upsert_points(spark: SparkSession, sf: str) -> DataFrame:
 def refresh(spark: SparkSession, sf: str) -> DataFrame:
     """An incremental run from nothing but the old manifest: the points it would write, by id."""
     files = D.corpus_files(spark, sf)
-    empty = spark.createDataFrame([], "collection_id string, file_path string, start_line int, end_line int, content string, segment_hash string, point_id string, vector array<float>")
-    points = refresh_index(files.drop("doc_id"), D.prev_manifest(files), empty, embedding.hashing_embedder(64), D.SIZE_CAP).points
+    points = refresh_index(files.drop("doc_id"), D.prev_manifest(files), spark.createDataFrame([], POINTS), embedding.hashing_embedder(64), D.SIZE_CAP).points
     return points.select("collection_id", "file_path", "start_line", "end_line", "point_id", F.size("vector").alias("dim"))
 
 
+def rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """A full run over all files: its summary."""
+    return rebuild_index(D.corpus_files(spark, sf).drop("doc_id"), embedding.hashing_embedder(64), D.SIZE_CAP).summary
+
+
+def adopt(spark: SparkSession, sf: str) -> DataFrame:
+    """Two durable runs over one store that has points of all collections and a manifest of some: the others are adopted; the
+    second run finds all fresh. Summaries of both."""
+    files = D.corpus_files(spark, sf)
+    embedder, store = embedding.hashing_embedder(64), shared_folder(spark, "store")
+    held = files.where("doc_id % 5 = 0").select("collection_id", "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content", F.lit("h").alias("segment_hash"), F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("point_id"))
+    save_version(embedding.embed(held, "content", embedder).withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), 64))), f"{store}/points")
+    save_version(D.prev_manifest(files).where("collection_id < 'ws-8'"), f"{store}/manifest")
+    files = files.drop("doc_id")
+    runs = [run_index(spark, files, store, embedder, 64, f"r{n}", f"2024-01-0{n}", D.SIZE_CAP).withColumn("run_id", F.lit(f"r{n}")) for n in (1, 2)]
+    marked = load_version(spark, f"{store}/runs").select("collection_id", "run_id", "indexing_complete", "vector_dim")
+    return runs[0].unionByName(runs[1]).join(marked, ["collection_id", "run_id"])
+
+
+def run_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Markers of two runs, of which the second isn't complete for every other worktree."""
+    collections = D.corpus_files(spark, sf).select("collection_id").distinct()
+    some = collections.where(F.substring("collection_id", -1, 1) < "8")
+    runs = store.mark_run(spark.createDataFrame([], RUNS), collections, "r1", "2024-01-01", True, 64)
+    runs = store.mark_run(store.mark_run(runs, collections, "r2", "2024-01-02", False, 64), some, "r2", "2024-01-03", True, 64)
+    return runs.select("collection_id", "run_id", "indexing_complete", F.unix_millis("started_at").alias("started_ms"), F.unix_millis("completed_at").alias("completed_ms"), "vector_dim")
+
+
+def search_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    files = D.corpus_files(spark, sf)
+    points = files.groupBy("collection_id").agg(F.count("*").alias("n_points"))
+    health = store.has_indexed_data(points, _runs(points.select("collection_id")))
+    waiting = files.where("doc_id = 0").select("collection_id")
+    return status.search_reasons(health, waiting, index_summary(spark, sf))
+
+
+def model_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document asks for a model by its number, every seventh with a dimension of its own, every fifth with a score floor."""
+    pick = lambda names, by: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % by + 1).cast("int"))
+    asked = D.table(spark, sf, "documents").select(
+        "doc_id", pick(("openai", "ollama", "gemini", "mistral", "none"), 5).alias("provider"), pick(D.MODELS, len(D.MODELS)).alias("model"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit(100)).alias("dimension"), F.when(F.col("doc_id") % 5 == 1, F.lit(0.25)).alias("min_score"),
+    )
+    return search.profiles(asked).select("doc_id", "provider", "model", "dimension", "min_score", "query_prefix")
+
+
+def query_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a model's prefix and a text; every third text has the prefix already."""
+    text = F.coalesce("text", F.lit(""))
+    asked = D.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(K.CODE_PREFIX), text)).otherwise(text).alias("text"))
+    return asked.select("doc_id", C.sha256(C.apply_prefix("text", K.CODE_PREFIX)).alias("text_hash"), C.est_tokens(C.apply_prefix("text", K.CODE_PREFIX)).alias("tokens"))
+
+
+def decoded_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors to base64 as services send them, and back."""
+    held = D.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    names = held.columns
+
+    def packed(batches):
+        for batch in batches:
+            wire = [None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wire, pa.string())], names)
+
+    back = embedding.decode_vectors(held.mapInArrow(packed, "vec_id long, embedding string"), "embedding")
+    return back.select("vec_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+def dimension_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label whether an index of 64 dimensions has to be rebuilt: every eleventh vector of labels over 5 has lost one."""
+    vector = F.when((F.col("vec_id") % 11 == 0) & (F.col("label") > 5), F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return D.table(spark, sf, "embeddings").groupBy("label").agg(embedding.other_dimension(vector, 64).alias("needs_rebuild"))
+
+
+def external_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with the path below their worktree; every sixth is a link that leads out of it."""
+    outside = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("/elsewhere/"), "file_path")).when(F.col("doc_id") % 6 == 1, F.concat(F.lit("/w-other/"), "file_path"))
+    files = D.corpus_files(spark, sf).withColumn("resolved_path", F.coalesce(outside, F.concat(F.lit("//w//"), "file_path")))
+    files = files.withColumn("logical_path", C.relative_path("resolved_path", F.lit("/w/"))).withColumn("resolved_path", F.regexp_replace("resolved_path", "/+", "/"))
+    return filters.filter_external(files, F.lit("/w"), follow_external=False).select("collection_id", "file_path", "logical_path")
+
+
+def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of each vector and the next one; every ninth has no length and no cosine."""
+    vector = F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    held = D.table(spark, sf, "embeddings").select("vec_id", vector.alias("v"))
+    after = held.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return held.join(after, "vec_id").select("vec_id", F.round(C.cosine("v", "w"), 6).alias("cosine"))
+
+
+def newest_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return triggers.newest_request(debounce_triggers(spark, sf).where("reason <> 'urgent-followup'"))
+
+
 def manifest_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     files = D.corpus_files(spark, sf)
-    folders = D.prev_manifest(files).withColumn("collection_id", F.concat_ws("/", "collection_id", F.element_at(C.path_segments("file_path"), -2)))
-    return parse_manifest(manifest_json(folders)).select("collection_id", "file_path", "file_hash")
+    return parse_manifest(manifest_json(D.prev_manifest(files))).select("collection_id", "file_path", "file_hash")
 
 
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,5 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
-    "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
+    "rebuild_index": rebuild, "adopt_index": adopt, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
+    "query_prefixes": query_prefixes, "decoded_vectors": decoded_vectors, "dimension_check": dimension_check, "external_links": external_links,
+    "cosine_pairs": cosine_pairs, "newest_requests": newest_requests, "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
 }

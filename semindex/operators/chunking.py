@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
+from semindex.sources.shared import saved
 
 BLOCKS = "collection_id string, file_path string, start_line int, end_line int, piece_offset int, content string"
 
@@ -91,17 +92,26 @@ class NodeExtractor(Protocol):
 
 
 class Node:
-    __slots__ = ("start", "end", "text", "children")
+    __slots__ = ("start", "end", "held", "children")
 
-    def __init__(self, start: int, end: int, text: str, children: list[Node] | None = None):
-        self.start, self.end, self.text, self.children = start, end, text, children or []
+    def __init__(self, start: int, end: int, text: str | tuple[str, int, int], children: list[Node] | None = None):
+        """``text`` may be a range (source, begin, end), which is cut out only when it is asked for."""
+        self.start, self.end, self.held, self.children = start, end, text, children or []
+
+    @property
+    def size(self) -> int:
+        return len(self.held) if isinstance(self.held, str) else self.held[2] - self.held[1]
+
+    @property
+    def text(self) -> str:
+        return self.held if isinstance(self.held, str) else self.held[0][self.held[1] : self.held[2]]
 
 
 def descend(seeds: list[Node]) -> Iterator[Block]:
     """Breadth first: small nodes vanish, those that fit are blocks, larger ones give way to their children, large leaves to lines. Rows count from 0."""
     queue = list(seeds)
     for node in queue:
-        size = len(node.text)
+        size = node.size
         if size < K.MIN_BLOCK_CHARS:
             continue
         if size <= K.MAX_PACK_CHARS:
@@ -165,7 +175,7 @@ def html_nodes(text: str) -> list[Node]:
     """The page's tree; every node of it is a seed, the whole page first."""
     tree = HtmlNodes(text)
     row = lambda i: bisect_right(tree.starts, i) - 1
-    made = lambda raw: Node(row(raw[0]), row(max(raw[0], raw[1])), text[raw[0] : raw[1]])
+    made = lambda raw: Node(row(raw[0]), row(max(raw[0], raw[1])), (text, raw[0], max(raw[0], raw[1])))
     stack = [(tree.root, made(tree.root))]
     for raw, node in stack:
         node.children = [made(c) for c in raw[2]]
@@ -195,11 +205,6 @@ def python_nodes(text: str) -> list[Node]:
 
 EXTRACTORS: dict[str, NodeExtractor] = {".html": html_nodes, ".htm": html_nodes, ".py": python_nodes}
 
-ATX = r"^(#{1,6})\s+(.+)\z"
-UNDERLINE = r"^(={3,}|-{3,})\s*\z"
-TITLE = r"^\s*[^#<>!\[\]`\t]+[^\n]\z"
-
-
 def section_starts(content: Column | str) -> Column:
     """Header rows of a markdown text (from 0), from its lines and each line's neighbour above."""
     lines = F.split(C.col(content), "\n")
@@ -207,7 +212,7 @@ def section_starts(content: Column | str) -> Column:
     pairs = F.arrays_zip(lines.alias("line"), above.alias("title"))
     marked = F.transform(
         pairs,
-        lambda p, i: F.when(p["line"].rlike(ATX), i).when((i > 0) & p["line"].rlike(UNDERLINE) & p["title"].rlike(TITLE), i - 1),
+        lambda p, i: F.when(p["line"].rlike(K.ATX), i).when((i > 0) & p["line"].rlike(K.UNDERLINE) & p["title"].rlike(K.TITLE), i - 1),
     )
     return F.array_sort(F.filter(marked, lambda r: r.isNotNull()))
 
@@ -219,9 +224,11 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     cuts = F.when(F.size("_starts") == 0, F.array(F.lit(0))).when(F.element_at("_starts", 1) == 0, F.col("_starts")).otherwise(F.concat(F.array(F.lit(0)), "_starts"))
     held = files.select("collection_id", "file_path", lines.alias("_lines"), starts.alias("_starts")).withColumn("_cuts", cuts)
     ends = F.concat(F.slice("_cuts", 2, F.size("_cuts")), F.array(F.size("_lines")))
-    spans = held.select("collection_id", "file_path", "_lines", F.explode(F.arrays_zip(F.col("_cuts").alias("a"), ends.alias("b"))).alias("_s"))
-    content = F.array_join(F.slice("_lines", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")), "\n")
-    out = spans.select("collection_id", "file_path", (F.col("_s.a") + 1).alias("start_line"), F.col("_s.b").alias("end_line"), F.lit(None).cast("int").alias("piece_offset"), content.alias("content"))
+    # Sections get their text before they become rows, so a row carries its section and not the file.
+    text = lambda s: F.array_join(F.slice(F.col("_lines"), s["a"] + 1, s["b"] - s["a"]), "\n")
+    made = F.transform(F.arrays_zip(F.col("_cuts").alias("a"), ends.alias("b")), lambda s: F.struct((s["a"] + 1).alias("start_line"), s["b"].alias("end_line"), text(s).alias("content")))
+    spans = held.select("collection_id", "file_path", F.explode(made).alias("_s"))
+    out = spans.select("collection_id", "file_path", "_s.start_line", "_s.end_line", F.lit(None).cast("int").alias("piece_offset"), "_s.content")
     return out.where((F.col("end_line") >= F.col("start_line")) & (F.length(C.trimmed("content")) >= K.MIN_BLOCK_CHARS))
 
 
@@ -239,7 +246,6 @@ def per_row(df: DataFrame, blocks_of, columns: list[str]) -> DataFrame:
                 arrays = [pa.array(v, t) for v, (_, t) in zip(values, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *arrays], ["collection_id", "file_path", *(n for n, _ in made)])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.select("collection_id", "file_path", *columns).mapInArrow(run, BLOCKS)
 
 
@@ -278,7 +284,7 @@ def chunk_nodes(nodes: DataFrame, depth: int = 32) -> DataFrame:
     """
     key = ["collection_id", "file_path"]
     parents = nodes.where("parent_id IS NOT NULL").select(*key, F.col("parent_id").alias("node_id")).distinct().withColumn("_inner", F.lit(True))
-    known = nodes.join(parents, [*key, "node_id"], "left").withColumn("_size", F.length("text"))
+    known = saved(nodes.join(parents, [*key, "node_id"], "left").withColumn("_size", F.length("text")), "nodes")
     frontier = known.where("parent_id IS NULL")
     fits, leaves = [], []
     for _ in range(depth):
@@ -288,7 +294,7 @@ def chunk_nodes(nodes: DataFrame, depth: int = 32) -> DataFrame:
         inner = large.where("_inner").select(*key, F.col("node_id").alias("parent_id"))
         if inner.isEmpty():
             break
-        frontier = known.join(inner, [*key, "parent_id"], "left_semi")
+        frontier = saved(known.join(inner, [*key, "parent_id"], "left_semi"), "frontier")
     else:
         raise ValueError(f"a tree is deeper than {depth}")
     whole = fits[0]

@@ -43,8 +43,8 @@ def index_summary(diff: DataFrame, n_blocks: DataFrame, adopted: DataFrame | Non
     out = out.join(held, "collection_id", "left")
     work = (F.col("processed_files") > 0) | (F.col("deleted_files") > 0)
     reason = (
-        F.when(work & F.col("_adopted"), "adopted-existing-roo-index-reconciled").when(work, "incremental-index-applied")
-        .when(F.col("_adopted"), "adopted-existing-roo-index").otherwise("already-fresh")
+        F.when(work & F.col("_adopted"), K.RUN_REASONS["adopted_applied"]).when(work, K.RUN_REASONS["applied"])
+        .when(F.col("_adopted"), K.RUN_REASONS["adopted"]).otherwise(K.RUN_REASONS["fresh"])
     )
     return out.withColumns({"performed": work, "triggered": work, "reason": reason, "indexed_blocks": F.when(work, F.col("indexed_blocks")).otherwise(0)}).drop("_adopted")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,11 @@ def with_retries(call: Callable[[], np.ndarray], tries: int = K.RETRIES, first_m
     raise ValueError("tries must be positive")
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder, batch_size: int = K.BATCH_BLOCKS, prefix: str | None = None) -> DataFrame:
     """df with ``vector``. The trimmed text is embedded, the column stays as it is; a vector stays with its row.
 
@@ -41,7 +46,7 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, batch_size: int = K.
     names = [*df.columns, "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             wanted = [i for i, t in enumerate(texts) if t is not None]
             vectors: list = [None] * len(texts)
@@ -51,22 +56,38 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, batch_size: int = K.
                     vectors[i] = v
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(vectors, pa.list_(pa.float32()))], names)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return ready.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
+class WordPlaces(dict):
+    """A word's place by its hash, remembered for WORDS words."""
+
+    WORDS = 200_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.WORDS:
+            self.clear()
+        at = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return at
+
+    def __reduce__(self):
+        return WordPlaces, (self.dim,)
+
+
 def hashing_embedder(dim: int = 64) -> Embedder:
     """Offline and deterministic: counts of lower-case words by a hash of the word, at unit length."""
 
+    known = WordPlaces(dim)  # one for each worker that unpickles it
+
     def run(texts: list[str]) -> np.ndarray:
-        known: dict[str, int] = {}
         out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split(" "):
-                if word:
-                    if (at := known.get(word)) is None:
-                        at = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-                    row[at] += 1
+            places = [known[word] for word in text.lower().split(" ") if word]
+            row += np.bincount(np.array(places, np.int64), minlength=dim)
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -87,8 +108,13 @@ def decode_vectors(df: DataFrame, column: str) -> DataFrame:
     return raw.mapInArrow(run, T.StructType(fields))
 
 
+def other_dimension(vector: Column | str, dim: int) -> Column:
+    """Aggregate: whether any vector has another dimension."""
+    return F.coalesce(F.bool_or(F.size(C.col(vector)) != dim), F.lit(False))
+
+
 def needs_rebuild(points: DataFrame, dim: int) -> bool:
-    return bool(points.agg(F.bool_or(F.size("vector") != dim)).first()[0])
+    return points.agg(other_dimension("vector", dim)).first()[0]
 
 
 def batch_numbers(blocks: DataFrame, order: list[str], batch_size: int = K.BATCH_BLOCKS) -> DataFrame:

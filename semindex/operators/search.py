@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
+from semindex.operators.filters import complete_payload
+from semindex.sources.shared import saved
 
-#: Queries that are sent to all tasks at once; more go in further rounds.
-QUERY_BLOCK = 2048
+#: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; points that an index is fitted on.
+QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, SAMPLE = 2048, 8 << 20, 32 << 20, 20_000
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -23,76 +31,137 @@ def profiles(df: DataFrame) -> DataFrame:
     return out.withColumns({"dimension": F.coalesce("dimension", "_dim"), "min_score": F.coalesce("min_score", "_min", F.lit(K.MIN_SCORE))}).drop("_dim", "_min")
 
 
-def topk_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE) -> DataFrame:
-    """(query_id, point_id, score, rank): the best points of each query at or above the floor.
+@dataclass(frozen=True)
+class Block:
+    """Some queries as a matrix."""
 
-    points (collection_id, point_id, file_path, vector), queries (query_id, collection_id or null for all,
-    path_prefix, max_results, vector). Queries go to the points in blocks of QUERY_BLOCK, as a matrix; every
-    Arrow batch keeps each query's best, and only (query, point, score) is shuffled. Scores have 6 decimals,
-    ties are ordered by point_id; vectors of no length match nothing.
-    """
-    spark = points.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    ids: np.ndarray
+    limits: list[int]
+    matrix: np.ndarray
+    norms: np.ndarray
+    scopes: dict[tuple, list[int]]  # queries by what they look at: a collection or all, a path prefix or all
+    probes: list[list[int]] | None  # lists of points that each looks into
+
+
+@functools.lru_cache(maxsize=8)
+def block(uri: str) -> Block:
+    """A file of the queries' table; a worker keeps the last few."""
+    fs, name = pafs.FileSystem.from_uri(uri)
+    rows = pq.read_table(name, filesystem=fs).to_pydict()
+    n = len(rows["query_id"])
+    matrix = np.array(rows["vector"], np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    norms = np.sqrt((matrix * matrix).sum(1))
+    scopes: dict[tuple, list[int]] = {}
+    for i, (place, prefix) in enumerate(zip(rows["collection_id"], rows["prefix"], strict=True)):
+        if norms[i] > 0:
+            scopes.setdefault((place, None if prefix is None else tuple(prefix)), []).append(i)
+    return Block(np.array(rows["query_id"]), rows["k"], matrix, norms, scopes, rows.get("probes"))
+
+
+def query_blocks(queries: DataFrame, k: int) -> DataFrame:
+    """The queries as a table of files of BLOCK_BYTES of vectors and QUERY_BLOCK rows at most, about."""
     limit = F.least(F.greatest(F.coalesce("max_results", F.lit(k)), F.lit(1)), F.lit(K.MAX_TOP_K))
-    asked = queries.select("query_id", "collection_id", C.normalize_prefix("path_prefix").alias("prefix"), limit.alias("k"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select(
+        F.col("query_id").cast("long"), "collection_id", C.normalize_prefix("path_prefix").alias("prefix"), limit.cast("int").alias("k"),
+        F.col("vector").cast("array<double>").alias("vector"), *(["probes"] if "probes" in queries.columns else []),
+    ).where("vector IS NOT NULL")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    rows = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * (dim or 1))))
+    return saved(asked.repartition(max(1, -(-n // rows))), "queries")
+
+
+def scored(points: DataFrame, asked: DataFrame, min_score: float, centroids: np.ndarray | None = None) -> DataFrame:
+    """(query_id, k, point_id, score): of each CHUNK_BYTES of points the best of each query, ties at the border included.
+
+    ``asked`` is a table as of query_blocks(); tasks read its files one after the other, so neither the driver nor a plan holds
+    queries. With ``centroids`` only points of the lists that a query probes are scored.
+    """
+    files = asked.inputFiles()
     slim = points.select("collection_id", "point_id", C.path_segments("file_path").alias("segments"), F.col("vector").cast("array<double>").alias("vector"))
-    found = None
-    block: list = []
-
-    def ask(block: list) -> DataFrame:
-        ids = np.array([q.query_id for q in block])
-        matrix = np.array([q.vector for q in block])
-        norms = np.sqrt((matrix * matrix).sum(1))
-        scope = {}  # queries by what they look at
-        for i, q in enumerate(block):
-            if norms[i] > 0:
-                scope.setdefault((q.collection_id, tuple(q.prefix) if q.prefix is not None else None), []).append(i)
-        limits = [q.k for q in block]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                usable = [i for i, v in enumerate(batch.column(3)) if v.is_valid and len(v) == matrix.shape[1]]
-                if not usable:
+
+    def best(b: Block, rows: list[int], at: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, out: tuple) -> None:
+        scores = np.round(b.matrix[rows] @ vectors[at].T / (b.norms[rows][:, None] * lengths[at]), 6)
+        for row, line in zip(rows, scores, strict=True):
+            good = np.flatnonzero(line >= min_score)
+            if len(good) > b.limits[row]:
+                least = np.partition(line[good], -b.limits[row])[-b.limits[row]]
+                good = good[line[good] >= least]
+            out[0].append(np.full(len(good), row))
+            out[1].append(at[good])
+            out[2].append(line[good])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            usable = pc.and_(pc.is_valid(part.column(3)), pc.greater(pc.fill_null(pc.list_value_length(part.column(3)), 0), 0))
+            part = part.filter(usable)
+            if not part.num_rows:
+                continue
+            sizes = pc.list_value_length(part.column(3)).to_numpy()
+            dim = int(sizes.max())
+            part = part.filter(pa.array(sizes == dim))
+            vectors = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
+            lengths = np.sqrt((vectors * vectors).sum(1))
+            places, paths = np.array(part.column(0).to_pylist(), object), None
+            own = nearest_lists(vectors, centroids, 1)[:, 0] if centroids is not None else None
+            for uri in files:
+                b = block(uri)
+                if not len(b.ids) or b.matrix.shape[1] != dim:
                     continue
-                part = batch.take(pa.array(usable, pa.int64()))
-                vectors = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
-                lengths = np.sqrt((vectors * vectors).sum(1))
-                point_ids = part.column(1).to_pylist()
-                places, paths = part.column(0).to_pylist(), part.column(2).to_pylist() if any(p for _, p in scope) else None
                 out: tuple[list, list, list] = ([], [], [])
-                for (place, prefix), rows in scope.items():
+                for (place, prefix), rows in b.scopes.items():
                     there = lengths > 0
                     if place is not None:
-                        there &= np.array([p == place for p in places])
+                        there &= places == place
                     if prefix is not None:
+                        paths = part.column(2).to_pylist() if paths is None else paths
                         there &= np.array([tuple(s[: len(prefix)]) == prefix for s in paths])
                     at = np.flatnonzero(there)
-                    if not len(at):
+                    if own is None:
+                        best(b, rows, at, vectors, lengths, out)
                         continue
-                    scores = np.round(matrix[rows] @ vectors[at].T / (norms[rows][:, None] * lengths[at]), 6)
-                    for row, line in zip(rows, scores, strict=True):
-                        good = np.flatnonzero(line >= min_score)
-                        if len(good) > limits[row]:
-                            least = np.partition(line[good], -limits[row])[-limits[row]]
-                            good = good[line[good] >= least]  # ties at the border all stay
-                        out[0].extend([ids[row]] * len(good))
-                        out[1].extend(point_ids[at[g]] for g in good)
-                        out[2].extend(line[good].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query_id", "point_id", "score"])
-
-        return slim.mapInArrow(run, "query_id long, point_id string, score double")
-
-    for q in asked.toLocalIterator():
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            found = ask(block) if found is None else found.unionByName(ask(block))
-            block = []
-    if block or found is None:
-        more = ask(block) if block else spark.createDataFrame([], "query_id long, point_id string, score double")
-        found = more if found is None else found.unionByName(more)
+                    probing: dict[int, list[int]] = {}
+                    for row in rows:
+                        for x in b.probes[row]:
+                            probing.setdefault(x, []).append(row)
+                    for x in np.unique(own[at]).tolist():
+                        if x in probing:
+                            best(b, probing[x], at[own[at] == x], vectors, lengths, out)
+                if out[0]:
+                    row, at, score = (np.concatenate(x) for x in out)
+                    limits = np.array(b.limits, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(limits[row]), part.column(1).take(pa.array(at)), pa.array(score)], ["query_id", "k", "point_id", "score"])
+
+    return slim.mapInArrow(run, "query_id long, k int, point_id string, score double")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to CHUNK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """The best k of each query's hits, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= K.MAX_TOP_K)
-    return ranked.join(F.broadcast(asked.select("query_id", "k")), "query_id").where("rank <= k").drop("k")
+    return found.withColumn("rank", rank).where(F.col("rank") <= K.MAX_TOP_K).where("rank <= k").drop("k")
+
+
+def topk_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE) -> DataFrame:
+    """(query_id, point_id, score, rank): the best points of each query at or above the floor.
+
+    points (collection_id, point_id, file_path, vector), queries (query_id, collection_id or null for all,
+    path_prefix, max_results, vector). Queries are written as blocks, which tasks multiply with their points;
+    only (query, k, point, score) is shuffled. Scores have 6 decimals, ties are ordered by point_id; vectors of no
+    length match nothing.
+    """
+    return ranked(scored(points, query_blocks(queries, k), min_score))
 
 
 def weight(path: Column | str, query: Column | str) -> Column:
@@ -103,18 +172,21 @@ def weight(path: Column | str, query: Column | str) -> Column:
 
 
 def rerank(results: DataFrame) -> DataFrame:
-    """results (query_id, query, file_path, score, rank, ...) with weighted_score and final_rank; the score stays raw."""
-    out = results.withColumn("weighted_score", F.col("score") * weight("file_path", "query"))
+    """results (query_id, query, file_path, score, rank, ...) with weighted_score and final_rank; the score stays raw.
+    Scores of 6 decimals are weighed by hundredths as integers, so equal products tie and none rests on a rounding."""
+    millionths, hundredths = F.round(F.col("score") * 1e6).cast("long"), F.round(weight("file_path", "query") * 100).cast("long")
+    out = results.withColumn("weighted_score", millionths * hundredths / 1e8)
     order = Window.partitionBy("query_id").orderBy(F.desc("weighted_score"), F.desc("score"), "rank")
     return out.withColumn("final_rank", F.row_number().over(order))
 
 
 def search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE) -> DataFrame:
-    """Top-k, then the winners' rows are fetched (their text never takes part in the ranking), then the re-rank."""
+    """Top-k, then the winners' rows are fetched (their text never takes part in the ranking), then the re-rank.
+    ``points`` is read twice, vectors and ids, then ids and texts: give a stored table, not one that embeds when read."""
     hits = topk_search(points, queries, k, min_score)
     rows = points.select("point_id", "file_path", "start_line", "end_line", "content")
     full = hits.join(rows, "point_id").join(queries.select("query_id", "query"), "query_id")
-    return rerank(full.where((F.col("file_path") != "") & (F.col("content") != "") & (F.col("start_line") != 0) & (F.col("end_line") != 0)))
+    return rerank(complete_payload(full))
 
 
 def response_json(results: DataFrame) -> DataFrame:
@@ -124,29 +196,69 @@ def response_json(results: DataFrame) -> DataFrame:
     return shaped.select("query_id", F.to_json(F.struct("query", "results")).alias("response"))
 
 
-def ann_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, planes: int = 5, tables: int = 40, seed: int = 3) -> DataFrame:
-    """Approximate form of topk_search for one scope: only points that share a bucket of signs with a query are scored.
+def nearest_lists(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The n centroids of greatest cosine of each vector, best first."""
+    near = vectors @ centroids.T
+    if n == 1:
+        return near.argmax(1)[:, None]
+    return np.argsort(-near, axis=1, kind="stable")[:, :n]
 
-    A bucket is the signs of ``planes`` random projections; a point is looked up in ``tables`` of them. Pairs are
-    scored once, by the exact cosine. Bucket keys are computed where the vectors are and joined without them.
-    """
-    dim = len(queries.select("vector").first()["vector"])
-    normals = np.random.default_rng(seed).standard_normal((tables, planes, dim))
-
-    def keyed(df: DataFrame, name: str, kind: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    signs = (np.einsum("nd,tpd->ntp", v, normals) > 0) @ (1 << np.arange(planes))
-                    keys = (signs + (np.arange(tables) << planes)).astype(np.int64)
-                    owner = pa.array(np.repeat(np.arange(batch.num_rows), tables))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(keys.ravel())], [name, "bucket"])
-
-        return df.select(name, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"{name} {kind}, bucket long")
-
-    pairs = keyed(queries, "query_id", "long").join(keyed(points, "point_id", "string"), "bucket").select("query_id", "point_id").distinct()
-    q = queries.select("query_id", F.col("vector").alias("_q"), F.coalesce("max_results", F.lit(k)).alias("_k"))
-    scored = pairs.join(points.select("point_id", "vector"), "point_id").join(q, "query_id").withColumn("score", F.round(C.cosine("vector", "_q"), 6)).drop("vector", "_q").where(F.col("score") >= min_score)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= F.col("_k")).drop("_k")
+
+def fitted_lists(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Unit centroids of ``lists`` groups of unit vectors, by k-means on the sphere."""
+    rng = np.random.default_rng(seed)
+    centroids = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
+    for _ in range(rounds):
+        own = nearest_lists(sample, centroids, 1)[:, 0]
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, sample)
+        norms = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
+    return centroids
+
+
+def probes_needed(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 256) -> int:
+    """How many lists hold so much of the k nearest, measured on the sample against all of it."""
+    own = nearest_lists(sample, centroids, 1)[:, 0]
+    queries = sample[:: max(1, len(sample) // asked)]
+    order = nearest_lists(queries, centroids, len(centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centroids))[None, :], 1)
+    top = np.argsort(-(queries @ sample.T), axis=1)[:, : min(k, len(sample))]
+    ranks = np.sort(np.take_along_axis(place, own[top], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
+
+
+def ann_index(points: DataFrame, k: int = K.TOP_K, recall: float = 0.93, sample: int = SAMPLE) -> tuple[np.ndarray, int]:
+    """(centroids, lists to probe), fitted on ``sample`` points at most, those of the least hashes: all that is ever collected.
+    There are about as many lists as the square root of the number of points, 1,024 at most."""
+    some = points.where("vector IS NOT NULL").select(F.xxhash64("point_id").alias("_h"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = [r.vector for r in some.orderBy("_h").limit(sample).collect()]
+    if not rows:
+        return np.zeros((0, 0)), 0
+    vectors = np.array(rows, np.float64)
+    norms = np.sqrt((vectors * vectors).sum(1))
+    vectors = vectors[norms > 0] / norms[norms > 0][:, None]
+    if not len(vectors):
+        return np.zeros((0, 0)), 0
+    centroids = fitted_lists(vectors, int(min(1024, max(1, points.count() ** 0.5))))
+    return centroids, probes_needed(vectors, centroids, k, recall)
+
+
+def ann_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, recall: float = 0.93, sample: int = SAMPLE) -> DataFrame:
+    """Approximate form of topk_search: points belong to the list of their nearest centroid, and a query is compared, by the
+    exact cosine, with the points of the lists that are nearest to it. How many is measured on the sample, so vectors
+    without groups cost more instead of being missed. Neither points nor vectors are shuffled, and no list is gathered."""
+    centroids, probes = ann_index(points, k, recall, sample)
+    if not probes:
+        return topk_search(points.limit(0), queries, k, min_score)
+    names = [*queries.columns, "probes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [None if v is None or len(v) != centroids.shape[1] else nearest_lists(np.array([v], np.float64), centroids, probes)[0] for v in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names)
+
+    at = queries.columns.index("vector")
+    probing = queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("probes", T.ArrayType(T.LongType()))]))
+    return ranked(scored(points, query_blocks(probing.where("probes IS NOT NULL"), k), min_score, centroids))

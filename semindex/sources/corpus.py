@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +50,12 @@ def read_manifest_json(spark: SparkSession, path: str, collection_id: str) -> Da
     return parse_manifest(spark.read.text(path, wholetext=True).withColumn("collection_id", F.lit(collection_id)))
 
 
-def manifest_json(manifest: DataFrame) -> DataFrame:
-    """A JSON object per collection, for export only: an object is one cell."""
+def manifest_json(manifest: DataFrame, files: int = 10_000) -> DataFrame:
+    """(collection_id, value): JSON objects path -> hash of about ``files`` files each, for export; a larger collection has several."""
+    sizes = manifest.groupBy("collection_id").agg(F.ceil(F.count("*") / files).alias("_n"))
+    part = manifest.join(sizes, "collection_id").withColumn("_part", F.pmod(F.xxhash64("file_path"), F.col("_n")))
     pairs = F.sort_array(F.collect_list(F.struct("file_path", "file_hash")))
-    return manifest.groupBy("collection_id").agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+    return part.groupBy("collection_id", "_part").agg(F.to_json(F.map_from_entries(pairs)).alias("value")).drop("_part")
 
 
 def save_version(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
@@ -66,8 +69,14 @@ def save_version(df: DataFrame, folder: str, partition_by: list[str] | None = No
     return version
 
 
-def load_version(spark: SparkSession, folder: str) -> DataFrame:
-    latest = spark.read.schema("path string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at"), "path").first()
+def load_version(spark: SparkSession, folder: str, *missing: None) -> DataFrame | None:
+    """The newest version; of a table that was never saved an error, or ``missing`` if it is given."""
+    try:
+        latest = spark.read.schema("path string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at"), "path").first()
+    except AnalysisException as e:
+        if missing and e.getCondition() == "PATH_NOT_FOUND":
+            return missing[0]
+        raise
     return spark.read.parquet(latest["path"])
 
 

@@ -7,17 +7,19 @@ request follows the first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from semindex.functions import constants as K
 
 WATCHED = ("session.created", "session.idle", "file.watcher.updated")
 URGENT = "file.watcher.updated"
+DELTAS = "key long, ms long, points long, cache_entries long, indexing_complete boolean, points_delta long, cache_delta long, completion_changed boolean"
 REQUESTS = "worktree string, reason string, fire_ms long"
 
 
@@ -111,6 +113,49 @@ def debounce_stream(events: DataFrame, watermark: str = "10 minutes", normal_ms:
     return held.groupBy("worktree").transformWithStateInPandas(Debouncer(normal_ms, urgent_ms, follow_up), REQUESTS, "Append", "EventTime")
 
 
-def refresh_stream(files: DataFrame, refresh, checkpoint: str):
-    """Streams file snapshots into an index: ``refresh(batch, batch_id)`` per micro-batch; replays are harmless, as points are keyed."""
-    return files.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+def newest_files(snapshots: DataFrame) -> DataFrame:
+    """The last snapshot (at) of each file of a micro-batch, columns unchanged; a deleted one has null content."""
+    order = Window.partitionBy("collection_id", "file_path").orderBy(F.desc("at"))
+    return snapshots.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
+
+def refresh_stream(snapshots: DataFrame, refresh: Callable[[DataFrame, str], None], checkpoint: str) -> DataStreamWriter:
+    """Streams snapshots of files (collection_id, file_path, at, ...) into an index, one micro-batch at a time: ``refresh(files,
+    run_id)`` gets each file once, as it was last. The run id is the micro-batch's, so a batch that is replayed after a crash is
+    the same run and writes the same points."""
+    return snapshots.writeStream.foreachBatch(lambda batch, n: refresh(newest_files(batch), f"batch-{n}")).option("checkpointLocation", checkpoint)
+
+
+class SnapshotDeltas(StatefulProcessor):
+    """The last snapshot of a key and how each new one differs from it; the first differs in nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ms long, points long, cache_entries long, indexing_complete boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted((int(a), int(b), int(c), bool(d)) for frame in rows for a, b, c, d in zip(frame["ms"], frame["points"], frame["cache_entries"], frame["indexing_complete"], strict=True))
+        held = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for now in new:
+            before = held or now
+            if now[0] >= before[0]:  # an older one than the last is late and changes nothing
+                out.append((key[0], *now, now[1] - before[1], now[2] - before[2], now[3] != before[3]))
+                held = now
+        if held:
+            self.last.update(held)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DELTAS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def status_stream(snapshots: DataFrame) -> DataFrame:
+    """DELTAS of a stream of snapshots (key, at, points, cache_entries, indexing_complete); needs the RocksDB state store.
+    One small state a key; snapshots of a micro-batch are taken in time order."""
+    held = snapshots.withColumn("ms", F.unix_millis("at"))
+    return held.groupBy("key").transformWithStateInPandas(SnapshotDeltas(), DELTAS, "Append", "None")
+
+
+def late_rows(progress: list) -> int:
+    """Rows that a query's stateful operators dropped, as its progress reports tell, because they came after the watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in (p if isinstance(p, dict) else json.loads(p.json))["stateOperators"])

@@ -1,11 +1,16 @@
 import base64
+import os
+import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from semindex.jobs.index import rebuild_index, refresh_index, search_table
+from semindex.jobs.index import rebuild_index, refresh_index, run_index, search_table
+from semindex.jobs.queries import POINTS as QUERIES_POINTS
 from semindex.operators import embedding, search, store
 from semindex.sources import derived as D
+from semindex.sources.corpus import load_version
 
 
 def corpus(spark, rows):
@@ -97,6 +102,87 @@ def test_approximate_search_finds_nine_in_ten(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_search_looks_at_few_pairs_where_vectors_have_groups(spark):
+    rng = np.random.default_rng(4)
+    groups = rng.standard_normal((120, 24))
+    vectors = groups[np.arange(6000) % 120] + 0.35 * rng.standard_normal((6000, 24))
+    rows = [("c", str(i), "x", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    points = spark.createDataFrame(rows, "collection_id string, point_id string, file_path string, vector array<float>").repartition(3).cache()
+    queries = points.where("int(point_id) % 20 = 0").selectExpr("bigint(point_id) AS query_id", "string(null) AS collection_id", "string(null) AS path_prefix", "10 AS max_results", "vector")
+    key = lambda df: {(r.query_id, r.point_id) for r in df.collect()}
+    exact, near = key(search.topk_search(points, queries)), key(search.ann_search(points, queries, k=10))
+    assert len(exact & near) >= 0.9 * len(exact) and len(exact) == 3000
+    centroids, probes = search.ann_index(points, 10)
+    held = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    sizes = np.bincount(search.nearest_lists(held, centroids, 1)[:, 0], minlength=len(centroids))
+    looked_at = sizes[search.nearest_lists(held[::20], centroids, probes)].sum(1)
+    assert looked_at.mean() < 0.05 * 6000
+
+
+def test_queries_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((90, 8))
+    points = spark.createDataFrame([("c", f"{i:02}", "x", [float(x) for x in v]) for i, v in enumerate(vectors)] + [("c", "null", "x", None), ("c", "short", "x", [1.0])], "collection_id string, point_id string, file_path string, vector array<double>")
+    queries = spark.createDataFrame([(i, None, None, 4, [float(x) for x in v]) for i, v in enumerate(vectors[:20])] + [(99, None, None, 4, None)], "query_id long, collection_id string, path_prefix string, max_results int, vector array<double>")
+    unit = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    want = {(q, f"{i:02}") for q in range(20) for i in np.argsort(-(unit[q] @ unit.T))[:4].tolist()}
+    assert {(r.query_id, r.point_id) for r in search.topk_search(points, queries, min_score=-1).collect()} == want
+    none = queries.limit(0)
+    assert search.topk_search(points, none).count() == 0 and search.ann_search(points.limit(0), queries).count() == 0
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    """Through a whole run, by what the embedder writes down."""
+    folder = str(tmp_path)
+
+    def counting(texts):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts)))
+        return np.ones((len(texts), 4), np.float32)
+
+    files = corpus(spark, [(f"f{i}.ts", f"file {i} has words that are long enough to be kept\n" * 3) for i in range(30)])
+    done = refresh_index(files, spark.createDataFrame([], "collection_id string, file_path string, file_hash string"), spark.createDataFrame([], QUERIES_POINTS), counting)
+    n = done.points.count()
+    assert done.summary.first().indexed_blocks == n and done.manifest.count() == 30
+    assert sum(int(open(f"{folder}/{x}").read()) for x in os.listdir(folder)) == n
+
+
+def test_durable_runs(spark, tmp_path):
+    store, e = str(tmp_path / "store"), embedding.hashing_embedder(16)
+    text = lambda word: f"{word} words of a file that is long enough to be kept as a block\n" * 3
+    first = corpus(spark, [("a.ts", text("one")), ("b.ts", text("two"))])
+    assert [r.reason for r in run_index(spark, first, store, e, 16, "r1", "2024-01-01").collect()] == ["incremental-index-applied"]
+    assert [r.reason for r in run_index(spark, first, store, e, 16, "r2", "2024-01-02").collect()] == ["already-fresh"]
+    marks = {r.run_id: r.indexing_complete for r in load_version(spark, f"{store}/runs").collect()}
+    assert marks == {"r1": True, "r2": True}
+    wide = embedding.hashing_embedder(32)  # another dimension: all is indexed anew
+    assert [r.processed_files for r in run_index(spark, first, store, wide, 32, "r3", "2024-01-03").collect()] == [2]
+    assert {len(r.vector) for r in load_version(spark, f"{store}/points").collect()} == {32}
+
+    def broken(texts):
+        raise RuntimeError("no service")
+
+    second = corpus(spark, [("a.ts", text("one")), ("b.ts", text("changed"))])
+    with pytest.raises(Exception, match="no service"):
+        run_index(spark, second, store, broken, 32, "r4", "2024-01-04")
+    assert {r.run_id: r.indexing_complete for r in load_version(spark, f"{store}/runs").collect()}["r4"] is False
+    assert [r.processed_files for r in run_index(spark, second, store, wide, 32, "r5", "2024-01-05").collect()] == [1]
+    assert ids(load_version(spark, f"{store}/points")) == ids(rebuild_index(second, wide).points)
+
+
+def test_adoption(spark, sf_dir):
+    from semindex.jobs import queries as Q
+
+    rows = {(r.run_id, r.collection_id): r for r in Q.adopt(spark, sf_dir).collect()}
+    held = {c for _, c in rows}
+    for c in held:
+        known = c < "ws-8"
+        assert rows["r1", c].reason == ("incremental-index-applied" if known else "adopted-existing-roo-index-reconciled")
+        assert rows["r2", c].reason == "already-fresh" and rows["r2", c].indexing_complete
+
+
 def test_search_table(spark):
     docs = spark.createDataFrame([("c", str(i), f"src/f{i}.ts", 1, 2, f"alpha beta word{i} " * 4) for i in range(20)], "collection_id string, point_id string, file_path string, start_line int, end_line int, content string")
     points = embedding.embed(docs, "content", embedding.hashing_embedder(64))

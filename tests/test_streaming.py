@@ -1,5 +1,10 @@
+import datetime
+
 from pyspark.sql import functions as F
 
+from semindex.jobs.index import rebuild_index, run_index
+from semindex.operators import embedding, status
+from semindex.sources.corpus import load_version, save_version
 from semindex.streaming import triggers
 
 
@@ -22,12 +27,65 @@ def test_stream_fires_what_the_batch_twin_fires(spark, tmp_path):
     assert got == want
 
 
-def test_refresh_stream_and_rates(spark, tmp_path):
-    spark.createDataFrame([(1, "a")], "i int, x string").write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = spark.readStream.schema("i int, x string").parquet(str(tmp_path / "in"))
-    query = triggers.refresh_stream(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).trigger(availableNow=True).start()
+def test_streamed_snapshots_make_the_index_that_a_batch_makes(spark, tmp_path):
+    """Three micro-batches, then the last one once more, as after a crash between its writes and its commit."""
+    text = lambda word: f"{word} words of a file that is long enough to be kept as a block\n" * 3
+    steps = [[("a.ts", 1, text("one")), ("b.ts", 1, text("two"))], [("a.ts", 2, text("draft")), ("a.ts", 3, text("three")), ("c.md", 2, "# T\n" + text("md"))], [("b.ts", 4, None), ("d.py", 4, text("four"))]]
+    schema = "collection_id string, file_path string, at long, content string"
+    folder, store, files, embedder = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "files"), embedding.hashing_embedder(16)
+    for step in steps:
+        spark.createDataFrame([("ws-1", *r) for r in step], schema).coalesce(1).write.mode("append").parquet(folder)
+    calls = []
+
+    def refresh(batch, run_id):
+        before = load_version(spark, files, None)
+        now = batch if before is None else before.join(batch, ["collection_id", "file_path"], "left_anti").unionByName(batch)
+        save_version(now.where("content IS NOT NULL"), files)
+        whole = load_version(spark, files).selectExpr("collection_id", "file_path", "file_path AS resolved_path", "bigint(length(content)) AS size_bytes", "content")
+        calls.append((batch.collect(), run_id))
+        run_index(spark, whole, store, embedder, 16, run_id, f"2024-01-0{len(calls)}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = triggers.refresh_stream(stream, refresh, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [n for _, n in calls] == ["batch-0", "batch-1", "batch-2"] and all(len({r.file_path for r in rows}) == len(rows) for rows, _ in calls)
+    refresh(spark.createDataFrame(calls[-1][0], schema), calls[-1][1])
+    end = spark.createDataFrame([("ws-1", p, p, t) for p, t in (("a.ts", text("three")), ("c.md", "# T\n" + text("md")), ("d.py", text("four")))], "collection_id string, file_path string, resolved_path string, content string").withColumn("size_bytes", F.length("content").cast("long"))
+    key = lambda df: sorted((r.file_path, r.point_id) for r in df.collect())
+    assert key(load_version(spark, f"{store}/points")) == key(rebuild_index(end, embedder).points)
+    runs = load_version(spark, f"{store}/runs").collect()
+    assert len(runs) == 3 and all(r.indexing_complete for r in runs)
+
+
+def test_status_stream_equals_its_batch_twin(spark, tmp_path):
+    rows = [(k, 1_700_000_000 + 60 * i, 10 * i + k, i // 2, (i + k) % 4 > 1) for k in range(3) for i in range(20)]
+    snapshots = spark.createDataFrame(rows, "key long, s long, points long, cache_entries long, indexing_complete boolean").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    folder = str(tmp_path / "in")
+    for a in range(0, 20, 7):
+        snapshots.where(F.unix_seconds("at").between(1_700_000_000 + 60 * a, 1_700_000_000 + 60 * (a + 6))).coalesce(1).write.mode("append").parquet(folder)
+    stream = triggers.status_stream(spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = stream.writeStream.format("memory").queryName("deltas").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert seen == [1]
+    names = ["key", "ms", "points", "cache_entries", "indexing_complete", "points_delta", "cache_delta", "completion_changed"]
+    want = status.watch_deltas(snapshots).withColumn("ms", F.unix_millis("at")).select(names)
+    assert sorted(map(tuple, spark.table("deltas").select(names).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_events_are_dropped_and_counted(spark, tmp_path):
+    schema = "event_id long, worktree string, event_type string, ts timestamp"
+    at = lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC)
+    folder = str(tmp_path / "in")
+    steps = [[(1, "/w", "session.idle", at(0)), (2, "/w", "session.idle", at(7200))], [(3, "/x", "session.idle", at(7300))], [(4, "/w", "session.idle", at(60)), (5, "/x", "session.idle", at(30)), (6, "/y", "session.idle", at(9000))]]
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = triggers.watched_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = triggers.debounce_stream(stream, "10 minutes", 9000, 2000).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert triggers.late_rows(query.recentProgress) == 2
+    fired = {(r.worktree, r.fire_ms // 1000 - 1_700_000_000) for r in spark.table("late").collect()}
+    assert ("/w", 9) in fired and ("/w", 69) not in fired and ("/x", 39) not in fired
+
+
+def test_newest_request(spark):
     requests = spark.createDataFrame([("/w", "a", 1), ("/w", "b", 2)], triggers.REQUESTS)
     assert [tuple(r) for r in triggers.newest_request(requests).collect()] == [("/w", "b", 2)]
