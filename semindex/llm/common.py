@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semindex.sources.shared import saved, shared_folder
+
+__all__ = ["saved", "shared_folder"]
+
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -61,28 +63,3 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16
 def crc32_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of the id as text; an id that is null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is absent (tests, a laptop) a temporary folder takes its place and becomes the
-    session's checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            held = f"file://{tempfile.mkdtemp(prefix='semindex-')}"
-            spark.sparkContext.setCheckpointDir(held)
-        base = held
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
