@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other training text is unlabelled, a mix of both classes
-with the class prior pi, which is the share of toxic rows among all labelled training rows. A linear
+Confirmed toxic documents are the positives; all training text, they included, is unlabelled, a mix of both
+classes with the class prior pi, which is the share of toxic rows among all labelled training rows. A linear
 classifier over words is trained in numpy on the corrected risk
 
     pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])
@@ -80,11 +80,13 @@ class Terms(dict):
         return np.array([self[t] for t in terms], np.int32)
 
 
-def vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str]) -> list[int]:
-    """Terms that positives have far more often than unlabelled text, beyond what chance explains."""
+def vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float) -> list[int]:
+    """Terms that positives have far more often than other text, beyond what chance explains. How often other text has them is
+    what the unlabelled share leaves after the positives' part of it."""
     count = lambda docs: np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=len(names))
     p, u = count(positive), count(unlabelled)
-    other = (u + 0.5) / (len(unlabelled) + 1)
+    share = (u + 0.5) / (len(unlabelled) + 1)
+    other = np.maximum((share - prior * p / len(positive)) / (1 - prior), 0.5 / (len(unlabelled) + 1))
     often = np.flatnonzero((p >= 2) & (p > 1.25 * other * len(positive))).tolist()
     sure = [i for i in often if by_chance(int(p[i]), float(other[i]) * len(positive)) < UNLIKELY]
     return sorted(sure, key=lambda i: (-p[i] / other[i], names[i]))[:MOST_WORDS]
@@ -101,8 +103,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], terms: Terms,
     if not positive or not unlabelled:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Classifier(math.log(p / (1 - p)))
+    prior = min(max(prior, 1e-3), 0.999)  # all labels may be of one kind
     names = list(terms)
-    known = vocabulary(positive, unlabelled, names)
+    known = vocabulary(positive, unlabelled, names, prior)
     n = len(known)
     at = np.full(len(names), -1)
     at[known] = np.arange(n)
@@ -147,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         return [numbers.of(r.words) for r in map_batches(texts, run, "words array<string>").toLocalIterator()][:most]
 
     sure = sample(training.select("doc_id").join(toxic_ids, "doc_id", "left_semi"), MOST_POSITIVE)
-    rest = sample(training.select("doc_id").join(toxic_ids, "doc_id", "left_anti"), MOST_UNLABELLED)
+    rest = sample(training.select("doc_id"), MOST_UNLABELLED)  # known positives included, as the prior is that of all text
     return fit(sure, rest, numbers, (toxic or 0) / n if n else 0.5)
 
 
