@@ -410,8 +410,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class one row, that of the smallest doc_id (nulls last), then of the least digest; of rows
     that repeat id and text any, as they only differ in other columns. Rows stay or go by their text, not by id alone."""
     order = F.struct((F.col("_id") == NULL_ID).alias("last"), "_id", "digest", "mark")
-    kept = near_duplicates(docs.select("doc_id", "text")).groupBy("class").agg(F.min(order).alias("k")).select(F.col("k._id").alias("_si_id"), F.col("k.mark").alias("_si_mark"))
+    kept = near_duplicates(docs.select("doc_id", "text")).groupBy("class").agg(F.min(order).alias("k")).select(F.col("k._id").alias("id"), F.col("k.mark").alias("mark"))
     names = docs.columns
-    left = docs.selectExpr("*", *(f"{what} AS _si{name if name[0] == '_' else '_' + name}" for what, name in (x.rsplit(" AS ", 1) for x in IDS))).join(kept, ["_si_id", "_si_mark"], "left_semi")
-    first = left.groupBy("_si_id", "_si_mark").agg(F.first(F.struct(*names)).alias("_si_row"))
-    return first.select(*(F.col("_si_row")[c].alias(c) for c in names))
+    rows = docs.select(F.struct(*names).alias("row"), *(F.expr(x.rsplit(" AS ", 1)[0]).alias(name) for x, name in zip(IDS, ("id", "mark"), strict=True)))
+    first = rows.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row"))
+    return first.select(*(F.col("row")[c].alias(c) for c in names))

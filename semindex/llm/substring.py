@@ -20,7 +20,7 @@ anchor hash over k of them.
 Defined cases: null text has no words; texts under ``length`` words have no repeat; rows that repeat a
 doc_id and text are separate occurrences, so their windows repeat; windows may overlap their copies
 ("a a a a ..."); a null doc_id is an id like others; an empty table gives an empty result; input
-columns keep their names, those that start with ``_si_`` excepted.
+columns keep their names, but for those of MADE, which are replaced.
 """
 
 from __future__ import annotations
@@ -171,10 +171,6 @@ def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return map_batches(docs.join(wanted, KEYS).select(*fields), run, "anchor long, window long, _si_id long, _si_tag int, place long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_si_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_si_tag": F.hash("text")})
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """For keyed documents with a repeat: key and packed spans of repeated windows. A document has no more of them than words."""
     found = seeds(docs, length, k)
@@ -212,13 +208,14 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     """docs (doc_id, text, ...) with MADE: counts, the words outside repeats joined by spaces, the maximal repeats as word ranges."""
     made = T.StructType.fromDDL(MADE)
     docs = docs.drop(*made.names)
-    base = keyed(docs)
-    spans = repeated_spans(base, length, k)
-    fields = [*base.columns, "_si_spans"]
+    names, text_at = docs.columns, docs.columns.index("text")
+    # Inside, columns go by their places, so no name of the input meets one of ours.
+    key = {"_si_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_si_tag": F.hash("text")}
+    base = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), *(v.alias(k) for k, v in key.items()))
+    spans = repeated_spans(base.select(*KEYS, F.col(f"c{text_at}").alias("text")), length, k)
+    fields = [f"c{i}" for i in range(len(names))] + ["_si_spans"]
     joined = base.join(spans, KEYS, "left").select(*fields)
-    kept = [c for c in fields if not c.startswith("_si_")]
-    at, text_at = [fields.index(c) for c in kept], fields.index("text")
-    schema = T.StructType([*docs.select(*kept).schema.fields, *made.fields])
+    schema = T.StructType([*docs.schema.fields, *made.fields])
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +230,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
                 rows.append((len(words), len(words) - len(left), b" ".join(left).decode(), ranges))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), kind), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *arrays], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], schema.names)
 
     return map_batches(joined, run, schema)
 

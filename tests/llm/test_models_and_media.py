@@ -165,6 +165,29 @@ def test_non_negative_risk_is_used():
     assert model.score("bad") > 0.5 > model.score("fine")
 
 
+def test_the_fitted_risk_is_a_minimum():
+    """The corrected risk, computed plainly from texts and weights, is no lower anywhere near the classifier."""
+    rng = random.Random(31)
+    text = lambda bad: " ".join([f"w{rng.randrange(40)}" for _ in range(12)] + [rng.choice(("vile", "nasty"))] * (rng.random() < (0.9 if bad else 0.03)))
+    bad, mixed = [text(True) for _ in range(300)], [text(i % 5 == 0) for i in range(1000)]
+    numbers, prior = toxicity.Terms(), 0.2
+    of = lambda t: numbers.of(sorted(toxicity.terms(t)))
+    model = toxicity.fit([of(t) for t in bad], [of(t) for t in mixed], numbers, prior, steps=3000, decay=0.0)
+    loss = lambda z: math.log1p(math.exp(-z))
+
+    def risk(bias, weights):
+        f = lambda t: bias + sum(weights.get(w, 0.0) for w in toxicity.terms(t))
+        p, u = [f(t) for t in bad], [f(t) for t in mixed]
+        negative = sum(loss(-z) for z in u) / len(u) - prior * sum(loss(-z) for z in p) / len(p)
+        return prior * sum(map(loss, p)) / len(p) + max(0.0, negative)
+
+    least = risk(model.bias, model.weights)
+    assert set(model.weights) <= {"vile", "nasty"} and model.weights
+    for _ in range(60):
+        moved = {w: v + rng.gauss(0, 0.3) for w, v in model.weights.items()}
+        assert risk(model.bias + rng.gauss(0, 0.3), moved) > least - 1e-3
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "ä" * 700_000
     rows = [(5, "u5", "x" * 100), (3, "u3", "x" * 100), (9, None, "x" * 100), (1, "u1", "y" * 99), (2, "u2", "y" * 99), (4, "u\r\n4", None), (6, "u6", ""), (7, "u7", big), (8, "u8", big), (None, "n", "x" * 100), (3, "u3", "x" * 100)]

@@ -35,3 +35,13 @@ def test_pipeline(spark, tmp_path):
         left = lattice.decode(list(got[r[0]].ids))
         assert hashlib.sha256(" ".join(left.split()).encode()).hexdigest() == digest if gone else left == r[1]
         assert gone == (50 if r[0] in (42, 43) else 0)
+
+
+def test_pipeline_on_an_empty_table_and_with_names_of_its_own(spark, tmp_path, odd_docs, no_docs):
+    for name, docs, n in (("none", no_docs, 0), ("odd", odd_docs, None)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(os.path.join(folder, "documents.parquet"))
+        out = corpus_pipeline.run(spark, folder)
+        rows = out.collect()
+        assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "score", "nbest_scores"]
+        assert len(rows) == n if n is not None else 1 in {r.doc_id for r in rows} and all(len(r.ids) == r.n_tokens for r in rows)

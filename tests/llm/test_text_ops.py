@@ -119,6 +119,14 @@ def test_stage_without_repeats(spark, odd_docs):
     assert out.where("doc_id IN (1, 2) AND text = '' AND n_chars = 0").count() == 2
 
 
+def test_stages_leave_input_names_alone(spark, odd_docs):
+    names = ["_si_id", "_si_tag", "_si_spans", "_si_mark", "_si_row", "row", "id", "mark", "anchor", "c0", "class"]
+    docs = odd_docs.select("doc_id", "text", *(F.lit(f"own {n}").alias(n) for n in names))
+    for stage in (quality.kept_only, neardup.one_of_each, substring.without_repeats):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and 0 < out.count() == out.where(" AND ".join(f"`{n}` = 'own {n}'" for n in names)).count()
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
