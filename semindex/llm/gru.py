@@ -43,7 +43,7 @@ FOLDS, HELD = 7, 2
 #: Words of the model, of the broadcast head of the counts; classes; size of the state; windows and streams.
 MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, WINDOWS, STREAMS = 4096, 100_000, 64, 16, 16, 64, 512
 #: Shares of the training documents that the rounds take, one after the other; first rate; networks that are added up at once.
-ROUNDS, RATE, FAN = (1, 3, 8), 0.01, 16
+ROUNDS, RATE, FAN = (1, 5), 0.01, 8
 END = b""  # no word is empty
 
 
@@ -187,18 +187,27 @@ class Gru:
 
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.m, self.v, self.t, self.rate = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0, rate
+        self.m, self.v, self.more = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
+        self.t, self.rate = 0, rate
 
     def update(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        shrink = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            g = g * np.float32(shrink)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            m, v, more = self.m[k], self.v[k], self.more[k]
+            g *= shrink
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=more)
+            v *= np.float32(0.999)
+            g *= g
+            v += np.multiply(g, np.float32(0.001), out=more)
+            np.sqrt(v, out=more)
+            more += np.float32(1e-8)
+            np.divide(m, more, out=more)
+            more *= rate
+            p[k] -= more
         for k in ("x", "u", "c", "w"):  # no sum over a state can overflow an exponential
             np.clip(p[k], -3, 3, out=p[k])
 
@@ -218,11 +227,16 @@ def trained_on(net: Gru, numbers: np.ndarray, adam: Adam) -> None:
         h, _ = net.train_window(h, before[a : a + WINDOW], target[a : a + WINDOW], reset[a : a + WINDOW], adam)
 
 
-def numbered(texts: pa.Array, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Word numbers of texts with their ends, one text after the other; words, offsets and distinct words as of words_of_texts()."""
+def numbered(texts: pa.Array, number: dict[bytes, int], missing: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The number of each distinct word; then words, offsets and distinct words as of words_of_texts()."""
     codes, offsets, words = words_of_texts(pc.ascii_lower(texts))
-    of_word = np.fromiter((number.get(w, 1) for w in words), np.int32, len(words))
-    return np.insert(of_word[codes], offsets[1:], 0), codes, offsets, words
+    get = number.get
+    return np.fromiter([get(w, missing) for w in words], np.int32, len(words)), codes, offsets, words
+
+
+def with_ends(numbers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Word numbers of texts, one text after the other, each with its end."""
+    return np.insert(numbers, offsets[1:], 0)
 
 
 def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) -> Gru:
@@ -239,18 +253,19 @@ def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) ->
         own = Gru(start.words, {k: v.copy() for k, v in start.p.items()})
         adam, n = Adam(own.p, rate), 0
         for batch in gathered(batches, 4000, 8 << 20):
-            found, *_ = numbered(pc.fill_null(batch.column(0), ""), number)
+            of_word, codes, offsets, _ = numbered(pc.fill_null(batch.column(0), ""), number)
+            found = with_ends(of_word[codes], offsets)
             trained_on(own, found, adam)
             n += len(found)
         if n:
-            sums = np.concatenate([(own.p[k].astype(np.float64) - start.p[k]).ravel() * n for k in names])
+            sums = np.concatenate([(own.p[k] - start.p[k]).ravel() for k in names]) * np.float32(n)
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for batch in batches:
             for tokens, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(sums.as_buffer(), np.float64)
+                more = np.frombuffer(sums.as_buffer(), np.float32)
                 total = more.copy() if total is None else total + more
                 n += tokens
         if total is not None:
@@ -261,7 +276,7 @@ def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) ->
         rows = saved(map_batches(rows.repartition(-(-left // FAN)), add, "n long, sums binary"), "weights")
     total, n = 0.0, 0
     for row in rows.toLocalIterator():
-        total, n = total + np.frombuffer(row.sums, np.float64), n + row.n
+        total, n = total + np.frombuffer(row.sums, np.float32).astype(np.float64), n + row.n
     if not n:
         return net
     flat, out, at = total / n, {}, 0
@@ -272,15 +287,15 @@ def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) ->
     return Gru(net.words, out)
 
 
-def score_documents(net: Gru, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
+def score_documents(net: Gru, docs: list[np.ndarray], window: int = 64, abreast: int = 1024) -> np.ndarray:
     """Natural log probability of each document (word numbers with the end), state carried over windows.
 
     Documents of like length run side by side; those that have ended leave the batch.
     """
     out = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    for a in range(0, len(docs), 512):
-        group = order[a : a + 512]
+    for a in range(0, len(docs), abreast):
+        group = order[a : a + abreast]
         sizes = np.array([len(docs[i]) for i in group])
         h = np.zeros((len(group), STATE), np.float32)
         last = np.zeros(len(group), np.int64)
@@ -379,13 +394,16 @@ def half_scored(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         ends = math.log10(m.head[END] + 1) if END in m.head else 0.0
+        # Words of the head by their place in it, with what it knows of them; the last place is for all others.
+        place = {w: i for i, w in enumerate(m.head)}
+        head_logs_of = np.log10(np.array([*m.head.values(), 0], np.float64) + 1)
+        number_of = np.array([*(m.number.get(w, 1) for w in m.head), 1], np.int32)
         for batch in gathered(batches, 4000, 8 << 20):
             docs = batch.num_rows
-            numbers, codes, offsets, words = numbered(pc.fill_null(batch.column(1), ""), m.number)
-            counts = np.array([m.head.get(w, 0) for w in words], np.float64)
-            of_word = np.array([w in m.number for w in words], bool)
-            in_head, unknown = counts > 0, ~of_word
-            logs = np.where(in_head, np.log10(counts + 1), 0.0)
+            at, codes, offsets, words = numbered(pc.fill_null(batch.column(1), ""), place, len(place))
+            in_head, logs, of_word = at < len(place), head_logs_of[at], number_of[at]
+            unknown = of_word == 1
+            numbers = with_ends(of_word[codes], offsets)
             n = np.diff(offsets)
             known = of_each(in_head[codes], offsets) + (END in m.head)
             head_logs = of_each(logs[codes], offsets) + ends

@@ -89,6 +89,41 @@ def test_language_model_base_and_score(spark, odd_docs, no_docs, monkeypatch):
     assert gru.score(no_docs).count() == 0
 
 
+def test_score_equals_a_plain_one(spark, odd_docs, monkeypatch):
+    """Token by token in double precision, unknown words spelt out by the base."""
+    monkeypatch.setattr(gru, "HEAD", 60)
+    monkeypatch.setattr(gru, "MOST_WORDS", 40)
+    kept, learn = {}, gru.learn
+    monkeypatch.setattr(gru, "learn", lambda *a: kept.setdefault("model", learn(*a)))
+    docs = odd_docs.where("doc_id IS NOT NULL AND (text IS NULL OR length(text) < 20000)")
+    rows = gru.score(docs).collect()
+    m = kept["model"]
+    p = {k: v.astype(np.float64) for k, v in m.net.p.items()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = docs.select("doc_id", "text").collect()
+    counts = Counter(w for r in texts if not held(r.doc_id) for w in gru.tokens_of(r.text))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    n = gru.STATE
+
+    def plain(text):
+        h, last, total = np.zeros(n), 0, 0.0
+        for w in gru.tokens_of(text):
+            x, g = p["x"][last] + p["b"], h @ p["u"]
+            z, r = sigmoid(x[:n] + g[:n]), sigmoid(x[n : 2 * n] + g[n : 2 * n])
+            h = h + z * (np.tanh(x[2 * n :] + r * g[2 * n :]) - h)
+            last = m.number.get(w, 1)
+            kind, place = divmod(last, m.net.size)
+            total += log_softmax(h @ p["c"] + p["cb"])[kind] + log_softmax(h @ p["w"][kind] + p["wb"][kind])[place]
+            if last == 1:
+                total += math.log((counts[w] + 1) / (m.total + m.distinct + 1) / m.spare)
+        return total / math.log(10)
+
+    want = {(r.doc_id, r.text): plain(r.text) for r in texts}
+    assert all(any(r.doc_id == i and math.isclose(r.score, v, rel_tol=1e-4, abs_tol=1e-3) for (i, _), v in want.items()) for r in rows)
+    assert len(rows) == len(texts)
+
+
 def test_network_gradients_and_probabilities():
     rng = np.random.default_rng(0)
     net = gru.Gru.start(rng.integers(1, 50, 200).astype(float))
