@@ -291,6 +291,15 @@ def test_gif_round_trip(odd_docs, no_docs):
     assert gif.decode_frames(gif.encode_texts(no_docs), ["doc_id"]).count() == 0
 
 
+def test_gif_features_from_the_text_alone(spark, odd_docs, tmp_path):
+    """The grey levels of a text are the upper four bits of its padded bytes."""
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pad = lambda t: (r := (t or "").encode()) + bytes(-len(r) % 64 if r else 64)
+    levels = lambda t: ",".join(map(str, np.bincount(np.frombuffer(pad(t), np.uint8) >> 4, minlength=16)))
+    got = Counter((r.doc_id, r.payload_sha256, r.tail_crc32, r.feature.split("levels=")[1]) for r in gif.op9_gif_frames(spark, str(tmp_path)).collect())
+    assert got == Counter((r.doc_id, hashlib.sha256(pad(r.text)).hexdigest(), zlib.crc32(pad(r.text)[-64:]), levels(r.text)) for r in odd_docs.collect())
+
+
 @pytest.mark.parametrize("payload", [bytes(64), bytes(64 * 4000), b"ab" * 32 * 3000, bytes(random.Random(1).randbytes(64 * 2500))])
 def test_lzw(payload):
     packed = gif.pack_gif(payload)

@@ -206,6 +206,40 @@ def classes_of(spark, texts):
     return [r.class_id for r in sorted(got, key=lambda r: r._id)]
 
 
+def edited(rng, n, edits, kind):
+    a = [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    at = {"clustered": range(5, 5 + edits), "random": rng.sample(range(n), edits), "even": [i * n // edits for i in range(edits)]}[kind]
+    b = list(a)
+    for i in at:
+        b[i] = f"x{rng.randrange(10**9)}"
+    return " ".join(a), " ".join(b)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random", "even"])
+@pytest.mark.parametrize(("n", "edits"), [(60, 12), (100, 16), (100, 20), (300, 60)])
+def test_pairs_at_the_threshold_meet(kind, n, edits):
+    from semindex.llm.substring import Powers, WordHashes
+
+    rng, known, powers, met = random.Random(41), WordHashes(), Powers(), 0
+    with np.errstate(over="ignore"):
+        for _ in range(200):
+            a, b = (neardup.sketches(known.of(words(t)), powers) for t in edited(rng, n, edits, kind))
+            met += bool((a == b).any())
+    assert met >= 180
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of 240 texts compared by plain alignment; nine in ten of the alike ones, and nothing else, share a class."""
+    rng = random.Random(42)
+    pairs = [edited(rng, 100, rng.choice((5, 12, 16, 19)), kind) for kind in ("clustered", "random", "even") for _ in range(40)]
+    texts = [t for p in pairs for t in p]
+    got = classes_of(spark, texts)
+    hashes = [np.array([hash(w) for w in t.split()]) for t in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.edits(hashes[i].tolist(), hashes[j].tolist(), 20) is not None}
+    found = {(i, j) for j in range(len(texts)) for i in range(j) if got[i] == got[j]}
+    assert len(alike) == 120 and found <= alike and len(found) >= 0.95 * len(alike)
+
+
 def test_chains_keep_their_links(spark):
     rows = [" ".join(f"c{c}w{i}" for i in range(n)) for c in range(400) for n in (100, 88, 77)]  # 0.88, 0.875 and 0.77 alike
     assert classes_of(spark, rows) == brute_classes(rows)
