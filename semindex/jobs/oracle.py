@@ -234,13 +234,13 @@ SQL: dict[str, str] = {
         SELECT *, no <> 3 AS ready, CASE no WHEN 1 THEN 3 WHEN 2 THEN 90 END AS age, changed_files + new_files + deleted_files AS pending FROM pts JOIN dry USING (collection_id)
       )
       SELECT collection_id, 'disabled' AS mode, CASE WHEN ready THEN 'ok' ELSE 'problem' END AS severity,
-        CASE WHEN ready THEN 'Collection has indexed data (' || n_points || ' points); disabled mode can search immediately.' ELSE 'No complete indexed collection found; disabled mode will return empty results.' END AS explanation FROM h
+        CASE WHEN ready THEN '{K.SAYS_READY[0]}' || n_points || '{K.SAYS_READY[1]}' ELSE '{K.SAYS_MISSING}' END AS explanation FROM h
       UNION ALL SELECT collection_id, 'query', CASE WHEN pending = 0 THEN 'ok' WHEN pending < 50 THEN 'warning' ELSE 'problem' END,
-        CASE WHEN pending = 0 THEN 'No pending reconciliation work; query mode should stay fast.' WHEN pending < 50 THEN pending || ' files pending reconciliation (~' || estimated_batches || ' embedding batches).'
-        ELSE pending || ' files pending reconciliation (~' || estimated_blocks || ' blocks, ~' || estimated_batches || ' embedding batches).' END FROM h
+        CASE WHEN pending = 0 THEN '{K.SAYS_FRESH}' WHEN pending < 50 THEN pending || '{K.SAYS_PENDING}' || estimated_batches || ' embedding batches).'
+        ELSE pending || '{K.SAYS_PENDING}' || estimated_blocks || ' blocks, ~' || estimated_batches || ' embedding batches).' END FROM h
       UNION ALL SELECT collection_id, 'background', CASE WHEN age IS NULL THEN 'problem' WHEN pending = 0 AND age <= 5 THEN 'ok' WHEN pending > 0 AND age >= 60 THEN 'problem' ELSE 'warning' END,
-        CASE WHEN age IS NULL THEN 'No completed indexing timestamp found; background status is unknown.' WHEN pending = 0 AND age <= 5 THEN 'Background appears caught up (last completed ' || age || 'm ago).'
-        WHEN pending > 0 AND age >= 60 THEN 'Background appears stale (' || pending || ' files pending, last completed ' || age || 'm ago).' ELSE pending || ' files pending; last completed ' || age || 'm ago.' END FROM h""",
+        CASE WHEN age IS NULL THEN '{K.SAYS_NEVER}' WHEN pending = 0 AND age <= 5 THEN '{K.SAYS_CAUGHT_UP[0]}' || age || 'm ago{K.SAYS_CAUGHT_UP[1]}'
+        WHEN pending > 0 AND age >= 60 THEN '{K.SAYS_STALE[0]}' || pending || '{K.SAYS_STALE[1]}' || age || 'm ago{K.SAYS_STALE[2]}' ELSE pending || '{K.SAYS_WAITING[0]}' || age || 'm ago{K.SAYS_WAITING[1]}' END FROM h""",
     "chunk_lines": f"WITH RECURSIVE {FILES_SQL.strip()}, {packed('files').strip()} SELECT collection_id, file_path, start_line, end_line, length(content) AS n_chars, segment_hash FROM blocks",
     "markdown_sections": f"WITH {MARKDOWN.strip()} SELECT collection_id, file_path, start_line, end_line, sha256(content) AS content_hash FROM sections",
     "markdown_chunks": f"""WITH RECURSIVE {MARKDOWN.strip()}, {markdown_blocks("md", "_m")}

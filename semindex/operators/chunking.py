@@ -193,12 +193,12 @@ def python_nodes(text: str) -> list[Node]:
     except (SyntaxError, ValueError, RecursionError):
         return []
     lines = text.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
 
     def made(node: ast.AST) -> Node:
         a, b = node.lineno - 1, node.end_lineno - 1
-        head = lines[a].encode()[node.col_offset :].decode("utf-8", "replace")
-        body = "\n".join([head, *lines[a + 1 : b + 1]]) if b > a else head
-        return Node(a, b, body, [made(c) for c in ast.iter_child_nodes(node) if hasattr(c, "lineno") and c.end_lineno is not None])
+        indent = len(lines[a].encode()[: node.col_offset].decode("utf-8", "replace"))
+        return Node(a, b, (text, starts[a] + indent, starts[b] + len(lines[b])), [made(c) for c in ast.iter_child_nodes(node) if hasattr(c, "lineno") and c.end_lineno is not None])
 
     return [made(n) for n in ast.walk(module) if isinstance(n, PYTHON_SEEDS)]
 
