@@ -195,3 +195,13 @@ def test_search_table(spark):
 
 def test_derived_corpus(spark, sf_dir):
     assert D.corpus_files(spark, sf_dir).select("collection_id").distinct().count() == 4
+
+
+def test_points_of_other_collections_stay(spark, tmp_path):
+    from semindex.sources.corpus import write_points
+
+    rows = lambda *r: spark.createDataFrame(list(r), "collection_id string, point_id string")
+    folder = str(tmp_path / "points")
+    write_points(rows(("a", "1"), ("a", "2"), ("b", "3")), folder)
+    write_points(rows(("a", "4")), folder)
+    assert {(r.collection_id, r.point_id) for r in spark.read.parquet(folder).collect()} == {("a", "4"), ("b", "3")}
