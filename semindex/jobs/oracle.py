@@ -266,6 +266,9 @@ SQL: dict[str, str] = {
       SELECT collection_id, count(*) FILTER (NOT big) AS processed_files, count(*) FILTER (big) AS skipped_files, 0::bigint AS deleted_files, count(*) FILTER (NOT big) > 0 AS performed,
         count(*) FILTER (NOT big) > 0 AS triggered, CASE WHEN count(*) FILTER (NOT big) > 0 THEN '{K.RUN_REASONS["applied"]}' ELSE '{K.RUN_REASONS["fresh"]}' END AS reason,
         coalesce(any_value(n_blocks), 0) AS indexed_blocks FROM todo LEFT JOIN n USING (collection_id) GROUP BY collection_id""",
+    "points_sink": f"""WITH {FILES_SQL.strip()} SELECT collection_id, doc_id::varchar AS point_id, CASE WHEN collection_id < 'ws-8' THEN 'new' ELSE 'old' END AS state FROM files
+      WHERE collection_id >= 'ws-8' OR doc_id % 2 = 0""",
+    "manifest_versions": f"WITH {MANIFEST_SQL.strip()} SELECT collection_id, file_path, file_hash FROM prev_manifest WHERE file_path NOT LIKE '%.old'",
     "run_markers": f"""WITH {FILES_SQL.strip()}, c AS (SELECT DISTINCT collection_id, substr(collection_id, -1) < '8' AS done FROM files)
       SELECT collection_id, 'r1' AS run_id, true AS indexing_complete, epoch_ms(TIMESTAMP '2024-01-01') AS started_ms, epoch_ms(TIMESTAMP '2024-01-01') AS completed_ms, 64 AS vector_dim FROM c
       UNION ALL SELECT collection_id, 'r2', done, epoch_ms(CASE WHEN done THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-02' END), CASE WHEN done THEN epoch_ms(TIMESTAMP '2024-01-03') END, 64 FROM c""",

@@ -15,7 +15,7 @@ from semindex.functions import constants as K
 from semindex.jobs.index import RUNS, rebuild_index, refresh_index, run_index, search_table
 from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store
 from semindex.sources import derived as D
-from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version
+from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version, write_points
 from semindex.sources.shared import saved, shared_folder
 from semindex.streaming import triggers
 
@@ -258,6 +258,23 @@ def adopt(spark: SparkSession, sf: str) -> DataFrame:
     return runs[0].unionByName(runs[1]).join(marked, ["collection_id", "run_id"])
 
 
+def points_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of all worktrees, then new ones of some, which replace only theirs."""
+    rows = D.corpus_files(spark, sf).select("collection_id", F.col("doc_id").cast("string").alias("point_id"))
+    folder = shared_folder(spark, "sink")
+    write_points(rows.withColumn("state", F.lit("old")), folder)
+    write_points(rows.where("collection_id < 'ws-8' AND int(point_id) % 2 = 0").withColumn("state", F.lit("new")), folder)
+    return spark.read.parquet(folder).select("collection_id", "point_id", "state")
+
+
+def manifest_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest saved twice: readers see the second."""
+    manifest, folder = D.prev_manifest(D.corpus_files(spark, sf)), shared_folder(spark, "manifest")
+    save_version(manifest, folder)
+    save_version(load_version(spark, folder).where("NOT endswith(file_path, '.old')"), folder)
+    return load_version(spark, folder)
+
+
 def run_markers(spark: SparkSession, sf: str) -> DataFrame:
     """Markers of two runs, of which the second isn't complete for every other worktree."""
     collections = D.corpus_files(spark, sf).select("collection_id").distinct()
@@ -380,7 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
-    "rebuild_index": rebuild, "adopt_index": adopt, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
+    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
     "query_prefixes": query_prefixes, "decoded_vectors": decoded_vectors, "dimension_check": dimension_check, "external_links": external_links,
     "cosine_pairs": cosine_pairs, "newest_requests": newest_requests, "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
 }
