@@ -225,7 +225,7 @@ def test_pairs_at_the_threshold_meet(kind, n, edits):
         for _ in range(200):
             a, b = (neardup.sketches(known.of(words(t)), powers) for t in edited(rng, n, edits, kind))
             met += bool((a == b).any())
-    assert met >= 180
+    assert met >= 174  # 0.9 or more, but for chance
 
 
 def test_recall_against_all_pairs(spark):
