@@ -292,7 +292,7 @@ def within_bounds(key: int, keys: np.ndarray, code: np.ndarray, n: np.ndarray, b
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """members (key, node, class, n, bins, keys) of buckets with more than one class, with the bucket's ``size``."""
+    """members (key, node, class, ...) of buckets with more than one class, with the bucket's ``size``."""
     several = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "size")
     return members.join(several, "key")
 
@@ -345,8 +345,10 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     nearest = members.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.mode("centre", True).alias("a"))
     tested = saved(verified(nearest.select("a", "b"), texts), "nearest")
     roots = rooted(tested.where("alike").select(F.col("b").alias("node"), F.col("a").alias("root")))
-    named = nodes.select("node", "n", "bins", "keys").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
+    named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
+    # Slim rows tell which buckets have more than one class; only their members get counts and keys.
+    open_ = mixed(members.select("key", "node").join(named, "node"))
+    held = saved(open_.join(nodes.select("node", "n", "bins", "keys"), "node"), "open")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
         pairs = open_pairs(held, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = saved(verified(pairs, texts), "more")
