@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from semindex.llm import gif, gru, mixing, neardup, pieces, quality, substring, token_files, toxicity, warc
+from semindex.llm import gif, gru, mixing, neardup, phrases, pieces, preference, quality, ranked_search, substring, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_chunks": warc.op8_warc_chunks,
         "op9_gif_frames": gif.op9_gif_frames,
         "op10_token_files": token_files.op10_token_files,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_quality_ranker": preference.op12_quality_ranker,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pfair_mix": mixing.OP1_SQL, "op8_warc_chunks": warc.OP8_SQL}
+    return {"op1_pfair_mix": mixing.OP1_SQL, "op8_warc_chunks": warc.OP8_SQL, "op11_phrases": phrases.OP11_SQL, "op13_ranked_search": ranked_search.OP13_SQL}
