@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semindex.functions import constants as K
 from semindex.operators import chunking, diff, filters
-from semindex.operators.embedding import Embedder, embed, needs_rebuild
+from semindex.operators.embedding import Embedder, embed
 from semindex.operators.search import search
 from semindex.operators.store import delete_points, mark_run, upsert_points
-from semindex.sources.corpus import load_version, save_version
+from semindex.sources.commits import Key, Part, State, Store
 from semindex.sources.shared import saved
 
 
@@ -30,54 +31,90 @@ def make_points(files: DataFrame, embedder: Embedder, root: Column | None = None
     return embed(blocks.drop("piece_offset"), "content", embedder, prefix=prefix)
 
 
-def refresh_index(files: DataFrame, manifest: DataFrame, points: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES, adopted: DataFrame | None = None) -> Refreshed:
-    """Diff, delete, chunk, embed, upsert. Points of all re-chunked paths go, so an interrupted run leaves no orphans.
+def refresh_index(
+    files: DataFrame, manifest: DataFrame, points: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES, adopted: DataFrame | None = None, collections: DataFrame | None = None
+) -> Refreshed:
+    """Diff, delete, chunk, embed, upsert over tables, as new tables. Points of all re-chunked paths go, so an interrupted run leaves no orphans.
 
     Fresh points and the diff are written to the shared folder once, and all else is derived from there, so each text is
-    embedded once. Save the points first, then the manifest, then the run marker (as run_index() does): a crash in between
-    only repeats work. ``adopted`` names collections that have points but no manifest.
+    embedded once. Rows of collections other than ``collections`` (by default those of ``files``) stay. ``adopted`` names
+    collections that have points but no manifest. run_index() keeps a store instead, and writes only what changes.
     """
     files = filters.filter_supported(files)
-    change = saved(diff.change_diff(files, manifest, max_bytes), "change")
+    change = saved(diff.change_diff(files, manifest, max_bytes, collections), "change")
     todo = change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS)
     fresh = saved(make_points(files.join(todo, diff.KEYS, "left_semi"), embedder), "fresh")
     kept = delete_points(points, diff.delete_set(change, include_new=True))
-    new_manifest = manifest.join(change.where("change <> 'unchanged' AND change <> 'skipped'"), diff.KEYS, "left_anti")
-    new_manifest = new_manifest.unionByName(change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS, "file_hash"))
     counts = fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
-    return Refreshed(upsert_points(kept, fresh), new_manifest, diff.index_summary(change, counts, adopted))
+    return Refreshed(upsert_points(kept, fresh), new_manifest(manifest, change), diff.index_summary(change, counts, adopted))
 
 
-EMPTY_MANIFEST = "collection_id string, file_path string, file_hash string"
+def new_manifest(manifest: DataFrame, change: DataFrame) -> DataFrame:
+    rest = manifest.join(change.where("change <> 'unchanged' AND change <> 'skipped'"), diff.KEYS, "left_anti")
+    return rest.unionByName(change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS, "file_hash"))
+
+
+MANIFEST = "collection_id string, file_path string, file_hash string"
 RUNS = "collection_id string, run_id string, indexing_complete boolean, started_at timestamp, completed_at timestamp, vector_dim int"
 
 
-def run_index(spark: SparkSession, files: DataFrame, store: str, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """One durable run over the tables points, manifest and runs in the folder ``store``; returns the summary.
+def mark(store: Store, state: State, scope: list[str], run_id: str, at: str, complete: bool, dim: int) -> dict[Key, Part | None]:
+    """New parts of the table of markers, which has one bucket for each collection."""
+    spark = store.spark
+    held = store.read_parts("runs", state.of("runs", scope).values(), RUNS)
+    ids = spark.createDataFrame([(c,) for c in scope], "collection_id string")
+    return dict(store.write_parts(mark_run(held, ids, run_id, at, complete, dim).withColumn("bucket", F.lit(0)), "runs"))
+
 
-    The collections' markers say incomplete before anything changes; points, manifest and the complete marker follow in this
-    order, each as a new version that readers see whole. A run that stops anywhere is repeated by the next, as points are keyed.
-    Points of another dimension than ``dim`` mean a full rebuild; points without a manifest are adopted: all their files are
-    indexed anew under the same ids, and the summary says so.
+def run_index(
+    spark: SparkSession, files: DataFrame, store: str | Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, collections: DataFrame | None = None
+) -> DataFrame:
+    """One durable run over the tables points, manifest and runs of a store (sources/commits.py); returns the summary.
+
+    A run looks at its own ``collections`` only (by default those of ``files``; name one whose files have all gone), and
+    of these it rewrites only the buckets that changed, deleted or new paths fall into. Its markers say incomplete before
+    anything changes; points, manifest and the complete marker follow in one commit, so a run that stops anywhere has
+    changed nothing but the marker. A run raises Conflict if another one has committed to one of its collections meanwhile.
+    Collections whose points have another dimension than ``dim`` are rebuilt; those with points and no manifest are adopted:
+    all their files are indexed anew under the same ids, and the summary says so. Both are read off the log, not off points.
     """
-    collections = files.select("collection_id").distinct()
-    points, manifest, runs = (load_version(spark, f"{store}/{name}", None) for name in ("points", "manifest", "runs"))
-    runs = runs if runs is not None else spark.createDataFrame([], RUNS)
-    rebuild = points is not None and needs_rebuild(points, dim)
-    known = manifest if manifest is not None and not rebuild else spark.createDataFrame([], EMPTY_MANIFEST)
-    if points is None or rebuild:
-        points = make_points(files.where(F.lit(False)), embedder)
-    adopted = None if rebuild else points.select("collection_id").distinct().join(known.select("collection_id").distinct(), "collection_id", "left_anti")
-    save_version(mark_run(runs, collections, run_id, at, False, dim), f"{store}/runs")
-    new = refresh_index(files, known, points, embedder, max_bytes, adopted)
-    save_version(new.points, f"{store}/points")
-    save_version(new.manifest, f"{store}/manifest")
-    save_version(mark_run(load_version(spark, f"{store}/runs"), collections, run_id, at, True, dim), f"{store}/runs")
-    return new.summary
+    store = store if isinstance(store, Store) else Store(spark, store)
+    looked_at = saved((files if collections is None else collections).select("collection_id").distinct(), "scope")
+    scope = sorted(r[0] for r in looked_at.collect())  # a line for each collection of the run
+    if not scope:
+        return diff.index_summary(diff.change_diff(files, spark.createDataFrame([], MANIFEST), max_bytes, looked_at), files.groupBy("collection_id").agg(F.count("*").alias("n_blocks")))
+    state = store.state()
+    state = store.commit(state, mark(store, state, scope, run_id, at, False, dim), schemas={"runs": T.StructType.fromDDL(RUNS).json()})
+    points, manifest = state.of("points", scope), state.of("manifest", scope)
+    stale = {c for (c, _), p in points.items() if p.dims is not None and p.dims != (dim, dim)}
+    adopted = sorted({c for c, _ in points} - {c for c, _ in manifest} - stale)
+
+    known = store.read_parts("manifest", [p for (c, _), p in manifest.items() if c not in stale], MANIFEST)
+    files = filters.filter_supported(files)
+    change = saved(diff.change_diff(files, known, max_bytes, looked_at), "change")
+    sizes = {r.collection_id: r.n for r in change.groupBy("collection_id").agg(F.count("*").alias("n")).collect()}
+    buckets = store.bucket_counts(sizes) | {c: n for c, n in state.buckets.items() if c in scope and c not in stale}
+    moved = store.with_bucket(change.where("change <> 'unchanged' AND change <> 'skipped'"), buckets)
+    touched = {(r.collection_id, r.bucket) for r in moved.select("collection_id", "bucket").distinct().collect()}  # a line for each bucket that changes
+    todo = change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS)
+    fresh = saved(make_points(files.join(todo, diff.KEYS, "left_semi"), embedder), "fresh")
+
+    new: dict[Key, Part | None] = {("points", c, b): None for c, b in points if c in stale or (c, b) in touched}
+    new |= {("manifest", c, b): None for c, b in manifest if c in stale or (c, b) in touched}
+    if touched:
+        old = store.read_parts("points", [p for (c, b), p in points.items() if c not in stale and (c, b) in touched], fresh.schema)
+        kept = upsert_points(delete_points(old, diff.delete_set(change, include_new=True)), fresh)
+        new |= store.write_parts(store.with_bucket(kept, buckets), "points")
+        held = store.read_parts("manifest", [p for (c, b), p in manifest.items() if c not in stale and (c, b) in touched], MANIFEST)
+        new |= store.write_parts(store.with_bucket(new_manifest(held, change), buckets), "manifest")
+    new |= mark(store, state, scope, run_id, at, True, dim)
+    store.commit(state, new, buckets, {"points": fresh.schema.json(), "manifest": T.StructType.fromDDL(MANIFEST).json()})
+    counts = fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
+    return diff.index_summary(change, counts, spark.createDataFrame([(c,) for c in adopted], "collection_id string"))
 
 
 def rebuild_index(files: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:
-    empty_manifest = files.sparkSession.createDataFrame([], EMPTY_MANIFEST)
+    empty_manifest = files.sparkSession.createDataFrame([], MANIFEST)
     points = make_points(files.where(F.lit(False)), embedder)
     return refresh_index(files, empty_manifest, points, embedder, max_bytes)
 

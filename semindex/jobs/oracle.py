@@ -207,6 +207,20 @@ f AS (
   SELECT worktree, arg_max(kind, (ms, event_id)) AS reason, arg_max(due, (ms, event_id)) AS fire_ms, bool_or(urgent) AS urgent FROM b GROUP BY worktree, burst
 )"""
 
+def pointed(todo: str) -> str:
+    """Ids of the blocks of the files that ``todo`` selects (collection_id, file_path, content, ext), as ``ided``; non-blank blocks, once each."""
+    return f"""todo AS ({todo}), md AS (SELECT collection_id, file_path, string_split(content, chr(10)) AS lines FROM todo WHERE list_contains({listed(K.MARKDOWN_EXTENSIONS)}, ext)),
+      {markdown_blocks("md", "_m")}, others AS (
+        SELECT collection_id, file_path, content FROM todo WHERE NOT list_contains({listed(K.MARKDOWN_EXTENSIONS + K.NO_GRAMMAR_EXTENSIONS)}, ext)
+      ), {packed("others", "_o").strip()}, every AS (
+        SELECT * FROM md_blocks UNION ALL SELECT collection_id, file_path, start_line, end_line, piece_offset, content FROM blocks_o
+      ), hashes AS (
+        SELECT *, {hashed_id("collection_id || '/' || file_path", "start_line", "end_line", "piece_offset", "content")} AS segment_hash FROM every WHERE regexp_matches(content, '\\S')
+      ), ided AS (SELECT DISTINCT collection_id, file_path, start_line, end_line, {uuid5("segment_hash")} AS point_id FROM hashes)"""
+
+
+SUPPORTED = f"supported AS (SELECT *, {EXT} AS ext, size_bytes > {SIZE_CAP} AS big FROM files WHERE list_contains({listed(K.EXTENSIONS)}, {EXT}))"
+
 SQL: dict[str, str] = {
     "corpus_filter": f"""WITH {FILES_SQL.strip()} SELECT collection_id, file_path, size_bytes FROM files
       WHERE list_contains({listed(K.EXTENSIONS)}, {EXT}) AND size_bytes <= {SIZE_CAP}
@@ -266,6 +280,20 @@ SQL: dict[str, str] = {
       SELECT collection_id, count(*) FILTER (NOT big) AS processed_files, count(*) FILTER (big) AS skipped_files, 0::bigint AS deleted_files, count(*) FILTER (NOT big) > 0 AS performed,
         count(*) FILTER (NOT big) > 0 AS triggered, CASE WHEN count(*) FILTER (NOT big) > 0 THEN '{K.RUN_REASONS["applied"]}' ELSE '{K.RUN_REASONS["fresh"]}' END AS reason,
         coalesce(any_value(n_blocks), 0) AS indexed_blocks FROM todo LEFT JOIN n USING (collection_id) GROUP BY collection_id""",
+    "scoped_runs": f"""WITH RECURSIVE {FILES_SQL.strip()}, {SUPPORTED}, {pointed("SELECT collection_id, file_path, content, ext FROM supported WHERE NOT big AND (collection_id >= 'ws-8' OR doc_id % 2 = 0)")}
+      SELECT *, 64 AS dim FROM ided""",
+    "adopt_index": f"""WITH RECURSIVE {MANIFEST_SQL.strip()}, {SUPPORTED}, change AS (
+        SELECT coalesce(f.collection_id, m.collection_id) AS collection_id, coalesce(f.file_path, m.file_path) AS file_path, content, ext,
+          CASE WHEN f.file_path IS NULL THEN 'deleted' WHEN big THEN 'skipped' WHEN m.file_path IS NULL THEN 'new' WHEN m.file_hash <> sha256(content) THEN 'changed' ELSE 'unchanged' END AS change
+        FROM supported f FULL JOIN (SELECT * FROM prev_manifest WHERE collection_id < 'ws-8') m ON f.collection_id = m.collection_id AND f.file_path = m.file_path
+      ), {pointed("SELECT collection_id, file_path, content, ext FROM change WHERE change IN ('new', 'changed')")}, n AS (SELECT collection_id, count(*) AS n_blocks FROM ided GROUP BY 1
+      ), c AS (
+        SELECT collection_id, count(*) FILTER (change IN ('new', 'changed')) AS processed_files, count(*) FILTER (change IN ('unchanged', 'skipped')) AS skipped_files,
+          count(*) FILTER (change = 'deleted') AS deleted_files, count(*) FILTER (change <> 'deleted') AS n_files FROM change GROUP BY collection_id
+      )
+      SELECT collection_id, 'r1' AS run_id, processed_files, skipped_files, deleted_files, true AS performed, true AS triggered, coalesce(n_blocks, 0) AS indexed_blocks, true AS indexing_complete, 64 AS vector_dim,
+        CASE WHEN collection_id < 'ws-8' THEN '{K.RUN_REASONS["applied"]}' ELSE '{K.RUN_REASONS["adopted_applied"]}' END AS reason FROM c LEFT JOIN n USING (collection_id)
+      UNION ALL SELECT collection_id, 'r2', 0, n_files, 0, false, false, 0, true, 64, '{K.RUN_REASONS["fresh"]}' FROM c""",
     "points_sink": f"""WITH {FILES_SQL.strip()} SELECT collection_id, doc_id::varchar AS point_id, CASE WHEN collection_id < 'ws-8' THEN 'new' ELSE 'old' END AS state FROM files
       WHERE collection_id >= 'ws-8' OR doc_id % 2 = 0""",
     "manifest_versions": f"WITH {MANIFEST_SQL.strip()} SELECT collection_id, file_path, file_hash FROM prev_manifest WHERE file_path NOT LIKE '%.old'",
@@ -346,3 +374,5 @@ SQL: dict[str, str] = {
       SELECT worktree, min(ms) AS start_ms, max(due) AS fire_ms, count(*) AS n_events, bool_or(urgent) AS urgent FROM b GROUP BY worktree, s""",
     "trigger_rate": f"WITH {TRIGGERS.strip()} SELECT worktree, (ms // 86400000) * 86400000 AS start_ms, count(*) AS n_events FROM trig GROUP BY ALL",
 }
+SQL["bounded_topk"] = SQL["cosine_topk"]
+SQL["ann_recall"] = f"SELECT count(*) AS n_exact, true AS nine_in_ten FROM ({SQL['cosine_topk']})"

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.jobs.index import RUNS, rebuild_index, refresh_index, run_index, search_table
-from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store
+from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store, vector_index
 from semindex.sources import derived as D
+from semindex.sources.commits import Store
 from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version, write_points
 from semindex.sources.shared import saved, shared_folder
 from semindex.streaming import triggers
@@ -181,7 +182,22 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     queries = _queries(spark, sf).withColumn("path_prefix", F.lit(None).cast("string"))
-    return search.ann_search(_points(spark, sf), queries, min_score=0.05)
+    return vector_index.build(_points(spark, sf), shared_folder(spark, "index")).approximate(queries, min_score=0.05).hits
+
+
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the hits of the full scan, how many there are and whether the approximate search over the stored index has nine in ten."""
+    folder = shared_folder(spark, "index")
+    vector_index.build(_points(spark, sf), folder)
+    queries = _queries(spark, sf).withColumn("path_prefix", F.lit(None).cast("string"))
+    near = vector_index.load(spark, folder).approximate(queries, min_score=0.05).hits.select("query_id", "point_id", F.lit(1).alias("near"))
+    return cosine_topk(spark, sf).join(near, ["query_id", "point_id"], "left").agg(F.count("*").alias("n_exact"), (F.count("near") >= 0.9 * F.count("*")).alias("nine_in_ten"))
+
+
+def bounded_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The full scan's result from the stored index, by bounds."""
+    queries = _queries(spark, sf).withColumn("path_prefix", F.lit(None).cast("string"))
+    return vector_index.build(_points(spark, sf), shared_folder(spark, "index")).exact(queries, min_score=0.05).hits
 
 
 def _file_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,23 +264,32 @@ def adopt(spark: SparkSession, sf: str) -> DataFrame:
     """Two durable runs over one store that has points of all collections and a manifest of some: the others are adopted; the
     second run finds all fresh. Summaries of both."""
     files = D.corpus_files(spark, sf)
-    embedder, store = embedding.hashing_embedder(64), shared_folder(spark, "store")
+    embedder, store = embedding.hashing_embedder(64), Store(spark, shared_folder(spark, "store"))
     held = files.where("doc_id % 5 = 0").select("collection_id", "file_path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "content", F.lit("h").alias("segment_hash"), F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("point_id"))
-    save_version(embedding.embed(held, "content", embedder).withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), 64))), f"{store}/points")
-    save_version(D.prev_manifest(files).where("collection_id < 'ws-8'"), f"{store}/manifest")
+    store.replace_collections(embedding.embed(held, "content", embedder).withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), 64))), "points")
+    store.replace_collections(D.prev_manifest(files).where("collection_id < 'ws-8'"), "manifest")
     files = files.drop("doc_id")
     runs = [run_index(spark, files, store, embedder, 64, f"r{n}", f"2024-01-0{n}", D.SIZE_CAP).withColumn("run_id", F.lit(f"r{n}")) for n in (1, 2)]
-    marked = load_version(spark, f"{store}/runs").select("collection_id", "run_id", "indexing_complete", "vector_dim")
+    marked = store.read("runs").select("collection_id", "run_id", "indexing_complete", "vector_dim")
     return runs[0].unionByName(runs[1]).join(marked, ["collection_id", "run_id"])
 
 
+def scoped_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """One store: a run over all worktrees, then one over those below ws-8 with half of their files. The points of all, by id."""
+    files, store = D.corpus_files(spark, sf), Store(spark, shared_folder(spark, "store"))
+    some = files.where("collection_id < 'ws-8' AND doc_id % 2 = 0")
+    run_index(spark, files.drop("doc_id"), store, embedding.hashing_embedder(64), 64, "r1", "2024-01-01", D.SIZE_CAP)
+    run_index(spark, some.drop("doc_id"), store, embedding.hashing_embedder(64), 64, "r2", "2024-01-02", D.SIZE_CAP)
+    return store.read("points").select("collection_id", "file_path", "start_line", "end_line", "point_id", F.size("vector").alias("dim"))
+
+
 def points_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Points of all worktrees, then new ones of some, which replace only theirs."""
     rows = D.corpus_files(spark, sf).select("collection_id", F.col("doc_id").cast("string").alias("point_id"))
     folder = shared_folder(spark, "sink")
     write_points(rows.withColumn("state", F.lit("old")), folder)
     write_points(rows.where("collection_id < 'ws-8' AND int(point_id) % 2 = 0").withColumn("state", F.lit("new")), folder)
-    return spark.read.parquet(folder).select("collection_id", "point_id", "state")
+    return Store(spark, folder).read("points").select("collection_id", "point_id", "state")
 
 
 def manifest_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,9 +420,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dry_run_status": dry_run_status, "mode_assessments": mode_assessments, "chunk_lines": chunk_lines,
     "markdown_sections": markdown_sections, "markdown_chunks": markdown_chunks, "html_node_chunks": html_node_chunks, "tree_descent": tree_descent,
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings,
-    "cosine_topk": cosine_topk, "ann_topk": ann_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
+    "cosine_topk": cosine_topk, "ann_topk": ann_topk, "ann_recall": ann_recall, "bounded_topk": bounded_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
-    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
+    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
     "query_prefixes": query_prefixes, "decoded_vectors": decoded_vectors, "dimension_check": dimension_check, "external_links": external_links,
     "cosine_pairs": cosine_pairs, "newest_requests": newest_requests, "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
 }

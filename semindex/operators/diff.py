@@ -17,10 +17,15 @@ def hashed(files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
     return files.select(*KEYS, F.when(small, C.sha256("content")).alias("file_hash"), (~small).alias("oversize"))
 
 
-def change_diff(files: DataFrame, manifest: DataFrame, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    """(collection_id, file_path, change): new, changed, unchanged, deleted, skipped (oversize)."""
+def change_diff(files: DataFrame, manifest: DataFrame, max_bytes: int = K.MAX_FILE_BYTES, collections: DataFrame | None = None) -> DataFrame:
+    """(collection_id, file_path, change): new, changed, unchanged, deleted, skipped (oversize).
+
+    Only manifest rows of ``collections`` take part, by default those that have files: what a run doesn't look at isn't deleted.
+    Name a collection whose files have all gone.
+    """
     now = hashed(files, max_bytes).withColumn("_now", F.lit(True))
-    before = manifest.select(*KEYS, F.col("file_hash").alias("_before"))
+    looked_at = (files if collections is None else collections).select("collection_id").distinct()
+    before = manifest.select(*KEYS, F.col("file_hash").alias("_before")).join(looked_at, "collection_id", "left_semi")
     change = (
         F.when(F.col("_now").isNull(), "deleted").when(F.col("oversize"), "skipped").when(F.col("_before").isNull(), "new")
         .when(F.col("_before") != F.col("file_hash"), "changed").otherwise("unchanged")

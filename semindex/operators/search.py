@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,15 +13,14 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.operators.filters import complete_payload
 from semindex.sources.shared import saved
 
-#: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; points that an index is fitted on.
-QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, SAMPLE = 2048, 8 << 20, 32 << 20, 20_000
+#: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; of blocks that a worker keeps.
+QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, CACHE_BYTES = 2048, 8 << 20, 32 << 20, 256 << 20
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -43,19 +42,34 @@ class Block:
     probes: list[list[int]] | None  # lists of points that each looks into
 
 
-@functools.lru_cache(maxsize=8)
-def block(uri: str) -> Block:
-    """A file of the queries' table; a worker keeps the last few."""
+#: Blocks that a worker keeps, by file, and their bytes.
+_held: OrderedDict[str, list[Block]] = OrderedDict()
+
+
+def blocks(files: list[str]) -> Iterator[Block]:
+    """The blocks of the queries' table, one after the other; a worker keeps those read last, up to CACHE_BYTES of them."""
+    for uri in files:
+        if uri not in _held:
+            _held[uri] = list(read_blocks(uri))
+            while len(_held) > 1 and sum(b.matrix.nbytes for bs in _held.values() for b in bs) > CACHE_BYTES:
+                _held.popitem(last=False)
+        yield from _held[uri]
+
+
+def read_blocks(uri: str) -> Iterator[Block]:
+    """The queries of a file, by the dimension of their vectors: usually one block."""
     fs, name = pafs.FileSystem.from_uri(uri)
-    rows = pq.read_table(name, filesystem=fs).to_pydict()
-    n = len(rows["query_id"])
-    matrix = np.array(rows["vector"], np.float64).reshape(n, -1) if n else np.zeros((0, 0))
-    norms = np.sqrt((matrix * matrix).sum(1))
-    scopes: dict[tuple, list[int]] = {}
-    for i, (place, prefix) in enumerate(zip(rows["collection_id"], rows["prefix"], strict=True)):
-        if norms[i] > 0:
-            scopes.setdefault((place, None if prefix is None else tuple(prefix)), []).append(i)
-    return Block(np.array(rows["query_id"]), rows["k"], matrix, norms, scopes, rows.get("probes"))
+    every = pq.read_table(name, filesystem=fs)
+    sizes = pc.list_value_length(every.column("vector")).to_numpy()
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        rows = every.filter(pa.array(sizes == dim)).to_pydict()
+        matrix = np.array(rows["vector"], np.float64)
+        norms = np.sqrt((matrix * matrix).sum(1))
+        scopes: dict[tuple, list[int]] = {}
+        for i, (place, prefix) in enumerate(zip(rows["collection_id"], rows["prefix"], strict=True)):
+            if norms[i] > 0:
+                scopes.setdefault((place, None if prefix is None else tuple(prefix)), []).append(i)
+        yield Block(np.array(rows["query_id"]), rows["k"], matrix, norms, scopes, rows.get("probes"))
 
 
 def query_blocks(queries: DataFrame, k: int) -> DataFrame:
@@ -70,14 +84,15 @@ def query_blocks(queries: DataFrame, k: int) -> DataFrame:
     return saved(asked.repartition(max(1, -(-n // rows))), "queries")
 
 
-def scored(points: DataFrame, asked: DataFrame, min_score: float, centroids: np.ndarray | None = None) -> DataFrame:
+def scored(points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
     """(query_id, k, point_id, score): of each CHUNK_BYTES of points the best of each query, ties at the border included.
 
     ``asked`` is a table as of query_blocks(); tasks read its files one after the other, so neither the driver nor a plan holds
-    queries. With ``centroids`` only points of the lists that a query probes are scored.
+    queries. A query meets the points of its own dimension, whatever others there are (left_out() counts those that
+    none meets). Points with a column ``list_id`` meet only queries that probe their list.
     """
-    files = asked.inputFiles()
-    slim = points.select("collection_id", "point_id", C.path_segments("file_path").alias("segments"), F.col("vector").cast("array<double>").alias("vector"))
+    files, by_list = asked.inputFiles(), "list_id" in points.columns
+    slim = points.select("collection_id", "point_id", C.path_segments("file_path").alias("segments"), F.col("vector").cast("array<double>").alias("vector"), *(["list_id"] if by_list else []))
 
     def best(b: Block, rows: list[int], at: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, out: tuple) -> None:
         scores = np.round(b.matrix[rows] @ vectors[at].T / (b.norms[rows][:, None] * lengths[at]), 6)
@@ -90,50 +105,54 @@ def scored(points: DataFrame, asked: DataFrame, min_score: float, centroids: np.
             out[1].append(at[good])
             out[2].append(line[good])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            usable = pc.and_(pc.is_valid(part.column(3)), pc.greater(pc.fill_null(pc.list_value_length(part.column(3)), 0), 0))
-            part = part.filter(usable)
-            if not part.num_rows:
+    def met(part: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+        vectors = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
+        lengths = np.sqrt((vectors * vectors).sum(1))
+        places, paths = np.array(part.column(0).to_pylist(), object), None
+        own = part.column(4).to_numpy() if by_list else None
+        for b in blocks(files):
+            if b.matrix.shape[1] != dim:
                 continue
-            sizes = pc.list_value_length(part.column(3)).to_numpy()
-            dim = int(sizes.max())
-            part = part.filter(pa.array(sizes == dim))
-            vectors = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
-            lengths = np.sqrt((vectors * vectors).sum(1))
-            places, paths = np.array(part.column(0).to_pylist(), object), None
-            own = nearest_lists(vectors, centroids, 1)[:, 0] if centroids is not None else None
-            for uri in files:
-                b = block(uri)
-                if not len(b.ids) or b.matrix.shape[1] != dim:
+            out: tuple[list, list, list] = ([], [], [])
+            for (place, prefix), rows in b.scopes.items():
+                there = lengths > 0
+                if place is not None:
+                    there &= places == place
+                if prefix is not None:
+                    paths = part.column(2).to_pylist() if paths is None else paths
+                    there &= np.array([tuple(s[: len(prefix)]) == prefix for s in paths])
+                at = np.flatnonzero(there)
+                if own is None:
+                    best(b, rows, at, vectors, lengths, out)
                     continue
-                out: tuple[list, list, list] = ([], [], [])
-                for (place, prefix), rows in b.scopes.items():
-                    there = lengths > 0
-                    if place is not None:
-                        there &= places == place
-                    if prefix is not None:
-                        paths = part.column(2).to_pylist() if paths is None else paths
-                        there &= np.array([tuple(s[: len(prefix)]) == prefix for s in paths])
-                    at = np.flatnonzero(there)
-                    if own is None:
-                        best(b, rows, at, vectors, lengths, out)
-                        continue
-                    probing: dict[int, list[int]] = {}
-                    for row in rows:
-                        for x in b.probes[row]:
-                            probing.setdefault(x, []).append(row)
-                    for x in np.unique(own[at]).tolist():
-                        if x in probing:
-                            best(b, probing[x], at[own[at] == x], vectors, lengths, out)
-                if out[0]:
-                    row, at, score = (np.concatenate(x) for x in out)
-                    limits = np.array(b.limits, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(limits[row]), part.column(1).take(pa.array(at)), pa.array(score)], ["query_id", "k", "point_id", "score"])
+                probing: dict[int, list[int]] = {}
+                for row in rows:
+                    for x in b.probes[row]:
+                        probing.setdefault(x, []).append(row)
+                for x in np.unique(own[at]).tolist():
+                    if x in probing:
+                        best(b, probing[x], at[own[at] == x], vectors, lengths, out)
+            if out[0]:
+                row, at, score = (np.concatenate(x) for x in out)
+                limits = np.array(b.limits, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(limits[row]), part.column(1).take(pa.array(at)), pa.array(score)], ["query_id", "k", "point_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            sizes = pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy()
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                yield from met(part.filter(pa.array(sizes == dim)), dim)
 
     return slim.mapInArrow(run, "query_id long, k int, point_id string, score double")
 
 
+def left_out(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(dim, n_points): vectors of dimensions that no query has, and so are compared with none; null for points without a vector."""
+    dim = F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dim")
+    asked = queries.where("vector IS NOT NULL").select(dim).distinct()
+    return points.groupBy(dim).agg(F.count("*").alias("n_points")).join(asked, "dim", "left_anti")
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches put together up to CHUNK_BYTES."""
     held, size = [], 0
@@ -227,38 +246,3 @@ def probes_needed(sample: np.ndarray, centroids: np.ndarray, k: int, recall: flo
     top = np.argsort(-(queries @ sample.T), axis=1)[:, : min(k, len(sample))]
     ranks = np.sort(np.take_along_axis(place, own[top], 1).ravel())
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
-
-
-def ann_index(points: DataFrame, k: int = K.TOP_K, recall: float = 0.93, sample: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """(centroids, lists to probe), fitted on ``sample`` points at most, those of the least hashes: all that is ever collected.
-    There are about as many lists as the square root of the number of points, 1,024 at most."""
-    some = points.where("vector IS NOT NULL").select(F.xxhash64("point_id").alias("_h"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = [r.vector for r in some.orderBy("_h").limit(sample).collect()]
-    if not rows:
-        return np.zeros((0, 0)), 0
-    vectors = np.array(rows, np.float64)
-    norms = np.sqrt((vectors * vectors).sum(1))
-    vectors = vectors[norms > 0] / norms[norms > 0][:, None]
-    if not len(vectors):
-        return np.zeros((0, 0)), 0
-    centroids = fitted_lists(vectors, int(min(1024, max(1, points.count() ** 0.5))))
-    return centroids, probes_needed(vectors, centroids, k, recall)
-
-
-def ann_search(points: DataFrame, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE, recall: float = 0.93, sample: int = SAMPLE) -> DataFrame:
-    """Approximate form of topk_search: points belong to the list of their nearest centroid, and a query is compared, by the
-    exact cosine, with the points of the lists that are nearest to it. How many is measured on the sample, so vectors
-    without groups cost more instead of being missed. Neither points nor vectors are shuffled, and no list is gathered."""
-    centroids, probes = ann_index(points, k, recall, sample)
-    if not probes:
-        return topk_search(points.limit(0), queries, k, min_score)
-    names = [*queries.columns, "probes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [None if v is None or len(v) != centroids.shape[1] else nearest_lists(np.array([v], np.float64), centroids, probes)[0] for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names)
-
-    at = queries.columns.index("vector")
-    probing = queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("probes", T.ArrayType(T.LongType()))]))
-    return ranked(scored(points, query_blocks(probing.where("probes IS NOT NULL"), k), min_score, centroids))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
+from semindex.sources.commits import Files, Store
 
 
 def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
@@ -59,27 +59,32 @@ def manifest_json(manifest: DataFrame, files: int = 10_000) -> DataFrame:
 
 
 def save_version(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
-    """Writes a new version of a table beside the old ones, then names it in the pointer; readers never see half of it."""
-    spark = df.sparkSession
-    version = f"{folder}/v-{uuid.uuid4().hex}"
+    """Writes a new version of a table beside the old ones, then names it under the next number; readers never see half of it.
+    Of two writers at once the one that comes second gets the later number."""
+    files, version = Files(df.sparkSession, folder), f"{folder}/v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(version)
-    pointer = spark.createDataFrame([(version,)], "path string").withColumn("at", F.current_timestamp())
-    pointer.coalesce(1).write.mode("append").json(f"{folder}/pointer")
+    n = max(_numbers(files), default=0) + 1
+    while not files.create(f"pointer/{n:020}", version):
+        n += 1
     return version
 
 
+def _numbers(files: Files) -> list[int]:
+    return [int(x) for x in files.names("pointer") if x.isdigit()]
+
+
 def load_version(spark: SparkSession, folder: str, *missing: None) -> DataFrame | None:
     """The newest version; of a table that was never saved an error, or ``missing`` if it is given."""
-    try:
-        latest = spark.read.schema("path string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at"), "path").first()
-    except AnalysisException as e:
-        if missing and e.getCondition() == "PATH_NOT_FOUND":
+    files = Files(spark, folder)
+    numbers = _numbers(files)
+    if not numbers:
+        if missing:
             return missing[0]
-        raise
-    return spark.read.parquet(latest["path"])
+        raise FileNotFoundError(folder)
+    return spark.read.parquet(files.read(f"pointer/{max(numbers):020}"))
 
 
 def write_points(points: DataFrame, folder: str) -> None:
-    """Overwrites only the collections that ``points`` has rows of."""
-    points.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("collection_id").parquet(folder)
+    """Replaces the rows of the collections that ``points`` has rows of, in one commit of the store ``folder``; all others stay as they are."""
+    Store(points.sparkSession, folder).replace_collections(points, "points")

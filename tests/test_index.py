@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from semindex.jobs.index import rebuild_index, refresh_index, run_index, search_table
 from semindex.jobs.queries import POINTS as QUERIES_POINTS
-from semindex.operators import embedding, search, store
+from semindex.operators import embedding, search, store, vector_index
 from semindex.sources import derived as D
-from semindex.sources.corpus import load_version
+from semindex.sources.commits import Conflict, Files, Store
 
 
 def corpus(spark, rows):
@@ -102,21 +102,60 @@ def test_approximate_search_finds_nine_in_ten(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
-def test_approximate_search_looks_at_few_pairs_where_vectors_have_groups(spark):
+def grouped(spark, n=6000, dim=24):
     rng = np.random.default_rng(4)
-    groups = rng.standard_normal((120, 24))
-    vectors = groups[np.arange(6000) % 120] + 0.35 * rng.standard_normal((6000, 24))
-    rows = [("c", str(i), "x", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    groups = rng.standard_normal((120, dim))
+    vectors = groups[np.arange(n) % 120] + 0.35 * rng.standard_normal((n, dim))
+    rows = [("c" if i % 3 else "d", str(i), "src/x" if i % 2 else "docs/y", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [("c", "null", "x", None), ("c", "none", "x", [0.0] * dim), ("c", "short", "x", [1.0, 2.0])]
     points = spark.createDataFrame(rows, "collection_id string, point_id string, file_path string, vector array<float>").repartition(3).cache()
-    queries = points.where("int(point_id) % 20 = 0").selectExpr("bigint(point_id) AS query_id", "string(null) AS collection_id", "string(null) AS path_prefix", "10 AS max_results", "vector")
-    key = lambda df: {(r.query_id, r.point_id) for r in df.collect()}
-    exact, near = key(search.topk_search(points, queries)), key(search.ann_search(points, queries, k=10))
-    assert len(exact & near) >= 0.9 * len(exact) and len(exact) == 3000
-    centroids, probes = search.ann_index(points, 10)
-    held = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
-    sizes = np.bincount(search.nearest_lists(held, centroids, 1)[:, 0], minlength=len(centroids))
-    looked_at = sizes[search.nearest_lists(held[::20], centroids, probes)].sum(1)
-    assert looked_at.mean() < 0.05 * 6000
+    scope = "CASE WHEN int(point_id) % 40 = 0 THEN 'c' END AS collection_id", "CASE WHEN int(point_id) % 60 = 0 THEN 'docs' END AS path_prefix"
+    held = points.where("try_cast(point_id AS int) % 20 = 0").selectExpr("bigint(point_id) AS query_id", *scope, "10 AS max_results", "vector")
+    odd = spark.createDataFrame([(-1, None, None, 10, None), (-2, None, None, 10, [0.0] * dim), (-3, None, None, 10, [1.0, 2.0])], held.schema)
+    return points, held.unionByName(odd)
+
+
+def test_index_of_grouped_vectors(spark, tmp_path):
+    """Built once and loaded: exact search by bounds equals the full scan and skips most pairs; the approximate one reads few vectors."""
+    points, queries = grouped(spark)
+    whole = search.topk_search(points, queries.where("query_id >= 0"))
+    key = lambda df: {(r.query_id, r.point_id, r.score, r.rank) for r in df.collect()}
+    want = key(whole)
+    assert vector_index.build(points, str(tmp_path / "index"), k=10).left_out == 3
+    index = vector_index.load(spark, str(tmp_path / "index"))
+    assert index.n_points == 6000 and index.left_out == 3
+    exact = index.exact(queries)
+    assert key(exact.hits) == want and exact.compared < 0.25 * exact.all_pairs
+    near = index.approximate(queries)
+    found = key(near.hits)
+    assert len({x[:2] for x in want} & {x[:2] for x in found}) >= 0.9 * len(want) and near.compared < 0.05 * near.all_pairs
+    assert {x[:3] for x in found if x[:2] in {w[:2] for w in want}} <= {w[:3] for w in want}  # scores are exact
+    plan = index.points(spark, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list_id" in plan.split("PartitionFilters", 1)[1].split("]")[0]
+    assert {r.list_id for r in index.points(spark, [3, 5]).collect()} == {3, 5}
+
+
+def test_index_of_nothing_and_of_few(spark, tmp_path):
+    points, queries = grouped(spark)
+    index = vector_index.build(points.limit(0), str(tmp_path / "none"))
+    assert index.exact(queries).hits.count() == 0 and index.approximate(queries).hits.count() == 0
+    few = vector_index.build(points.where("point_id IN ('0', '20', '7')"), str(tmp_path / "few"))
+    want = search.topk_search(points.where("point_id IN ('0', '20', '7')"), queries, min_score=-1)
+    rows = lambda df: sorted((r.query_id, r.point_id, r.score) for r in df.where("query_id >= 0").collect())
+    assert rows(few.exact(queries, min_score=-1).hits) == rows(want)
+
+
+def test_one_odd_vector_hides_no_others(spark):
+    points = spark.createDataFrame([("c", f"{i:02}", "x", [1.0, float(i), 0.0, 1.0]) for i in range(50)], "collection_id string, point_id string, file_path string, vector array<double>").coalesce(1)
+    odd = spark.createDataFrame([("c", "odd", "x", [1.0] * 5)], points.schema)
+    schema = "query_id long, collection_id string, path_prefix string, max_results int, vector array<double>"
+    queries = spark.createDataFrame([(1, None, None, 10, [1.0, 3.0, 0.0, 1.0])], schema)
+    hits = lambda p, q: sorted((r.query_id, r.point_id) for r in search.topk_search(p, q).collect())
+    want = hits(points, queries)
+    assert len(want) == 10 and hits(points.unionByName(odd).coalesce(1), queries) == want
+    assert [tuple(r) for r in search.left_out(points.unionByName(odd), queries).collect()] == [(5, 1)]
+    mixed = queries.unionByName(spark.createDataFrame([(2, None, None, 10, [1.0] * 5)], schema)).coalesce(1)
+    assert hits(points.unionByName(odd), mixed) == sorted([*want, (2, "odd")])
 
 
 def test_queries_in_many_blocks(spark, monkeypatch):
@@ -130,7 +169,9 @@ def test_queries_in_many_blocks(spark, monkeypatch):
     want = {(q, f"{i:02}") for q in range(20) for i in np.argsort(-(unit[q] @ unit.T))[:4].tolist()}
     assert {(r.query_id, r.point_id) for r in search.topk_search(points, queries, min_score=-1).collect()} == want
     none = queries.limit(0)
-    assert search.topk_search(points, none).count() == 0 and search.ann_search(points.limit(0), queries).count() == 0
+    assert search.topk_search(points, none).count() == 0
+    monkeypatch.setattr(search, "CACHE_BYTES", 1)
+    assert {(r.query_id, r.point_id) for r in search.topk_search(points, queries, min_score=-1).collect()} == want
 
 
 def test_each_text_is_embedded_once(spark, tmp_path):
@@ -155,11 +196,11 @@ def test_durable_runs(spark, tmp_path):
     first = corpus(spark, [("a.ts", text("one")), ("b.ts", text("two"))])
     assert [r.reason for r in run_index(spark, first, store, e, 16, "r1", "2024-01-01").collect()] == ["incremental-index-applied"]
     assert [r.reason for r in run_index(spark, first, store, e, 16, "r2", "2024-01-02").collect()] == ["already-fresh"]
-    marks = {r.run_id: r.indexing_complete for r in load_version(spark, f"{store}/runs").collect()}
+    marks = {r.run_id: r.indexing_complete for r in Store(spark, store).read("runs").collect()}
     assert marks == {"r1": True, "r2": True}
     wide = embedding.hashing_embedder(32)  # another dimension: all is indexed anew
     assert [r.processed_files for r in run_index(spark, first, store, wide, 32, "r3", "2024-01-03").collect()] == [2]
-    assert {len(r.vector) for r in load_version(spark, f"{store}/points").collect()} == {32}
+    assert {len(r.vector) for r in Store(spark, store).read("points").collect()} == {32}
 
     def broken(texts):
         raise RuntimeError("no service")
@@ -167,9 +208,9 @@ def test_durable_runs(spark, tmp_path):
     second = corpus(spark, [("a.ts", text("one")), ("b.ts", text("changed"))])
     with pytest.raises(Exception, match="no service"):
         run_index(spark, second, store, broken, 32, "r4", "2024-01-04")
-    assert {r.run_id: r.indexing_complete for r in load_version(spark, f"{store}/runs").collect()}["r4"] is False
+    assert {r.run_id: r.indexing_complete for r in Store(spark, store).read("runs").collect()}["r4"] is False
     assert [r.processed_files for r in run_index(spark, second, store, wide, 32, "r5", "2024-01-05").collect()] == [1]
-    assert ids(load_version(spark, f"{store}/points")) == ids(rebuild_index(second, wide).points)
+    assert ids(Store(spark, store).read("points")) == ids(rebuild_index(second, wide).points)
 
 
 def test_adoption(spark, sf_dir):
@@ -204,4 +245,97 @@ def test_points_of_other_collections_stay(spark, tmp_path):
     folder = str(tmp_path / "points")
     write_points(rows(("a", "1"), ("a", "2"), ("b", "3")), folder)
     write_points(rows(("a", "4")), folder)
-    assert {(r.collection_id, r.point_id) for r in spark.read.parquet(folder).collect()} == {("a", "4"), ("b", "3")}
+    assert {(r.collection_id, r.point_id) for r in Store(spark, folder).read("points").collect()} == {("a", "4"), ("b", "3")}
+
+
+def worktrees(spark, n_files, names=("ws-1", "ws-2", "ws-3"), changed=()):
+    rows = [(c, f"src/f{i}.ts", f"{c} file {i} {'changed' if (c, i) in changed else 'first'} words that are long enough to be kept\n" * 2) for c in names for i in range(n_files)]
+    df = spark.createDataFrame(rows, "collection_id string, file_path string, content string")
+    return df.select("collection_id", "file_path", F.col("file_path").alias("resolved_path"), F.length("content").cast("long").alias("size_bytes"), "content")
+
+
+def bytes_of(root):
+    return {os.path.join(d, f): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")}
+
+
+def test_a_run_over_one_worktree_leaves_the_others(spark, tmp_path):
+    root, e = str(tmp_path / "store"), embedding.hashing_embedder(16)
+    store = Store(spark, root, bucket_files=4)
+    run_index(spark, worktrees(spark, 20), store, e, 16, "r1", "2024-01-01")
+    first, files = store.state(), bytes_of(root)
+    others = {k: p for k, p in first.parts.items() if k[1] != "ws-1"}
+    run_index(spark, worktrees(spark, 5, ["ws-1"]), store, e, 16, "r2", "2024-01-02")
+    assert {r.collection_id: r["count"] for r in store.read("points").groupBy("collection_id").count().collect()} == {"ws-1": 5, "ws-2": 20, "ws-3": 20}
+    # another dimension rebuilds one worktree; one without files any more is emptied when it is named
+    run_index(spark, worktrees(spark, 5, ["ws-1"]), store, embedding.hashing_embedder(32), 32, "r3", "2024-01-03")
+    assert {(r.collection_id, len(r.vector)) for r in store.read("points").collect()} == {("ws-1", 32), ("ws-2", 16), ("ws-3", 16)}
+    gone = run_index(spark, worktrees(spark, 5, ["ws-1"]).limit(0), store, e, 32, "r4", "2024-01-04", collections=spark.createDataFrame([("ws-1",)], "collection_id string"))
+    assert [r.deleted_files for r in gone.collect()] == [5] and set(store.state().of("points", ["ws-1"])) == set()
+    assert {k: p for k, p in store.state().parts.items() if k[1] != "ws-1"} == others
+    now = bytes_of(root)
+    assert all(now[name] == data for name, data in files.items())
+
+
+def test_one_changed_file_writes_one_bucket(spark, tmp_path):
+    e = embedding.hashing_embedder(16)
+    store = Store(spark, str(tmp_path / "store"), bucket_files=16)
+    run_index(spark, worktrees(spark, 400, ["ws-1"]), store, e, 16, "r1", "2024-01-01")
+    before = store.state()
+    assert len(before.of("points")) == 32 and store.read("points").count() == 400
+    run_index(spark, worktrees(spark, 400, ["ws-1"], {("ws-1", 7)}), store, e, 16, "r2", "2024-01-02")
+    after = store.state()
+    moved = [k for k in after.of("points") if after.of("points")[k] != before.of("points").get(k)]
+    assert len(moved) == 1 and len([k for k in after.of("manifest") if after.of("manifest")[k] != before.of("manifest").get(k)]) == 1
+    assert store.read("points").where("content LIKE '%changed%'").count() == 1 and store.read("points").count() == 400
+    assert store.read("points", state=before).where("content LIKE '%changed%'").count() == 0  # a reader of the old state
+    # Files that only old states name go, those in use stay.
+    dropped = store.vacuum(older_ms=-1000)
+    assert dropped >= 3 and store.read("points").count() == 400 and store.vacuum(older_ms=-1000) == 0
+    names = {n for n, _ in store.files.below("data") if n.endswith(".parquet")}
+    assert names == {f for p in after.parts.values() for f in p.files}
+
+
+def test_runs_side_by_side(spark, tmp_path):
+    """Two runs from one state: on different worktrees both survive, on the same one the second has to be repeated."""
+    e, store = embedding.hashing_embedder(16), Store(spark, str(tmp_path / "store"))
+    run_index(spark, worktrees(spark, 3, ["ws-1", "ws-2"]), store, e, 16, "r1", "2024-01-01")
+
+    class Slow(Store):
+        """Commits its points only after another run has come between."""
+
+        def __init__(self, names):
+            super().__init__(spark, store.root)
+            self.names, self.commits = names, 0
+
+        def commit(self, *args, **kw):
+            self.commits += 1
+            if self.commits == 2:
+                run_index(spark, worktrees(spark, 4, self.names), store, e, 16, "between", "2024-01-03")
+            return super().commit(*args, **kw)
+
+    run_index(spark, worktrees(spark, 5, ["ws-1"]), Slow(["ws-2"]), e, 16, "r2", "2024-01-02")
+    count = lambda: {r.collection_id: r["count"] for r in store.read("points").groupBy("collection_id").count().collect()}
+    assert count() == {"ws-1": 5, "ws-2": 4}
+    with pytest.raises(Conflict):
+        run_index(spark, worktrees(spark, 6, ["ws-1"]), Slow(["ws-1"]), e, 16, "r3", "2024-01-04")
+    assert count() == {"ws-1": 4, "ws-2": 4}
+
+
+def test_the_log(spark, tmp_path, monkeypatch):
+    from semindex.sources import commits
+
+    monkeypatch.setattr(commits, "FULL_EVERY", 3)
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda c, *p: spark.createDataFrame([(c, x, 1) for x in p], "collection_id string, file_path string, n int")
+    assert store.read("t") is None and store.state().number == 0
+    for c in ("odd name/with=signs", "b", "c", "b", "d"):
+        store.replace_collections(rows(c, "x", "y"), "t")
+    assert store.state().number == 5 and "00000000000000000003.full" in store.files.names("log")
+    assert {(r.collection_id, r.file_path) for r in store.read("t").collect()} == {(c, p) for c in ("odd name/with=signs", "b", "c", "d") for p in "xy"}
+    assert store.read("t", ["b"]).count() == 2 and store.read("t", state=store.state(1)).count() == 2
+    store.vacuum(older_ms=-1000)
+    assert store.state().number == 5 and store.read("t").count() == 8
+    # The general way of creating a file exclusively, which other file systems than a local one take.
+    files = Files(spark, str(tmp_path / "x"))
+    files.local = False
+    assert files.create("log/1", "one") and not files.create("log/1", "two") and files.read("log/1") == "one"

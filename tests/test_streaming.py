@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from semindex.jobs.index import rebuild_index, run_index
 from semindex.operators import embedding, status
+from semindex.sources.commits import Store
 from semindex.sources.corpus import load_version, save_version
 from semindex.streaming import triggers
 
@@ -52,8 +53,8 @@ def test_streamed_snapshots_make_the_index_that_a_batch_makes(spark, tmp_path):
     refresh(spark.createDataFrame(calls[-1][0], schema), calls[-1][1])
     end = spark.createDataFrame([("ws-1", p, p, t) for p, t in (("a.ts", text("three")), ("c.md", "# T\n" + text("md")), ("d.py", text("four")))], "collection_id string, file_path string, resolved_path string, content string").withColumn("size_bytes", F.length("content").cast("long"))
     key = lambda df: sorted((r.file_path, r.point_id) for r in df.collect())
-    assert key(load_version(spark, f"{store}/points")) == key(rebuild_index(end, embedder).points)
-    runs = load_version(spark, f"{store}/runs").collect()
+    assert key(Store(spark, store).read("points")) == key(rebuild_index(end, embedder).points)
+    runs = Store(spark, store).read("runs").collect()
     assert len(runs) == 3 and all(r.indexing_complete for r in runs)
 
 
