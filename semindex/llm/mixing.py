@@ -9,9 +9,11 @@ Weights given by the caller are taken exactly, as decimals: 1 : 2 has Q = 3, and
 Without weights the targets are square roots of counts, rounded to 1,000 shares, or 100 a source if that is more
 (one at least), as in OP1_SQL: no source is off its root by more than half a hundredth of a mean share.
 
-Releases and deadlines repeat every Q slots, and so does the schedule. The driver lays out one period, or
-less if the last row comes before its end, and keeps the blocks that have rows; every row then finds its
-slot by arithmetic. A source that has run out leaves its slots empty, and the others keep their order.
+Releases and deadlines repeat every Q slots, and so does the schedule. The driver lays out one period and keeps the
+blocks that have rows; every row then finds its slot by arithmetic. A source that has run out leaves its slots empty, and
+the others keep their order. Where weights are given and the table has fewer blocks than the period, only its
+blocks are laid out, in as many turns, and a source that has run out takes no slots. So the driver walks the lesser of
+both numbers, and the weights of callers whose period is longer than the table cost it a line for each block.
 
 Order within a source: by a 12-bit hash of doc_id, then doc_id. Ranks come from counts per (source, hash
 bucket), at most 4096 rows a source, and from row numbers within a bucket, so no task holds a source.
@@ -82,6 +84,29 @@ def period(share: Mapping[str | None, int], blocks: Mapping[str | None, int] | N
     return out
 
 
+def layout(share: Mapping[str | None, int], blocks: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
+    """(source, block, slot) of the blocks that there are, as many turns as blocks: a source that has run out takes no slot from the
+    others, and slots in which none is released are jumped over. Releases and deadlines hold as for the full schedule."""
+    order = sorted(share, key=lambda s: (s is not None, s or ""))
+    whole = sum(share.values())
+    coming = [(0, n, 0) for n, s in enumerate(order) if blocks[s]]
+    ready: list[tuple[int, int, int]] = []
+    out = []
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, n, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * whole // share[order[n]]), n, i))
+        _, n, i = heapq.heappop(ready)
+        out.append((order[n], i, slot))
+        if i + 1 < blocks[order[n]]:
+            heapq.heappush(coming, ((i + 1) * whole // share[order[n]], n, i + 1))
+        slot += 1
+    return out
+
+
 def ranked(docs: DataFrame) -> DataFrame:
     """(row, source, rank): each row of docs as a struct, its source, never null, and its number within the source from 0."""
     rest = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "source") and "map<" not in kind]
@@ -108,14 +133,15 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
     total = sum(share.values())
     whole = total if any(blocks[s] > q for s, q in share.items()) else 0
     key = "source struct<known:boolean,name:string>"
-    rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in period(share, blocks)]
+    short = bool(weights) and sum(blocks.values()) <= total  # the table ends before the period: its blocks alone are laid out
+    rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in (layout(share, blocks) if short else period(share, blocks))]
     plan = spark.createDataFrame(rows, f"{key}, turn long, slot long, release long, deadline long")
-    each = spark.createDataFrame([((s is not None, s or ""), min(q, blocks[s])) for s, q in share.items()], f"{key}, share long")
+    each = spark.createDataFrame([((s is not None, s or ""), blocks[s] if short else min(q, blocks[s])) for s, q in share.items()], f"{key}, share long")
     # Both are broadcast up to BROADCAST_ROWS; longer ones are joined by their keys.
     sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     block = F.floor(F.col("rank") / block_rows).cast("long")
     out = ranked(docs).join(sent(each, len(share)), "source").withColumns({"block": block, "seat": F.col("rank") % block_rows})
-    out = out.withColumns({"turn": F.col("block") % F.col("share"), "lap": F.floor(F.col("block") / F.col("share")) * whole})
+    out = out.withColumns({"turn": F.col("block") % F.col("share"), "lap": F.floor(F.col("block") / F.col("share")) * (0 if short else whole)})
     out = out.join(sent(plan, len(rows)), ["source", "turn"])
     return out.select("row", "block", "seat", *((F.col("lap") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")))
 

@@ -10,7 +10,8 @@ every byte is judged; a text shorter than a chunk is one chunk, held against the
 The limits come from the corpus: a first pass counts the ratios of all texts of 50 words or more by length class
 (four to a doubling) and those of all chunks, in bins, so what is gathered is bounded. A class's band is its median,
 and the median of its neighbours' medians, so that one group of copies can't move it, give or take WIDE quartile
-ranges; a class with fewer than LEAST texts has the wide default band. Most of any class has to be clean text.
+ranges, and shrunk towards the wide default band as if that were LEAST texts more: the fewer texts a class has, the
+wider its band, with no border between few and many. Most of any class has to be clean text.
 
 Defined cases: a null text counts as empty; an empty text has 0 words and ratio 1.0; equal rows get
 equal results, as each row is judged alone; other columns of the input are ignored, whatever their names.
@@ -22,7 +23,6 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +68,9 @@ def length_class(n_bytes: int) -> int:
     return int(math.log2(n_bytes) * 4) if n_bytes > 0 else -1
 
 
-#: Texts that a class needs for a band of its own; quartile ranges from the median to its upper and lower limit, for whole
+#: Texts that the default band counts for; quartile ranges from the median to its upper and lower limit, for whole
 #: texts and for chunks; the least range, as a share of the median; bins to a ratio of one, and the last bin.
-LEAST, WIDE, WIDE_CHUNK, NARROW, BINS, LAST_BIN = 100, (3.0, 4.0), (2.5, 3.5), 0.02, 100, 2000
+LEAST, WIDE, WIDE_CHUNK, NARROW, BINS, LAST_BIN = 8, (3.0, 4.0), (2.5, 3.5), 0.02, 100, 2000
 
 
 def chunk_starts(n_bytes: int, size: int) -> list[int]:
@@ -106,26 +106,38 @@ def quartiles(counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple((bins[int(np.searchsorted(upto, q * upto[-1]))] + 0.5) / BINS for q in (0.25, 0.5, 0.75))  # type: ignore[return-value]
 
 
+def weighted_median(values: list[tuple[float, int]]) -> float:
+    """Of (value, weight): the middle of the lower and the upper one."""
+    values = sorted(values)
+    upto, half = np.cumsum([w for _, w in values]), sum(w for _, w in values) / 2
+    return (values[int(np.searchsorted(upto, half))][0] + values[int(np.searchsorted(upto, half, side="right"))][0]) / 2
+
+
 def fitted_bands(docs: DataFrame, bands: Bands | None = None) -> Bands:
     """Bands by length from the ratios of all texts of ``docs`` (text)."""
     bands = bands or Bands()
     counts: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
     for r in ratio_counts(docs, bands).collect():  # a row for each class and bin: bounded
         counts[r["kind"], r["class"]][r["bin"]] = r["n"]
-    seen = {c: quartiles(x) for (kind, c), x in counts.items() if kind == 0 and sum(x.values()) >= LEAST}
+    seen = {c: quartiles(x) for (kind, c), x in counts.items() if kind == 0}
+    sizes = {c: sum(x.values()) for (kind, c), x in counts.items() if kind == 0}
 
     def band(middle: float, spread: float, wide: tuple[float, float]) -> tuple[float, float]:
         spread = max(spread, NARROW * middle)
         return middle - wide[1] * spread, middle + wide[0] * spread
 
+    def shrunk(own: tuple[float, float], wide: tuple[float, float], n: int) -> tuple[float, float]:
+        return tuple((n * a + LEAST * b) / (n + LEAST) for a, b in zip(own, wide, strict=True))  # type: ignore[return-value]
+
     fitted = {}
     for c in seen:
-        near = [seen[c + d] for d in (-2, -1, 0, 1, 2) if c + d in seen and c - d in seen]
-        fitted[c] = band(median(q[1] for q in near), median(q[2] - q[0] for q in near), WIDE)
+        near = [c + d for d in (-2, -1, 0, 1, 2) if c + d in seen and c - d in seen]
+        own = band(weighted_median([(seen[x][1], min(sizes[x], LEAST)) for x in near]), weighted_median([(seen[x][2] - seen[x][0], min(sizes[x], LEAST)) for x in near]), WIDE)
+        fitted[c] = shrunk(own, bands.limits(math.ceil(2 ** (c / 4))), sizes[c])
     chunk = bands.chunk
-    if sum(counts[1, 0].values()) >= LEAST:
+    if counts[1, 0]:
         low, middle, high = quartiles(counts[1, 0])
-        chunk = band(middle, high - low, WIDE_CHUNK)
+        chunk = shrunk(band(middle, high - low, WIDE_CHUNK), bands.chunk, sum(counts[1, 0].values()))
     return replace(bands, fitted=fitted, chunk=chunk)
 
 

@@ -141,7 +141,7 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
                 anchor, same, span = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(same), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(span)], ["anchor", "run", *KEYS, "span"])
 
-    return map_batches(docs.select(*KEYS, "text"), run, "anchor long, run long, _si_id long, _si_tag int, span long")
+    return map_batches(docs.select(*KEYS, "text"), run, "anchor long, run long, _si_id long, _si_tag long, span long")
 
 
 def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -168,7 +168,7 @@ def extended(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(hashes)), ids.take(owner), tags.take(owner), pa.array(np.concatenate(places))], ["anchor", "window", *KEYS, "place"])
 
     wanted = asked.groupBy(*KEYS).agg(F.collect_set(F.struct("anchor", "span")).alias("_si_asked"))
-    return map_batches(docs.join(wanted, KEYS).select(*fields), run, "anchor long, window long, _si_id long, _si_tag int, place long")
+    return map_batches(docs.join(wanted, KEYS).select(*fields), run, "anchor long, window long, _si_id long, _si_tag long, place long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -210,7 +210,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     docs = docs.drop(*made.names)
     names, text_at = docs.columns, docs.columns.index("text")
     # Inside, columns go by their places, so no name of the input meets one of ours.
-    key = {"_si_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_si_tag": F.hash("text")}
+    key = {"_si_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_si_tag": F.xxhash64("text")}
     base = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), *(v.alias(k) for k, v in key.items()))
     spans = repeated_spans(base.select(*KEYS, F.col(f"c{text_at}").alias("text")), length, k)
     fields = [f"c{i}" for i in range(len(names))] + ["_si_spans"]

@@ -15,7 +15,7 @@ over every whole text; the model is a table of at most MOST_WORDS words.
 
 Defined cases: null text counts as empty, whose score is that of no words (the bias); null labels, and
 labels of held-out rows, are never learnt from; a document that several label rows mark counts as toxic if
-one of them does; without positives or without unlabelled text the score is the prior everywhere; repeated
+one of them does; an id of several texts is learnt by the text of least hash; without positives or without unlabelled text the score is the prior everywhere; repeated
 rows get equal scores; other columns are ignored.
 """
 
@@ -139,15 +139,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     numbers = Terms()
 
     def sample(ids: DataFrame, most: int) -> list[np.ndarray]:
-        """Terms of the documents with the smallest hashes among ``ids``. Only ids are joined and sorted; what is broadcast has at most ``most`` rows."""
+        """Terms of the documents with the smallest hashes among ``ids``, one text for an id: ``most`` at most are broadcast and as many collected."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
 
-        few = ids.orderBy(order, "doc_id").limit(most).distinct()
-        texts = training.join(F.broadcast(few), "doc_id").orderBy(order, F.xxhash64("text")).select("text")
-        return [numbers.of(r.words) for r in map_batches(texts, run, "words array<string>").toLocalIterator()][:most]
+        few = ids.distinct().orderBy(order, "doc_id").limit(most)
+        one = training.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_one"))
+        texts = one.orderBy(order, "doc_id").select("_one.text")
+        return [numbers.of(r.words) for r in map_batches(texts, run, "words array<string>").toLocalIterator()]
 
     sure = sample(training.select("doc_id").join(toxic_ids, "doc_id", "left_semi"), MOST_POSITIVE)
     rest = sample(training.select("doc_id"), MOST_UNLABELLED)  # known positives included, as the prior is that of all text

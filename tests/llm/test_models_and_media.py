@@ -368,3 +368,15 @@ def test_pieces_of_texts_are_exact():
         for t, ids in zip(texts[i : i + 40], encode(texts[i : i + 40]), strict=True):
             assert np.frombuffer(ids, encode.dtype).tolist() == encode.tok.encode(t, add_special_tokens=False).ids, repr(t)
     assert io.BytesIO
+
+
+def test_toxicity_sample_is_bounded_with_a_hot_id(spark, monkeypatch):
+    rows = [(7, f"hot text {i}") for i in range(1500)] + [(i, f"text {i} plain words") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id = 7 OR doc_id % 4 = 0) AS toxic")
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 5)
+    monkeypatch.setattr(toxicity, "MOST_UNLABELLED", 9)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sure, rest, numbers, prior: seen.append((len(sure), len(rest))))
+    toxicity.train(docs, labels)
+    assert seen == [(5, 9)]

@@ -348,3 +348,41 @@ def test_many_sources_keep_to_their_targets(spark):
     root = {s: n**0.5 for s, n in counts.items()}
     whole, of_roots = sum(share.values()), sum(root.values())
     assert all(abs(share[s] / whole - root[s] / of_roots) <= 0.006 * max(root[s], of_roots / len(root)) / of_roots for s in counts)
+
+
+def test_unlike_texts_of_one_id_are_told_apart_by_more_than_32_bits(spark):
+    """Null ids: two texts whose 32-bit hashes are equal, one of which another document repeats."""
+    tail = " ".join(f"word{i}" for i in range(39))
+    many = spark.range(400_000).select("id", F.concat(F.col("id").cast("string"), F.lit(f" {tail}")).alias("t")).withColumn("h", F.hash("t"))
+    pair = many.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2").orderBy("a").first()
+    body = lambda n: " ".join(f"{n}x{i}" for i in range(20))
+    rows = [(None, f"{pair.a} {tail}"), (None, f"{pair.b} {tail}"), (5, f"{pair.a} {tail}"), (6, body(6))]
+    out = substring.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.text.split(" ", 1)[0], r.n_removed) for r in out)
+    # The common tail repeats in all three; the first word only where the whole text does.
+    assert got == sorted([(0, str(pair.a), 40), (5, str(pair.a), 40), (0, str(pair.b), 39), (6, "6x0", 0)])
+
+
+def test_very_unequal_weights_cost_no_walk(spark):
+    import time
+
+    began = time.time()
+    assert mixing.layout({"a": 1, "b": 10**9}, {"a": 1, "b": 1}) == [("b", 0, 0), ("a", 0, 1)]
+    share, blocks = {"a": 3, "b": 500_000_000, "c": 7}, {"a": 2, "b": 40, "c": 1}
+    whole = sum(share.values())
+    laid = mixing.layout(share, blocks)
+    assert sorted((s, i) for s, i, _ in laid) == sorted((s, i) for s in blocks for i in range(blocks[s])) and len({t for *_, t in laid}) == len(laid)
+    assert all(i * whole // share[s] <= t < -(-(i + 1) * whole // share[s]) for s, i, t in laid)
+    assert time.time() - began < 1
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    assert {(r.doc_id, r.slot) for r in mixing.mix(docs, {"a": 1e-9, "b": 1}).collect()} == {(2, 0), (1, 1)}
+
+
+def test_bands_move_little_with_one_more_text(spark):
+    """No border between few and many texts of a class."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(300)) for _ in range(102)]
+    docs = [spark.createDataFrame([(t,) for t in texts[:n]], "text string") for n in (99, 100, 101)]
+    limits = [quality.fitted_bands(d).limits(len(texts[0].encode())) for d in docs]
+    assert all(abs(a - b) < 0.02 for x, y in zip(limits, limits[1:], strict=False) for a, b in zip(x, y, strict=True))
+    assert quality.weighted_median([(1, 5), (2, 5), (9, 5)]) == 2 and quality.weighted_median([(1, 1), (3, 1)]) == 2
