@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semindex.llm.common import map_batches, saved, table
 
 MIN_COUNT, TOP, INNER_PERCENT = 10, 2000, 50
-#: Bytes of text in a chunk and held in all open chunks; keys of a range and keys held before they are counted; words of a bucket.
-CHUNK_BYTES, OPEN_BYTES, RANGE_KEYS, HELD_KEYS, BUCKET_WORDS = 4 << 20, 24 << 20, 3_000_000, 4_000_000, 50_000
+#: Bytes of text in a chunk and held in all open chunks; keys of a range and keys held before they are counted; words of a bucket;
+#: groups of tasks whose best are picked before a lang's.
+CHUNK_BYTES, OPEN_BYTES, RANGE_KEYS, HELD_KEYS, BUCKET_WORDS, GROUPS = 4 << 20, 24 << 20, 3_000_000, 4_000_000, 50_000, 64
 BREAK = b"\xff"  # no byte of UTF-8
 #: Ends of pieces become BREAK; line breaks and their like are among them, so that split() cuts at spaces and tabs only.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
@@ -222,6 +223,14 @@ def grams(chunks: DataFrame, words: DataFrame, total: int, min_count: int = MIN_
     return map_batches(blocks.repartition(ranges, "range").sortWithinPartitions("range"), count, "g0 long, g1 long, g2 long, a long")
 
 
+def first_of(rows: DataFrame, top: int, *order: Column) -> DataFrame:
+    """rows (lang, ...) with ``rank``, the first ``top`` of each lang. In two steps, so that the last one reads GROUPS times ``top`` rows
+    of a lang at most, however many tasks there are."""
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(*order))
+    some = rows.withColumn("_group", F.spark_partition_id() % GROUPS).withColumn("rank", place("_group")).where(F.col("rank") <= top).drop("rank", "_group")
+    return some.withColumn("rank", place()).where(F.col("rank") <= top)
+
+
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, inner_percent: int = INNER_PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs (text, lang): (lang, rank, phrase, a, l, r, n, score), the ``top`` phrases of each lang."""
     chunks = saved(chunked(docs, chunk_bytes), "chunks")
@@ -245,15 +254,13 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, inner_p
     two = pairs.join(around, ["g0", "g1"], "left").where(alone).select("lang", "g0", "g1", F.lit(0).cast("long").alias("g2"), "a", "l", "r", score("l", "r").alias("score"))
     scored = saved(two.unionByName(three), "scored")
     # The last place's score and count first; only what is not below them is spelt out.
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    last = scored.select("lang", "score", "a").withColumn("_no", F.row_number().over(by)).where(F.col("_no") <= top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("_last"))
+    last = first_of(scored.select("lang", "score", "a"), top, F.desc("score"), F.desc("a")).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("_last"))
     best = scored.join(last, "lang").where(F.struct("score", "a") >= F.col("_last"))
     for i in range(3):
         best = best.join(words.select(F.col("id").alias(f"g{i}"), F.col("word").alias(f"_w{i}")), f"g{i}", "left")
     named = best.withColumn("phrase", F.concat_ws(" ", "_w0", "_w1", "_w2"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = named.select("lang", "phrase", "a", "l", "r", "score", rank.cast("long").alias("rank")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = first_of(named.select("lang", "phrase", "a", "l", "r", "score"), top, F.desc("score"), F.desc("a"), F.asc("phrase"))
+    return ranked.withColumn("rank", F.col("rank").cast("long")).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
