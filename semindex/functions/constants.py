@@ -89,4 +89,29 @@ MODEL_PROFILES = (
     ("gemini", "gemini-embedding-001", 3072, 0.4, None),
     ("gemini", "text-embedding-004", 3072, 0.4, None),
     ("mistral", "codestral-embed-2505", 1536, 0.4, None),
+    ("vercel-ai-gateway", "openai/text-embedding-3-small", 1536, 0.4, None),
+    ("vercel-ai-gateway", "openai/text-embedding-3-large", 3072, 0.4, None),
+    ("vercel-ai-gateway", "openai/text-embedding-ada-002", 1536, 0.4, None),
+    ("vercel-ai-gateway", "cohere/embed-v4.0", 1024, 0.4, None),
+    ("vercel-ai-gateway", "google/gemini-embedding-001", 3072, 0.4, None),
+    ("vercel-ai-gateway", "google/text-embedding-005", 768, 0.4, None),
+    ("vercel-ai-gateway", "google/text-multilingual-embedding-002", 768, 0.4, None),
+    ("vercel-ai-gateway", "amazon/titan-embed-text-v2", 1024, 0.4, None),
+    ("vercel-ai-gateway", "mistral/codestral-embed", 1536, 0.4, None),
+    ("vercel-ai-gateway", "mistral/mistral-embed", 1024, 0.4, None),
+    ("bedrock", "amazon.titan-embed-text-v1", 1536, 0.4, None),
+    ("bedrock", "amazon.titan-embed-text-v2:0", 1024, 0.4, None),
+    ("bedrock", "amazon.titan-embed-image-v1", 1024, 0.4, None),
+    ("bedrock", "amazon.nova-2-multimodal-embeddings-v1:0", 1024, 0.4, None),
+    ("bedrock", "cohere.embed-english-v3", 1024, 0.4, None),
+    ("bedrock", "cohere.embed-multilingual-v3", 1024, 0.4, None),
+    ("openrouter", "openai/text-embedding-3-small", 1536, 0.4, None),
+    ("openrouter", "openai/text-embedding-3-large", 3072, 0.4, None),
+    ("openrouter", "openai/text-embedding-ada-002", 1536, 0.4, None),
+    ("openrouter", "google/gemini-embedding-001", 3072, 0.4, None),
+    ("openrouter", "mistralai/mistral-embed-2312", 1024, 0.4, None),
+    ("openrouter", "mistralai/codestral-embed-2505", 1536, 0.4, None),
+    ("openrouter", "qwen/qwen3-embedding-0.6b", 1024, 0.4, None),
+    ("openrouter", "qwen/qwen3-embedding-4b", 2560, 0.4, None),
+    ("openrouter", "qwen/qwen3-embedding-8b", 4096, 0.4, None),
 )

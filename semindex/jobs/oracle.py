@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from semindex.functions import constants as K
-from semindex.sources.derived import FILES_SQL, MANIFEST_SQL, MODELS, PREFIXES, SIZE_CAP, listed
+from semindex.sources.derived import FILES_SQL, MANIFEST_SQL, MODELS, PREFIXES, PROVIDERS, SIZE_CAP, listed
 
 EXT = r"regexp_extract(lower(file_path), '(\.[^./]*)$', 1)"
 TOKENS = "ceil(length({}) / 4.0)::bigint"
@@ -300,12 +300,17 @@ SQL: dict[str, str] = {
     "run_markers": f"""WITH {FILES_SQL.strip()}, c AS (SELECT DISTINCT collection_id, substr(collection_id, -1) < '8' AS done FROM files)
       SELECT collection_id, 'r1' AS run_id, true AS indexing_complete, epoch_ms(TIMESTAMP '2024-01-01') AS started_ms, epoch_ms(TIMESTAMP '2024-01-01') AS completed_ms, 64 AS vector_dim FROM c
       UNION ALL SELECT collection_id, 'r2', done, epoch_ms(CASE WHEN done THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-02' END), CASE WHEN done THEN epoch_ms(TIMESTAMP '2024-01-03') END, 64 FROM c""",
-    "model_profiles": f"""WITH k AS (
-        SELECT * FROM (VALUES {", ".join("('" + p + "', '" + m + f"', {d}, {t}, " + ("NULL" if x is None else "'" + x + "'") + ")" for p, m, d, t, x in K.MODEL_PROFILES)}) v(provider, model, d, t, query_prefix)
-      ), a AS (
-        SELECT doc_id, ['openai', 'ollama', 'gemini', 'mistral', 'none'][doc_id % 5 + 1] AS provider, {listed(MODELS)}[doc_id % {len(MODELS)} + 1] AS model,
+    # Values written out once more, for the models that the query asks for.
+    "model_profiles": f"""WITH a AS (
+        SELECT doc_id, {listed(PROVIDERS)}[doc_id % {len(PROVIDERS)} + 1] AS provider, {listed(MODELS)}[(doc_id // {len(PROVIDERS)}) % {len(MODELS)} + 1] AS model,
           CASE WHEN doc_id % 7 = 0 THEN 100 END AS dimension, CASE WHEN doc_id % 5 = 1 THEN 0.25::double END AS min_score FROM documents
-      ) SELECT doc_id, provider, model, coalesce(dimension, d) AS dimension, coalesce(min_score, t::double, {K.MIN_SCORE}::double) AS min_score, query_prefix FROM a LEFT JOIN k USING (provider, model)""",
+      ), k AS (
+        SELECT *, CASE provider || '/' || model WHEN 'openai/text-embedding-3-small' THEN 1536 WHEN 'openai-compatible/text-embedding-3-small' THEN 1536 WHEN 'ollama/nomic-embed-code' THEN 3584
+            WHEN 'openai-compatible/nomic-embed-code' THEN 3584 WHEN 'gemini/gemini-embedding-001' THEN 3072 WHEN 'mistral/codestral-embed-2505' THEN 1536 WHEN 'ollama/all-minilm' THEN 384
+            WHEN 'bedrock/amazon.titan-embed-text-v2:0' THEN 1024 WHEN 'openrouter/qwen/qwen3-embedding-4b' THEN 2560 WHEN 'vercel-ai-gateway/google/text-embedding-005' THEN 768 END AS d,
+          model = 'nomic-embed-code' AND provider IN ('ollama', 'openai-compatible') AS code FROM a
+      ) SELECT doc_id, provider, model, coalesce(dimension, d) AS dimension, coalesce(min_score, CASE WHEN code THEN 0.15::double END, 0.4::double) AS min_score,
+        CASE WHEN code THEN 'Represent this query for searching relevant code: ' END AS query_prefix FROM k""",
     "query_prefixes": f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{K.CODE_PREFIX}' ELSE '' END || coalesce(text, '') AS text FROM documents),
       b AS (SELECT doc_id, CASE WHEN starts_with(text, '{K.CODE_PREFIX}') OR {TOKENS.format("'" + K.CODE_PREFIX + "' || text")} > {K.MAX_ITEM_TOKENS} THEN text ELSE '{K.CODE_PREFIX}' || text END AS text FROM a)
       SELECT doc_id, sha256(text) AS text_hash, {TOKENS.format("text")} AS tokens FROM b""",
@@ -332,6 +337,20 @@ SQL: dict[str, str] = {
         UNION ALL SELECT collection_id, file_path, i + 1, i + 1, NULL, line FROM s WHERE length(line) BETWEEN {K.MIN_BLOCK_CHARS} AND {K.MAX_PACK_CHARS}
         UNION ALL SELECT collection_id, file_path, i + 1, i + 1, o, substr(line, o + 1, 1000) FROM (SELECT *, unnest(range(0, length(line), 1000)) AS o FROM s WHERE length(line) > {K.MAX_PACK_CHARS})
       ) SELECT DISTINCT collection_id, file_path, start_line, end_line, piece_offset, sha256(content) AS content_hash FROM b""",
+    "code_node_chunks": f"""WITH {FILES_SQL.strip()}, n AS (
+        SELECT collection_id, file_path, doc_id, list_transform(string_split(content, chr(10)), lambda x: '  ' || trim(regexp_replace(x, '[^A-Za-z0-9 ]', '', 'g'), ' ') || ';') AS l FROM files
+      ), g AS (
+        SELECT *, doc_id % 3 = 0 AND i = 1 AS broken, l[i * 3 + 1:i * 3 + 3] AS part, i * 5 - (doc_id % 3 = 0 AND i > 1)::int AS row FROM (SELECT *, unnest(range(0, (len(l) - 1) // 3 + 1)) AS i FROM n)
+      ), f AS (
+        SELECT *, 'function f' || i || '() {{' || chr(10) || array_to_string(part, chr(10)) || CASE WHEN broken THEN '' ELSE chr(10) || '}}' END AS whole FROM g
+      ), s AS (
+        SELECT collection_id, file_path, row + j AS line, ltrim(part[j], ' ') AS t FROM (SELECT *, unnest(range(1, len(part) + 1)) AS j FROM f WHERE length(whole) > {K.MAX_PACK_CHARS})
+      ), b AS (
+        SELECT collection_id, file_path, row + 1 AS start_line, row + len(part) + 2 - broken::int AS end_line, NULL::bigint AS piece_offset, whole AS content FROM f WHERE length(whole) BETWEEN {K.MIN_BLOCK_CHARS} AND {K.MAX_PACK_CHARS}
+        UNION ALL SELECT collection_id, file_path, line + 1, line + 1, NULL, t FROM s WHERE length(t) BETWEEN {K.MIN_BLOCK_CHARS} AND {K.MAX_PACK_CHARS}
+        UNION ALL SELECT collection_id, file_path, line + 1, line + 1, o, substr(t, o + 1, {K.MAX_BLOCK_CHARS}) FROM (SELECT *, unnest(range(0, length(t), {K.MAX_BLOCK_CHARS})) AS o FROM s WHERE length(t) > {K.MAX_PACK_CHARS})
+      ) SELECT DISTINCT collection_id, file_path, start_line, end_line, piece_offset, sha256(content) AS content_hash FROM b""",
+    "chunk_lines_sql": f"WITH RECURSIVE {FILES_SQL.strip()}, {packed('files').strip()} SELECT collection_id, file_path, start_line, end_line, piece_offset, length(content) AS n_chars FROM blocks",
     "token_batches": f"""WITH RECURSIVE i AS (
         SELECT source || '/' || (doc_id // 1000) AS batch_key, doc_id AS seq, {TOKENS.format("coalesce(text, '')")} AS tokens FROM documents
       ), r AS (SELECT *, row_number() OVER (PARTITION BY batch_key ORDER BY seq) AS no FROM i),

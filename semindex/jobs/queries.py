@@ -118,6 +118,29 @@ def html_node_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.select("file_path", "start_line", "end_line", F.length("content").alias("n_chars"), "segment_hash", "point_id")
 
 
+def corpus_code(files: DataFrame) -> DataFrame:
+    """Files as scripts: a function for every three lines, each line a statement; in every third document the second function lacks its end."""
+    plain = F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("  "), F.trim(F.regexp_replace(x, "[^A-Za-z0-9 ]", "")), F.lit(";")))
+    held = files.select("collection_id", "file_path", "doc_id", plain.alias("l"))
+    broken = lambda i: (F.col("doc_id") % 3 == 0) & (i == 1)
+    body = lambda i: F.array_join(F.slice("l", i * 3 + 1, 3), "\n")
+    whole = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 3)), lambda i: F.concat(F.lit("function f"), i.cast("string"), F.lit("() {\n"), body(i.cast("int")), F.when(broken(i), F.lit("")).otherwise(F.lit("\n}"))))
+    return held.select("collection_id", "file_path", F.array_join(whole, "\n").alias("content"))
+
+
+def code_node_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of scripts, of which some have a function without end: all others keep theirs."""
+    out = chunking.chunk_tree(corpus_code(D.corpus_files(spark, sf)), chunking.every_extractor()[".ts"])
+    return out.select("collection_id", "file_path", "start_line", "end_line", "piece_offset", C.sha256("content").alias("content_hash"))
+
+
+def chunk_lines_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """chunk_lines() as a table function in SQL."""
+    chunking.register_chunk_lines(spark)
+    D.corpus_files(spark, sf).createOrReplaceTempView("semindex_files")
+    return spark.sql("SELECT collection_id, file_path, start_line, end_line, piece_offset, length(b.content) AS n_chars FROM semindex_files f, LATERAL chunk_lines(f.content) b")
+
+
 def node_table(files: DataFrame) -> DataFrame:
     """A tree over each text: the whole, groups of four lines, single lines."""
     lines = files.select("collection_id", "file_path", "content", F.posexplode(F.split("content", "\n")).alias("i", "line"))
@@ -319,9 +342,9 @@ def search_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Every document asks for a model by its number, every seventh with a dimension of its own, every fifth with a score floor."""
-    pick = lambda names, by: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % by + 1).cast("int"))
+    pick = lambda names, by, no=F.col("doc_id"): F.element_at(F.array(*(F.lit(n) for n in names)), (no % by + 1).cast("int"))
     asked = D.table(spark, sf, "documents").select(
-        "doc_id", pick(("openai", "ollama", "gemini", "mistral", "none"), 5).alias("provider"), pick(D.MODELS, len(D.MODELS)).alias("model"),
+        "doc_id", pick(D.PROVIDERS, len(D.PROVIDERS)).alias("provider"), pick(D.MODELS, len(D.MODELS), F.floor(F.col("doc_id") / len(D.PROVIDERS))).alias("model"),
         F.when(F.col("doc_id") % 7 == 0, F.lit(100)).alias("dimension"), F.when(F.col("doc_id") % 5 == 1, F.lit(0.25)).alias("min_score"),
     )
     return search.profiles(asked).select("doc_id", "provider", "model", "dimension", "min_score", "query_prefix")
@@ -418,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_end_to_end": search_end_to_end, "corpus_filter": corpus_filter, "ignore_rules": ignore_rules, "path_scope": path_scope,
     "segment_ids": segment_ids, "change_diff": change_diff, "delete_set": delete_set, "index_summary": index_summary,
     "dry_run_status": dry_run_status, "mode_assessments": mode_assessments, "chunk_lines": chunk_lines,
-    "markdown_sections": markdown_sections, "markdown_chunks": markdown_chunks, "html_node_chunks": html_node_chunks, "tree_descent": tree_descent,
+    "markdown_sections": markdown_sections, "markdown_chunks": markdown_chunks, "html_node_chunks": html_node_chunks, "code_node_chunks": code_node_chunks, "chunk_lines_sql": chunk_lines_sql, "tree_descent": tree_descent,
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "ann_recall": ann_recall, "bounded_topk": bounded_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import functools
 from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -10,7 +11,7 @@ from itertools import accumulate
 from typing import NamedTuple, Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
@@ -187,11 +188,13 @@ PYTHON_SEEDS = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.With, a
 
 
 def python_nodes(text: str) -> list[Node]:
-    """Definitions and block statements of a Python module; none if it doesn't parse."""
+    """Definitions and block statements of a Python module; of one that doesn't parse, by its indents."""
     try:
         module = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        from semindex.operators.nodes import indented_nodes
+
+        return indented_nodes(text)
     lines = text.split("\n")
     starts = [0, *accumulate(len(x) + 1 for x in lines)]
 
@@ -205,6 +208,14 @@ def python_nodes(text: str) -> list[Node]:
 
 EXTRACTORS: dict[str, NodeExtractor] = {".html": html_nodes, ".htm": html_nodes, ".py": python_nodes}
 
+
+def every_extractor() -> dict[str, NodeExtractor]:
+    """All of this library, by extension."""
+    from semindex.operators.nodes import LANGUAGES, braced_nodes
+
+    return {ext: functools.partial(braced_nodes, language=language) for ext, language in LANGUAGES.items()} | EXTRACTORS
+
+
 def section_starts(content: Column | str) -> Column:
     """Header rows of a markdown text (from 0), from its lines and each line's neighbour above."""
     lines = F.split(C.col(content), "\n")
@@ -253,6 +264,19 @@ def chunk_lines(files: DataFrame, parity: bool = True) -> DataFrame:
     return per_row(files, lambda text, *_: pack_lines((text or "").split("\n"), 1, parity), ["content"])
 
 
+class ChunkLines:
+    """Table function for SQL: the rows of chunk_lines() for one text."""
+
+    def eval(self, text: str | None) -> Iterator[tuple]:
+        for b in first_of_each(pack_lines((text or "").split("\n"))):
+            yield b.start, b.end, b.offset, b.text
+
+
+def register_chunk_lines(spark: SparkSession, name: str = "chunk_lines") -> None:
+    """Makes ``SELECT ... FROM files, LATERAL chunk_lines(files.content)`` work in this session."""
+    spark.udtf.register(name, F.udtf(ChunkLines, returnType="start_line int, end_line int, piece_offset int, content string"))
+
+
 def chunk_markdown(files: DataFrame, parity: bool = True) -> DataFrame:
     """Sections; those over the limit are packed by lines, with their own line numbers."""
     held = markdown_sections(files).withColumn("_base", F.col("start_line"))
@@ -313,7 +337,7 @@ def chunk_files(files: DataFrame, extractors: dict[str, NodeExtractor] | None =
 
     A language without extractor here is packed by lines, as text without captures is.
     """
-    known = EXTRACTORS if extractors is None else extractors
+    known = every_extractor() if extractors is None else extractors
     ext = C.file_extension("resolved_path")
     markdown = files.where(ext.isin(*K.MARKDOWN_EXTENSIONS))
     others = files.where(~ext.isin(*K.MARKDOWN_EXTENSIONS, *K.NO_GRAMMAR_EXTENSIONS)).withColumn("_ext", ext)

@@ -12,7 +12,8 @@ DIRS = ("src/auth", "src/orders", "docs", "pkg/docs", "node_modules/x", ".github
 EXTS = (".md", ".ts", ".py", ".swift", ".vb", ".json", ".txt", ".log", ".markdown", ".elm")
 RULES = (".*", ".*/**", "!.github", "!.github/**", "node_modules/**", "src/auth/", "*.log", "!src/auth/src1/", "docs/src2*")
 PREFIXES = (None, ".", "src", "./src/auth/", "/pkg", "src\\orders", "sr", "docs/../src")
-MODELS = ("text-embedding-3-small", "nomic-embed-code", "gemini-embedding-001", "codestral-embed-2505", "all-minilm", "unknown")
+MODELS = ("text-embedding-3-small", "nomic-embed-code", "gemini-embedding-001", "codestral-embed-2505", "all-minilm", "unknown", "amazon.titan-embed-text-v2:0", "qwen/qwen3-embedding-4b", "google/text-embedding-005")
+PROVIDERS = ("openai", "ollama", "gemini", "mistral", "none", "bedrock", "openrouter", "vercel-ai-gateway", "openai-compatible")
 SIZE_CAP = 8000
 NOW = "2024-02-01 00:00:00"
 
