@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
+from semindex.sources.shared import in_ranges, saved
 
 #: Texts to vectors, a row each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -127,32 +128,109 @@ def batch_numbers(blocks: DataFrame, order: list[str], batch_size: int = K.BATCH
     return blocks.withColumn("batch_no", F.floor((place - 1) / batch_size).cast("long"))
 
 
-def token_batches(items: DataFrame, most: int = K.MAX_BATCH_TOKENS, item_most: int = K.MAX_ITEM_TOKENS) -> DataFrame:
+def jumps(tokens: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each item as the first of a batch: how many batches follow it to the end, what the last one holds; and prefix sums. Pointers to
+    the first item that no longer fits are composed by doubling."""
+    n = len(tokens)
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    after = np.searchsorted(upto, upto[:n] + most, side="right") - 1
+    some = np.append(np.flatnonzero(tokens > 0), n - 1)
+    after = np.maximum(after, np.minimum(some[np.searchsorted(some[:-1], np.arange(n))] + 1, n))  # a batch that holds nothing yet takes any item
+    to = np.append(after, n)
+    count, start = np.append((to[:n] < n).astype(np.int64), 0), np.where(to < n, to, np.arange(n + 1))
+    while (start[start] != start).any():
+        count, start = count + count[start], start[start]
+    return count[:n], upto[n] - upto[start[:n]], upto
+
+
+def summary(tokens: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
+    """(least, held, batches, total): what a range of a key makes of the sum that it is handed: of the rows whose ``least`` it reaches, the
+    one with the greatest tells the sum handed on and the batches opened; below all of them the range's total is added."""
+    after, left, upto = jumps(tokens, most)
+    total = int(upto[-1])
+    out = [(0, int(left[0]), int(after[0]), total)]
+    closes = np.flatnonzero((tokens > 0) & (upto[:-1] < most))  # items that may be the first not to fit
+    least = np.maximum(most - upto[closes + 1] + 1, 1)
+    first = np.concatenate([[True], least[1:] < least[:-1]]) if len(least) else np.zeros(0, bool)
+    return out + [(int(h), int(left[i]), int(after[i]) + 1, total) for h, i in zip(least[first], closes[first], strict=True)] + [(-1, 0, 0, total)]
+
+
+def token_batches(items: DataFrame, most: int = K.MAX_BATCH_TOKENS, item_most: int = K.MAX_ITEM_TOKENS, ranges: int | None = None) -> DataFrame:
     """items (batch_key, seq, tokens) with batch_no: greedy packing in order of seq; items over the limit get null.
 
-    A new batch opens when the sum would pass the limit, so the state of a key is one sum: keys are packed
-    side by side, each from its sorted rows, which stream through.
+    A new batch opens when the sum would pass the limit. Items lie in ranges of (key, seq); each range tells what it makes of any
+    sum that it is handed (summary(), a row for each item that may close the first batch), a fold over these rows gives each
+    range its sum and number, and then all ranges are packed side by side, those of one key too.
     """
     names = ["batch_key", "seq", "tokens", "batch_no"]
+    slim = items.select(F.col("batch_key").cast("string"), F.col("seq").cast("long"), F.col("tokens").cast("long"))
+    fits = in_ranges(slim.where(F.col("tokens") <= item_most), "batch_key", "seq", "tokens", ranges=ranges)
+    shape = "part int, batch_key string, least long, held long, batches long, total long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, no = None, 0, 0
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            rows = summary(np.concatenate(held), most)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(rows), pa.int32()), pa.array([now[1]] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], [c.split()[0] for c in shape.split(", ")])
+
+        now, held = None, []
         for batch in batches:
-            numbers = []
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            parts, keys, tokens = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or parts[i] != parts[i - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if held and (parts[a], keys[a]) != now:
+                        yield out()
+                        held = []
+                    now = (parts[a], keys[a])
+                    held.append(tokens[a:b])
+        if held:
+            yield out()
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Along the ranges of each key: the sum and the number that each is handed."""
+        key, part, h, no, rows = object(), None, 0, 0, []
+
+        def step() -> None:
+            nonlocal h, no
+            _, out, more, _ = max(r for r in rows if (r[0] == 0 if h == 0 else 0 < r[0] <= h or r[0] == -1))
+            if h and max(r[0] for r in rows if 0 < r[0] <= h or r[0] == -1) == -1:
+                out = h + rows[0][3]
+            h, no, rows[:] = out, no + more, []
+
+        for batch in batches:
+            made = []
+            for p, k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    key, held, no = k, 0, 0
-                if n > item_most:
-                    numbers.append(None)
-                    continue
+                    key, part, h, no, rows = k, None, 0, 0, []
+                if p != part:
+                    if rows:
+                        step()
+                    part = p
+                    made.append((p, k, h, no))
+                rows.append(tuple(row))
+            columns = list(zip(*made, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "batch_key", "_h", "_no"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, no = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for p, k, n, h, first in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+                if (p, k) != at:
+                    at, held, no = (p, k), h, first
                 if held and held + n > most:
                     held, no = 0, no + 1
                 held += n
                 numbers.append(no)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names)
-
-    slim = items.select(F.col("batch_key").cast("string"), F.col("seq").cast("long"), F.col("tokens").cast("long"))
-    return slim.repartition("batch_key").sortWithinPartitions("batch_key", "seq").mapInArrow(run, "batch_key string, seq long, tokens long, batch_no long")
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(numbers, pa.int64())], names)
+
+    told = fits.repartition("part", "batch_key").sortWithinPartitions("part", "batch_key", "place").select("part", "batch_key", "tokens").mapInArrow(summaries, shape)
+    handed = saved(told.repartition("batch_key").sortWithinPartitions("batch_key", "part", "least").mapInArrow(carry, "part int, batch_key string, _h long, _no long"), "carries")
+    carried = fits.alias("i").join(handed.alias("c"), (F.col("i.part") == F.col("c.part")) & F.col("i.batch_key").eqNullSafe(F.col("c.batch_key")))
+    rows = carried.select("i.part", "i.batch_key", "seq", "tokens", "_h", "_no", "place").repartition("part", "batch_key").sortWithinPartitions("part", "batch_key", "place")
+    packed = rows.drop("place").mapInArrow(pack, "batch_key string, seq long, tokens long, batch_no long")
+    over = slim.where(F.col("tokens").isNull() | (F.col("tokens") > item_most)).withColumn("batch_no", F.lit(None).cast("long"))
+    return packed.unionByName(over)
 
 
 def token_usage(items: DataFrame) -> DataFrame:

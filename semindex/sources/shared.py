@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -31,3 +32,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
+    """df, saved, with ``part`` and ``place``: rows in ranges of ``order`` that follow each other, and each row's number within its range.
+    A key of any size spans as many ranges as it fills, so what goes along an order can be done range by range with a carry."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    sorted_rows = dealt.sortWithinPartitions(*order)
+    return saved(sorted_rows.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "ranges")

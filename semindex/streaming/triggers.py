@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from semindex.functions import constants as K
+from semindex.sources.shared import in_ranges, saved
 
 WATCHED = ("session.created", "session.idle", "file.watcher.updated")
 URGENT = "file.watcher.updated"
@@ -31,16 +32,31 @@ def delay_ms(normal: int, urgent: int) -> Column:
     return F.when(F.col("urgent"), F.lit(urgent)).otherwise(F.lit(normal)).cast("long")
 
 
-def debounce(events: DataFrame, normal_ms: int = K.DEBOUNCE_MS, urgent_ms: int = K.URGENT_MS, follow_up: bool = True) -> DataFrame:
-    """REQUESTS of a bounded table of watched events. Ties in time are ordered by event_id if there is one."""
-    tie = ["event_id"] if "event_id" in events.columns else ["event_type"]
-    order = Window.partitionBy("worktree").orderBy("ms", *tie)
-    held = events.withColumn("ms", F.unix_millis("ts")).withColumn("due", F.col("ms") + delay_ms(normal_ms, urgent_ms))
-    after = F.lead("ms").over(order)
-    fired = held.withColumn("fires", after.isNull() | (after >= F.col("due")))
-    burst = F.coalesce(F.sum(F.col("fires").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = fired.withColumn("burst", burst)
-    bursts = marked.groupBy("worktree", "burst").agg(F.max_by("event_type", F.struct("ms", *tie)).alias("reason"), F.max_by("due", F.struct("ms", *tie)).alias("fire_ms"), F.bool_or("urgent").alias("urgent"))
+def debounce(events: DataFrame, normal_ms: int = K.DEBOUNCE_MS, urgent_ms: int = K.URGENT_MS, follow_up: bool = True, ranges: int | None = None) -> DataFrame:
+    """REQUESTS of a bounded table of watched events. Ties in time are ordered by event_id if there is one.
+
+    Events lie in ranges of (worktree, time). Whether one fires depends on the next one, which for a range's last is the first of
+    the range after; how many have fired before is the sum over earlier ranges. Only a row for each worktree and range goes
+    along a whole worktree, so one that has all events is worked on by all tasks.
+    """
+    tie = "event_id" if "event_id" in events.columns else "event_type"
+    held = events.select("worktree", "event_type", "urgent", F.unix_millis("ts").alias("ms"), F.col(tie).alias("tie")).withColumn("due", F.col("ms") + delay_ms(normal_ms, urgent_ms))
+    rows = in_ranges(held, "worktree", "ms", "tie", ranges=ranges)
+    firsts = rows.groupBy("worktree", "part").agg(F.min("ms").alias("first"))
+    coming = firsts.select(F.col("worktree").alias("_w"), F.col("part").alias("_p"), F.lead("first").over(Window.partitionBy("worktree").orderBy("part")).alias("coming"))
+    order = Window.partitionBy("worktree", "part").orderBy("place")
+    same = F.col("worktree").eqNullSafe(F.col("_w")) & (F.col("part") == F.col("_p"))
+    joined = rows.join(coming, same)
+    after = F.coalesce(F.lead("ms").over(order), F.col("coming"))
+    fired = joined.withColumn("fires", after.isNull() | (after >= F.col("due")))
+    within = F.coalesce(F.sum(F.col("fires").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = saved(fired.withColumn("within", within).drop("coming", "_w", "_p"), "fires")
+    sums = marked.groupBy("worktree", "part").agg(F.sum(F.col("fires").cast("long")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("worktree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select(F.col("worktree").alias("_w"), F.col("part").alias("_p"), before.alias("base"))
+    numbered = marked.join(bases, same).withColumn("burst", F.col("base") + F.col("within"))
+    at = F.struct("ms", "tie")
+    bursts = numbered.groupBy("worktree", "burst").agg(F.max_by("event_type", at).alias("reason"), F.max_by("due", at).alias("fire_ms"), F.bool_or("urgent").alias("urgent"))
     first = bursts.select("worktree", "reason", "fire_ms")
     return first.unionByName(bursts.where("urgent").select("worktree", F.lit("urgent-followup").alias("reason"), "fire_ms")) if follow_up else first
 

@@ -71,6 +71,39 @@ def test_token_batches(spark):
     assert got[1] is None and got[0] == 0 and got[12] == 0 and got[13] == 1
 
 
+def fold(rows, most, item_most):
+    """The packing as one loop over a key's items."""
+    out, key, held, no = [], object(), 0, 0
+    for k, seq, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if k != key:
+            key, held, no = k, 0, 0
+        if n > item_most:
+            out.append((k, seq, n, None))
+            continue
+        if held and held + n > most:
+            held, no = 0, no + 1
+        held += n
+        out.append((k, seq, n, no))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("most", "item_most"), [(100, 40), (100, 100), (30, 60), (7, 7)])
+def test_packing_by_ranges_equals_the_fold(spark, most, item_most):
+    rng = np.random.default_rng(most)
+    rows = [("hot", i, int(rng.choice([0, 0, 1, 3, 20, 39, 60, 101]))) for i in range(900)] + [(k, i // 2, int(rng.integers(0, 50))) for k in ("a", "b", None, "z") for i in range(40)]
+    items = spark.createDataFrame(rows, "batch_key string, seq long, tokens long").repartition(3)
+    got = sorted((tuple(r) for r in embedding.token_batches(items, most, item_most, ranges=11).collect()), key=str)
+    assert got == fold(rows, most, item_most)
+
+
+def test_a_hot_key_is_spread_over_all_ranges(spark):
+    from semindex.sources.shared import in_ranges
+
+    items = spark.range(20_000).selectExpr("'hot' AS batch_key", "id AS seq", "id % 90 AS tokens")
+    sizes = sorted(r["count"] for r in in_ranges(items, "batch_key", "seq", ranges=8).groupBy("part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
 def test_search_ties_floor_and_zero_vectors(spark):
     points = spark.createDataFrame([("c", p, f, [float(x) for x in v]) for p, f, v in (("b", "src/x", [1, 0]), ("a", "src/y", [2, 0]), ("z", "x", [0, 0]), ("d", "docs/x", [1, 1]))], "collection_id string, point_id string, file_path string, vector array<float>")
     schema = "query_id long, collection_id string, path_prefix string, max_results int, vector array<float>"

@@ -90,3 +90,27 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
 def test_newest_request(spark):
     requests = spark.createDataFrame([("/w", "a", 1), ("/w", "b", 2)], triggers.REQUESTS)
     assert [tuple(r) for r in triggers.newest_request(requests).collect()] == [("/w", "b", 2)]
+
+
+def test_one_worktree_with_all_events(spark):
+    """Ranges of a hot worktree give what one pass over its events gives."""
+    import random
+
+    rng = random.Random(2)
+    rows, t = [], 1_700_000_000_000
+    for i in range(3000):
+        t += rng.choice([0, 1, 500, 1500, 1501, 9000])
+        rows.append((i, "/hot" if i % 50 else None, rng.choice(["session.idle", "file.watcher.updated", "session.created"]), t))
+    events = spark.createDataFrame(rows, "event_id long, worktree string, event_type string, ms long").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    want = []
+    for w in ("/hot", None):
+        pending, urgent = None, False
+        for _, _, kind, ms in sorted((r for r in rows if r[1] == w), key=lambda r: (r[3], r[0])):
+            if pending and ms >= pending[1]:
+                want += [(w, *pending), *([(w, "urgent-followup", pending[1])] if urgent else [])]
+                pending, urgent = None, False
+            urgent |= kind == triggers.URGENT
+            pending = (kind, ms + (100 if kind == triggers.URGENT else 1500))
+        want += [(w, *pending), *([(w, "urgent-followup", pending[1])] if urgent else [])]
+    got = triggers.debounce(triggers.watched_events(events), 1500, 100, ranges=9).select("worktree", "reason", "fire_ms").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
