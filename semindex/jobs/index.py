@@ -13,6 +13,7 @@ from semindex.operators import chunking, diff, filters
 from semindex.operators.embedding import Embedder, embed
 from semindex.operators.search import search
 from semindex.operators.store import delete_points, mark_run, upsert_points
+from semindex.operators.vectors import embed_once
 from semindex.sources.commits import Key, Part, State, Store
 from semindex.sources.shared import saved
 
@@ -24,9 +25,14 @@ class Refreshed:
     summary: DataFrame
 
 
-def make_points(files: DataFrame, embedder: Embedder, root: Column | None = None, prefix: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Blocks of the files with ids and vectors. Texts are dealt out evenly before they are embedded; vectors are never shuffled."""
+def make_points(
+    files: DataFrame, embedder: Embedder, root: Column | None = None, prefix: str | None = None, partitions: int | None = None, vectors: tuple[Store, str] | None = None
+) -> DataFrame:
+    """Blocks of the files with ids and vectors. Texts are dealt out evenly before they are embedded; vectors are never shuffled. With
+    ``vectors``, a store and a model's name, vectors come from there, and only texts that it lacks are embedded (operators/vectors.py)."""
     blocks = chunking.with_ids(filters.non_blank(chunking.chunk_files(files)), root)
+    if vectors is not None:
+        return embed_once(saved(blocks.drop("piece_offset"), "blocks"), "content", embedder, *vectors, prefix=prefix, partitions=partitions).rows
     blocks = blocks.repartition(partitions, "point_id") if partitions else blocks.repartition("point_id")
     return embed(blocks.drop("piece_offset"), "content", embedder, prefix=prefix)
 
@@ -67,7 +73,8 @@ def mark(store: Store, state: State, scope: list[str], run_id: str, at: str, com
 
 
 def run_index(
-    spark: SparkSession, files: DataFrame, store: str | Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, collections: DataFrame | None = None
+    spark: SparkSession, files: DataFrame, store: str | Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, collections: DataFrame | None = None,
+    vectors: tuple[Store, str] | None = None,
 ) -> DataFrame:
     """One durable run over the tables points, manifest and runs of a store (sources/commits.py); returns the summary.
 
@@ -75,6 +82,7 @@ def run_index(
     of these it rewrites only the buckets that changed, deleted or new paths fall into. Its markers say incomplete before
     anything changes; points, manifest and the complete marker follow in one commit, so a run that stops anywhere has
     changed nothing but the marker. A run raises Conflict if another one has committed to one of its collections meanwhile.
+    With ``vectors`` (a store, this one or another, and a model's name) equal texts are embedded once over all runs.
     Collections whose points have another dimension than ``dim`` are rebuilt; those with points and no manifest are adopted:
     all their files are indexed anew under the same ids, and the summary says so. Both are read off the log, not off points.
     """
@@ -97,7 +105,7 @@ def run_index(
     moved = store.with_bucket(change.where("change <> 'unchanged' AND change <> 'skipped'"), buckets)
     touched = {(r.collection_id, r.bucket) for r in moved.select("collection_id", "bucket").distinct().collect()}  # a line for each bucket that changes
     todo = change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS)
-    fresh = saved(make_points(files.join(todo, diff.KEYS, "left_semi"), embedder), "fresh")
+    fresh = saved(make_points(files.join(todo, diff.KEYS, "left_semi"), embedder, vectors=vectors), "fresh")
 
     new: dict[Key, Part | None] = {("points", c, b): None for c, b in points if c in stale or (c, b) in touched}
     new |= {("manifest", c, b): None for c, b in manifest if c in stale or (c, b) in touched}

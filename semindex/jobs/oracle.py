@@ -366,6 +366,11 @@ SQL: dict[str, str] = {
       x AS (SELECT collection_id, file_path, i - 1 AS start_line, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l))
       SELECT collection_id, file_path, start_line, (row_number() OVER (PARTITION BY collection_id, file_path ORDER BY start_line) - 1) // {K.BATCH_BLOCKS} AS batch_no FROM x WHERE regexp_matches(line, '\\S')""",
     "hash_embeddings": f"WITH {embedded('e', 'documents', 'doc_id', 'text').strip()} SELECT id AS doc_id, dim, round(v::double, 5) AS value FROM e",
+    "vector_table": f"""WITH t AS (
+        SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS a, regexp_replace(regexp_replace(CASE WHEN doc_id % 10 = 0 THEN text || ' changed' ELSE text END, '^\\s+', ''), '\\s+$', '') AS b FROM documents
+      ), u AS (SELECT CASE WHEN a <> '' AND {TOKENS.format("a")} <= {K.MAX_ITEM_TOKENS} THEN a END AS a, CASE WHEN b <> '' AND {TOKENS.format("b")} <= {K.MAX_ITEM_TOKENS} THEN b END AS b FROM t)
+      SELECT 1 AS run, count(*) AS n_rows, count(a) AS n_vectors, count(DISTINCT a) AS n_sent FROM u
+      UNION ALL SELECT 2, count(*), count(b), (SELECT count(DISTINCT b) FROM u WHERE b NOT IN (SELECT a FROM u WHERE a IS NOT NULL)) FROM u""",
     "cosine_topk": f"""WITH {QUERY_SET.strip()}, s AS (SELECT query_id, k, vec_id::varchar AS point_id, round(list_cosine_similarity(embedding::double[], qv), 6) AS score FROM q, embeddings)
       SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank, FROM s WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= k""",
     "scoped_topk": f"WITH {SCOPED.strip()} SELECT query_id, point_id, score, rank FROM top",

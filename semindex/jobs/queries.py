@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.jobs.index import RUNS, rebuild_index, refresh_index, run_index, search_table
-from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store, vector_index
+from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store, vector_index, vectors
 from semindex.sources import derived as D
 from semindex.sources.commits import Store
 from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version, write_points
@@ -187,6 +187,19 @@ def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode("vector").alias("dim", "v")).where("v > 0").select("doc_id", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+def vector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents embedded by way of a store of vectors, then all again with every tenth text changed: texts sent for in each run, and
+    rows with a vector."""
+    docs, store = D.table(spark, sf, "documents").select("doc_id", "text"), Store(spark, shared_folder(spark, "vectors"))
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    out = None
+    for no, rows in ((1, docs), (2, changed)):
+        done = vectors.embed_once(rows, "text", embedding.hashing_embedder(64), store, "words-64")
+        row = done.rows.agg(F.count("*").alias("n_rows"), F.count("vector").alias("n_vectors")).select(F.lit(no).alias("run"), "n_rows", "n_vectors", F.lit(done.sent).cast("long").alias("n_sent"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "embeddings").select(F.lit("all").alias("collection_id"), F.col("vec_id").cast("string").alias("point_id"), F.lit("").alias("file_path"), F.col("embedding").alias("vector"))
 
@@ -442,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_ids": segment_ids, "change_diff": change_diff, "delete_set": delete_set, "index_summary": index_summary,
     "dry_run_status": dry_run_status, "mode_assessments": mode_assessments, "chunk_lines": chunk_lines,
     "markdown_sections": markdown_sections, "markdown_chunks": markdown_chunks, "html_node_chunks": html_node_chunks, "code_node_chunks": code_node_chunks, "chunk_lines_sql": chunk_lines_sql, "tree_descent": tree_descent,
-    "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings,
+    "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings, "vector_table": vector_table,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "ann_recall": ann_recall, "bounded_topk": bounded_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
     "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,

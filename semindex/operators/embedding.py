@@ -36,14 +36,19 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def prepared(text_col: str, prefix: str | None = None) -> Column:
+    """What is sent of a text: trimmed, with its prefix; null for blank ones and those over the item limit."""
+    text = C.apply_prefix(C.trimmed(text_col), prefix)
+    return F.when((F.length(text) > 0) & (C.est_tokens(text) <= K.MAX_ITEM_TOKENS), text)
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder, batch_size: int = K.BATCH_BLOCKS, prefix: str | None = None) -> DataFrame:
     """df with ``vector``. The trimmed text is embedded, the column stays as it is; a vector stays with its row.
 
     Blank texts and those over the item limit get a null vector.
     """
     df = df.drop("vector")
-    text = C.apply_prefix(C.trimmed(text_col), prefix)
-    ready = df.withColumn("_text", F.when((F.length(text) > 0) & (C.est_tokens(text) <= K.MAX_ITEM_TOKENS), text))
+    ready = df.withColumn("_text", prepared(text_col, prefix))
     names = [*df.columns, "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
