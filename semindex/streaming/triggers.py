@@ -129,6 +129,41 @@ def debounce_stream(events: DataFrame, watermark: str = "10 minutes", normal_ms:
     return held.groupBy("worktree").transformWithStateInPandas(Debouncer(normal_ms, urgent_ms, follow_up), REQUESTS, "Append", "EventTime")
 
 
+class LateKeeper(Debouncer):
+    """A Debouncer that gets late events too, and tells them apart: an event before the watermark changes no state and comes out as it is."""
+
+    NAMES = ("kind", "worktree", "reason", "at_ms")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        frames = list(rows)
+        late = [("late", key[0], kind, int(ms)) for f in frames for ms, kind in zip(f["ms"], f["event_type"], strict=True) if ms < watermark]
+        good = [f[f["ms"] >= watermark] for f in frames]
+        fired = [tuple(x) for f in super().handleInputRows(key, good, timerValues) for x in f.itertuples(index=False, name=None)]
+        yield pd.DataFrame(late + [("request", *x) for x in fired], columns=list(self.NAMES))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for f in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield pd.DataFrame([("request", *x) for x in f.itertuples(index=False, name=None)], columns=list(self.NAMES))
+
+
+def debounce_with_late(events: DataFrame, watermark: str = "10 minutes", normal_ms: int = K.DEBOUNCE_MS, urgent_ms: int = K.URGENT_MS, follow_up: bool = True) -> DataFrame:
+    """As debounce_stream(), with the events that come after the watermark as rows of kind ``late`` beside those of kind ``request``: (kind,
+    worktree, reason, at_ms). The operator gets times without their watermark, so that Spark drops none, and compares them itself."""
+    held = events.withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
+    return held.drop("ts").groupBy("worktree").transformWithStateInPandas(LateKeeper(normal_ms, urgent_ms, follow_up), "kind string, worktree string, reason string, at_ms long", "Append", "EventTime")
+
+
+def in_two_tables(rows: DataFrame, requests: str, late: str, checkpoint: str) -> DataStreamWriter:
+    """Writes a stream of debounce_with_late() to two folders of Parquet; a batch that is replayed replaces its own rows."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        for kind, folder in (("request", requests), ("late", late)):
+            batch.where(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def newest_files(snapshots: DataFrame) -> DataFrame:
     """The last snapshot (at) of each file of a micro-batch, columns unchanged; a deleted one has null content."""
     order = Window.partitionBy("collection_id", "file_path").orderBy(F.desc("at"))

@@ -87,6 +87,25 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
     assert ("/w", 9) in fired and ("/w", 69) not in fired and ("/x", 39) not in fired
 
 
+def test_late_events_are_kept(spark, tmp_path):
+    """In a table of their own, as many as Spark says it would drop; requests are those of the plain stream."""
+    schema = "event_id long, worktree string, event_type string, ts timestamp"
+    at = lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC)
+    folder = str(tmp_path / "in")
+    steps = [[(1, "/w", "session.idle", at(0)), (2, "/w", "session.idle", at(7200))], [(3, "/x", "session.idle", at(7300))], [(4, "/w", "file.watcher.updated", at(60)), (5, "/x", "session.idle", at(30)), (6, "/y", "session.idle", at(9000))], [(7, "/z", "session.idle", at(20000))], [(8, "/z", "session.idle", at(20001))]]
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(folder)
+    source = lambda: triggers.watched_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    plain = triggers.debounce_stream(source(), "10 minutes", 9000, 2000).writeStream.format("memory").queryName("plain").outputMode("append").option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
+    plain.awaitTermination()
+    both = triggers.in_two_tables(triggers.debounce_with_late(source(), "10 minutes", 9000, 2000), str(tmp_path / "requests"), str(tmp_path / "late"), str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    both.awaitTermination()
+    late = sorted((r.worktree, r.reason, r.at_ms // 1000 - 1_700_000_000) for r in spark.read.parquet(str(tmp_path / "late")).collect())
+    assert late == [("/w", "file.watcher.updated", 60), ("/x", "session.idle", 30)] and len(late) == triggers.late_rows(plain.recentProgress)
+    got = sorted((r.worktree, r.reason, r.at_ms) for r in spark.read.parquet(str(tmp_path / "requests")).collect())
+    assert got == sorted((r.worktree, r.reason, r.fire_ms) for r in spark.table("plain").collect()) and len(got) >= 3
+
+
 def test_newest_request(spark):
     requests = spark.createDataFrame([("/w", "a", 1), ("/w", "b", 2)], triggers.REQUESTS)
     assert [tuple(r) for r in triggers.newest_request(requests).collect()] == [("/w", "b", 2)]
