@@ -102,6 +102,16 @@ def run_index(
     change = saved(diff.change_diff(files, known, max_bytes, looked_at), "change")
     sizes = {r.collection_id: r.n for r in change.groupBy("collection_id").agg(F.count("*").alias("n")).collect()}
     buckets = store.bucket_counts(sizes) | {c: n for c, n in state.buckets.items() if c in scope and c not in stale}
+    counts = write_changes(store, state, scope, files, change, buckets, stale, embedder, dim, run_id, at, vectors)
+    return diff.index_summary(change, counts, spark.createDataFrame([(c,) for c in adopted], "collection_id string"))
+
+
+def write_changes(
+    store: Store, state: State, scope: list[str], files: DataFrame, change: DataFrame, buckets: dict[str, int], stale: set[str], embedder: Embedder, dim: int, run_id: str, at: str,
+    vectors: tuple[Store, str] | None = None,
+) -> DataFrame:
+    """Points and manifest of the buckets that a (saved) change falls into and the complete markers, in one commit; returns blocks per collection."""
+    points, manifest = state.of("points", scope), state.of("manifest", scope)
     moved = store.with_bucket(change.where("change <> 'unchanged' AND change <> 'skipped'"), buckets)
     touched = {(r.collection_id, r.bucket) for r in moved.select("collection_id", "bucket").distinct().collect()}  # a line for each bucket that changes
     todo = change.where(F.col("change").isin("new", "changed")).select(*diff.KEYS)
@@ -117,8 +127,30 @@ def run_index(
         new |= store.write_parts(store.with_bucket(new_manifest(held, change), buckets), "manifest")
     new |= mark(store, state, scope, run_id, at, True, dim)
     store.commit(state, new, buckets, {"points": fresh.schema.json(), "manifest": T.StructType.fromDDL(MANIFEST).json()})
-    counts = fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
-    return diff.index_summary(change, counts, spark.createDataFrame([(c,) for c in adopted], "collection_id string"))
+    return fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
+
+
+def apply_changes(spark: SparkSession, changes: DataFrame, store: Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, vectors: tuple[Store, str] | None = None) -> DataFrame | None:
+    """changes (collection_id, file_path, resolved_path, size_bytes, content; null content: the file is gone): brings a store in step for
+    these paths alone, whatever else their collections hold. What is read and written are the buckets of these paths. A run
+    id that the store has as complete for all of the collections has been applied before: nothing is done, and None returned."""
+    named = saved(changes, "changes")
+    looked_at = named.select("collection_id").distinct()
+    scope = sorted(r[0] for r in looked_at.collect())
+    state = store.state()
+    done = store.read_parts("runs", state.of("runs", scope).values(), RUNS).where((F.col("run_id") == run_id) & F.col("indexing_complete"))
+    if not scope or done.select("collection_id").distinct().count() == len(scope):
+        return None
+    state = store.commit(state, mark(store, state, scope, run_id, at, False, dim), schemas={"runs": T.StructType.fromDDL(RUNS).json()})
+    sizes = {r.collection_id: r.n for r in named.groupBy("collection_id").agg(F.count("*").alias("n")).collect()}
+    buckets = store.bucket_counts(sizes) | {c: n for c, n in state.buckets.items() if c in scope}
+    paths = named.select(*diff.KEYS).distinct()
+    asked = {(r.collection_id, r.bucket) for r in store.with_bucket(paths, buckets).select("collection_id", "bucket").distinct().collect()}
+    known = store.read_parts("manifest", [p for k, p in state.of("manifest", scope).items() if k in asked], MANIFEST).join(paths, diff.KEYS, "left_semi")
+    files = filters.filter_supported(named.where("content IS NOT NULL"))
+    change = saved(diff.change_diff(files, known, max_bytes, looked_at), "change")
+    counts = write_changes(store, state, scope, files, change, buckets, set(), embedder, dim, run_id, at, vectors)
+    return diff.index_summary(change, counts)
 
 
 def rebuild_index(files: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:

@@ -282,6 +282,11 @@ SQL: dict[str, str] = {
         coalesce(any_value(n_blocks), 0) AS indexed_blocks FROM todo LEFT JOIN n USING (collection_id) GROUP BY collection_id""",
     "scoped_runs": f"""WITH RECURSIVE {FILES_SQL.strip()}, {SUPPORTED}, {pointed("SELECT collection_id, file_path, content, ext FROM supported WHERE NOT big AND (collection_id >= 'ws-8' OR doc_id % 2 = 0)")}
       SELECT *, 64 AS dim FROM ided""",
+    "applied_changes": f"""WITH RECURSIVE {FILES_SQL.strip()}, now AS (
+        SELECT collection_id, file_path, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || 'one line more of this file, as it is now' ELSE content END AS content, content AS before, {EXT} AS ext,
+          doc_id % 5 = 0 AS moved FROM files WHERE doc_id % 7 <> 0 AND list_contains({listed(K.EXTENSIONS)}, {EXT})
+      ), {pointed(f"SELECT collection_id, file_path, CASE WHEN strlen(content) > {SIZE_CAP} THEN before ELSE content END AS content, ext FROM now WHERE strlen(content) <= {SIZE_CAP} OR strlen(before) <= {SIZE_CAP}")}
+      SELECT *, 64 AS dim FROM ided""",
     "adopt_index": f"""WITH RECURSIVE {MANIFEST_SQL.strip()}, {SUPPORTED}, change AS (
         SELECT coalesce(f.collection_id, m.collection_id) AS collection_id, coalesce(f.file_path, m.file_path) AS file_path, content, ext,
           CASE WHEN f.file_path IS NULL THEN 'deleted' WHEN big THEN 'skipped' WHEN m.file_path IS NULL THEN 'new' WHEN m.file_hash <> sha256(content) THEN 'changed' ELSE 'unchanged' END AS change

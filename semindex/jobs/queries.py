@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
-from semindex.jobs.index import RUNS, rebuild_index, refresh_index, run_index, search_table
+from semindex.jobs.index import RUNS, apply_changes, rebuild_index, refresh_index, run_index, search_table
 from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store, vector_index, vectors
 from semindex.sources import derived as D
 from semindex.sources.commits import Store
@@ -183,7 +183,7 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    docs = embedding.embed(D.table(spark, sf, "documents").select("doc_id", "text"), "text", embedding.hashing_embedder(64))
+    docs = embedding.embed(embedding.dealt(D.table(spark, sf, "documents").select("doc_id", "text")), "text", embedding.hashing_embedder(64))
     return docs.select("doc_id", F.posexplode("vector").alias("dim", "v")).where("v > 0").select("doc_id", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
@@ -268,7 +268,7 @@ def response_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to blocks, blocks to vectors, once; benchmark texts searched in them."""
-    blocks = chunking.with_ids(filters.non_blank(chunking.chunk_lines(D.corpus_files(spark, sf).drop("doc_id"))))
+    blocks = chunking.with_ids(filters.non_blank(chunking.chunk_lines(embedding.dealt(D.corpus_files(spark, sf).drop("doc_id")))))
     points = saved(embedding.embed(blocks.drop("piece_offset", "segment_hash"), "content", embedding.hashing_embedder(64)).where("vector IS NOT NULL"), "points")
     text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("readme "), "text")).otherwise(F.col("text"))
     asked = D.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), F.lit(None).cast("string").alias("collection_id"), F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("int").alias("max_results"))
@@ -319,6 +319,17 @@ def scoped_runs(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("points").select("collection_id", "file_path", "start_line", "end_line", "point_id", F.size("vector").alias("dim"))
 
 
+def applied_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of all worktrees; then a batch of changes, given twice: every fifth file has a line more, every seventh is gone. The points by id."""
+    files, store, embedder = D.corpus_files(spark, sf), Store(spark, shared_folder(spark, "store")), embedding.hashing_embedder(64)
+    run_index(spark, files.drop("doc_id"), store, embedder, 64, "r1", "2024-01-01", D.SIZE_CAP)
+    text = F.when(F.col("doc_id") % 7 != 0, F.concat("content", F.lit("\none line more of this file, as it is now")))
+    batch = files.where("doc_id % 5 = 0 OR doc_id % 7 = 0").withColumn("content", text).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    for _ in range(2):
+        apply_changes(spark, batch.drop("doc_id"), store, embedder, 64, "batch-0", "2024-01-02", D.SIZE_CAP)
+    return store.read("points").select("collection_id", "file_path", "start_line", "end_line", "point_id", F.size("vector").alias("dim"))
+
+
 def points_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Points of all worktrees, then new ones of some, which replace only theirs."""
     rows = D.corpus_files(spark, sf).select("collection_id", F.col("doc_id").cast("string").alias("point_id"))
@@ -458,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings, "vector_table": vector_table,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "ann_recall": ann_recall, "bounded_topk": bounded_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
-    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
+    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "applied_changes": applied_changes, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
     "query_prefixes": query_prefixes, "decoded_vectors": decoded_vectors, "dimension_check": dimension_check, "external_links": external_links,
     "cosine_pairs": cosine_pairs, "newest_requests": newest_requests, "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
 }

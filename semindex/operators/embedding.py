@@ -36,6 +36,11 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
         yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def dealt(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """df in even parts, at least one for each core: a table of few row groups would leave the others idle while Python works on it."""
+    return df.repartition(partitions or max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def prepared(text_col: str, prefix: str | None = None) -> Column:
     """What is sent of a text: trimmed, with its prefix; null for blank ones and those over the item limit."""
     text = C.apply_prefix(C.trimmed(text_col), prefix)

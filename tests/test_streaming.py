@@ -1,12 +1,13 @@
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
-from semindex.jobs.index import rebuild_index, run_index
+from semindex.functions import columns as C
+from semindex.jobs.index import apply_changes, rebuild_index
 from semindex.operators import embedding, status
 from semindex.sources.commits import Store
-from semindex.sources.corpus import load_version, save_version
-from semindex.streaming import triggers
+from semindex.streaming import changes, triggers
 
 
 def test_stream_fires_what_the_batch_twin_fires(spark, tmp_path):
@@ -28,34 +29,48 @@ def test_stream_fires_what_the_batch_twin_fires(spark, tmp_path):
     assert got == want
 
 
-def test_streamed_snapshots_make_the_index_that_a_batch_makes(spark, tmp_path):
-    """Three micro-batches, then the last one once more, as after a crash between its writes and its commit."""
+def test_streamed_changes_make_the_index_that_a_batch_makes(spark, tmp_path):
+    """Files of two worktrees come, change and go; batches take only what differs, and one that is replayed changes nothing."""
     text = lambda word: f"{word} words of a file that is long enough to be kept as a block\n" * 3
-    steps = [[("a.ts", 1, text("one")), ("b.ts", 1, text("two"))], [("a.ts", 2, text("draft")), ("a.ts", 3, text("three")), ("c.md", 2, "# T\n" + text("md"))], [("b.ts", 4, None), ("d.py", 4, text("four"))]]
-    schema = "collection_id string, file_path string, at long, content string"
-    folder, store, files, embedder = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "files"), embedding.hashing_embedder(16)
-    for step in steps:
-        spark.createDataFrame([("ws-1", *r) for r in step], schema).coalesce(1).write.mode("append").parquet(folder)
-    calls = []
-
-    def refresh(batch, run_id):
-        before = load_version(spark, files, None)
-        now = batch if before is None else before.join(batch, ["collection_id", "file_path"], "left_anti").unionByName(batch)
-        save_version(now.where("content IS NOT NULL"), files)
-        whole = load_version(spark, files).selectExpr("collection_id", "file_path", "file_path AS resolved_path", "bigint(length(content)) AS size_bytes", "content")
-        calls.append((batch.collect(), run_id))
-        run_index(spark, whole, store, embedder, 16, run_id, f"2024-01-0{len(calls)}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = triggers.refresh_stream(stream, refresh, str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [n for _, n in calls] == ["batch-0", "batch-1", "batch-2"] and all(len({r.file_path for r in rows}) == len(rows) for rows, _ in calls)
-    refresh(spark.createDataFrame(calls[-1][0], schema), calls[-1][1])
-    end = spark.createDataFrame([("ws-1", p, p, t) for p, t in (("a.ts", text("three")), ("c.md", "# T\n" + text("md")), ("d.py", text("four")))], "collection_id string, file_path string, resolved_path string, content string").withColumn("size_bytes", F.length("content").cast("long"))
-    key = lambda df: sorted((r.file_path, r.point_id) for r in df.collect())
+    root, store, embedder = tmp_path / "trees", str(tmp_path / "store"), embedding.hashing_embedder(16)
+    for tree in "ab":
+        (root / tree / "src").mkdir(parents=True)
+        (root / tree / "node_modules").mkdir()
+        (root / tree / "node_modules" / "x.ts").write_text(text("ignored"))
+        for i in range(4):
+            (root / tree / "src" / f"f{i}.ts").write_text(text(f"{tree}{i}"))
+    spark.dataSource.register(changes.WorktreeChanges)
+
+    def go():
+        rows = spark.readStream.format("worktree_changes").option("path", str(root)).option("state", str(tmp_path / "state")).load()
+        query = changes.ingest(rows, store, embedder, 16, str(tmp_path / "cp")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    go()
+    first = Store(spark, store).state()
+    assert Store(spark, store).read("points").count() == 8
+    (root / "a" / "src" / "f0.ts").write_text(text("changed now"))
+    (root / "a" / "src" / "f1.ts").unlink()
+    (root / "a" / "src" / "g.md").write_text("# T\n" + text("new"))
+    go()
+    state = Store(spark, store).state()
+    assert state.of("points", [c for _, c, _ in first.parts if c != "none"]) != first.of("points")
+    files = spark.createDataFrame([(f"{root}/{t}", str(p.relative_to(root / t)), str(p), p.read_text()) for t in "ab" for p in sorted((root / t / "src").iterdir())], "w string, file_path string, resolved_path string, content string")
+    end = files.select(C.collection_id("w").alias("collection_id"), "file_path", "resolved_path", F.length("content").cast("long").alias("size_bytes"), "content")
+    key = lambda df: sorted((r.collection_id, r.file_path, r.point_id) for r in df.collect())
     assert key(Store(spark, store).read("points")) == key(rebuild_index(end, embedder).points)
-    runs = Store(spark, store).read("runs").collect()
-    assert len(runs) == 3 and all(r.indexing_complete for r in runs)
+    unmoved = end.where("file_path = 'src/f2.ts'").select("collection_id").distinct().count()
+    assert unmoved == 2 and len({c for t, c, _ in state.parts if t == "points" and state.parts[t, c, 0] == first.parts[t, c, 0]}) == 1  # worktree b as it was
+    # The last batch once more, as after a crash before Spark's own commit; and a batch of nothing new under another name.
+    row = spark.createDataFrame([(r.collection_id, "src/f0.ts", "x.ts", 9, "other content, that comes too late " * 4) for r in end.where("file_path = 'src/g.md'").collect()], "collection_id string, file_path string, resolved_path string, size_bytes long, content string")
+    assert apply_changes(spark, row, Store(spark, store), embedder, 16, "stream-1", "2024-01-01") is None
+    assert Store(spark, store).state() == state
+    same = apply_changes(spark, end, Store(spark, store), embedder, 16, "again", "2024-01-01")
+    assert {r.reason for r in same.collect()} == {"already-fresh"} and Store(spark, store).state().of("points") == state.of("points")
+    assert len(os.listdir(tmp_path / "state")) <= 2
 
 
 def test_status_stream_equals_its_batch_twin(spark, tmp_path):
