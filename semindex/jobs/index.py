@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.operators import chunking, diff, filters
 from semindex.operators.embedding import Embedder, embed
@@ -15,6 +16,7 @@ from semindex.operators.search import search
 from semindex.operators.store import delete_points, mark_run, upsert_points
 from semindex.operators.vectors import embed_once
 from semindex.sources.commits import Key, Part, State, Store
+from semindex.sources.corpus import list_corpus, with_contents
 from semindex.sources.shared import saved
 
 
@@ -108,9 +110,9 @@ def run_index(
 
 def write_changes(
     store: Store, state: State, scope: list[str], files: DataFrame, change: DataFrame, buckets: dict[str, int], stale: set[str], embedder: Embedder, dim: int, run_id: str, at: str,
-    vectors: tuple[Store, str] | None = None,
+    vectors: tuple[Store, str] | None = None, more: dict[Key, Part | None] | None = None,
 ) -> DataFrame:
-    """Points and manifest of the buckets that a (saved) change falls into and the complete markers, in one commit; returns blocks per collection."""
+    """Points and manifest of the buckets that a (saved) change falls into, the complete markers and ``more``, in one commit; returns blocks per collection."""
     points, manifest = state.of("points", scope), state.of("manifest", scope)
     moved = store.with_bucket(change.where("change <> 'unchanged' AND change <> 'skipped'"), buckets)
     touched = {(r.collection_id, r.bucket) for r in moved.select("collection_id", "bucket").distinct().collect()}  # a line for each bucket that changes
@@ -125,12 +127,15 @@ def write_changes(
         new |= store.write_parts(store.with_bucket(kept, buckets), "points")
         held = store.read_parts("manifest", [p for (c, b), p in manifest.items() if c not in stale and (c, b) in touched], MANIFEST)
         new |= store.write_parts(store.with_bucket(new_manifest(held, change), buckets), "manifest")
-    new |= mark(store, state, scope, run_id, at, True, dim)
+    new |= mark(store, state, scope, run_id, at, True, dim) | (more or {})
     store.commit(state, new, buckets, {"points": fresh.schema.json(), "manifest": T.StructType.fromDDL(MANIFEST).json()})
     return fresh.groupBy("collection_id").agg(F.count("*").alias("n_blocks"))
 
 
-def apply_changes(spark: SparkSession, changes: DataFrame, store: Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, vectors: tuple[Store, str] | None = None) -> DataFrame | None:
+def apply_changes(
+    spark: SparkSession, changes: DataFrame, store: Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES,
+    vectors: tuple[Store, str] | None = None, more: dict[Key, Part | None] | None = None,
+) -> DataFrame | None:
     """changes (collection_id, file_path, resolved_path, size_bytes, content; null content: the file is gone): brings a store in step for
     these paths alone, whatever else their collections hold. What is read and written are the buckets of these paths. A run
     id that the store has as complete for all of the collections has been applied before: nothing is done, and None returned."""
@@ -149,10 +154,48 @@ def apply_changes(spark: SparkSession, changes: DataFrame, store: Store, embedde
     known = store.read_parts("manifest", [p for k, p in state.of("manifest", scope).items() if k in asked], MANIFEST).join(paths, diff.KEYS, "left_semi")
     files = filters.filter_supported(named.where("content IS NOT NULL"))
     change = saved(diff.change_diff(files, known, max_bytes, looked_at), "change")
-    counts = write_changes(store, state, scope, files, change, buckets, set(), embedder, dim, run_id, at, vectors)
+    counts = write_changes(store, state, scope, files, change, buckets, set(), embedder, dim, run_id, at, vectors, more)
     return diff.index_summary(change, counts)
 
 
+LISTING = "collection_id string, file_path string, size_bytes long, modified timestamp"
+
+
+def run_tree(
+    spark: SparkSession, root: str, store: Store, embedder: Embedder, dim: int, run_id: str, at: str, max_bytes: int = K.MAX_FILE_BYTES, full: bool = False, vectors: tuple[Store, str] | None = None
+) -> DataFrame | None:
+    """A run over the files below a folder that opens only what its listing says has changed; the summary, None if nothing has.
+
+    The store keeps the listing (path, size, time of change) by bucket, and in its log a digest of each bucket's. Buckets of equal digest
+    are not looked at; in the others, files whose line is new are read and hashed. ``full`` reads all files, as a change that
+    keeps size and time is not seen otherwise.
+    """
+    listing = saved(list_corpus(spark, root, max_bytes).drop("_content").withColumnRenamed("_uri", "uri"), "listing")
+    name = collection_of(spark, root)
+    state = store.state()
+    buckets = {name: state.buckets.get(name) or store.bucket_counts({name: listing.count()})[name]}
+    keyed = store.with_bucket(listing, buckets)
+    line = F.xxhash64("file_path", "size_bytes", "modified")
+    digests = {r.bucket: r.d for r in keyed.groupBy("bucket").agg(F.bit_xor(line).alias("d")).collect()}
+    old = {b: p for (_, b), p in state.of("listing", [name]).items()}
+    differ = sorted(b for b in digests.keys() | old.keys() if full or b not in digests or b not in old or old[b].digest != digests[b])
+    if not differ:
+        return None
+    before = store.read_parts("listing", [old[b] for b in differ if b in old], LISTING)
+    now = saved(keyed.where(F.col("bucket").isin(differ)), "now")
+    moved = now if full else now.join(before, [*diff.KEYS, "size_bytes", "modified"], "left_anti")
+    read = with_contents(moved.select(*diff.KEYS, "resolved_path", "size_bytes", "uri"))
+    gone = before.join(now, diff.KEYS, "left_anti").select(*diff.KEYS, F.col("file_path").alias("resolved_path"), "size_bytes", F.lit(None).cast("string").alias("content"))
+    parts: dict[Key, Part | None] = {("listing", name, b): None for b in old if b in differ}
+    parts |= {k: replace(p, digest=digests[k[2]]) for k, p in store.write_parts(now.select(*diff.KEYS, "size_bytes", "modified", "bucket"), "listing").items()}  # type: ignore[type-var]
+    return apply_changes(spark, read.unionByName(gone), store, embedder, dim, run_id, at, max_bytes, vectors, parts)
+
+
+def collection_of(spark: SparkSession, root: str) -> str:
+    plain = root.rstrip("/").split("://", 1)[-1]
+    return spark.range(1).select(C.collection_id(F.lit(plain))).first()[0]
+
+
 def rebuild_index(files: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:
     empty_manifest = files.sparkSession.createDataFrame([], MANIFEST)
     points = make_points(files.where(F.lit(False)), embedder)

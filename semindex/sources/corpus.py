@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.sources.commits import Files, Store
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
-    """Text files below a folder: collection_id, file_path, resolved_path, size_bytes, content.
+def list_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
+    """Text files below a folder as they are listed, none opened: collection_id, file_path, resolved_path, size_bytes, modified.
 
-    Extension and size are tested on the listing, so the content of other files is not read. Spark's path
-    column is a URI without escapes; ``root`` may be one or a plain path.
+    Spark's path column is a URI without escapes; ``root`` may be one or a plain path.
     """
     base = root.rstrip("/")
     bare = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
@@ -25,10 +29,42 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTE
     found = found.where((F.col("length") <= max_bytes) & C.file_extension("path").isin(*extensions))
     return found.select(
         C.collection_id(plain).alias("collection_id"), C.relative_path(bare, plain).alias("file_path"), bare.alias("resolved_path"),
-        F.col("length").alias("size_bytes"), F.decode("content", "utf-8").alias("content"),
+        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.col("path").alias("_uri"), F.col("content").alias("_content"),
     )
 
 
+def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
+    """Text files below a folder: collection_id, file_path, resolved_path, size_bytes, content.
+
+    Extension and size are tested on the listing, so the content of other files is not read.
+    """
+    listed = list_corpus(spark, root, max_bytes, extensions)
+    return listed.select("collection_id", "file_path", "resolved_path", "size_bytes", F.decode("_content", "utf-8").alias("content"))
+
+
+def with_contents(listed: DataFrame) -> DataFrame:
+    """Rows of a listing (..., uri) with ``content``, each file read by the task that has its row; null if it has gone meanwhile."""
+    names = [*(c for c in listed.columns if c != "uri"), "content"]
+    at = listed.columns.index("uri")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = []
+                for uri in part.column(at).to_pylist():
+                    fs, name = pafs.FileSystem.from_uri(quote(uri if "://" in uri else uri.replace("file:", "file://", 1), safe=":/"))
+                    try:
+                        with fs.open_input_stream(name) as f:
+                            texts.append(f.read().decode("utf-8", "replace"))
+                    except FileNotFoundError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(part.columns) if j != at), pa.array(texts, pa.string())], names)
+
+    fields = [f for f in listed.schema.fields if f.name != "uri"]
+    return listed.mapInArrow(run, T.StructType([*fields, T.StructField("content", T.StringType())]))
+
+
 def corpus_from_table(df: DataFrame, worktree: Column, file_path: Column, content: Column, resolved_path: Column | None = None) -> DataFrame:
     """The same columns from a table with a row per file."""
     resolved = resolved_path if resolved_path is not None else F.concat_ws("/", worktree, file_path)

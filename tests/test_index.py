@@ -372,3 +372,43 @@ def test_the_log(spark, tmp_path, monkeypatch):
     files = Files(spark, str(tmp_path / "x"))
     files.local = False
     assert files.create("log/1", "one") and not files.create("log/1", "two") and files.read("log/1") == "one"
+
+
+def test_a_run_over_a_folder_opens_what_its_listing_says(spark, tmp_path):
+    from semindex.jobs.index import run_tree
+    from semindex.sources.corpus import read_corpus
+
+    root, e = tmp_path / "tree", embedding.hashing_embedder(16)
+    (root / "src dir").mkdir(parents=True)
+    text = lambda word: f"{word} words of a file that is long enough to be kept as a block\n" * 3
+    for i in range(30):
+        (root / "src dir" / f"f{i} %.ts").write_text(text(i))
+    (root / "big.ts").write_text("x" * 5000)
+    (root / "a.bin").write_text(text("no"))
+    store = Store(spark, str(tmp_path / "store"), bucket_files=4)
+    go = lambda n, **kw: run_tree(spark, str(root), store, e, 16, n, "2024-01-01", 4000, **kw)
+    same = lambda: ids(store.read("points")) == ids(rebuild_index(read_corpus(spark, str(root), 4000), e).points)
+    assert go("r1").first().processed_files == 30 and same()
+    assert go("r2") is None
+    first = store.state()
+    (root / "src dir" / "f3 %.ts").write_text(text("changed"))
+    (root / "src dir" / "f4 %.ts").unlink()
+    (root / "new.md").write_text("# T\n" + text("md"))
+    # All other files would fail to be read as they are: their bytes are gone, size and time are not.
+    others = [root / "src dir" / f"f{i} %.ts" for i in range(10, 30)]
+    held = {p: (p.read_bytes(), os.stat(p).st_mtime_ns) for p in others}
+    for p, (data, at) in held.items():
+        p.write_bytes(b"?" * len(data))
+        os.utime(p, ns=(at, at))
+    row = go("r3").first()
+    assert (row.processed_files, row.deleted_files) == (2, 1)
+    for p, (data, at) in held.items():
+        p.write_bytes(data)
+        os.utime(p, ns=(at, at))
+    assert same()
+    state = store.state()
+    kept = [k for k in first.parts if k[0] == "points" and state.parts.get(k) == first.parts[k]]
+    assert len(kept) >= len(state.of("points")) - 3
+    others[0].write_bytes(b"other words " * (len(held[others[0]][0]) // 12) + b"x" * (len(held[others[0]][0]) % 12))
+    os.utime(others[0], ns=(held[others[0]][1],) * 2)
+    assert go("r4") is None and go("r5", full=True).first().processed_files == 1 and same()
