@@ -16,7 +16,7 @@ from semindex.operators.search import search
 from semindex.operators.store import delete_points, mark_run, upsert_points
 from semindex.operators.vectors import embed_once
 from semindex.sources.commits import Key, Part, State, Store
-from semindex.sources.corpus import list_corpus, with_contents
+from semindex.sources.corpus import file_system, list_corpus, with_contents
 from semindex.sources.shared import saved
 
 
@@ -170,7 +170,7 @@ def run_tree(
     are not looked at; in the others, files whose line is new are read and hashed. ``full`` reads all files, as a change that
     keeps size and time is not seen otherwise.
     """
-    listing = saved(list_corpus(spark, root, max_bytes).drop("_content").withColumnRenamed("_uri", "uri"), "listing")
+    listing = saved(list_corpus(spark, root, max_bytes), "listing")
     name = collection_of(spark, root)
     state = store.state()
     buckets = {name: state.buckets.get(name) or store.bucket_counts({name: listing.count()})[name]}
@@ -184,7 +184,7 @@ def run_tree(
     before = store.read_parts("listing", [old[b] for b in differ if b in old], LISTING)
     now = saved(keyed.where(F.col("bucket").isin(differ)), "now")
     moved = now if full else now.join(before, [*diff.KEYS, "size_bytes", "modified"], "left_anti")
-    read = with_contents(moved.select(*diff.KEYS, "resolved_path", "size_bytes", "uri"))
+    read = with_contents(moved.select(*diff.KEYS, "resolved_path", "size_bytes").repartition(spark.sparkContext.defaultParallelism), root)
     gone = before.join(now, diff.KEYS, "left_anti").select(*diff.KEYS, F.col("file_path").alias("resolved_path"), "size_bytes", F.lit(None).cast("string").alias("content"))
     parts: dict[Key, Part | None] = {("listing", name, b): None for b in old if b in differ}
     parts |= {k: replace(p, digest=digests[k[2]]) for k, p in store.write_parts(now.select(*diff.KEYS, "size_bytes", "modified", "bucket"), "listing").items()}  # type: ignore[type-var]
@@ -192,8 +192,7 @@ def run_tree(
 
 
 def collection_of(spark: SparkSession, root: str) -> str:
-    plain = root.rstrip("/").split("://", 1)[-1]
-    return spark.range(1).select(C.collection_id(F.lit(plain))).first()[0]
+    return spark.range(1).select(C.collection_id(F.lit(file_system(root)[1]))).first()[0]
 
 
 def rebuild_index(files: DataFrame, embedder: Embedder, max_bytes: int = K.MAX_FILE_BYTES) -> Refreshed:

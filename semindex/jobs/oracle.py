@@ -216,7 +216,7 @@ def pointed(todo: str) -> str:
         SELECT * FROM md_blocks UNION ALL SELECT collection_id, file_path, start_line, end_line, piece_offset, content FROM blocks_o
       ), hashes AS (
         SELECT *, {hashed_id("collection_id || '/' || file_path", "start_line", "end_line", "piece_offset", "content")} AS segment_hash FROM every WHERE regexp_matches(content, '\\S')
-      ), ided AS (SELECT DISTINCT collection_id, file_path, start_line, end_line, {uuid5("segment_hash")} AS point_id FROM hashes)"""
+      ), ided AS (SELECT DISTINCT collection_id, file_path, start_line, end_line, {uuid5("segment_hash")} AS point_id FROM hashes)"""  # one block of each id
 
 
 SUPPORTED = f"supported AS (SELECT *, {EXT} AS ext, size_bytes > {SIZE_CAP} AS big FROM files WHERE list_contains({listed(K.EXTENSIONS)}, {EXT}))"
@@ -287,6 +287,11 @@ SQL: dict[str, str] = {
           doc_id % 5 = 0 AS moved FROM files WHERE doc_id % 7 <> 0 AND list_contains({listed(K.EXTENSIONS)}, {EXT})
       ), {pointed(f"SELECT collection_id, file_path, CASE WHEN strlen(content) > {SIZE_CAP} THEN before ELSE content END AS content, ext FROM now WHERE strlen(content) <= {SIZE_CAP} OR strlen(before) <= {SIZE_CAP}")}
       SELECT *, 64 AS dim FROM ided""",
+    "corpus_of_files": f"WITH {FILES_SQL.strip()}, {SUPPORTED} SELECT file_path, size_bytes, sha256(content) AS file_hash FROM supported WHERE NOT big",
+    "tree_runs": f"""WITH RECURSIVE {FILES_SQL.strip()}, now AS (
+        SELECT collection_id, file_path, CASE WHEN doc_id % 9 = 0 THEN content || chr(10) || 'one line more of this file' ELSE content END AS content, {EXT} AS ext FROM files WHERE list_contains({listed(K.EXTENSIONS)}, {EXT})
+      ), {pointed(f"SELECT collection_id, file_path, content, ext FROM now WHERE strlen(content) <= {SIZE_CAP}")}
+      SELECT DISTINCT file_path, start_line, end_line, 64 AS dim, sha256(content) AS content_hash FROM hashes""",
     "adopt_index": f"""WITH RECURSIVE {MANIFEST_SQL.strip()}, {SUPPORTED}, change AS (
         SELECT coalesce(f.collection_id, m.collection_id) AS collection_id, coalesce(f.file_path, m.file_path) AS file_path, content, ext,
           CASE WHEN f.file_path IS NULL THEN 'deleted' WHEN big THEN 'skipped' WHEN m.file_path IS NULL THEN 'new' WHEN m.file_hash <> sha256(content) THEN 'changed' ELSE 'unchanged' END AS change

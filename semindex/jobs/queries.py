@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
-from semindex.jobs.index import RUNS, apply_changes, rebuild_index, refresh_index, run_index, search_table
+from semindex.jobs.index import RUNS, apply_changes, rebuild_index, refresh_index, run_index, run_tree, search_table
 from semindex.operators import chunking, diff, embedding, filters, ignore, search, status, store, vector_index, vectors
 from semindex.sources import derived as D
 from semindex.sources.commits import Store
-from semindex.sources.corpus import load_version, manifest_json, parse_manifest, save_version, write_points
+from semindex.sources.corpus import load_version, manifest_json, parse_manifest, read_corpus, save_version, write_points
 from semindex.sources.shared import saved, shared_folder
 from semindex.streaming import triggers
 
@@ -330,6 +330,24 @@ def applied_changes(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("points").select("collection_id", "file_path", "start_line", "end_line", "point_id", F.size("vector").alias("dim"))
 
 
+def corpus_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files and read as a corpus: those of known extensions, up to a size."""
+    root = f"{shared_folder(spark, 'tree')}/w"
+    D.write_files(D.corpus_files(spark, sf), root)
+    return read_corpus(spark, root, D.SIZE_CAP).select("file_path", "size_bytes", C.sha256("content").alias("file_hash"))
+
+
+def tree_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files in a folder, indexed; then every ninth with a line more, and a run that opens only these. What the index holds."""
+    root, store = f"{shared_folder(spark, 'tree')}/w", Store(spark, shared_folder(spark, "store"))
+    files, embedder = D.corpus_files(spark, sf), embedding.hashing_embedder(64)
+    D.write_files(files, root)
+    run_tree(spark, root, store, embedder, 64, "r1", "2024-01-01", D.SIZE_CAP)
+    D.write_files(files.where("doc_id % 9 = 0").withColumn("content", F.concat("content", F.lit("\none line more of this file"))), root)
+    run_tree(spark, root, store, embedder, 64, "r2", "2024-01-02", D.SIZE_CAP)
+    return store.read("points").select("file_path", "start_line", "end_line", F.size("vector").alias("dim"), C.sha256("content").alias("content_hash"))
+
+
 def points_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Points of all worktrees, then new ones of some, which replace only theirs."""
     rows = D.corpus_files(spark, sf).select("collection_id", F.col("doc_id").cast("string").alias("point_id"))
@@ -469,7 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_batches": token_batches, "token_usage": token_usage, "embed_batches": embed_batches, "hash_embeddings": hash_embeddings, "vector_table": vector_table,
     "cosine_topk": cosine_topk, "ann_topk": ann_topk, "ann_recall": ann_recall, "bounded_topk": bounded_topk, "scoped_topk": scoped_topk, "rerank": rerank, "response_json": response_json,
     "upsert_points": upsert_points, "refresh_index": refresh, "manifest_round_trip": manifest_round_trip, "watch_deltas": watch_deltas,
-    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "applied_changes": applied_changes, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
+    "points_sink": points_sink, "manifest_versions": manifest_versions, "rebuild_index": rebuild, "adopt_index": adopt, "scoped_runs": scoped_runs, "applied_changes": applied_changes, "corpus_of_files": corpus_of_files, "tree_runs": tree_runs, "run_markers": run_markers, "search_reasons": search_reasons, "model_profiles": model_profiles,
     "query_prefixes": query_prefixes, "decoded_vectors": decoded_vectors, "dimension_check": dimension_check, "external_links": external_links,
     "cosine_pairs": cosine_pairs, "newest_requests": newest_requests, "watch_totals": watch_totals, "debounce_triggers": debounce_triggers, "session_triggers": session_triggers, "trigger_rate": trigger_rate,
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,54 +14,76 @@ from pyspark.sql import types as T
 from semindex.functions import columns as C
 from semindex.functions import constants as K
 from semindex.sources.commits import Files, Store
+from semindex.sources.shared import saved
 
 
-def list_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
+def file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """Of a plain path or a URI: the file system, and the folder in it."""
+    return pafs.FileSystem.from_uri(root.rstrip("/") if "://" in root or not root.startswith("file:") else "file://" + root[5:].rstrip("/"))
+
+
+def list_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS, depth: int = 256) -> DataFrame:
     """Text files below a folder as they are listed, none opened: collection_id, file_path, resolved_path, size_bytes, modified.
 
-    Spark's path column is a URI without escapes; ``root`` may be one or a plain path.
+    Folders are listed by tasks, level by level; names that begin with a dot or an underscore, which Spark's own readers leave
+    out, are files like others (``__init__.py``, ``.github``). ``root`` is a plain path or a URI that driver and executors share.
     """
-    base = root.rstrip("/")
-    bare = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
-    plain = F.lit(base.split("://", 1)[1] if "://" in base else base)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = found.where((F.col("length") <= max_bytes) & C.file_extension("path").isin(*extensions))
-    return found.select(
-        C.collection_id(plain).alias("collection_id"), C.relative_path(bare, plain).alias("file_path"), bare.alias("resolved_path"),
-        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.col("path").alias("_uri"), F.col("content").alias("_content"),
+    known = frozenset(extensions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(folder))
+                kept = [f for f in found if f.type == pafs.FileType.Directory or f.type == pafs.FileType.File and f.size <= max_bytes and f".{f.extension}".lower() in known and f.base_name != f".{f.extension}"]
+                arrays = [pa.array([f.path for f in kept], pa.string()), pa.array([f.type == pafs.FileType.Directory for f in kept], pa.bool_()), pa.array([f.size or 0 for f in kept], pa.int64()), pa.array([(f.mtime_ns or 0) // 1000 for f in kept], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "folder", "size_bytes", "us"])
+
+    _, base = file_system(root)
+    front, out = spark.createDataFrame([(base,)], "path string"), None
+    for _ in range(depth):
+        level = saved(front.mapInArrow(run, "path string, folder boolean, size_bytes long, us long"), "level")
+        out = level if out is None else out.unionByName(level)
+        front = level.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+        if front.isEmpty():
+            break
+    else:
+        raise ValueError(f"folders are deeper than {depth}")
+    plain = F.lit(base)
+    return out.where("NOT folder").select(
+        C.collection_id(plain).alias("collection_id"), C.relative_path("path", plain).alias("file_path"), F.col("path").alias("resolved_path"), "size_bytes", F.timestamp_micros("us").alias("modified"),
     )
 
 
 def read_corpus(spark: SparkSession, root: str, max_bytes: int = K.MAX_FILE_BYTES, extensions: tuple[str, ...] = K.EXTENSIONS) -> DataFrame:
     """Text files below a folder: collection_id, file_path, resolved_path, size_bytes, content.
 
-    Extension and size are tested on the listing, so the content of other files is not read.
+    Extension and size are tested on the listing, so other files are not opened.
     """
-    listed = list_corpus(spark, root, max_bytes, extensions)
-    return listed.select("collection_id", "file_path", "resolved_path", "size_bytes", F.decode("_content", "utf-8").alias("content"))
+    listed = list_corpus(spark, root, max_bytes, extensions).drop("modified")
+    return with_contents(listed.repartition(spark.sparkContext.defaultParallelism), root).where("content IS NOT NULL")
 
 
-def with_contents(listed: DataFrame) -> DataFrame:
-    """Rows of a listing (..., uri) with ``content``, each file read by the task that has its row; null if it has gone meanwhile."""
-    names = [*(c for c in listed.columns if c != "uri"), "content"]
-    at = listed.columns.index("uri")
+def with_contents(listed: DataFrame, root: str) -> DataFrame:
+    """Rows of a listing with ``content``, each file read by the task that has its row; null if it has gone meanwhile."""
+    names = [*listed.columns, "content"]
+    at = listed.columns.index("resolved_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(root)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = []
-                for uri in part.column(at).to_pylist():
-                    fs, name = pafs.FileSystem.from_uri(quote(uri if "://" in uri else uri.replace("file:", "file://", 1), safe=":/"))
+                for path in part.column(at).to_pylist():
                     try:
-                        with fs.open_input_stream(name) as f:
+                        with fs.open_input_stream(path) as f:
                             texts.append(f.read().decode("utf-8", "replace"))
                     except FileNotFoundError:
                         texts.append(None)
-                yield pa.RecordBatch.from_arrays([*(c for j, c in enumerate(part.columns) if j != at), pa.array(texts, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
 
-    fields = [f for f in listed.schema.fields if f.name != "uri"]
-    return listed.mapInArrow(run, T.StructType([*fields, T.StructField("content", T.StringType())]))
+    return listed.mapInArrow(run, T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())]))
 
 
 def corpus_from_table(df: DataFrame, worktree: Column, file_path: Column, content: Column, resolved_path: Column | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,18 @@ def prev_manifest(files: DataFrame) -> DataFrame:
     kept = files.where("doc_id % 11 <> 0").select("collection_id", "file_path", C.sha256(text).alias("file_hash"))
     old = files.where("doc_id % 17 = 0").select("collection_id", F.concat("file_path", F.lit(".old")).alias("file_path"), C.sha256("content").alias("file_hash"))
     return kept.unionByName(old)
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Each row (file_path, content) as a file below ``root``, a folder that driver and executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fs.create_dir(f"{folder}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{folder}/{path}") as f:
+                    f.write(content.as_py().encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("file_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
