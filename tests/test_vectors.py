@@ -4,6 +4,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,45 @@ def test_a_lost_run_pays_for_one_batch(spark, tmp_path):
     assert done.rows.where("vector IS NULL").count() == 0 and sorted(sent(calls)) == sorted(texts) and done.sent == 40 - before
 
 
+def test_a_task_that_is_tried_again_pays_once(tmp_path):
+    calls = []
+
+    def e(texts):
+        calls.append(list(texts))
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return np.array([[len(t)] for t in texts], np.float32)
+
+    some = [("d1", "one"), ("d2", "bad"), ("d3", "three")]
+    fs = pafs.LocalFileSystem()
+    first = vectors.paid_once(fs, str(tmp_path), some, e, 1, 0).to_pydict()
+    assert first["vector"] == [[3.0], None, [5.0]] and first["error"][1] == "ValueError: bad text"
+    calls.clear()
+    again = vectors.paid_once(fs, str(tmp_path), some, e, 1, 0).to_pydict()
+    assert again == first and calls == [["bad"]] and len(os.listdir(tmp_path)) == 1
+
+
+def test_two_runs_add_vectors_of_one_model(spark, tmp_path):
+    root = str(tmp_path / "store")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    e = counting(str(calls))
+
+    class Slow(Store):
+        tried = 0
+
+        def append(self, *args):
+            self.tried += 1
+            if self.tried == 1:
+                vectors.embed_once(table(spark, ["a", "b"]), "t", e, Store(spark, root), "m")
+            return super().append(*args)
+
+    store = Slow(spark, root)
+    done = vectors.embed_once(table(spark, ["b", "c"]), "t", e, store, "m")
+    assert store.tried == 2 and done.rows.where("vector IS NULL").count() == 0
+    assert sorted(r.digest for r in store.read("vectors").collect()) == sorted({r.digest for r in store.read("vectors").collect()}) and store.read("vectors").count() == 3
+
+
 def test_runs_share_vectors(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
