@@ -340,7 +340,8 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, keys) that share a bucket."""
     members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
-    texts = saved(docs.selectExpr(*IDS, "text").join(wanted, ["_id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # A node has one id and mark, so its text stays where the join has brought it.
+    texts = saved(docs.selectExpr(*IDS, "text").join(wanted, ["_id", "mark"]).groupBy("_id", "mark", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
     # Of the centres of a node's buckets, the one that it meets most often: one pair a node, and most of a large class is settled.
     nearest = members.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.mode("centre", True).alias("a"))
     tested = saved(verified(nearest.select("a", "b"), texts), "nearest")
