@@ -10,7 +10,8 @@ probability, and base and model score the same tokens.
 Training is truncated backpropagation through time in numpy: texts side by side in streams, windows of WINDOW
 tokens, the state carried from window to window and reset at each document's end. The network learns from all
 training documents, each once: in every round (ROUNDS are shares of the documents, by a hash of their ids) each
-task trains a copy on its texts and the copies are averaged by tokens. Scoring carries the state across windows
+task trains a copy on its texts and the copies are averaged by tokens. A copy sees COPY_TOKENS tokens or more (small
+partitions are put together, unmoved), so what is learnt does not hang on how finely a table is cut. Scoring carries the state across windows
 through a whole document, many documents side by side, so a text of any length needs the memory of one window.
 
 The counts of the head are broadcast (HEAD words at most); words beyond it are counted per document,
@@ -42,8 +43,9 @@ from semindex.llm.spellings import of_each, words_of_texts
 FOLDS, HELD = 7, 2
 #: Words of the model, of the broadcast head of the counts; classes; size of the state; windows and streams.
 MOST_WORDS, HEAD, CLASSES, STATE, WINDOW, WINDOWS, STREAMS = 4096, 100_000, 64, 16, 16, 64, 512
-#: Shares of the training documents that the rounds take, one after the other; first rate; networks that are added up at once.
-ROUNDS, RATE, FAN = (1, 5), 0.01, 8
+#: Shares of the training documents that the rounds take, one after the other; first rate; networks that are added up at once;
+#: tokens that a copy sees in a round at least, about.
+ROUNDS, RATE, FAN, COPY_TOKENS = (1, 5), 0.01, 8, 2_000_000
 END = b""  # no word is empty
 
 
@@ -212,19 +214,20 @@ class Adam:
             np.clip(p[k], -3, 3, out=p[k])
 
 
-def trained_on(net: Gru, numbers: np.ndarray, adam: Adam) -> None:
+def trained_on(net: Gru, numbers: np.ndarray, adam: Adam) -> np.ndarray:
     """One pass over documents (word numbers, each document with its end), laid end to end into streams: as many as leave
-    WINDOWS windows to each, within bounds."""
+    WINDOWS windows to each, within bounds. Returns the numbers at the end that do not fill the streams: they come next."""
     streams = max(min(32, len(numbers) // 2), min(STREAMS, len(numbers) // (WINDOW * WINDOWS)))
+    if not streams:
+        return numbers
     long = len(numbers) // streams
-    if not streams or long < 2:
-        return
     target = numbers[: long * streams].reshape(streams, long).T
     before = np.concatenate((np.zeros((1, streams), target.dtype), target[:-1]))
     reset = before == 0
     h = np.zeros((streams, STATE), np.float32)
     for a in range(0, long, WINDOW):
         h, _ = net.train_window(h, before[a : a + WINDOW], target[a : a + WINDOW], reset[a : a + WINDOW], adam)
+    return numbers[long * streams :]
 
 
 def numbered(texts: pa.Array, number: dict[bytes, int], missing: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -251,12 +254,14 @@ def trained(docs: DataFrame, net: Gru, number: dict[bytes, int], rate: float) ->
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, number = sent.value
         own = Gru(start.words, {k: v.copy() for k, v in start.p.items()})
-        adam, n = Adam(own.p, rate), 0
+        adam, n, rest = Adam(own.p, rate), 0, np.zeros(0, np.int32)
         for batch in gathered(batches, 4000, 8 << 20):
             of_word, codes, offsets, _ = numbered(pc.fill_null(batch.column(0), ""), number)
             found = with_ends(of_word[codes], offsets)
-            trained_on(own, found, adam)
+            rest = trained_on(own, np.concatenate((rest, found)), adam)
             n += len(found)
+        while len(rest) > 1:
+            rest = trained_on(own, rest, adam)
         if n:
             sums = np.concatenate([(own.p[k] - start.p[k]).ravel() for k in names]) * np.float32(n)
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
@@ -381,7 +386,8 @@ def learn(docs: DataFrame, counts: DataFrame) -> Model:
     net, part = Gru.start(known), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(sum(ROUNDS)))
     upto = 0
     for i, share in enumerate(ROUNDS):
-        net = trained(docs.where((part >= upto) & (part < upto + share)), net, number, RATE / (1 + i))
+        copies = max(1, round(total * share / sum(ROUNDS) / COPY_TOKENS))
+        net = trained(docs.where((part >= upto) & (part < upto + share)).coalesce(copies), net, number, RATE / (1 + i))
         upto += share
     return Model(net, number, head, total, distinct, max(spare, 1e-12))
 

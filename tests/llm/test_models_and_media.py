@@ -380,3 +380,23 @@ def test_toxicity_sample_is_bounded_with_a_hot_id(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda sure, rest, numbers, prior: seen.append((len(sure), len(rest))))
     toxicity.train(docs, labels)
     assert seen == [(5, 9)]
+
+
+def test_language_model_learns_alike_from_few_and_many_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gains = []
+    for n in (1, 40):
+        rows = gru.score(docs.repartition(n, "doc_id")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+        gains.append(rows["sum(score)"] - rows["sum(base_score)"])
+    assert min(gains) > 8000 and max(gains) < 1.25 * min(gains)  # the order of texts differs; copies of 40 parts would have gained under 1,000
+
+
+def test_training_leaves_no_more_than_a_token():
+    net = gru.Gru.start(np.array([5.0, 1, 3, 2]))
+    for n in (0, 1, 2, 3, 65, 1000):
+        rest, seen = np.arange(n, dtype=np.int32) % 4, 0
+        while len(rest) > 1:
+            left = gru.trained_on(net, rest, gru.Adam(net.p, 0.01))
+            assert len(left) < len(rest)
+            rest = left
+        assert len(rest) <= 1
