@@ -3,9 +3,9 @@
 Sketch. A text's word grams are labelled with their occurrence number; each seeded hash takes the two
 smallest labelled grams and keeps them in text order. Two texts agree on a sketch with about the square of
 their gram similarity, and only if the order agrees too, which is what edit similarity asks for. Grams of
-five words in 2 sketches find texts that share most of them; but 16 edits spread over 100 words leave few
-of these, so 38 sketches hold grams of three words. Of pairs at the threshold, 20 edits in 100 words,
-at least nine in ten meet, however the edits are spread (0.9 where they are spread evenly).
+five words in 8 sketches find texts that share most of them; but 16 edits spread over 100 words leave few
+of these, so 40 sketches hold grams of three words. Of pairs at the threshold, 20 edits in 100 words,
+at least nine in ten meet, however the edits are spread (0.93 where they are spread evenly).
 
 Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. A bucket's centre is
 its smallest member; each node is compared with the centre that it shares most buckets with, and the links
@@ -44,7 +44,7 @@ from semindex.llm.spellings import word_hashes
 from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
 
 #: Words of a gram and number of sketches, for each kind; grams of a sketch; least similarity.
-KINDS, SIZE, SIMILAR = ((5, 2), (3, 38)), 2, 0.8
+KINDS, SIZE, SIMILAR = ((5, 8), (3, 40)), 2, 0.8
 GRAM, SKETCHES = KINDS[0][0], sum(n for _, n in KINDS)
 NULL_ID = -(2**63)
 #: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to.
@@ -423,10 +423,12 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class one row, that of the smallest doc_id (nulls last), then of the least digest; of rows
-    that repeat id and text any, as they only differ in other columns. Rows stay or go by their text, not by id alone."""
+    that repeat id and text the one whose other columns are the least as JSON. Rows stay or go by their text, not by id alone."""
     order = F.struct((F.col("_id") == NULL_ID).alias("last"), "_id", "digest", "mark")
     kept = near_duplicates(docs.select("doc_id", "text")).groupBy("class").agg(F.min(order).alias("k")).select(F.col("k._id").alias("id"), F.col("k.mark").alias("mark"))
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), *(F.expr(x.rsplit(" AS ", 1)[0]).alias(name) for x, name in zip(IDS, ("id", "mark"), strict=True)))
-    first = rows.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row"))
+    others = [F.col("row")[c].alias(c) for c in names if c != "text"]
+    least = F.min_by("row", F.to_json(F.struct(*others))) if others else F.first("row")
+    first = rows.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(least.alias("row"))
     return first.select(*(F.col("row")[c].alias(c) for c in names))
