@@ -56,7 +56,7 @@ BLOCK = 1 << 11
 SEEDS = scrambled(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = scrambled(SEEDS) | np.uint64(1)
 MOST = np.uint64(2**64 - 1)
-SKETCH = "_id long, mark binary, digest binary, n int, bins binary, keys array<long>"
+SKETCH = "_id long, mark binary, digest binary, n int, keys array<long>"
 
 
 def least_grams(grams: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -101,20 +101,30 @@ def sketched(docs: DataFrame) -> DataFrame:
         powers = Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, sizes, bins, keys = [], [], [], []
+                digests, sizes, keys = [], [], []
                 for hashes in word_hashes(batch.column(2)):
                     sizes.append(len(hashes))
-                    bins.append(np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     keys.append(sketches(hashes, powers))
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64))
-                arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["_id", "mark", "digest", "n", "bins", "keys"])
+                arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["_id", "mark", "digest", "n", "keys"])
 
     return map_batches(docs.selectExpr(*IDS, "text"), run, SKETCH)
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(node, bins): counts of a text's words in BINS bins, each up to 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for hashes in word_hashes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], ["node", "bins"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, bins binary")
+
+
 def edits(a: list, b: list, most: int) -> int | None:
     """Word-level edit distance, or None if it is over ``most``."""
     n, m = len(a), len(b)
@@ -337,7 +347,7 @@ def open_pairs(held: DataFrame, best: bool) -> DataFrame:
 
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, bins, keys) that share a bucket."""
+    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, keys) that share a bucket."""
     members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
     # A node has one id and mark, so its text stays where the join has brought it.
@@ -349,7 +359,8 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     # Slim rows tell which buckets have more than one class; only their members get counts and keys.
     open_ = mixed(members.select("key", "node").join(named, "node"))
-    held = saved(open_.join(nodes.select("node", "n", "bins", "keys"), "node"), "open")
+    # Counts are made from the texts where they are needed, so no row of any other text carries them.
+    held = saved(open_.join(nodes.select("node", "n", "keys"), "node").join(counted(texts), "node"), "open")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
         pairs = open_pairs(held, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = saved(verified(pairs, texts), "more")
@@ -405,8 +416,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of its class, and ``class_id`` (never null), its smallest id: of those that no other class has, or else of all; NULL_ID comes last."""
     rows = saved(sketched(docs), "sketches")
     least = F.min(F.struct("_id", "mark")).alias("least")
-    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("keys").alias("keys"))
-    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "bins", "keys"), "nodes")
+    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "keys"), "nodes")
     named = nodes.join(classes(docs, nodes), "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
     rows = saved(rows.select("_id", "mark", "digest").join(named, "digest"), "classes")
     known = rows.where(F.col("_id") != NULL_ID)
