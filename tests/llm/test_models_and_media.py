@@ -370,6 +370,25 @@ def test_pieces_of_texts_are_exact():
     assert io.BytesIO
 
 
+def test_toxicity_query_learns_nothing_from_held_out_rows(spark, tmp_path):
+    """Repeated ids and null ones; other labels and texts in the held-out fold leave the scores of all other rows as they are."""
+    rows, labels = toxic_rows()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    rows += [(i, t + " once more") for i, t in rows[:40]] + [(None, "venom of no id"), (None, None)]
+    labels += labels[:40]
+    changed = [(i, "other venom altogether" if held(i) else t) for i, t in rows], [(i, 1 - y if held(i) else y) for i, y in labels]
+    got = []
+    for n, (docs, marks) in enumerate(((rows, labels), changed)):
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/{n}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, toxic int").coalesce(1).write.parquet(f"file://{tmp_path}/{n}/labels.parquet")
+        got.append(toxicity.op7_pu_toxicity(spark, f"file://{tmp_path}/{n}").collect())
+    for found in got:
+        assert sorted((r.doc_id or -1, r.held_out) for r in found) == sorted((i or -1, held(i)) for i, _ in rows)
+        assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in found)
+    same = lambda found: sorted((r.doc_id, r.score, r.predicted) for r in found if not r.held_out)
+    assert same(got[0]) == same(got[1]) and {r.predicted for r in got[0]} == {0, 1}
+
+
 def test_toxicity_sample_is_bounded_with_a_hot_id(spark, monkeypatch):
     rows = [(7, f"hot text {i}") for i in range(1500)] + [(i, f"text {i} plain words") for i in range(100, 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -78,6 +78,74 @@ def test_bands_follow_the_corpus(spark):
     assert lost <= 15 and caught >= 50 and got[0].kept and {r.reason for r in got.values()} > {None, "repetitive"}
 
 
+def plain_verdicts(texts):
+    """(kept, bad chunks) of each text: ratios of all texts in lists, limits from sorted lists, then one text after the other."""
+    import math
+    from statistics import median
+
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    raws = [(t or "").encode() for t in texts]
+    ratio = lambda raw: len(raw) / len(pack.compress(raw)) if raw else 1.0
+    chunks = lambda raw: [raw[min(i, max(0, len(raw) - 1024)) :][:1024] for i in range(0, len(raw), 1024)]
+    of_length = lambda raw: int(4 * math.log2(len(raw)))
+    default = lambda n: next(x[1:] for x in quality.Bands().whole if n < x[0])
+    binned = lambda raw: (min(2000, int(100 * ratio(raw))) + 0.5) / 100
+
+    def quartiles(values):
+        values = sorted(values)
+        return [values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.5, 0.75)]
+
+    def limits(middle, spread, below, above, n, other):
+        spread = max(spread, 0.02 * middle)
+        own = middle - below * spread, middle + above * spread
+        return [(n * x + 8 * y) / (n + 8) for x, y in zip(own, other, strict=True)]
+
+    long_enough = [raw for raw in raws if len(raw.split()) >= 50]
+    ratios = {}
+    for raw in long_enough:
+        ratios.setdefault(of_length(raw), []).append(binned(raw))
+    bands = {}
+    for c, values in ratios.items():
+        middles, spreads = [], []
+        for d in (-2, -1, 0, 1, 2):
+            if c + d in ratios and c - d in ratios:
+                low, middle, high = quartiles(ratios[c + d])
+                middles += [middle] * min(8, len(ratios[c + d]))
+                spreads += [high - low] * min(8, len(ratios[c + d]))
+        bands[c] = limits(median(middles), median(spreads), 4.0, 3.0, len(values), default(math.ceil(2 ** (c / 4))))
+    chunk_band, of_chunks = (1.35, 2.8), [binned(x) for raw in long_enough if len(raw) >= 1024 for x in chunks(raw)]
+    if of_chunks:
+        low, middle, high = quartiles(of_chunks)
+        chunk_band = limits(middle, high - low, 3.5, 2.5, len(of_chunks), chunk_band)
+    out = []
+    for raw in raws:
+        low, high = (raw and bands.get(of_length(raw))) or default(len(raw))
+        least, most = chunk_band if len(raw) >= 1024 else (low, high)
+        bad = sum(not least <= ratio(x) <= most for x in chunks(raw))
+        out.append((low <= ratio(raw) <= high and bad <= 0.25 * len(chunks(raw)), bad))
+    return out
+
+
+def test_verdicts_equal_plain_ones(spark, sf_dir, odd_docs):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(31)
+    clean = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 900))) for _ in range(60)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n)) for n in range(600, 6000, 300)]
+    mixed = [a + " " + "again and again the same, " * (n * 9) + b for n, (a, b) in enumerate(zip(clean[:18], noise, strict=True))]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(clean + noise + mixed)], "doc_id long, text string")
+    verdicts = set()
+    for docs in (given, given.unionByName(made), odd_docs.select("doc_id", "text")):
+        texts = [r.text for r in docs.select("text").collect()]
+        plain = dict(zip(texts, plain_verdicts(texts), strict=True))
+        got = quality.quality_rules(docs).collect()
+        want = Counter((r.doc_id, not r.base_failed and plain[t][0], plain[t][1]) for r, t in zip(got, texts, strict=True))
+        assert Counter((r.doc_id, r.kept, r.bad_chunks) for r in got) == want
+        verdicts |= {r.kept for r in got if not r.base_failed}
+    assert verdicts == {True, False}
+
+
 def test_kept_rows_stay_as_they_are(spark, odd_docs):
     kept = quality.kept_only(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and set(kept.collect()) <= set(odd_docs.collect())
