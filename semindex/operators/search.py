@@ -19,8 +19,8 @@ from semindex.functions import constants as K
 from semindex.operators.filters import complete_payload
 from semindex.sources.shared import saved
 
-#: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; of blocks that a worker keeps.
-QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, CACHE_BYTES = 2048, 8 << 20, 32 << 20, 256 << 20
+#: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; of blocks that a worker keeps; pairs scored at once.
+QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, CACHE_BYTES, TILE = 2048, 8 << 20, 32 << 20, 256 << 20, 1 << 20
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ class Block:
     matrix: np.ndarray
     norms: np.ndarray
     scopes: dict[tuple, list[int]]  # queries by what they look at: a collection or all, a path prefix or all
-    probes: list[list[int]] | None  # lists of points that each looks into
+    asks: np.ndarray | None  # queries x lists: whether each looks into a list of points
 
 
 #: Blocks that a worker keeps, by file, and their bytes.
@@ -69,7 +69,41 @@ def read_blocks(uri: str) -> Iterator[Block]:
         for i, (place, prefix) in enumerate(zip(rows["collection_id"], rows["prefix"], strict=True)):
             if norms[i] > 0:
                 scopes.setdefault((place, None if prefix is None else tuple(prefix)), []).append(i)
-        yield Block(np.array(rows["query_id"]), rows["k"], matrix, norms, scopes, rows.get("probes"))
+        asks = None
+        if "probes" in rows:
+            asks = np.zeros((len(matrix), 1 + max((max(x) for x in rows["probes"] if x), default=0)), bool)
+            for mine, x in zip(asks, rows["probes"], strict=True):
+                mine[x] = True
+        yield Block(np.array(rows["query_id"]), rows["k"], matrix, norms, scopes, asks)
+
+
+def tiles(rows: list[int], width: int) -> Iterator[list[int]]:
+    """Queries in groups that make TILE pairs with so many points, or one query at a time."""
+    step = max(1, TILE // max(width, 1))
+    return (rows[i : i + step] for i in range(0, len(rows), step))
+
+
+def best_of(scores: np.ndarray, at: np.ndarray, k: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of points ``at`` with ``scores`` the k best, as the ranking has them: of equal scores those of the least ids."""
+    if len(at) > k:
+        least = np.partition(scores, -k)[-k]
+        above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+        if len(equal) > k - len(above):
+            names = ids.take(pa.array(at[equal])).to_pylist()
+            equal = equal[sorted(range(len(equal)), key=names.__getitem__)[: k - len(above)]]
+        kept = np.concatenate([above, equal])
+        scores, at = scores[kept], at[kept]
+    return scores, at
+
+
+def best_rows(rows: np.ndarray, at: np.ndarray, scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Places of each query's best, ties at the border included."""
+    order = np.lexsort((-scores, rows))
+    own, ordered = rows[order], scores[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    last = np.minimum(first + limits[own[first]], np.append(first[1:], len(own))) - 1
+    counts = np.diff(np.append(first, len(own)))
+    return order[ordered >= np.repeat(ordered[last], counts)]
 
 
 def query_blocks(queries: DataFrame, k: int) -> DataFrame:
@@ -85,7 +119,7 @@ def query_blocks(queries: DataFrame, k: int) -> DataFrame:
 
 
 def scored(points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
-    """(query_id, k, point_id, score): of each CHUNK_BYTES of points the best of each query, ties at the border included.
+    """(query_id, k, point_id, score): of each CHUNK_BYTES of points the best of each query. A task holds the scores of TILE pairs at once.
 
     ``asked`` is a table as of query_blocks(); tasks read its files one after the other, so neither the driver nor a plan holds
     queries. A query meets the points of its own dimension, whatever others there are (left_out() counts those that
@@ -94,21 +128,21 @@ def scored(points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
     files, by_list = asked.inputFiles(), "list_id" in points.columns
     slim = points.select("collection_id", "point_id", C.path_segments("file_path").alias("segments"), F.col("vector").cast("array<double>").alias("vector"), *(["list_id"] if by_list else []))
 
-    def best(b: Block, rows: list[int], at: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, out: tuple) -> None:
-        scores = np.round(b.matrix[rows] @ vectors[at].T / (b.norms[rows][:, None] * lengths[at]), 6)
-        for row, line in zip(rows, scores, strict=True):
-            good = np.flatnonzero(line >= min_score)
-            if len(good) > b.limits[row]:
-                least = np.partition(line[good], -b.limits[row])[-b.limits[row]]
-                good = good[line[good] >= least]
-            out[0].append(np.full(len(good), row))
-            out[1].append(at[good])
-            out[2].append(line[good])
+    def best(b: Block, rows: list[int], at: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, ids: pa.Array, out: tuple) -> None:
+        held, long = (vectors, lengths) if len(at) == len(vectors) else (vectors[at], lengths[at])
+        for some in tiles(rows, len(at)):
+            scores = np.round(b.matrix[some] @ held.T / (b.norms[some][:, None] * long), 6)
+            for row, line in zip(some, scores, strict=True):
+                good = np.flatnonzero(line >= min_score)
+                score, good = best_of(line[good], at[good], b.limits[row], ids)
+                out[0].append(np.full(len(good), row))
+                out[1].append(good)
+                out[2].append(score)
 
     def met(part: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
         vectors = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
         lengths = np.sqrt((vectors * vectors).sum(1))
-        places, paths = np.array(part.column(0).to_pylist(), object), None
+        ids, places, paths = part.column(1), np.array(part.column(0).to_pylist(), object), None
         own = part.column(4).to_numpy() if by_list else None
         for b in blocks(files):
             if b.matrix.shape[1] != dim:
@@ -123,19 +157,17 @@ def scored(points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
                     there &= np.array([tuple(s[: len(prefix)]) == prefix for s in paths])
                 at = np.flatnonzero(there)
                 if own is None:
-                    best(b, rows, at, vectors, lengths, out)
+                    best(b, rows, at, vectors, lengths, ids, out)
                     continue
-                probing: dict[int, list[int]] = {}
-                for row in rows:
-                    for x in b.probes[row]:
-                        probing.setdefault(x, []).append(row)
                 for x in np.unique(own[at]).tolist():
-                    if x in probing:
-                        best(b, probing[x], at[own[at] == x], vectors, lengths, out)
+                    if x < b.asks.shape[1] and (asking := [row for row in rows if b.asks[row, x]]):
+                        best(b, asking, at[own[at] == x], vectors, lengths, ids, out)
             if out[0]:
                 row, at, score = (np.concatenate(x) for x in out)
                 limits = np.array(b.limits, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(limits[row]), part.column(1).take(pa.array(at)), pa.array(score)], ["query_id", "k", "point_id", "score"])
+                if by_list and len(row):  # the best of each list make the best of all
+                    row, at, score = (x[kept] for kept in [best_rows(row, at, score, limits)] for x in (row, at, score))
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(limits[row]), ids.take(pa.array(at)), pa.array(score)], ["query_id", "k", "point_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):

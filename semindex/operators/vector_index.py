@@ -6,8 +6,8 @@ point, a code of one byte for each CODE_DIMS dimensions of its difference from t
 
 * exact(): the first lists of a query give it a k-th best score; of all others only those are read whose best possible score,
   the cosine of the angle to the centroid less the radius, reaches it. The result is that of the full scan.
-* approximate(): codes of the nearest lists are scored from tables of products of the query with all code words; what
-  may be among the best k, given how far codes are off, is scored again by its vector. How many lists, and how much is allowed
+* approximate(): in the nearest lists, what codes stand for is scored; the best k of these are scored by their vectors, and so is
+  what may reach the k-th of them, given how far codes are off. All of it happens in the task that reads a list. How many lists, and how much is allowed
   for codes, is measured on the sample for the wanted recall, so vectors without groups cost more instead of being missed.
 
 Centroids and code words are fitted on SAMPLE points at most; every point is in the index. Vectors of no length, or of another
@@ -155,68 +155,74 @@ class VectorIndex:
 
     def approximate(self, queries: DataFrame, k: int = K.TOP_K, min_score: float = K.MIN_SCORE) -> Found:
         asked = saved(self.probing(queries, self.probes), "asked")
-        spark = asked.sparkSession
-        lists = [r[0] for r in asked.select(F.explode("probes")).distinct().collect()]
-        blocks = S.query_blocks(asked, k)
-        maybe = self.survivors(self.points(spark, lists), blocks, min_score)
-        order = F.row_number().over(S.Window.partitionBy("query_id").orderBy(F.desc("low"), "point_id"))
-        kth = maybe.withColumn("_no", order).where(F.col("_no") == F.col("k")).select("query_id", F.col("low").alias("_kth"))
-        left = saved(maybe.join(kth, "query_id", "left").where(F.col("_kth").isNull() | (F.col("high") >= F.col("_kth") - MARGIN)).select("query_id", "k", "point_id", "list_id"), "survivors")
-        vectors = self.points(spark, lists).select("list_id", "point_id", "vector")
-        pair = left.join(vectors, ["list_id", "point_id"]).join(asked.select(F.col("query_id").cast("long"), F.col("vector").alias("_q")), "query_id")
-        norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
-        dot = F.aggregate(F.zip_with("vector", F.col("_q"), lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        unit = F.aggregate(F.transform("_q", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)
-        hits = pair.select("query_id", "k", "point_id", F.round(dot / (norm("vector") * F.sqrt(unit)), 6).alias("score")).where(F.col("score") >= min_score)
-        return Found(S.ranked(hits), left.count(), asked.count() * self.n_points)
-
-    def survivors(self, points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
-        """(query_id, k, point_id, list_id, low, high): of each chunk of codes, what may be among a query's best k, with bounds of its score."""
+        lists = [r[0] for r in asked.select(F.explode("probes")).distinct().collect()]  # MOST_LISTS at most
+        found = saved(self.near(self.points(asked.sparkSession, lists), S.query_blocks(asked, k), min_score), "near")
+        compared = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return Found(S.ranked(found.where("query_id IS NOT NULL").drop("n")), compared, asked.count() * self.n_points)
+
+    def near(self, points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
+        """(query_id, k, point_id, score, n): of each chunk of points the best of each query; rows without a query say how many vectors were looked at.
+
+        The k best by codes are scored by their vectors, which gives a query a k-th best score, kept from chunk to chunk; what
+        its code says may reach it is scored too, and nothing else.
+        """
         files, centroids, books, allowed = asked.inputFiles(), self.centroids, self.books, self.allowed
-        slim = points.select("collection_id", "point_id", S.C.path_segments("file_path").alias("segments"), "list_id", "code", "off")
+        slim = points.select("collection_id", "point_id", S.C.path_segments("file_path").alias("segments"), "list_id", "code", "off", "vector")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floors: dict[int, np.ndarray] = {}  # of each block, the k-th best scores of its queries so far
             for part in S.chunks(batches):
-                own = part.column(3).to_numpy()
+                part = part.take(pa.array(np.argsort(part.column(3).to_numpy(), kind="stable")))
+                own, ids = part.column(3).to_numpy(), part.column(1)
                 codes = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                off, places, paths = part.column(5).to_numpy(), np.array(part.column(0).to_pylist(), object), None
-                for b in S.blocks(files):
+                meant = books[np.arange(len(books)), codes].reshape(part.num_rows, -1)[:, : centroids.shape[1]] + centroids[own]  # what codes stand for
+                slack, places, paths = allowed * part.column(5).to_numpy() + MARGIN, np.array(part.column(0).to_pylist(), object), None
+                vectors = part.column(6).flatten().to_numpy().reshape(part.num_rows, -1)
+                lengths = np.sqrt((vectors * vectors).sum(1))
+                for no, b in enumerate(S.blocks(files)):
                     if b.matrix.shape[1] != centroids.shape[1]:
                         continue
+                    kth = floors.setdefault(no, np.full(len(b.matrix), float(min_score)))
                     unit = b.matrix / np.where(b.norms > 0, b.norms, 1)[:, None]
                     out: list[tuple] = []
+                    looked = 0
                     for (place, prefix), rows in b.scopes.items():
-                        there = np.ones(part.num_rows, bool) if place is None else places == place
+                        there = own < b.asks.shape[1]
+                        if place is not None:
+                            there &= places == place
                         if prefix is not None:
                             paths = part.column(2).to_pylist() if paths is None else paths
                             there &= np.array([tuple(s[: len(prefix)]) == prefix for s in paths])
                         at = np.flatnonzero(there)
-                        probing: dict[int, list[int]] = {}
-                        for row in rows:
-                            for x in b.probes[row]:
-                                probing.setdefault(x, []).append(row)
-                        for x in np.unique(own[at]).tolist():
-                            if x not in probing:
-                                continue
-                            mine, asking = at[own[at] == x], probing[x]
-                            scores = code_scores(unit[asking], codes[mine], books) + (unit[asking] @ centroids[x])[:, None]
-                            slack = allowed * off[mine]
-                            for row, line in zip(asking, scores, strict=True):
-                                low, high = line - slack, line + slack
-                                good = np.flatnonzero(high >= min_score)
-                                if len(good) > b.limits[row]:
-                                    kth = np.partition(low[good], -b.limits[row])[-b.limits[row]]
-                                    good = good[high[good] >= kth]
-                                out.append((np.full(len(good), row), mine[good], low[good], high[good]))
+                        for some in S.tiles(rows, len(at)):
+                            asks = b.asks[some]
+                            mine = at[asks.any(0)[own[at]]]  # in lists that any of these looks into
+                            lines = unit[some] @ meant[mine].T
+                            lines[~asks[:, own[mine]]] = -np.inf
+                            for row, line in zip(some, lines, strict=True):
+                                score = lambda x, row=row: np.round(vectors[x] @ b.matrix[row] / (lengths[x] * b.norms[row]), 6)
+                                high = line + slack[mine]
+                                maybe, limit = np.flatnonzero(high >= kth[row]), b.limits[row]
+                                if len(maybe) > limit:
+                                    first = maybe[np.argpartition(line[maybe], -limit)[-limit:]]
+                                    kth[row] = max(kth[row], score(mine[first]).min())
+                                    maybe = maybe[high[maybe] >= kth[row]]
+                                looked += len(maybe)
+                                scores = score(mine[maybe])
+                                good = scores >= min_score
+                                scores, found = S.best_of(scores[good], mine[maybe[good]], limit, ids)
+                                out.append((np.full(len(found), row), found, scores))
+                                if len(found) == limit:
+                                    kth[row] = max(kth[row], scores.min())
                     if out:
-                        row, at, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-                        limits = np.array(b.limits, np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(b.ids[row]), pa.array(limits[row]), part.column(1).take(pa.array(at)), pa.array(own[at].astype(np.int32)), pa.array(low), pa.array(high)],
-                            ["query_id", "k", "point_id", "list_id", "low", "high"],
-                        )
-
-        return slim.mapInArrow(run, "query_id long, k int, point_id string, list_id int, low double, high double")
+                        row, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+                        limits, n = np.array(b.limits, np.int32), len(row)
+                        told = [(b.ids[row], pa.int64()), (limits[row], pa.int32()), (ids.take(pa.array(found)), None), (scores, pa.float64())]
+                        yield pa.RecordBatch.from_arrays([*(x if t is None else pa.array(x, t) for x, t in told), pa.nulls(n, pa.int64())], names)
+                        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.string(), pa.float64())), pa.array([looked], pa.int64())], names)
+
+        names = ["query_id", "k", "point_id", "score", "n"]
+        return slim.mapInArrow(run, "query_id long, k int, point_id string, score double, n long")
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,3 +413,30 @@ def test_a_run_over_a_folder_opens_what_its_listing_says(spark, tmp_path):
     others[0].write_bytes(b"other words " * (len(held[others[0]][0]) // 12) + b"x" * (len(held[others[0]][0]) % 12))
     os.utime(others[0], ns=(held[others[0]][1],) * 2)
     assert go("r4") is None and go("r5", full=True).first().processed_files == 1 and same()
+
+
+def test_vectors_without_groups_send_few_hits(spark, tmp_path):
+    """Of such vectors codes exclude few, but a task hands on a query's best alone, and nine in ten are found."""
+    rng = np.random.default_rng(4)
+    rows = [("c", f"p{i}", "", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    points = spark.createDataFrame(rows, "collection_id string, point_id string, file_path string, vector array<float>")
+    asked = spark.createDataFrame([(i, None, None, 10, rows[i * 20][3]) for i in range(100)], "query_id long, collection_id string, path_prefix string, max_results int, vector array<float>")
+    index = vector_index.build(points, str(tmp_path / "i"))
+    near = index.approximate(asked, min_score=0.05)
+    key = lambda df: {(r.query_id, r.point_id) for r in df.collect()}
+    want = key(search.topk_search(points, asked, min_score=0.05))
+    assert len(want) == 1000 and len(key(near.hits) & want) >= 900 and near.compared < near.all_pairs
+    probing, stored = index.probing(asked, index.probes), index.points(spark)
+    sent = index.near(stored, search.query_blocks(probing, 10), 0.05).where("query_id IS NOT NULL").count()
+    assert 1000 <= sent <= 1000 * stored.rdd.getNumPartitions()
+
+
+def test_scores_at_once_are_bounded():
+    assert [len(t) for t in search.tiles(list(range(70)), search.TILE // 32)] == [32, 32, 6]
+    assert [len(t) for t in search.tiles([1, 2], 10 * search.TILE)] == [1, 1]
+
+
+def test_of_equal_scores_those_of_the_least_ids_are_kept():
+    ids = pa.array([f"p{i}" for i in range(12)])
+    scores, at = search.best_of(np.array([0.5] * 11 + [0.9]), np.arange(12), 3, ids)
+    assert [(s, ids[int(i)].as_py()) for s, i in zip(scores, at, strict=True)] == [(0.9, "p11"), (0.5, "p0"), (0.5, "p1")]
