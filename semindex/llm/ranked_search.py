@@ -1,10 +1,9 @@
 """Ranked lexical search: every item of a table against all documents, by integer scores over postings.
 
 One Python pass counts the terms of each whole document. Postings are its rows (term, document, share of the term), for
-terms that some item asks for, with a bucket of their term. They are dealt by (term bucket, document shard): buckets are
-few and a document has one shard, so a frequent term is spread over all shards, and a task adds up what an item's terms
-of its bucket give a document before anything is shuffled: at most TERM_BUCKETS rows for an item and a document. Item
-terms are joined by their number; Spark broadcasts them if the written table is small and shuffles them otherwise.
+terms that some item asks for. They are dealt by document, so a frequent term is spread over all shards, and a task adds up
+what all of an item's terms give a document and keeps each item's best before anything more is shuffled. Item terms are
+joined by their number; Spark broadcasts them if the written table is small and shuffles them otherwise.
 
 Integers are exact: a document's length norm goes through a decimal, so it holds for corpora of any size.
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from semindex.llm.common import map_batches, saved, table
 
-TOP, TERM_BUCKETS, SHARD_POSTINGS = 10, 4, 500_000
+TOP, SHARD_POSTINGS = 10, 500_000
 #: Of ASCII, digits and letters belong to terms.
 GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
 BLANKS = bytes.maketrans(GAPS, b" " * len(GAPS))
@@ -73,8 +72,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     wanted = saved(pairs(asking, "_row").join(asked, "term").join(df, "term_no").select(F.col("_row").alias("_item"), "term_no", weight.alias("w")).where("w > 0"), "wanted")
     n_postings = df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     shards = max(1, -(-n_postings // SHARD_POSTINGS))
-    postings = held.withColumns({"bucket": F.pmod(F.xxhash64("term_no"), F.lit(TERM_BUCKETS)), "shard": F.pmod(F.xxhash64("_row"), F.lit(shards))})
-    postings = postings.repartition(shards * TERM_BUCKETS, "bucket", "shard")
+    # A document's postings meet in one task, which so adds up its scores and ranks them: no sums are shuffled but each task's best.
+    postings = held.repartition(shards, "_row")
     score = postings.join(wanted, "term_no").groupBy("_item", "doc_id", "_row").agg(F.sum(F.col("w") * F.col("share")).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("_item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "_row"))
     best = score.withColumn("rank", rank).where(F.col("rank") <= top)

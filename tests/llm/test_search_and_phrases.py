@@ -164,3 +164,13 @@ def test_threshold_has_fewest_errors():
     assert 0.2 < preference.quantile(s, weight, q) < 0.3
     assert preference.quantile(s, weight, 0.0) == 0.1
     assert preference.repeated_share([b"a", b"b", b"a", b"b", b"a"], 2) == 0.5
+
+
+def test_sums_of_scores_are_not_shuffled(spark):
+    """A document's postings meet in one task: after they are dealt, only each task's best go on."""
+    docs = spark.createDataFrame([(i, f"alpha beta {i}") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha 7"), (2, "beta 3")], "item_id long, text string")
+    found = ranked_search.ranked_search(docs, items)
+    assert {(r.item_id, r.doc_id) for r in found.where("rank = 1").collect()} == {(1, 7), (2, 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "hashpartitioning(_item" in x and "doc_id" in x.split("hashpartitioning", 1)[1]]
