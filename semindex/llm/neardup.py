@@ -35,20 +35,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.llm.common import map_batches, saved, table, words_of
+from semindex.llm.common import map_batches, saved, shared_folder, table, words_of
 from semindex.llm.spellings import word_hashes
 from semindex.llm.substring import Powers, Text, WordHashes, scrambled, signed
+from semindex.sources.corpus import file_system
 
 #: Words of a gram and number of sketches, for each kind; grams of a sketch; least similarity.
 KINDS, SIZE, SIMILAR = ((5, 8), (3, 40)), 2, 0.8
 GRAM, SKETCHES = KINDS[0][0], sum(n for _, n in KINDS)
 NULL_ID = -(2**63)
-#: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to.
-SLICE, BINS, COARSE = 1024, 2048, 128
+#: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to; tasks
+#: that pairs of slices are dealt to, at most.
+SLICE, BINS, COARSE, MOST_TASKS = 1024, 2048, 128, 4096
 #: What names a row's text: its id, never null, and a digest of the text as it is.
 IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex(md5(cast(coalesce(text, '') AS binary))) AS mark"]
 #: Grams that are hashed at once.
@@ -310,40 +314,72 @@ def mixed(members: DataFrame) -> DataFrame:
 def open_pairs(held: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
 
-    Each pair comes once. Buckets are dealt into slices of about SLICE members and every two slices meet in one group of rows, so
-    a bucket of any size is compared whole, by many tasks.
+    Each pair comes once. A bucket of up to SLICE members is a group of rows. A larger one is written in slices of about SLICE members,
+    each row once, and every two slices are a row of three numbers: the task that gets it reads both. So a bucket of any size
+    is compared whole, by many tasks, and no member is copied for it.
     """
-    slices = F.ceil(F.col("size") / SLICE).cast("int")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), slices).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-    group = ["key", "low", "high"]
-    held = held.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "class", "n", "bins", "keys")
-
-    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        node, code, n, own = (rows.column(c).to_numpy() for c in ("node", "class", "n", "own"))
+    shape = "a long, b long"
+    few, many = held.where(F.col("size") <= SLICE), held.where(F.col("size") > SLICE)
+
+    def found(rows: pa.Table, key: int, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
+        node, code, n = (rows.column(c).to_numpy() for c in ("node", "class", "n"))
         bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
         keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        i, j = within_bounds(rows.column("key")[0].as_py(), keys, code, n.astype(np.int64), bins, np.flatnonzero(own == low), None if low == high else np.flatnonzero(own == high), best)
+        i, j = within_bounds(key, keys, code, n.astype(np.int64), bins, np.flatnonzero(own == low), None if low == high else np.flatnonzero(own == high), best)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(rows)
+            return found(whole, last, np.zeros(len(whole), np.int64), 0, 0)
+
         last, rows = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c).to_numpy() for c in group]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            keys = batch.column("key").to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                if (now := tuple(k[a] for k in keys)) != last and rows:
-                    yield found(rows)
+                if (now := int(keys[a])) != last and rows:
+                    yield out()
                     rows = []
                 last = now
                 rows.append(batch.slice(a, b - a))
         if rows:
-            yield found(rows)
-
-    return map_batches(held.repartition(*group).sortWithinPartitions(*group), run, "a long, b long")
+            yield out()
+
+    columns = ["key", "node", "class", "n", "bins", "keys"]
+    pairs = map_batches(few.select(*columns).repartition("key").sortWithinPartitions("key"), grouped, shape)
+    sizes = many.groupBy("key").agg(F.ceil(F.first("size") / SLICE).cast("int").alias("slices"))
+    each = saved(sizes.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("high", F.explode(F.sequence(F.col("low"), F.col("slices") - 1))).select("key", "low", "high"), "slice-pairs")
+    if not (n_pairs := each.count()):
+        return pairs
+    root = shared_folder(held.sparkSession, "slices")
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SLICE)).cast("int")
+    sliced = many.select(*columns[1:], own.alias("own"), F.col("key").alias("bucket"))
+    sliced.repartition("bucket", "own").sortWithinPartitions("bucket", "own").write.partitionBy("bucket", "own").option("compression", "zstd").parquet(root)
+
+    def sliced_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = file_system(root)
+
+        def part(key: int, own: int) -> pa.Table | None:
+            listed = fs.get_file_info(pafs.FileSelector(f"{folder}/bucket={key}/own={own}", allow_not_found=True))
+            names = [f.path for f in listed if f.base_name.endswith(".parquet") and f.base_name[0] not in "._"]
+            return pa.concat_tables([pq.ParquetFile(fs.open_input_file(name)).read() for name in names]) if names else None
+
+        at, first = None, None
+        for batch in batches:
+            for key, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, low) != at:
+                    at, first = (key, low), part(key, low)
+                second = None if low == high else part(key, high)
+                if first is None or low != high and second is None:
+                    continue
+                rows = first if second is None else pa.concat_tables([first, second])
+                yield found(rows, key, np.repeat([low, high], [len(first), len(rows) - len(first)]), low, high)
+
+    # So small rows would be put into one task, but each is the work of a slice by a slice.
+    return pairs.unionByName(map_batches(each.repartition(min(n_pairs, MOST_TASKS), "key", "low", "high"), sliced_pairs, shape))
 
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:

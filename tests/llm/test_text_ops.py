@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -326,6 +327,18 @@ def test_large_graded_group_equals_brute_force(spark, monkeypatch):
     assert classes_of(spark, rows) == brute_classes(rows)
 
 
+def test_members_of_large_buckets_are_not_copied(spark, monkeypatch):
+    """120 unlike texts of one bucket and 7 of another: every pair is looked at, and no row with counts of words comes out of a Generate."""
+    monkeypatch.setattr(neardup, "SLICE", 10)
+    monkeypatch.setattr(neardup, "within_bounds", lambda key, keys, code, n, bins, left, right, best: tuple(np.array(x, np.int64) for x in zip(*([(i, j) for i in left for j in left if i < j] if right is None else [(i, j) for i in left for j in right]), strict=True)) or (np.zeros(0, np.int64),) * 2)
+    rows = [(-7, i, i, 50, bytearray(neardup.BINS), [5] * neardup.SKETCHES, 120) for i in range(120)] + [(3, i, i, 50, bytearray(neardup.BINS), [5] * neardup.SKETCHES, 7) for i in range(200, 207)]
+    held = spark.createDataFrame(rows, "key long, node long, class long, n int, bins binary, keys array<long>, size long")
+    pairs = neardup.open_pairs(held, False)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(120) for a in range(b)} | {(a, b) for b in range(200, 207) for a in range(200, b)}
+    assert not re.search(r"Generate[^\n]*bins", pairs._jdf.queryExecution().executedPlan().toString())
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     left = neardup.one_of_each(spark, odd_docs, "")
     assert left.columns == odd_docs.columns
