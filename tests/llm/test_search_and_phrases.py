@@ -157,6 +157,20 @@ def test_ranker_samples_one_row_of_a_hot_id(spark, monkeypatch):
     assert seen[0][0] <= 16 and seen[0][1] <= 8
 
 
+def test_ranker_learns_from_every_label(spark, monkeypatch):
+    """All labelled rows outside the fold are counted and fitted, in groups; a row of the rarer label may be in several."""
+    docs = spark.createDataFrame([(i, f"plain words, number {i}." if i % 3 else f"#|{i}| {i} {i} <{i}>") for i in range(9000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS quality")
+    monkeypatch.setattr(preference, "GROUP", 2000)
+    seen = {}
+    plain = preference.fitted
+    monkeypatch.setattr(preference, "fitted", lambda rows, n, *more: seen.update(n) or plain(rows, n, *more))
+    model = preference.train(docs, labels)
+    taught = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen == {False: sum(i % 3 == 0 for i in taught), True: sum(i % 3 > 0 for i in taught)} and sum(seen.values()) > 6000
+    assert all((r.score >= preference.KEEP) == (r.doc_id % 3 > 0) for r in preference.score(docs, model).collect())
+
+
 def test_threshold_has_fewest_errors():
     s, good = np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([False, False, True, True, True])
     weight = np.ones(5)
