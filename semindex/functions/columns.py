@@ -9,6 +9,7 @@ from semindex.functions import constants as K
 
 #: White space as JavaScript has it, for a Java regular expression.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col(c: Column | str) -> Column:
@@ -17,7 +18,7 @@ def col(c: Column | str) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """Without white space, Unicode's included, at both ends."""
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))  # looks at the ends alone; a regular expression tries every character
 
 
 def slashed(c: Column | str) -> Column:

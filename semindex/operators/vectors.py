@@ -119,7 +119,8 @@ def embed_once(
             break
         except Conflict:  # another run has added vectors of this model: ours go beside them
             state = store.state()
-    for name in [x[len(store.root) + 1 :] for x in left] + [name for name, _ in store.files.below(own[len(store.root) + 1 :])]:
+    for name in [x[len(store.root) + 1 :] for x in left]:
         store.files.delete(name)
+    store.files.delete_folder(own[len(store.root) + 1 :])  # a file for each batch: too many to delete one by one
     vectors = store.read("vectors", [model]).select(F.col("digest").alias("_digest"), "vector")
     return Embedded(rows.join(vectors, "_digest", "left").drop("_digest", "_text"), made.count(), made.where("error IS NOT NULL").select("digest", "error"))

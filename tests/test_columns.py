@@ -79,3 +79,11 @@ def test_manifest_json(spark, tmp_path):
     corpus.save_version(manifest.limit(1), folder)
     corpus.save_version(manifest, folder)
     assert corpus.load_version(spark, folder).count() == 2
+
+
+def test_trimmed_is_as_the_class_of_white_space_has_it(spark):
+    texts = ["", " ", "\u3000a b\u2003\n", "\ufeff\t x\u00a0y \x0b\x0c\r", "\u200bz\u200b", "\u1680\u2028\u2029\u202f\u205f", "é\x85", "\x1c q"] + [chr(c) + "m" + chr(c) for c in range(0x2000, 0x2010)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    rows = df.select(C.trimmed("t").alias("got"), F.regexp_replace("t", rf"^{C.SPACE}+|{C.SPACE}+\z", "").alias("want"))
+    assert all(r.got == r.want for r in rows.collect())
+    assert "regexp" not in rows.select("got")._jdf.queryExecution().optimizedPlan().toString()

@@ -129,3 +129,12 @@ def test_runs_share_vectors(spark, tmp_path):
     points = store.read("points").groupBy("collection_id").count().collect()
     assert {(r.collection_id, r["count"]) for r in points} == {("ws-1", 6), ("ws-2", 6)} and len({t for t in sent(calls) if t}) <= 12
     assert sum(1 for n in os.listdir(calls)) >= 1 and store.read("vectors").count() == 6
+
+
+def test_files_of_vectors_hold_thousands_of_rows(spark, tmp_path):
+    """A bucket of the vectors' table is a file: 2,000 texts make one, not eight; and the run's spool is gone as a whole."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    done = vectors.embed_once(table(spark, [f"text {i}" for i in range(2000)]), "t", lambda texts: np.ones((len(texts), 4), np.float32), store, "m")
+    assert done.sent == 2000 and done.rows.where("vector IS NOT NULL").count() == 2000
+    assert sum(len(p.files) for p in store.state().of("vectors").values()) == 1
+    assert not [n for n, _ in store.files.below("spool")]
