@@ -8,16 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semindex.sources.shared import saved, shared_folder
+from semindex.sources.shared import saved, shared_folder, small_batches
 
-__all__ = ["saved", "shared_folder"]
+__all__ = ["saved", "shared_folder", "small_batches"]
 
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 SPACES = b" \t\n\x0b\x0c\r"
 
-#: Rows and bytes of one Arrow batch; together they bound a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, "16m"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,11 +25,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

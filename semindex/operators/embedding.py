@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from semindex.functions import columns as C
 from semindex.functions import constants as K
-from semindex.sources.shared import in_ranges, saved
+from semindex.sources.shared import in_ranges, saved, small_batches
 
 #: Texts to vectors, a row each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -67,6 +67,7 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder, batch_size: int = K.
                     vectors[i] = v
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(vectors, pa.list_(pa.float32()))], names)
 
+    small_batches(df.sparkSession)
     return ready.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semindex.jobs.index import run_index
-from semindex.operators import vectors
+from semindex.operators import chunking, embedding, vectors
 from semindex.sources.commits import Store
 from tests.test_index import worktrees
 
@@ -138,3 +138,12 @@ def test_files_of_vectors_hold_thousands_of_rows(spark, tmp_path):
     assert done.sent == 2000 and done.rows.where("vector IS NOT NULL").count() == 2000
     assert sum(len(p.files) for p in store.state().of("vectors").values()) == 1
     assert not [n for n, _ in store.files.below("spool")]
+
+
+def test_batches_for_python_are_bounded(spark):
+    """What embeds and chunks asks Spark for batches of a thousand rows and 16 MB at most, whatever a table's size."""
+    df = spark.createDataFrame([("c", "f", "a b")], "collection_id string, file_path string, content string")
+    for make in (lambda: embedding.embed(df, "content", embedding.hashing_embedder(4)), lambda: chunking.chunk_lines(df)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        make()
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
