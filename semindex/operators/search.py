@@ -20,7 +20,7 @@ from semindex.operators.filters import complete_payload
 from semindex.sources.shared import saved
 
 #: Rows and bytes of a block of queries at most; bytes of points that meet a block at once; of blocks that a worker keeps; pairs scored at once.
-QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, CACHE_BYTES, TILE = 2048, 8 << 20, 32 << 20, 256 << 20, 1 << 20
+QUERY_BLOCK, BLOCK_BYTES, CHUNK_BYTES, CACHE_BYTES, TILE = 2048, 8 << 20, 32 << 20, 64 << 20, 1 << 20
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def scored(points: DataFrame, asked: DataFrame, min_score: float) -> DataFrame:
         for part in chunks(batches):
             sizes = pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy()
             for dim in np.unique(sizes[sizes > 0]).tolist():
-                yield from met(part.filter(pa.array(sizes == dim)), dim)
+                yield from met(part if (sizes == dim).all() else part.filter(pa.array(sizes == dim)), dim)
 
     return slim.mapInArrow(run, "query_id long, k int, point_id string, score double")
 
@@ -192,8 +192,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         size += batch.nbytes
         if size >= CHUNK_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0  # gone before the chunk is worked on
+            yield from whole
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
