@@ -440,3 +440,23 @@ def test_of_equal_scores_those_of_the_least_ids_are_kept():
     ids = pa.array([f"p{i}" for i in range(12)])
     scores, at = search.best_of(np.array([0.5] * 11 + [0.9]), np.arange(12), 3, ids)
     assert [(s, ids[int(i)].as_py()) for s, i in zip(scores, at, strict=True)] == [(0.9, "p11"), (0.5, "p0"), (0.5, "p1")]
+
+
+def test_what_makes_a_table_runs_once_and_its_files_are_not_listed_one_by_one(spark, tmp_path, monkeypatch):
+    seen, store = spark.sparkContext.accumulator(0), Store(spark, str(tmp_path / "store"), bucket_files=4)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    names = ("ws 1", "ws%2", "3")
+    rows = [(c, f"f{i}.ts", f"{c}-{i}") for c in names for i in range(40)]
+    shape = "collection_id string, file_path string, point_id string"
+    monkeypatch.setattr(store.files, "below", lambda folder: pytest.fail("the driver lists files"))
+    store.replace_collections(spark.createDataFrame(rows, shape).mapInArrow(run, shape), "points")
+    assert seen.value == len(rows)
+    parts = store.state().of("points")
+    assert {c for c, _ in parts} == set(names) and sum(p.rows for p in parts.values()) == len(rows) and len(parts) > 20
+    assert sorted(map(tuple, store.read("points").select("collection_id", "file_path", "point_id").collect())) == sorted(rows)
+    assert store.write_parts(spark.createDataFrame([], f"{shape}, bucket int"), "points") == {}
