@@ -311,15 +311,17 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
-def open_pairs(held: DataFrame, best: bool) -> DataFrame:
+def open_pairs(held: DataFrame, best: bool, facts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
 
+    ``held`` (key, node, class, size) names the members of buckets; ``facts`` has (node, n, keys, bins) once for each of these nodes, or else ``held`` has.
     Each pair comes once. A bucket of up to SLICE members is a group of rows. A larger one is written in slices of about SLICE members,
     each row once, and every two slices are a row of three numbers: the task that gets it reads both. So a bucket of any size
     is compared whole, by many tasks, and no member is copied for it.
     """
     shape = "a long, b long"
     few, many = held.where(F.col("size") <= SLICE), held.where(F.col("size") > SLICE)
+    full = lambda rows: rows if facts is None else rows.join(facts, "node")
 
     def found(rows: pa.Table, key: int, own: np.ndarray, low: int, high: int) -> pa.RecordBatch:
         node, code, n = (rows.column(c).to_numpy() for c in ("node", "class", "n"))
@@ -349,14 +351,14 @@ def open_pairs(held: DataFrame, best: bool) -> DataFrame:
             yield out()
 
     columns = ["key", "node", "class", "n", "bins", "keys"]
-    pairs = map_batches(few.select(*columns).repartition("key").sortWithinPartitions("key"), grouped, shape)
+    pairs = map_batches(full(few).select(*columns).repartition("key").sortWithinPartitions("key"), grouped, shape)
     sizes = many.groupBy("key").agg(F.ceil(F.first("size") / SLICE).cast("int").alias("slices"))
     each = saved(sizes.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("high", F.explode(F.sequence(F.col("low"), F.col("slices") - 1))).select("key", "low", "high"), "slice-pairs")
     if not (n_pairs := each.count()):
         return pairs
     root = shared_folder(held.sparkSession, "slices")
     own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SLICE)).cast("int")
-    sliced = many.select(*columns[1:], own.alias("own"), F.col("key").alias("bucket"))
+    sliced = full(many).select(*columns[1:], own.alias("own"), F.col("key").alias("bucket"))
     sliced.repartition("bucket", "own").sortWithinPartitions("bucket", "own").write.partitionBy("bucket", "own").option("compression", "zstd").parquet(root)
 
     def sliced_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,11 +396,12 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = rooted(tested.where("alike").select(F.col("b").alias("node"), F.col("a").alias("root")))
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     # Slim rows tell which buckets have more than one class; only their members get counts and keys.
-    open_ = mixed(members.select("key", "node").join(named, "node"))
-    # Counts are made from the texts where they are needed, so no row of any other text carries them.
-    held = saved(open_.join(nodes.select("node", "n", "keys"), "node").join(counted(texts), "node"), "open")
+    held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
+    # Counts are made of texts in such buckets alone, and held once a text, not once for each of its buckets.
+    asked = held.select("node").distinct()
+    facts = saved(nodes.select("node", "n", "keys").join(counted(texts.join(asked, "node", "left_semi")), "node"), "facts")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
-        pairs = open_pairs(held, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = open_pairs(held, best, facts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = saved(verified(pairs, texts), "more")
         found = more.where("alike").select("a", "b")
         if found.isEmpty():
@@ -414,7 +417,9 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if best:
             tested = tested.unionByName(more)
             now = new.select(F.col("node").alias("class"), F.col("root").alias("_new"))
-            held = saved(mixed(held.drop("size").join(now, "class", "left").withColumn("class", F.coalesce("_new", "class")).drop("_new")), "open")
+            # A node is renamed once, not once for each of its buckets.
+            named = held.select("node", "class").distinct().join(now, "class", "left").select("node", F.coalesce("_new", "class").alias("class"))
+            held = saved(mixed(held.select("key", "node").join(named, "node")), "open")
     return roots
 
 

@@ -339,6 +339,25 @@ def test_members_of_large_buckets_are_not_copied(spark, monkeypatch):
     assert not re.search(r"Generate[^\n]*bins", pairs._jdf.queryExecution().executedPlan().toString())
 
 
+def test_a_text_is_counted_and_renamed_once_for_all_its_buckets(spark, monkeypatch):
+    written, real = [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(60):  # edits of one text: they share many buckets, but are not all alike
+        words = list(base)
+        for at in rng.choice(100, 8 + i % 12, replace=False):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.count() == len(texts)
+    held = [df for name, df in written if name == "open"]
+    assert held[0].count() > 2 * len(texts)  # so there is something to carry
+    wide = [df for _, df in written if "bins" in df.columns]
+    assert wide and all(df.count() <= len(texts) and df.count() == df.select("node").distinct().count() for df in wide)
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     left = neardup.one_of_each(spark, odd_docs, "")
     assert left.columns == odd_docs.columns
