@@ -10,13 +10,15 @@ at least nine in ten meet, however the edits are spread (0.93 where they are spr
 Buckets. Equal texts (equal word sequences) are collapsed first and stand for one node. A bucket's centre is
 its smallest member; each node is compared with the centre that it shares most buckets with, and the links
 found make the first classes. Then every pair of a bucket's members that are in different classes is taken
-up, whatever the bucket's size and whether a member has matched or not: lengths and counts of words in BINS
-bins exclude most pairs by proof, the others are verified, nearest first, as each link that joins two classes
-settles all pairs between them. So the classes are those of all pairs that share a bucket; no pair of a
-bucket is lost.
+up, whatever the bucket's size and whether a member has matched or not: lengths and counts of words in a few
+bins, which are slim, tell first who has no partner in a bucket at all, as is so wherever unlike texts have a phrase
+in common; of the others lengths and counts in BINS bins exclude most pairs by proof, and what is left is verified,
+nearest first, as each link that joins two classes settles all pairs between them. So the classes are those of
+all pairs that share a bucket; no pair of a bucket is lost.
 
-Verification. Word-level edit distance within the band that similarity 1 - edits / longer length >= 0.8
-allows: furthest-reaching points per diagonal, one more edit at a time, after a multiset bound.
+Verification. Word-level edit distance, exact up to the most edits that similarity 1 - edits / longer length >= 0.8
+allows, after a multiset bound: a column of the table of distances at a time, as the bits of a number; in texts too long
+for that, furthest-reaching points per diagonal and then a band.
 
 Classes are the connected components of verified links, by alternating large-star and small-star steps on
 tables; class_id is the smallest doc_id of a class, of those that no other class has if there are any.
@@ -53,6 +55,9 @@ NULL_ID = -(2**63)
 #: Members of a bucket that meet at once; bins that words are counted in to exclude pairs, and how many they are first added up to; tasks
 #: that pairs of slices are dealt to, at most.
 SLICE, BINS, COARSE, MOST_TASKS = 1024, 2048, 128, 4096
+#: Bins of the counts that go with each member of a bucket; words of a text whose distances are held as bits, and up to which that takes
+#: less time than to look for an alignment; pairs whose nodes are broadcast, and links that one task joins, at most.
+SLIM, MOST_BITS, SHORT, FEW = 64, 8192, 400, 50_000
 #: What names a row's text: its id, never null, and a digest of the text as it is.
 IDS = ["coalesce(cast(doc_id AS long), -9223372036854775807 - 1) AS _id", "unhex(md5(cast(coalesce(text, '') AS binary))) AS mark"]
 #: Grams that are hashed at once.
@@ -60,7 +65,7 @@ BLOCK = 1 << 11
 SEEDS = scrambled(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = scrambled(SEEDS) | np.uint64(1)
 MOST = np.uint64(2**64 - 1)
-SKETCH = "_id long, mark binary, digest binary, n int, keys array<long>"
+SKETCH = "_id long, mark binary, digest binary, n int, slim binary, keys array<long>"
 
 
 def least_grams(grams: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -105,25 +110,31 @@ def sketched(docs: DataFrame) -> DataFrame:
         powers = Powers()
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, sizes, keys = [], [], []
+                digests, sizes, slim, keys = [], [], [], []
                 for hashes in word_hashes(batch.column(2)):
                     sizes.append(len(hashes))
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    slim.append(binned(hashes, SLIM))
                     keys.append(sketches(hashes, powers))
                 ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64))
-                arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["_id", "mark", "digest", "n", "keys"])
+                arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(slim, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["_id", "mark", "digest", "n", "slim", "keys"])
 
     return map_batches(docs.selectExpr(*IDS, "text"), run, SKETCH)
 
 
+def binned(hashes: np.ndarray, bins: int) -> bytes:
+    """Counts of a text's words in bins, each up to 255."""
+    return np.minimum(np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
 def counted(texts: DataFrame) -> DataFrame:
     """(node, bins): counts of a text's words in BINS bins, each up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for hashes in word_hashes(batch.column(1))]
+            bins = [binned(hashes, BINS) for hashes in word_hashes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], ["node", "bins"])
 
     return map_batches(texts.select("node", "text"), run, "node long, bins binary")
@@ -148,10 +159,32 @@ def edits(a: list, b: list, most: int) -> int | None:
     gone = sum(v for v in ca.values() if v > 0)
     if max(gone, gone - n + m) > most:
         return None
-    if most > 64:
-        found = edits_by_diagonal(a, b, 64)
-        return found if found is not None else edits_in_band(np.array(a), np.array(b), most)
-    return edits_by_diagonal(a, b, most)
+    if min(n, m) - start <= MOST_BITS:
+        return edits_by_bits(*sorted((a, b), key=len), most)
+    found = edits_by_diagonal(a, b, min(most, 64))
+    return found if found is not None or most <= 64 else edits_in_band(np.array(a), np.array(b), most)
+
+
+def edits_by_bits(a: list, b: list, most: int) -> int | None:
+    """The same distance by columns: the steps up and down between the distances of a's beginnings from those of b are the bits of two numbers."""
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, out = every, 0, len(a)
+    for left, word in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = places.get(word, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | (every & ~(level | up)), up & level
+        if right_up & last:
+            out += 1
+        elif right_down & last:
+            out -= 1
+        if out - left > most:  # each word to come takes off one at most
+            return None
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = every & (right_down | ~(level | right_up)), every & right_up & level
+    return out if out <= most else None
 
 
 def edits_by_diagonal(a: list, b: list, most: int) -> int | None:
@@ -233,7 +266,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     counts = [np.bincount((x & np.uint64(4095)).astype(np.int64), minlength=4096) for x in (a, b)]
     if (int(np.abs(counts[0] - counts[1]).sum()) + abs(len(a) - len(b))) // 2 > most:
         return False
-    return aligned(a, b) <= most or edits(a.tolist(), b.tolist(), most) is not None
+    return longer > SHORT and aligned(a, b) <= most or edits(a.tolist(), b.tolist(), most) is not None
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,6 +287,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, alike boolean")
 
 
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts of saved pairs (a, b), if these are few, so that the others aren't shuffled for them; else all of them."""
+    if pairs.count() > FEW:
+        return texts
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return saved(texts.join(F.broadcast(ends.distinct()), "node", "left_semi"), "paired")
+
+
 def in_buckets(members: DataFrame) -> DataFrame:
     """members (key, node) of buckets with two or more of them, with the bucket's smallest member."""
     sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("centre")).where("_n > 1").drop("_n")
@@ -311,6 +352,44 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "key")
 
 
+def with_partners(held: DataFrame, slim: DataFrame) -> DataFrame:
+    """held (key, node, class, size) without members of buckets of up to SLICE that lengths and ``slim`` (node, n, slim) keep apart from
+    every member of another class there: they are in no pair of within_bounds. Members of larger buckets all stay."""
+    names = ["key", "node", "class", "size"]
+
+    def met(rows: pa.Table) -> pa.Table:
+        key, code, n = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
+        bins = np.frombuffer(b"".join(rows.column("slim").to_pylist()), np.uint8).reshape(-1, SLIM).astype(np.int16)
+        sums, found = bins.sum(1, dtype=np.int64), np.zeros(len(key), bool)
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):  # every two members of a bucket, by their distance
+            i = at[~(found[at] & found[at + step]) & (code[at] != code[at + step])]
+            j = i + step
+            most = (np.maximum(n[i], n[j]) * (1 - SIMILAR) + 1e-9).astype(np.int64)
+            open_ = np.abs(n[i] - n[j]) <= most
+            i, j, most = i[open_], j[open_], most[open_]
+            near = (np.abs(bins[i] - bins[j]).sum(1, dtype=np.int64) + np.abs(sums[i] - sums[j])) // 2 <= most
+            found[i[near]] = found[j[near]] = True
+            step += 1
+        return rows.filter(pa.array(found)).select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            keys = rows.column("key").to_numpy()
+            done = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+            yield from met(rows.slice(0, done)).to_batches()
+            rest = rows.slice(done)
+        if rest is not None:
+            yield from met(rest).to_batches()
+
+    few = held.where(F.col("size") <= SLICE).join(slim, "node").select(*names, "n", "slim")
+    return map_batches(few.repartition("key").sortWithinPartitions("key"), run, "key long, node long, class long, size long").unionByName(held.where(F.col("size") > SLICE).select(*names))
+
+
 def open_pairs(held: DataFrame, best: bool, facts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, distinct, that share a bucket, are in different classes and not excluded by within_bounds.
 
@@ -385,7 +464,7 @@ def open_pairs(held: DataFrame, best: bool, facts: DataFrame | None = None) -> D
 
 
 def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, keys) that share a bucket."""
+    """(node, root) as of components(), over all links between nodes (node, _id, mark, n, slim, keys) that share a bucket."""
     members = saved(in_buckets(nodes.select("node", F.explode("keys").alias("key"))), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_id", "mark")
     # A node has one id and mark, so its text stays where the join has brought it.
@@ -397,12 +476,13 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     # Slim rows tell which buckets have more than one class; only their members get counts and keys.
     held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
-    # Counts are made of texts in such buckets alone, and held once a text, not once for each of its buckets.
-    asked = held.select("node").distinct()
-    facts = saved(nodes.select("node", "n", "keys").join(counted(texts.join(asked, "node", "left_semi")), "node"), "facts")
+    held = saved(with_partners(held, nodes.select("node", "n", "slim")), "partners")
+    # Counts are made of texts that have a partner alone, and held once a text, not once for each of its buckets.
+    asked = saved(held.select("node").distinct(), "asked")
+    facts = saved(nodes.select("node", "n", "keys").join(asked, "node", "left_semi").join(counted(texts.join(asked, "node", "left_semi")), "node"), "facts")
     for best in (True, False):  # the nearest of each member first, as it joins classes; then all that is left
-        pairs = open_pairs(held, best, facts).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = saved(verified(pairs, texts), "more")
+        pairs = saved(open_pairs(held, best, facts).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = saved(verified(pairs, texts_of(pairs, texts)), "more")
         found = more.where("alike").select("a", "b")
         if found.isEmpty():
             if best:
@@ -435,18 +515,21 @@ def rooted(forest: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node of the component; nodes of edges (a, b) that are not roots."""
+    """(node, root): root is the smallest node of the component; nodes of edges (a, b) that are not roots. A step leaves no more edges than
+    there were, and up to FEW of them are one task's work, as a shuffle would take longer; more are dealt out."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    few = now.count() <= FEW
+    dealt = lambda df: df.coalesce(1) if few else df
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = saved(small.distinct(), "stars")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
+        now = saved(dealt(small).distinct(), "stars")
+        seen = dealt(now).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if seen == mark and seen[0] == seen[2] or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
@@ -457,8 +540,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of its class, and ``class_id`` (never null), its smallest id: of those that no other class has, or else of all; NULL_ID comes last."""
     rows = saved(sketched(docs), "sketches")
     least = F.min(F.struct("_id", "mark")).alias("least")
-    nodes = rows.groupBy("digest").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "keys"), "nodes")
+    nodes = rows.groupBy("digest").agg(least, *(F.first(c).alias(c) for c in ("n", "slim", "keys")))
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.*", "n", "slim", "keys"), "nodes")
     named = nodes.join(classes(docs, nodes), "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
     rows = saved(rows.select("_id", "mark", "digest").join(named, "digest"), "classes")
     known = rows.where(F.col("_id") != NULL_ID)

@@ -358,6 +358,37 @@ def test_a_text_is_counted_and_renamed_once_for_all_its_buckets(spark, monkeypat
     assert wide and all(df.count() <= len(texts) and df.count() == df.select("node").distinct().count() for df in wide)
 
 
+def test_unlike_texts_of_a_bucket_carry_no_counts_and_few_pairs_move_few_texts(spark, monkeypatch):
+    """Texts that share a passage, but are unlike, share buckets; counts of words are made for none of them, nor are they read for others' pairs."""
+    written, real = [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    passage, own = [f"p{i}" for i in range(40)], lambda c, n: [f"{c}{i}" for i in range(n)]
+    texts = [" ".join(passage + own(f"u{n}w", 60)) for n in range(50)]
+    chain = [" ".join(own("c", n)) for n in (100, 88, 77)]  # the second is like both others
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts + chain)), "doc_id long, text string")).collect()
+    assert sorted(r.class_id for r in got) == [*range(50), 50, 50, 50]
+    of = lambda name: [df.count() for n, df in written if n == name]
+    assert of("open")[0] >= 50 and max(of("facts") + of("paired")) <= 8  # of 53
+
+
+def test_edits_as_bits(monkeypatch):
+    rng = random.Random(21)
+    for few in (10**9, 5):  # texts of over MOST_BITS words go by diagonals
+        monkeypatch.setattr(neardup, "MOST_BITS", few)
+        for _ in range(400):
+            n, m, kinds = rng.randint(1, 90), rng.randint(1, 90), rng.choice((2, 9, 99))
+            a, b = ([rng.randrange(kinds) for _ in range(k)] for k in (n, m))
+            b = b if rng.random() < 0.5 else [x if rng.random() < 0.9 else 100 for x in a]
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a):
+                row, old = [i + 1], row
+                for j, y in enumerate(b):
+                    row.append(min(old[j] + (x != y), old[j + 1] + 1, row[j] + 1))
+            most = rng.randint(0, 90)
+            want = row[-1] if row[-1] <= most else None
+            assert neardup.edits(a, b, most) == neardup.edits_by_bits(a, b, most) == want
+
+
 def test_one_of_each_class_stays(spark, odd_docs):
     left = neardup.one_of_each(spark, odd_docs, "")
     assert left.columns == odd_docs.columns
