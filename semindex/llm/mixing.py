@@ -18,6 +18,9 @@ both numbers, and the weights of callers whose period is longer than the table c
 Order within a source: by a 12-bit hash of doc_id, then doc_id. Ranks come from counts per (source, hash
 bucket), at most 4096 rows a source, and from row numbers within a bucket, so no task holds a source.
 
+A table in mixed order is laid out in ranges of slots. A source's rows are in the order of their slots by hash, id and tie, so slim rows
+tell where in this order each range begins, and a text finds its range by its own key: it is shuffled once, and gets its slot there.
+
 Defined cases: a null source is a source of its own, before all others on ties; a null doc_id has bucket 0
 and comes first there; repeated rows each get a place, equal doc_ids are ordered by a hash of the row; an
 empty table gives an empty result; columns of the input keep their names, the operator's own are added
@@ -31,14 +34,16 @@ import math
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semindex.llm.common import small_batches, table
+from semindex.llm.common import saved, small_batches, table
 
 #: Rows of a block; shares that a period has about without weights, and for each source at least; sources at most, as their
 #: counts and weights are held by the driver; rows that a table may have to be broadcast.
 BLOCK_ROWS, SHARES, SOURCE_SHARES, MOST_SOURCES, BROADCAST_ROWS = 64, 1000, 100, 1_000_000, 11_000
+#: Begins of ranges, over all sources, that may be broadcast; what orders the rows of a source.
+MOST_CUTS, ORDER = 100_000, ["bucket", "doc_id", "tie"]
 PLACE = ["block", "seat", "slot", "release", "deadline"]
 
 
@@ -107,43 +112,80 @@ def layout(share: Mapping[str | None, int], blocks: Mapping[str | None, int]) ->
     return out
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """(row, source, rank): each row of docs as a struct, its source, never null, and its number within the source from 0."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, source, ORDER): each row of docs as a struct, its source, never null, and what orders it within the source."""
     rest = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "source") and "map<" not in kind]
     bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 3), 16, 10).cast("int"), F.lit(0))
     source = F.struct(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), source.alias("source"), "doc_id", bucket.alias("bucket"), (F.xxhash64(*rest) if rest else F.lit(0)).alias("tie"))
+    return docs.select(F.struct(*docs.columns).alias("row"), source.alias("source"), "doc_id", bucket.alias("bucket"), (F.xxhash64(*rest) if rest else F.lit(0).cast("long")).alias("tie"))
+
+
+def ranked(keys: DataFrame) -> DataFrame:
+    """keys (source, ORDER, ...) with ``rank``, the row's number within its source from 0, and ``alike``: a row of equal keys goes before."""
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = keyed.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id", "tie")) - 1
-    return keyed.withColumn("within", within).join(starts, ["source", "bucket"]).select("row", "source", (F.col("start") + F.col("within")).alias("rank"))
+    starts = keys.groupBy("source", "bucket").agg(F.count("*").alias("n")).select("source", "bucket", before.alias("start"))
+    own = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie")
+    out = keys.withColumns({"within": F.row_number().over(own) - 1, "alike": F.row_number().over(own) != F.rank().over(own)})
+    return out.join(starts, ["source", "bucket"]).withColumn("rank", F.col("start") + F.col("within")).drop("start", "within")
+
+
+class Schedule:
+    """The blocks of docs (source, ...): ``of`` gives rows (source, rank, ...) their PLACE; ``sent``: it broadcasts all that it joins them with."""
+
+    def __init__(self, docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS):
+        spark = docs.sparkSession
+        small_batches(spark)
+        found = docs.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        counts = {r["source"]: r["count"] for r in found}
+        share = shares(counts, weights)
+        blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+        # Shares beyond a source's blocks may not fit a long, and no row needs them: it has no second lap.
+        total = sum(share.values())
+        whole = total if any(blocks[s] > q for s, q in share.items()) else 0
+        key = "source struct<known:boolean,name:string>"
+        short = bool(weights) and sum(blocks.values()) <= total  # the table ends before the period: its blocks alone are laid out
+        rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in (layout(share, blocks) if short else period(share, blocks))]
+        plan = spark.createDataFrame(rows, f"{key}, turn long, slot long, release long, deadline long")
+        each = spark.createDataFrame([((s is not None, s or ""), blocks[s] if short else min(q, blocks[s])) for s, q in share.items()], f"{key}, share long")
+        # Both are broadcast up to BROADCAST_ROWS; longer ones are joined by their keys.
+        sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+        self.sent = max(len(rows), len(share)) <= BROADCAST_ROWS
+        self.each, self.plan, self.block_rows, self.lap = sent(each, len(share)), sent(plan, len(rows)), block_rows, 0 if short else whole
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        block = F.floor(F.col("rank") / self.block_rows).cast("long")
+        out = rows.join(self.each, "source").withColumns({"block": block, "seat": F.col("rank") % self.block_rows})
+        out = out.withColumns({"turn": F.col("block") % F.col("share"), "lap": F.floor(F.col("block") / F.col("share")) * self.lap})
+        out = out.join(self.plan, ["source", "turn"])
+        return out.withColumns({c: F.col("lap") + F.col(c) for c in ("slot", "release", "deadline")}).drop("turn", "lap", "share")
 
 
 def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row, PLACE): each row of docs (doc_id, source, ...) as a struct, so that no name of its columns meets one of ours."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = docs.groupBy("source").count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {r["source"]: r["count"] for r in found}
-    share = shares(counts, weights)
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    # Shares beyond a source's blocks may not fit a long, and no row needs them: it has no second lap.
-    total = sum(share.values())
-    whole = total if any(blocks[s] > q for s, q in share.items()) else 0
-    key = "source struct<known:boolean,name:string>"
-    short = bool(weights) and sum(blocks.values()) <= total  # the table ends before the period: its blocks alone are laid out
-    rows = [((s is not None, s or ""), i, slot, i * total // share[s], -(-(i + 1) * total // share[s])) for s, i, slot in (layout(share, blocks) if short else period(share, blocks))]
-    plan = spark.createDataFrame(rows, f"{key}, turn long, slot long, release long, deadline long")
-    each = spark.createDataFrame([((s is not None, s or ""), blocks[s] if short else min(q, blocks[s])) for s, q in share.items()], f"{key}, share long")
-    # Both are broadcast up to BROADCAST_ROWS; longer ones are joined by their keys.
-    sent = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
-    block = F.floor(F.col("rank") / block_rows).cast("long")
-    out = ranked(docs).join(sent(each, len(share)), "source").withColumns({"block": block, "seat": F.col("rank") % block_rows})
-    out = out.withColumns({"turn": F.col("block") % F.col("share"), "lap": F.floor(F.col("block") / F.col("share")) * (0 if short else whole)})
-    out = out.join(sent(plan, len(rows)), ["source", "turn"])
-    return out.select("row", "block", "seat", *((F.col("lap") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")))
+    return Schedule(docs, weights, block_rows).of(ranked(keyed(docs))).select("row", *PLACE)
+
+
+def begins(schedule: Schedule, docs: DataFrame, ranges: int) -> DataFrame | None:
+    """(source, keys, parts, ranks): in the order of a source's rows, where each range of slots begins in it. None if these are more than
+    MOST_CUTS, or if one begins between rows of equal keys."""
+    slim = saved(schedule.of(ranked(keyed(docs).drop("row"))).select("source", *ORDER, "alike", "rank", "slot"), "places")
+    bounds = slim.agg(F.percentile_approx("slot", [i / ranges for i in range(ranges)], max(10_000, 20 * ranges)).alias("b")).first()["b"]
+    if not bounds:
+        return None
+    part = found(F.lit(sorted({0, *bounds})), F.col("slot"), ranges)
+    first = saved(slim.groupBy("source", part.alias("part")).agg(F.min(F.struct("rank", *ORDER, "alike")).alias("first")), "begins")
+    if first.count() > MOST_CUTS or not first.where("first.alike").isEmpty():
+        return None
+    by_rank = F.sort_array(F.collect_list(F.struct("first.rank", "part", F.struct(*(F.col(f"first.{c}").alias(c) for c in ORDER)).alias("key"))))
+    return first.groupBy("source").agg(by_rank.alias("a")).select("source", F.col("a.key").alias("keys"), F.col("a.part").alias("parts"), F.col("a.rank").alias("ranks"))
+
+
+def found(values: Column, own: Column, most: int) -> Column:
+    """The place of the last of up to ``most`` + 1 ascending values that is not above ``own``, by halving; the first is not."""
+    steps = F.lit([1 << i for i in range(most.bit_length(), -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(values, at + step) <= own, F.lit(False)), step).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -158,8 +200,19 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, the table's files and rows in mixed order (range-partitioned by slot)."""
-    return placed(docs).orderBy("slot", "seat").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    """Pipeline stage: every document, the table's files and rows in mixed order (ranges of slots)."""
+    schedule, ranges = Schedule(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = begins(schedule, docs, ranges) if schedule.sent else None
+    if cuts is None:
+        out = placed(docs).orderBy("slot", "seat")
+    else:
+        at = found(F.col("keys"), F.struct(*ORDER), ranges)
+        dealt = keyed(docs).join(F.broadcast(cuts), "source").withColumn("at", at).withColumns({"part": F.get("parts", "at"), "start": F.get("ranks", "at")})
+        dealt = dealt.select("row", "source", *ORDER, "part", "start").repartitionByRange("part")
+        # The ranges hold whole parts, so the rows aren't shuffled again.
+        within = F.row_number().over(Window.partitionBy("part", "source").orderBy(*ORDER)) - 1
+        out = schedule.of(dealt.withColumn("rank", F.col("start") + within)).sortWithinPartitions("slot", "seat")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 OP1_SQL = f"""

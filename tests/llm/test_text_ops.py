@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,6 +464,23 @@ def test_mixed_order_keeps_all_rows(spark, odd_docs):
     assert out.columns == odd_docs.columns and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
 
 
+@pytest.mark.parametrize("copies", [1, 900])
+def test_mixed_order_shuffles_texts_once(spark, tmp_path, copies):
+    """Files of ranges, row by row as mix() orders them; rows that are all the same, over the begin of a range, go the plain way."""
+    rng = random.Random(8)
+    rows = [(i if i % 50 else None, rng.choice(("a", "a", "a", "b", None)), f"text {i}") for i in range(3000)] + [(7, "b", "same")] * copies
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    out = mixing.in_mixed_order(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:range|hash)partitioning\((?:part|slot|source#\d+, bucket)", plan)) == (1 if copies == 1 else 3)
+    want = [(r.doc_id, r.source, r.text) for r in mixing.mix(docs).orderBy("slot", "seat").collect()]
+    out.write.parquet(f"{tmp_path}/out")
+    got = [(r["doc_id"], r["source"], r["text"]) for f in sorted((tmp_path / "out").glob("part-*")) for r in pq.ParquetFile(f).read().to_pylist()]
+    assert got == want == [tuple(r) for r in out.collect()]
+
+
 @pytest.mark.parametrize("weights", [{"s1": 3.0, "s2": 1.0, "s3": 1.0, None: 1.0}])
 def test_target_weights(odd_docs, weights):
     assert mixing.mix(odd_docs, weights, 1).count() == odd_docs.count()
