@@ -295,10 +295,16 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return saved(texts.join(F.broadcast(ends.distinct()), "node", "left_semi"), "paired")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle. Spark sizes exploded rows as if they were the rows before, 48 times too low for a node's keys, and numbers that
+    files hold well some ten times too low; so it would broadcast memberships, which are many for each node."""
+    return df.hint("merge")
+
+
 def in_buckets(members: DataFrame) -> DataFrame:
     """members (key, node) of buckets with two or more of them, with the bucket's smallest member."""
     sizes = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("centre")).where("_n > 1").drop("_n")
-    return members.join(sizes, "key")
+    return members.join(shuffled(sizes), "key")
 
 
 def lacking(some: np.ndarray, sums: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -386,7 +392,7 @@ def with_partners(held: DataFrame, slim: DataFrame) -> DataFrame:
         if rest is not None:
             yield from met(rest).to_batches()
 
-    few = held.where(F.col("size") <= SLICE).join(slim, "node").select(*names, "n", "slim")
+    few = held.where(F.col("size") <= SLICE).join(shuffled(slim), "node").select(*names, "n", "slim")
     return map_batches(few.repartition("key").sortWithinPartitions("key"), run, "key long, node long, class long, size long").unionByName(held.where(F.col("size") > SLICE).select(*names))
 
 
@@ -475,7 +481,7 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = rooted(tested.where("alike").select(F.col("b").alias("node"), F.col("a").alias("root")))
     named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     # Slim rows tell which buckets have more than one class; only their members get counts and keys.
-    held = saved(mixed(members.select("key", "node").join(named, "node")), "open")
+    held = saved(mixed(members.select("key", "node").join(shuffled(named), "node")), "open")
     held = saved(with_partners(held, nodes.select("node", "n", "slim")), "partners")
     # Counts are made of texts that have a partner alone, and held once a text, not once for each of its buckets.
     asked = saved(held.select("node").distinct(), "asked")
@@ -499,7 +505,7 @@ def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             now = new.select(F.col("node").alias("class"), F.col("root").alias("_new"))
             # A node is renamed once, not once for each of its buckets.
             named = held.select("node", "class").distinct().join(now, "class", "left").select("node", F.coalesce("_new", "class").alias("class"))
-            held = saved(mixed(held.select("key", "node").join(named, "node")), "open")
+            held = saved(mixed(held.select("key", "node").join(shuffled(named), "node")), "open")
     return roots
 
 

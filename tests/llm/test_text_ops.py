@@ -372,6 +372,25 @@ def test_unlike_texts_of_a_bucket_carry_no_counts_and_few_pairs_move_few_texts(s
     assert of("open")[0] >= 50 and max(of("facts") + of("paired")) <= 8  # of 53
 
 
+def test_memberships_are_not_broadcast(spark, monkeypatch):
+    """A node has 48 keys, which Spark sizes as one: what is broadcast holds no row for each of them, however small the table."""
+    plans, real = [], neardup.saved
+    monkeypatch.setattr(neardup, "saved", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString().split("\n"))) or real(df, name))
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"x{i}-{at}" if rng.random() < 0.1 + i % 12 / 100 else w for at, w in enumerate(base)) for i in range(60)]
+    assert neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 60
+    names = [name for name, _ in plans]
+    assert {"members", "open", "partners"} <= set(names) and names.count("open") == 2
+    depth = lambda line: len(re.match(r"[ :|+\-]*", line)[0])
+    for name, lines in plans:
+        for i, line in enumerate(lines):
+            if name in ("members", "open", "partners") and "BroadcastExchange" in line:
+                below = lines[i + 1 :]
+                below = below[: next((k for k, x in enumerate(below) if depth(x) <= depth(line)), len(below))]
+                assert not any("Generate" in x or "key#" in x for x in below), (name, below)
+
+
 def test_edits_as_bits(monkeypatch):
     rng = random.Random(21)
     for few in (10**9, 5):  # texts of over MOST_BITS words go by diagonals
